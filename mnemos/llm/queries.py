@@ -1,6 +1,12 @@
 """The registered queries of this subpackage."""
 
 from mnemos.llm.byte_bpe import op10_byte_bpe
+from mnemos.llm.sharding import op5_sharding
+from mnemos.llm.token_files import op4_token_files
 
-QUERIES = {"op10_byte_bpe": op10_byte_bpe}
+QUERIES = {
+    "op4_token_files": op4_token_files,
+    "op5_sharding": op5_sharding,
+    "op10_byte_bpe": op10_byte_bpe,
+}
 ORACLES: dict[str, str] = {}
