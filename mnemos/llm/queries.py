@@ -1,12 +1,16 @@
 """The registered queries of this subpackage."""
 
 from mnemos.llm.byte_bpe import op10_byte_bpe
+from mnemos.llm.language_id import op8_language_id
+from mnemos.llm.secrets import op6_secrets
 from mnemos.llm.sharding import op5_sharding
 from mnemos.llm.token_files import op4_token_files
 
 QUERIES = {
     "op4_token_files": op4_token_files,
     "op5_sharding": op5_sharding,
+    "op6_secrets": op6_secrets,
+    "op8_language_id": op8_language_id,
     "op10_byte_bpe": op10_byte_bpe,
 }
 ORACLES: dict[str, str] = {}
