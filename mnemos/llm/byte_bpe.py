@@ -13,20 +13,16 @@ which Spark strings can't hold, aren't met.
 from __future__ import annotations
 
 import base64
+from array import array
 from functools import lru_cache
-from itertools import chain
 
-import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemos.llm.common import bound_batches, free_name, slices, vocabulary_bytes
-
-#: Pre-tokens whose ids a Python worker remembers; it starts anew beyond, which changes nothing but speed.
-CACHE_ENTRIES = 300_000
+from mnemos.llm.common import bound_batches, free_name, vocabulary_bytes
+from mnemos.llm.pretokens import ChunkEncoder, id_lists, text_slices
 
 
 def byte_characters() -> list[str]:
@@ -63,35 +59,7 @@ def build_model(tokens: list[bytes]) -> bytes:
     return model.SerializeToString()
 
 
-class PretokenEncoder:
-    """Encodes texts pre-token by pre-token and remembers the ids of those met."""
-
-    def __init__(self, pattern: str):
-        self.split = regex.compile(pattern).findall
-        self.seen: dict[str, bytes] = {}
-
-    def encode_new(self, pretokens: list[str]) -> list[list[int]]:
-        raise NotImplementedError
-
-    def learn(self, parts: list[list[str]]) -> None:
-        new = [p for p in set(chain.from_iterable(parts)) if p not in self.seen]
-        if len(self.seen) + len(new) > CACHE_ENTRIES:
-            self.seen.clear()
-            new = list(set(chain.from_iterable(parts)))
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            for p, ids in zip(part, self.encode_new(part), strict=True):
-                self.seen[p] = np.asarray(ids, "<i4").tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """For each text its ids as little-endian 32-bit integers."""
-        parts = [self.split(x) for x in texts]
-        self.learn(parts)
-        get = self.seen.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
-
-
-class SentencepieceBpe(PretokenEncoder):
+class SentencepieceBpe(ChunkEncoder):
     def __init__(self, ranks: bytes, pattern: str):
         import sentencepiece
 
@@ -102,9 +70,9 @@ class SentencepieceBpe(PretokenEncoder):
         back = {c: b for b, c in self.chars.items()}
         self.pieces = [bytes(back[c] for c in self.model.id_to_piece(i)) for i in range(len(self.tokens))]
 
-    def encode_new(self, pretokens: list[str]) -> list[list[int]]:
+    def encode_pretokens(self, pretokens: list[str]) -> list[bytes]:
         mapped = [p.encode("utf-8").decode("latin-1").translate(self.chars) for p in pretokens]
-        return self.model.encode(mapped, num_threads=1)
+        return [array("i", ids).tobytes() for ids in self.model.encode(mapped, num_threads=1)]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.pieces.__getitem__, ids))
@@ -116,15 +84,6 @@ def codec(ranks: bytes, pattern: str) -> SentencepieceBpe:
     return SentencepieceBpe(ranks, pattern)
 
 
-def id_lists(encoded: list[bytes]) -> pa.Array:
-    """An array of integer lists out of their little-endian bytes."""
-    ends = np.cumsum([0, *(len(x) // 4 for x in encoded)])
-    values = np.frombuffer(b"".join(encoded), "<i4")
-    if ends[-1] >= 2**31:
-        raise ValueError("more than 2^31 ids in a batch")
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))
-
-
 def encode(
     docs: DataFrame,
     text_col: str = "text",
@@ -144,8 +103,7 @@ def encode(
     @F.arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
         own = codec(ranks.value, pattern)
-        parts = [id_lists(own.encode(part)) for _, part in slices(texts)]
-        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
+        return id_lists([own.encode(part) for part in text_slices(texts)])
 
     return docs.withColumn(free_name(docs.columns, ids_col), ids(F.col(text_col).cast("string")))
 
@@ -165,7 +123,7 @@ def decode(
     @F.arrow_udf("binary")
     def decoded(ids: pa.Array) -> pa.Array:
         own = codec(ranks.value, pattern)
-        return pa.array([own.decode(ids[i].values.to_pylist()) if ids[i].is_valid else b"" for i in range(len(ids))], pa.binary())
+        return pa.array([own.decode(x.values.to_numpy().tolist()) if x.is_valid else b"" for x in ids], pa.binary())
 
     return docs.withColumn(free_name(docs.columns, bytes_col), decoded(ids_col))
 

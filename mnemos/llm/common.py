@@ -119,3 +119,10 @@ def vocabulary_bytes(path: str, most: int = 64 << 20) -> bytes:
     if len(data) > most:
         raise ValueError(f"{path} is larger than {most} bytes")
     return data
+
+
+def word_spans(text: str) -> list[tuple[int, int]]:
+    """(start, end) in code points of what words() gives."""
+    import re
+
+    return [m.span() for m in re.finditer(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text)]

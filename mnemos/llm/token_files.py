@@ -24,18 +24,21 @@ other. An empty table gives no segment.
 from __future__ import annotations
 
 import struct
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mnemos.llm.byte_bpe import PretokenEncoder
-from mnemos.llm.common import bound_batches, materialise, scratch_path, slices, vocabulary_bytes
+from mnemos.llm.common import bound_batches, materialise, scratch_path, vocabulary_bytes
+from mnemos.llm.pretokens import ChunkEncoder, text_slices
 
 MAGIC = b"PFR1"
 HEAD = struct.Struct("<4sIIIQQIII")
@@ -166,7 +169,7 @@ def read_segments(data: bytes) -> Iterator[dict]:
 # --- encoding ---------------------------------------------------------------------------------------------------
 
 
-class LibraryEncoder(PretokenEncoder):
+class LibraryEncoder(ChunkEncoder):
     """Ids of the tokenizers library.
 
     Where the vocabulary splits texts by the public pattern at first and has no normaliser, each distinct pre-token is
@@ -188,13 +191,14 @@ class LibraryEncoder(PretokenEncoder):
         self.by_pretoken = splitter.get("type") == "ByteLevel" and not splitter.get("add_prefix_space") and splitter.get("use_regex", True) and not spec.get("normalizer")
         self.added = [x["content"] for x in spec.get("added_tokens", [])]
 
-    def encode_new(self, pretokens: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.library.encode_batch_fast(pretokens, add_special_tokens=False)]
+    def encode_pretokens(self, pretokens: list[str]) -> list[bytes]:
+        return [array("i", x.ids).tobytes() for x in self.library.encode_batch_fast(pretokens, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        whole = [not self.by_pretoken or any(a in x for a in self.added) for x in texts]
-        fast = iter(super().encode([x for x, w in zip(texts, whole, strict=True) if not w]))
-        return [np.asarray(self.library.encode(x, add_special_tokens=False).ids, "<i4").tobytes() if w else next(fast) for x, w in zip(texts, whole, strict=True)]
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if self.by_pretoken and not any(pc.any(pc.match_substring(texts, x)).as_py() for x in self.added):
+            return super().encode(texts)
+        parts = [x.ids for x in self.library.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+        return np.array([i for x in parts for i in x], "<i4"), np.cumsum([0, *map(len, parts)])
 
 
 @lru_cache(maxsize=2)
@@ -238,12 +242,13 @@ def write_token_files(
             return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["image"])
 
         for batch in batches:
-            names = batch.column(0).to_pylist()
-            for at, texts in slices(batch.column(1), 2 << 20):
-                for name, ids in zip(names[at : at + len(texts)], own.encode(texts), strict=True):
-                    doc_ids.append(name)
-                    encoded.append(ids + end)
-                    held += len(ids) // 4 + 1
+            names = iter(batch.column(0).to_pylist())
+            for texts in text_slices(batch.column(1)):
+                ids, bounds = own.encode(texts)
+                for a, b in pairwise(bounds.tolist()):
+                    doc_ids.append(next(names))
+                    encoded.append(ids[a:b].tobytes() + end)
+                    held += b - a + 1
                     if held >= segment_ids:
                         yield image()
                         seq, before, held, doc_ids, encoded = seq + 1, before + held, 0, [], []
