@@ -1,16 +1,31 @@
 """The registered queries of this subpackage."""
 
 from mnemos.llm.byte_bpe import op10_byte_bpe
+from mnemos.llm.decontamination import op3_decontamination
+from mnemos.llm.exact_dedup import op7_exact_dedup
 from mnemos.llm.language_id import op8_language_id
+from mnemos.llm.line_dedup import op2_line_dedup
 from mnemos.llm.secrets import op6_secrets
 from mnemos.llm.sharding import op5_sharding
 from mnemos.llm.token_files import op4_token_files
 
 QUERIES = {
+    "op2_line_dedup": op2_line_dedup,
+    "op3_decontamination": op3_decontamination,
     "op4_token_files": op4_token_files,
     "op5_sharding": op5_sharding,
     "op6_secrets": op6_secrets,
+    "op7_exact_dedup": op7_exact_dedup,
     "op8_language_id": op8_language_id,
     "op10_byte_bpe": op10_byte_bpe,
 }
-ORACLES: dict[str, str] = {}
+
+
+ORACLES: dict[str, str] = {
+    "op7_exact_dedup": """
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+             g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
+        SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d.t) AS text_sha256
+        FROM d JOIN g USING (t)
+    """,
+}
