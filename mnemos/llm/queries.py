@@ -5,11 +5,14 @@ from mnemos.llm.decontamination import op3_decontamination
 from mnemos.llm.exact_dedup import op7_exact_dedup
 from mnemos.llm.language_id import op8_language_id
 from mnemos.llm.line_dedup import op2_line_dedup
+from mnemos.llm.near_dedup import op1_near_dedup
 from mnemos.llm.secrets import op6_secrets
 from mnemos.llm.sharding import op5_sharding
+from mnemos.llm.token_counts import op9_token_counts
 from mnemos.llm.token_files import op4_token_files
 
 QUERIES = {
+    "op1_near_dedup": op1_near_dedup,
     "op2_line_dedup": op2_line_dedup,
     "op3_decontamination": op3_decontamination,
     "op4_token_files": op4_token_files,
@@ -17,6 +20,7 @@ QUERIES = {
     "op6_secrets": op6_secrets,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_language_id": op8_language_id,
+    "op9_token_counts": op9_token_counts,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
