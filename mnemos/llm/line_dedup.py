@@ -9,7 +9,8 @@ Two lines are one edit apart just if deleting a character at the same place make
 one from the longer gives the shorter. All such variants are emitted as hashed keys, but only where a partner is possible:
 a line of m characters is cut into overlapping windows, each with the hashes of what lies before it (counted from the
 start) and behind it (counted from the end); an edit inside a window leaves both as they are. Only windows whose
-surroundings occur with two different lines emit variants. Lines that share a variant at the same place are all one edit
+surroundings occur with two different lines are left, shorter windows are cut out of them in the same way, and those left
+then emit variants. Lines that share a variant at the same place are all one edit
 apart, so the earliest is found by a minimum without pairs; equal variants of longer and shorter lines join on the key.
 Each line's earliest partner is then verified by its edit distance.
 
@@ -28,6 +29,7 @@ from mnemos.llm.common import free_name, keyed, materialise
 
 MIN_CHARS = 40
 WINDOW = 256
+NARROW = 16
 BROADCAST_ROWS = 400_000
 
 
@@ -45,51 +47,58 @@ def _hashed(lines: DataFrame) -> DataFrame:
     return lines.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(1), "line"))
 
 
-def _chunk(m: Column) -> Column:
-    """Characters of a chunk: WINDOW, or the next power of two above the root of long lengths."""
-    return F.greatest(F.lit(WINDOW), F.pow(F.lit(2.0), F.ceil(F.log2(F.sqrt(m.cast("double")))))).cast("int")
+def _without(window: Column, i: Column) -> Column:
+    return F.concat(F.substring(window, F.lit(1), i - 1), F.substring(window, i + 1, F.length(window)))
 
 
-def _windows(line: Column, longer: int) -> Column:
-    """The windows of a line as the shorter or equal (0) or the longer by one (1) of a pair.
+def _cut(rows: DataFrame, size: Column) -> DataFrame:
+    """Windows of `text` as the shorter or equal (longer 0) or the longer by one (1) of a pair, as okey, okey2 and window.
 
-    With m the shorter's length and q = m div chunk, window j starts after j chunks and ends q - 1 - j chunks (0 at least)
-    before the end, so its length is m - (q - 1) chunks, plus 1 in the longer line.
+    With m the shorter's length and q = m div size (1 at least), window j starts after j chunks of `size` characters and
+    ends q - 1 - j chunks before the end, so it has m - (q - 1) chunks of characters, one more in the longer text. okey and
+    okey2 hash the group, m, j and the chunks around the window; texts that differ inside it only have them in common.
     """
-    m = (F.length(line) - F.lit(longer)).cast("int")
-    size = _chunk(m)
-    q = F.greatest(F.floor(m / size).cast("int"), F.lit(1))
-    width = (m - (q - 1) * size + longer).cast("int")
-    many = F.sequence(F.lit(1), q)
-    fore = F.transform(many, lambda j: F.xxhash64(F.substring(line, ((j - 1) * size + 1).cast("int"), size)))
-    aft = F.transform(many, lambda j: F.xxhash64(F.substring(line, (m + longer - j * size + 1).cast("int"), size)))
-    return F.transform(
-        many,
-        lambda j: F.struct(
-            F.xxhash64(m, j, F.slice(fore, F.lit(1), j - 1), F.slice(aft, F.lit(1), q - j)).alias("okey"),
-            F.xxhash64(F.lit(2), m, j, F.slice(aft, F.lit(1), q - j), F.slice(fore, F.lit(1), j - 1)).alias("okey2"),
-            F.lit(longer).alias("longer"),
-            ((j - 1) * size).cast("int").alias("at"),
-            width.alias("width"),
-        ),
+    sized = rows.withColumn("m", (F.length("text") - F.col("longer")).cast("int")).withColumn("size", size.cast("int"))
+    sized = sized.withColumn("q", F.greatest(F.floor(F.col("m") / F.col("size")).cast("int"), F.lit(1)))
+    many = F.sequence(F.lit(1), F.col("q"))
+    chunk = lambda start: F.xxhash64(F.substring("text", start.cast("int"), F.col("size")))
+    fore = F.transform(many, lambda j: chunk((j - 1) * F.col("size") + 1))
+    aft = F.transform(many, lambda j: chunk(F.length("text") - j * F.col("size") + 1))
+    chunks = sized.withColumn("chunks", F.explode(F.array(F.struct(fore.alias("fore"), aft.alias("aft")))))
+    parts = chunks.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("q") - 1)))
+    before = F.slice("chunks.fore", F.lit(1), F.col("j"))
+    behind = F.slice("chunks.aft", F.lit(1), F.col("q") - 1 - F.col("j"))
+    return parts.select(
+        F.xxhash64("okey", "m", "j", before, behind).alias("okey"),
+        F.xxhash64("okey2", behind, "j", before, "m").alias("okey2"),
+        "longer",
+        "h1",
+        "h2",
+        "key",
+        "pos",
+        F.substring("text", F.col("j") * F.col("size") + 1, F.col("m") - (F.col("q") - 1) * F.col("size") + F.col("longer")).alias("text"),
     )
 
 
-def _without(window: Column, i: Column) -> Column:
-    return F.concat(F.substring(window, F.lit(1), i - 1), F.substring(window, i + 1, F.length(window)))
+def _shared(windows: DataFrame) -> DataFrame:
+    """The okeys that two different lines have."""
+    spread = windows.groupBy("okey").agg(F.min("h1").alias("a"), F.max("h1").alias("b"))
+    return materialise(spread.where("a <> b").select("okey"), "surroundings")
 
 
 def _near(lines: DataFrame, broadcast_rows: int) -> DataFrame:
-    """Pairs (h1, h2 of a line, w1, w2 of its partner, both windows) that may be one edit apart, with who is earlier.
+    """Short windows whose surroundings two different lines have, once for each line: long windows first, then short ones
 
-    lines: h1, h2, line and the place of each occurrence.
+    inside those that are left.
     """
-    both = lines.withColumn("w", F.explode(F.concat(_windows(F.col("line"), 0), _windows(F.col("line"), 1))))
-    spread = both.select(F.col("w.okey").alias("okey"), "h1").groupBy("okey").agg(F.min("h1").alias("a"), F.max("h1").alias("b"))
-    shared = materialise(spread.where("a <> b").select("okey"), "surroundings")
-    found = both.select("h1", "h2", "key", "pos", "w.*", F.substring("line", F.col("w.at") + 1, F.col("w.width")).alias("window")).join(_sided(shared, broadcast_rows), "okey")
-    firsts = found.groupBy("okey", "okey2", "longer", "h1", "h2", "window").agg(F.min(F.struct("key", "pos")).alias("first"))
-    return materialise(firsts, "windows")
+    both = lines.withColumn("longer", F.explode(F.array(F.lit(0), F.lit(1)))).withColumnRenamed("line", "text")
+    long = F.greatest(F.lit(WINDOW), F.pow(F.lit(2.0), F.ceil(F.log2(F.sqrt(F.greatest("m", F.lit(1)).cast("double"))))))
+    wide = _cut(both.withColumn("okey", F.lit(0).cast("long")).withColumn("okey2", F.lit(1).cast("long")), long)
+    same = ["okey", "okey2", "longer", "h1", "h2"]
+    once = lambda rows: rows.groupBy(*same).agg(F.min(F.struct("key", "pos")).alias("first"), F.min("text").alias("text")).select(*same, "first.key", "first.pos", "text")
+    wide = materialise(once(wide.join(_sided(_shared(wide), broadcast_rows), "okey")), "windows")
+    narrow = _cut(wide, F.lit(NARROW))
+    return materialise(once(narrow.join(_sided(_shared(narrow), broadcast_rows), "okey")), "windows")
 
 
 def _earlier(windows: DataFrame) -> DataFrame:
@@ -97,18 +106,18 @@ def _earlier(windows: DataFrame) -> DataFrame:
 
     An earlier occurrence of a partner counts; the minimum of places is taken over all occurrences of each line.
     """
-    me = F.struct("first", "h1", "h2", "okey2", "window")
-    places = F.sequence(F.lit(1), F.length("window"))
-    equal = windows.where("longer = 0").select("okey", me.alias("me"), F.explode(F.transform(places, lambda i: F.xxhash64(F.col("okey"), i, _without(F.col("window"), i)))).alias("v"))
-    best = equal.groupBy("v").agg(F.min("me").alias("best"), F.count("*").alias("n")).where("n > 1")
-    substituted = equal.join(best, "v").where("me.h1 <> best.h1 OR me.h2 <> best.h2").select("me", F.col("best").alias("other"))
-    longer = windows.where("longer = 1").select(me.alias("me"), F.explode(F.array_distinct(F.transform(places, lambda i: F.xxhash64(F.col("okey"), F.lit("d"), _without(F.col("window"), i))))).alias("v"))
-    shorter = windows.where("longer = 0").select(me.alias("me"), F.xxhash64(F.col("okey"), F.lit("d"), F.col("window")).alias("v"))
+    me = F.struct("key", "pos", "h1", "h2", "okey2", "text")
+    places = F.sequence(F.lit(1), F.length("text"))
+    equal = windows.where("longer = 0").select("okey", me.alias("me"), F.explode(F.transform(places, lambda i: F.xxhash64(F.col("okey"), i, _without(F.col("text"), i)))).alias("v"))
+    best = equal.groupBy("v").agg(F.min("me").alias("other"), F.count("*").alias("n")).where("n > 1")
+    substituted = equal.join(best, "v").select("me", "other")
+    longer = windows.where("longer = 1").select(me.alias("me"), F.explode(F.array_distinct(F.transform(places, lambda i: F.xxhash64(F.col("okey"), F.lit("d"), _without(F.col("text"), i))))).alias("v"))
+    shorter = windows.where("longer = 0").select(me.alias("me"), F.xxhash64(F.col("okey"), F.lit("d"), F.col("text")).alias("v"))
     whole = shorter.groupBy("v").agg(F.min("me").alias("other"))
     deleted = longer.groupBy("v").agg(F.min("me").alias("other"))
     inserted = longer.join(whole, "v").select("me", "other").unionByName(shorter.join(deleted, "v").select("me", "other"))
-    pairs = substituted.unionByName(inserted).where("other.first < me.first AND other.okey2 = me.okey2")
-    near = pairs.where(F.levenshtein("me.window", "other.window", 1).between(0, 1))
+    pairs = substituted.unionByName(inserted).where("struct(other.key, other.pos) < struct(me.key, me.pos) AND other.okey2 = me.okey2")
+    near = pairs.where(F.levenshtein("me.text", "other.text", 1).between(0, 1))
     return near.select("me.h1", "me.h2").distinct()
 
 
