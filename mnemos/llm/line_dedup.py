@@ -16,8 +16,7 @@ Each line's earliest partner is then verified by its edit distance.
 
 Every step is an aggregation with map-side combine or an equi-join; a side is broadcast only if its written table has at
 most `broadcast_rows` rows. Null texts stay null, empty texts empty; repeated rows lose their lines to the first; other
-columns pass through. Very long lines get longer windows, so their count grows with the root of the length. An empty table
-stays empty.
+columns pass through. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -28,7 +27,6 @@ from pyspark.sql import functions as F
 from mnemos.llm.common import free_name, keyed, materialise
 
 MIN_CHARS = 40
-WINDOW = 256
 NARROW = 16
 BROADCAST_ROWS = 400_000
 
@@ -80,23 +78,43 @@ def _cut(rows: DataFrame, size: Column) -> DataFrame:
     )
 
 
-def _shared(windows: DataFrame) -> DataFrame:
+def _halves(lines: DataFrame) -> DataFrame:
+    """The two windows of each line, as the shorter or equal (longer 0) and as the longer by one (1) of a pair.
+
+    Of the shorter's m characters, half (rounded down) are the surroundings: the first ones if the edit comes later, else the
+    last ones. Plain expressions, so the whole scan compiles to one loop.
+    """
+    n = F.length("line")
+
+    def window(longer: int, late: bool) -> Column:
+        m = n - longer
+        half = F.expr(f"(length(line) - {longer}) DIV 2").cast("int")
+        around = F.substring("line", F.lit(1), half) if late else F.substring("line", n - half + 1, half)
+        return F.struct(
+            F.xxhash64(m, F.lit(late), around).alias("okey"), F.xxhash64(around, F.lit(late), m).alias("okey2"), F.lit(longer).alias("longer"),
+            (half + 1 if late else F.lit(1)).alias("at"), (n - half).alias("width"),
+        )
+
+    return lines.withColumn("w", F.explode(F.array(*[window(longer, late) for longer in (0, 1) for late in (False, True)])))
+
+
+def _shared(windows: DataFrame, okey: str = "okey") -> DataFrame:
     """The okeys that two different lines have."""
-    spread = windows.groupBy("okey").agg(F.min("h1").alias("a"), F.max("h1").alias("b"))
+    spread = windows.groupBy(F.col(okey).alias("okey")).agg(F.min("h1").alias("a"), F.max("h1").alias("b"))
     return materialise(spread.where("a <> b").select("okey"), "surroundings")
 
 
 def _near(lines: DataFrame, broadcast_rows: int) -> DataFrame:
-    """Short windows whose surroundings two different lines have, once for each line: long windows first, then short ones
+    """Short windows whose surroundings two different lines have, once for each line: halves first, then short windows
 
     inside those that are left.
     """
-    both = lines.withColumn("longer", F.explode(F.array(F.lit(0), F.lit(1)))).withColumnRenamed("line", "text")
-    long = F.greatest(F.lit(WINDOW), F.pow(F.lit(2.0), F.ceil(F.log2(F.sqrt(F.greatest("m", F.lit(1)).cast("double"))))))
-    wide = _cut(both.withColumn("okey", F.lit(0).cast("long")).withColumn("okey2", F.lit(1).cast("long")), long)
     same = ["okey", "okey2", "longer", "h1", "h2"]
     once = lambda rows: rows.groupBy(*same).agg(F.min(F.struct("key", "pos")).alias("first"), F.min("text").alias("text")).select(*same, "first.key", "first.pos", "text")
-    wide = materialise(once(wide.join(_sided(_shared(wide), broadcast_rows), "okey")), "windows")
+    halves = _halves(lines)
+    shared = _sided(_shared(halves, "w.okey"), broadcast_rows)
+    wide = halves.withColumn("okey", F.col("w.okey")).join(shared, "okey").select("okey", "w.okey2", "w.longer", "h1", "h2", "key", "pos", F.substring("line", F.col("w.at"), F.col("w.width")).alias("text"))
+    wide = materialise(once(wide), "windows")
     narrow = _cut(wide, F.lit(NARROW))
     return materialise(once(narrow.join(_sided(_shared(narrow), broadcast_rows), "okey")), "windows")
 
