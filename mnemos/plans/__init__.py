@@ -1,4 +1,6 @@
 """The registered queries of the core engine and their DuckDB counterparts."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from mnemos.plans import memory, reflect
+
+QUERIES: dict = memory.QUERIES | reflect.QUERIES
+ORACLES: dict = memory.ORACLES | reflect.ORACLES
