@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,8 +56,6 @@ def hashed_tokens(text: Column) -> Column:
 
 def _blake_buckets(tokens: DataFrame, dim: int) -> DataFrame:
     """token, idx and sign by BLAKE2b of 8 bytes; Python sees each distinct token once."""
-    import pyarrow as pa
-
     @F.arrow_udf("struct<idx: int, sign: int>")
     def bucket(words: pa.Array) -> pa.Array:
         from hashlib import blake2b
@@ -99,8 +99,6 @@ def hash_embed(texts: DataFrame, id_col: str, text_col: str, dim: int, hashing:
 
 def packed(vector: Column) -> Column:
     """A vector as little-endian float32 bytes."""
-    import pyarrow as pa
-
     @F.arrow_udf("binary")
     def pack(vectors: pa.Array) -> pa.Array:
         return pa.array([None if not v.is_valid else v.values.to_numpy(zero_copy_only=False).astype("<f4").tobytes() for v in vectors], pa.binary())
@@ -109,9 +107,6 @@ def packed(vector: Column) -> Column:
 
 
 def unpacked(data: Column) -> Column:
-    import numpy as np
-    import pyarrow as pa
-
     @F.arrow_udf("array<float>")
     def unpack(blobs: pa.Array) -> pa.Array:
         return pa.array([None if b is None else np.frombuffer(b, "<f4").tolist() for b in blobs.to_pylist()], pa.list_(pa.float32()))

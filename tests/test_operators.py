@@ -1,0 +1,181 @@
+"""Operators against plain loops, streams against batches."""
+
+import json
+import random
+from datetime import datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from mnemos.config import EngineConfig
+from mnemos.operators import changes, consolidate, graph, ingest, lookup
+from mnemos.sources import readers
+from mnemos.sources.store import SnapshotStore
+from mnemos.streaming import jobs
+
+NOW = datetime(2026, 7, 29)
+MEM = "id string, user_id string, tenant_id string, content string, memory_type string, importance double, weight double, pinned boolean, source string, access_count int, created_at timestamp, updated_at timestamp, last_accessed_at timestamp, deleted_at timestamp, decay_lambda double"
+
+
+def memory(i, user="u", content="x", kind="fact", weight=1.0, pinned=False, source="ingest", deleted=None, importance=0.5):
+    at = datetime(2026, 7, 1, i % 24)
+    return (f"m{i}", user, None, content, kind, importance, weight, pinned, source, 0, at, at, None, deleted, None)
+
+
+def test_star_clusters_against_a_loop(spark):
+    rnd = random.Random(4)
+    words = [f"w{i}" for i in range(30)]
+    rows = []
+    for i in range(60):
+        vector = [rnd.choice([0.0, 1.0]) for _ in range(6)]
+        rows.append((f"u{i % 2}", f"m{i}", i // 2, " ".join(rnd.sample(words, 4)), vector))
+    config = EngineConfig(cluster_similarity=0.75, cluster_overlap=0.3, max_clusters=4)
+    df = spark.createDataFrame(rows, "user_id string, id string, place long, content string, vector array<double>")
+    got = {r["id"]: r["cluster"] for r in consolidate.star_clusters(df, config).collect()}
+
+    def cos(a, b):
+        na, nb = sum(x * x for x in a) ** 0.5, sum(x * x for x in b) ** 0.5
+        return sum(x * y for x, y in zip(a, b, strict=True)) / (na * nb) if na and nb else 0.0
+
+    want = {}
+    for user in ("u0", "u1"):
+        own = [r for r in rows if r[0] == user]
+        used, made = set(), 0
+        for i, a in enumerate(own):
+            if i in used or made == 4:
+                continue
+            star = [j for j in range(i + 1, len(own)) if j not in used and (cos(a[4], own[j][4]) >= 0.75 - 1e-12 or len(set(a[3].split()) & set(own[j][3].split())) / len(set(a[3].split()) | set(own[j][3].split())) >= 0.3)]
+            if len(star) + 1 >= 3:
+                for j in [i, *star]:
+                    used.add(j)
+                    want[own[j][1]] = a[2]
+                made += 1
+    assert got == want and want
+
+
+def test_mixed_deltas_against_a_loop(spark):
+    rnd = random.Random(1)
+    m = spark.createDataFrame([memory(i, weight=rnd.uniform(0.05, 3)) for i in range(5)], MEM)
+    deltas = [(f"m{rnd.randrange(6)}", i, rnd.choice([0.05, -0.1, 2.0, -2.0])) for i in range(60)]
+    got = {r["id"]: r["weight"] for r in changes.adjust_weights(m, spark.createDataFrame(deltas, "id string, seq long, delta double")).collect()}
+    for r in m.collect():
+        w = r["weight"]
+        for name, _, d in deltas:
+            if name == r["id"]:
+                w = min(3.0, max(0.05, w + d))
+        assert got[r["id"]] == pytest.approx(w)
+
+
+def test_soft_delete_spares_pinned_and_deleted(spark):
+    m = spark.createDataFrame([memory(1, pinned=True), memory(2), memory(3, deleted=datetime(2026, 1, 1)), memory(4)], MEM)
+    ids = spark.createDataFrame([("m1",), ("m2",), ("m2",), ("m3",), ("none",)], "id string")
+    after = changes.soft_delete(m, ids, F.lit(NOW).cast("timestamp"))
+    assert {r["id"]: r["changed"] for r in after.collect()} == {"m1": False, "m2": True, "m3": False, "m4": False}
+
+
+def test_lookup_order_and_repeats(spark):
+    m = spark.createDataFrame([memory(1), memory(2, deleted=NOW)], MEM)
+    q = spark.createDataFrame([(0, ["m2", "no", "m1", "m2"])], "query_id long, ids array<string>")
+    assert [r["id"] for r in lookup.by_ids(q, m).orderBy("pos").collect()] == ["m2", "m1", "m2"]
+
+
+def test_conflict_rules(spark):
+    at = lambda a, b, t: spark.range(1).select(consolidate.topic_conflict(F.lit(a), F.lit(b), F.lit(t)).alias("v")).first()["v"]
+    assert at("use MySQL", "use sqlite", "database") and not at("postgres", "PostgreSQL", "database") and not at("redis", "mysql", "database")
+    assert at("spring", "go now", "backend_lang") and not at("java", "Spring", "backend_lang")
+    assert at("登录 用 jwt 方式", "登录 不是 jwt 方式", "auth") and not at("登录 用 jwt", "登录 用 jwt", "auth")
+
+
+def test_conflict_winner_order(spark):
+    rows = [memory(1, content="mysql", weight=2.0), memory(2, content="sqlite", source="reflection"), memory(3, content="mongodb", pinned=True), memory(4, content="mysql", user="v")]
+    got = {(r["winner"], r["loser"]) for r in consolidate.conflicts(spark.createDataFrame(rows, MEM)).collect()}
+    assert got == {("m3", "m1"), ("m3", "m2")}
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("A depends on B and C; x", [("A", "B"), ("A", "C")]),
+        ("甲服务依赖于乙服务", [("甲服务", "乙服务")]),
+        ("P uses　Sand, Land/了K", [("P", "Sand"), ("P", "Land"), ("P", "K")]),
+        ("T属于的X项目的；", [("T", "X项目")]),
+        ("nothing", []),
+    ],
+)
+def test_extraction(spark, text, want):
+    df = spark.createDataFrame([("t", text)], "id string, text string")
+    assert [(r["from_name"], r["to_name"]) for r in graph.extract_relations(df).orderBy("ord").collect()] == want
+
+
+def test_paths_are_simple(spark):
+    rnd = random.Random(9)
+    edges = {(rnd.randrange(7), rnd.randrange(7)) for _ in range(16)}
+    edges = {(a, b) for a, b in edges if a != b}
+    steps = spark.createDataFrame([("u", str(a), str(b)) for a, b in edges], "user_id string, src string, dst string")
+    seeds = spark.createDataFrame([(i, "u", str(i)) for i in range(7)], "seed_id long, user_id string, entity_id string")
+    got = {tuple(r["nodes"]) for r in graph.paths(seeds, steps, 3).collect()}
+    want = set()
+    front = [(str(i),) for i in range(7)]
+    for _ in range(3):
+        front = [(*p, str(b)) for p in front for a, b in edges if str(a) == p[-1] and str(b) not in p]
+        want |= set(front)
+    assert got == want
+
+
+def test_entity_upsert_keeps_aliases(spark):
+    base = spark.createDataFrame([("e1", None, "u", "Redis", "other", ["缓存"], "{}", NOW, NOW)], "id string, tenant_id string, user_id string, name string, entity_type string, aliases array<string>, meta_json string, created_at timestamp, updated_at timestamp")
+    found = spark.createDataFrame([("u", None, " 缓 存", "tech", ["r"], 1), ("u", None, "new one", "", [], 2), ("v", None, "redis", "tech", [], 3)], "user_id string, tenant_id string, name string, entity_type string, aliases array<string>, ord long")
+    rows = {(r["user_id"], r["name"]): (r["id"], r["entity_type"], r["aliases"]) for r in graph.upsert_entities(base, found, F.lit(NOW).cast("timestamp")).collect()}
+    assert rows[("u", "Redis")] == ("e1", "tech", ["r", "缓存"]) and rows[("u", "new one")][1] == "other" and rows[("v", "redis")][1] == "tech"
+
+
+def test_batch_equals_single_calls(spark):
+    rows = [(i, f"api fact {i}", "u", None, None, "fact", 0.5, False) for i in range(5)]
+    schema = "ord long, content string, user_id string, tenant_id string, session_id string, memory_type string, importance double, pinned boolean"
+    at = F.lit(NOW).cast("timestamp")
+    together = {tuple(r) for r in ingest.flagged(spark.createDataFrame(rows, schema), at).collect()}
+    apart = {tuple(ingest.flagged(spark.createDataFrame([r], schema), at).first()) for r in rows}
+    assert together == apart
+
+
+def test_exchange_formats(spark, tmp_path):
+    values = spark.createDataFrame([('{"id": "a", "session_id": "s", "content": "c"}', 0)], "value string, seq long")
+    item = readers.l1_from_json(values).first()
+    assert item["importance"] == 0.5 and item["memory_type"] == "fact" and item["pinned"] is False
+    assert json.loads(readers.l1_to_json(readers.l1_from_json(values)).first()["value"])["content"] == "c"
+    (tmp_path / "cases.json").write_text(json.dumps([{"id": "c1", "suite": "s", "steps": [{"op": "remember", "content": "x", "pinned": True}]}]))
+    case = readers.eval_cases(spark, f"file://{tmp_path}/cases.json").first()
+    assert case["steps"][0]["op"] == "remember" and case["steps"][0]["pinned"]
+
+
+EVENT = {"user_id": "u", "answer_id": "a", "related_memory_ids": ["m1"], "created_at": "2026-07-29T00:00:00Z"}
+
+
+def test_feedback_stream_equals_batch(spark, tmp_path):
+    rows = [{"id": "f1", "feedback_type": "upvote"} | EVENT, {"id": "f2", "feedback_type": "correct", "correction_text": "应该是 A 不是 B"} | EVENT, {"id": "f3", "feedback_type": "bad"} | EVENT]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/1.json").write_text("\n".join(json.dumps(r) for r in rows))
+    stores = []
+    for name in ("stream", "batch"):
+        store = SnapshotStore(spark, f"file://{tmp_path}/{name}")
+        store.append("memories", spark.createDataFrame([memory(1)], MEM))
+        stores.append(store)
+    config = EngineConfig(embedding_dim=16)
+    jobs.feedback_stream(spark, f"file://{tmp_path}/in", stores[0], f"file://{tmp_path}/cp", NOW, config).awaitTermination(120)
+    jobs.apply_feedback(stores[1], spark.read.schema(jobs.FEEDBACK_EVENTS).json(f"file://{tmp_path}/in"), NOW, config, batch="feedback-0")
+    jobs.apply_feedback(stores[1], spark.read.schema(jobs.FEEDBACK_EVENTS).json(f"file://{tmp_path}/in"), NOW, config, batch="feedback-0")
+    for table in ("memories", "reflection_records", "feedback_events", "embeddings"):
+        a, b = (sorted(map(str, s.read(table).collect())) for s in stores)
+        assert a == b and a
+    assert stores[0].read("memories").where("id = 'm1'").first()["weight"] == pytest.approx(0.95)
+
+
+def test_session_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    item = lambda i, imp, pinned=False: {"session_id": "s", "kind": "item", "id": f"i{i}", "content": f"c{i}", "importance": imp, "weight": 1.0, "pinned": pinned, "created_at": "2026-07-29T00:00:00Z"}
+    (tmp_path / "in/1.json").write_text("\n".join(json.dumps(x) for x in [item(1, 0.9), item(2, 0.1), item(3, 0.2, True), item(4, 0.05), {"session_id": "t", "kind": "close"}]))
+    (tmp_path / "in/2.json").write_text(json.dumps({"session_id": "s", "kind": "close"}))
+    events = spark.readStream.schema(jobs.SESSION_EVENT).option("maxFilesPerTrigger", 1).json(f"file://{tmp_path}/in")
+    out = jobs.session_stream(events, NOW, EngineConfig(l1_max_items=3))
+    out.writeStream.format("memory").queryName("closed").outputMode("append").option("checkpointLocation", f"file://{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination(180)
+    assert {r["id"]: r["promoted"] for r in spark.table("closed").collect()} == {"i1": True, "i2": False, "i3": True}
