@@ -132,12 +132,12 @@ def entity_upsert(spark, d):
     return graph.upsert_entities(V.entities(spark, d).where("false"), rows, V.now()).select(F.lower("name").alias("low"), "entity_type")
 
 
-@query("SELECT concat('p', l_partkey) AS a, concat('s', l_suppkey) AS b, max(l_quantity) AS confidence, arg_max(l_discount, l_orderkey * 10 + l_linenumber) AS weight FROM lineitem GROUP BY 1, 2")
+@query("SELECT concat('p', l_partkey) AS a, concat('s', l_suppkey) AS b, max(l_quantity) AS confidence, arg_max(l_discount, (l_orderkey * 10 + l_linenumber) * 1000 + CAST(round(l_discount * 100) AS BIGINT)) AS weight FROM lineitem GROUP BY 1, 2")
 def relation_upsert(spark, d):
     li = V.table(spark, d, "lineitem")
     found = li.select(
         F.lit("u").alias("user_id"), F.lit(None).cast("string").alias("tenant_id"), F.concat(F.lit("p"), "l_partkey").alias("from_entity_id"), F.concat(F.lit("s"), "l_suppkey").alias("to_entity_id"), F.lit("uses").alias("relation_type"),
-        F.col("l_discount").alias("weight"), F.col("l_quantity").alias("confidence"), F.lit("").alias("source_memory_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"),
+        F.col("l_discount").alias("weight"), F.col("l_quantity").alias("confidence"), F.lit("").alias("source_memory_id"), F.expr("(l_orderkey * 10 + l_linenumber) * 1000 + CAST(round(l_discount * 100) AS BIGINT)").alias("ord"),
     )
     out = graph.upsert_relations(V.relations(spark, d).where("false"), found, V.now())
     return out.select(F.col("from_entity_id").alias("a"), F.col("to_entity_id").alias("b"), "confidence", "weight")
