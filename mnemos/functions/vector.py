@@ -34,15 +34,26 @@ def small(df: DataFrame, most: int = PAIR_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: Column | int, on: Sequence[str] = ("user_id",), query_id: str = "query_id", id_col: str = "memory_id") -> DataFrame:
+def rows_of(df: DataFrame, most: int = PAIR_ROWS) -> int:
+    """How many rows df has, or most + 1 if it has more."""
+    return df.limit(most + 1).count()
+
+
+def hinted(df: DataFrame, rows: int, most: int = PAIR_ROWS) -> DataFrame:
+    """df, to be broadcast if it is known to have at most `rows` rows and those are few."""
+    return F.broadcast(df) if rows <= most else df
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, k: Column | int, on: Sequence[str] = ("user_id",), query_id: str = "query_id", id_col: str = "memory_id", rows: int | None = None) -> DataFrame:
     """query_id, id, similarity and rank of the k nearest vectors (ties: smaller id) of each query among those of its user.
 
     queries: query_id, keys, vector; vectors: id, keys, vector. Norms are computed once a row. Only vectors of equal size
-    are compared. Rank and cut happen within a map task before the shuffle (window group limit).
+    are compared. Rank and cut happen within a map task before the shuffle (window group limit). rows: a bound on the
+    queries' number, if known; they are counted otherwise.
     """
     q = queries.select(query_id, *on, F.col("vector").alias("qv"), norm(F.col("vector")).alias("qn"))
     v = vectors.select(id_col, *on, F.col("vector").alias("v"), norm(F.col("vector")).alias("vn"))
-    pairs = v.join(small(q), list(on)).where(F.size("qv") == F.size("v"))
+    pairs = v.join(small(q) if rows is None else hinted(q, rows), list(on)).where(F.size("qv") == F.size("v"))
     scored = pairs.select(query_id, id_col, cosine(F.col("qv"), F.col("v"), F.col("qn"), F.col("vn")).alias("similarity"))
     order = Window.partitionBy(query_id).orderBy(F.desc("similarity"), id_col)
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from mnemos.config import DEFAULT, EngineConfig
 from mnemos.functions import vocabulary as V
 from mnemos.functions.text import cut, near_duplicate, query_keys, stack_shift, stacks, tokens
-from mnemos.functions.vector import nearest, small
+from mnemos.functions.vector import hinted, nearest, rows_of
 from mnemos.operators.lookup import active, newest_by_user
 
 CONFLICT_MARGIN = 0.08
@@ -43,15 +43,16 @@ def detect(contents: DataFrame, memories: DataFrame, embeddings: DataFrame, conf
     asked = c.select("query_id", F.col("content").alias("new"), "exclude_id", F.col("tenant_id").alias("asked"), "new_stacks", "hinted")
     rows = active(memories).select("id", F.col("tenant_id").alias("own"), F.col("content").alias("old"))
     visible = (F.col("exclude_id").isNull() | (F.col("id") != F.col("exclude_id"))) & (F.col("asked").isNull() | F.col("asked").eqNullSafe(F.col("own")))
-    hits = nearest(c.select("query_id", "user_id", "vector"), embeddings, max(config.neighbor_k, 5))
-    near = rows.join(small(hits), rows["id"] == hits["memory_id"]).join(small(asked), "query_id").where(visible)
+    few, k = rows_of(contents), max(config.neighbor_k, 5)
+    hits = nearest(c.select("query_id", "user_id", "vector"), embeddings, k, rows=few)
+    near = rows.join(hinted(hits, few * k), rows["id"] == hits["memory_id"]).join(hinted(asked, few), "query_id").where(visible)
     near = near.withColumn("sim", F.greatest(F.lit(0.0), F.col("similarity"))).where(F.col("sim") >= config.alert_similarity)
     near = near.withColumn("old_stacks", stacks(F.col("old"), config.stacks)).withColumn("shift", stack_shift(F.col("old_stacks"), F.col("new_stacks")))
     conflict = F.col("shift").isNull() & (F.col("sim") >= config.alert_similarity + CONFLICT_MARGIN) & conflicting(F.col("new"), F.col("old"), F.col("new_stacks"), F.col("old_stacks"))
     kind = F.when(F.col("shift").isNotNull(), "tech_stack_shift").when(conflict, "conflict")
     first = near.select("query_id", "id", "old", "shift", "sim", kind.alias("type"), F.lit(1).alias("pass"), F.col("rank").alias("order")).where("type IS NOT NULL")
     recent = newest_by_user(memories, config.scan_limit).select("user_id", "id", F.col("tenant_id").alias("own"), F.col("content").alias("old"), "place")
-    scan = recent.join(small(c.where(F.col("hinted") & (F.size("new_stacks") > 0)).select("query_id", "user_id")), "user_id").join(small(asked), "query_id").where(visible)
+    scan = recent.join(hinted(c.where(F.col("hinted") & (F.size("new_stacks") > 0)).select("query_id", "user_id"), few), "user_id").join(hinted(asked, few), "query_id").where(visible)
     scan = scan.withColumn("shift", stack_shift(stacks(F.col("old"), config.stacks), F.col("new_stacks"))).where("shift IS NOT NULL")
     second = scan.select("query_id", "id", "old", "shift", F.lit(SCAN_SIMILARITY).alias("sim"), F.lit("tech_stack_shift").alias("type"), F.lit(2).alias("pass"), F.col("place").alias("order"))
     both = first.unionByName(second)
