@@ -10,8 +10,10 @@ the probability Jaccard or the plain Jaccard similarity reaches the threshold. C
 No bucket emits all its pairs. Texts of equal words are one from the start; buckets with the same members are one. In each
 round a bucket's leaders are compared with its members of other classes, then leave it: at first the member that shares
 most buckets, later members of the bucket's smallest class, twice as many in each round. A pair within one class needs
-no test, so a bucket is done when it has one class left; the rounds end when all are, and no link between classes is lost
-(but by banding: a pair at 0.8 misses all 32 bands of 6 with probability 6e-5).
+no test, so a bucket is done when it has one class left. After the first round the shingles that
+no other text has bound the similarity of what is left: members that can't reach the threshold leave, pairs that can't
+aren't made. The rounds end when no bucket is left, and no link between classes is lost (but by banding: a pair at 0.8
+misses all 32 bands of 6 with probability 6e-5).
 
 Words are those of common.words(). A text of fewer than five words is one shingle of them all. Null texts and texts without
 words form one class. Repeated rows fall into one class; the class id is the smallest row key: the id where ids are distinct
@@ -25,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemos.llm.common import bound_batches, keyed, materialise, slices, words
@@ -144,18 +146,18 @@ def _sketches(rows: DataFrame, bands: int, per_band: int) -> DataFrame:
 
 
 def _shingled(rows: DataFrame) -> DataFrame:
-    """key, hashes and counts (as bytes) of each text."""
+    """key, hashes (sorted as unsigned) and counts of each text."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, texts in slices(batch.column(1), 4 << 20):
                 sets = [shingles(words(x)) for x in texts]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[at : at + len(texts)], pa.array([h.tobytes() for h, _ in sets], pa.binary()), pa.array([c.astype("<u4").tobytes() for _, c in sets], pa.binary())],
+                    [batch.column(0)[at : at + len(texts)], pa.array([h.view(np.int64) for h, _ in sets], pa.list_(pa.int64())), pa.array([c.astype(np.int32) for _, c in sets], pa.list_(pa.int32()))],
                     ["key", "hashes", "counts"],
                 )
 
-    return rows.mapInArrow(made, "key long, hashes binary, counts binary")
+    return rows.mapInArrow(made, "key long, hashes array<long>, counts array<int>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -163,7 +165,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
     @F.arrow_udf("double")
     def similar(ha: pa.Array, ca: pa.Array, hb: pa.Array, cb: pa.Array) -> pa.Array:
-        view = lambda h, c: (np.frombuffer(h.as_buffer(), np.uint64), np.frombuffer(c.as_buffer(), "<u4"))
+        view = lambda h, c: (h.values.to_numpy().view(np.uint64), c.values.to_numpy())
         return pa.array([similarity(view(ha[i], ca[i]), view(hb[i], cb[i])) for i in range(len(ha))], pa.float64())
 
     left = sets.select(F.col("key").alias("a"), F.col("hashes").alias("ha"), F.col("counts").alias("ca"))
@@ -181,13 +183,13 @@ def components(edges: DataFrame) -> DataFrame:
     Each round takes the least label among the neighbours and then that label's own label; the tables are written, so
     the plan doesn't grow. Hubs are aggregated before they are joined.
     """
-    both = materialise(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = materialise(both.groupBy("a").agg(F.least(F.min("a"), F.min("b")).alias("label")).select(F.col("a").alias("node"), "label"), "labels")
+    both = _kept(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    labels = _kept(both.groupBy("a").agg(F.least(F.min("a"), F.min("b")).alias("label")).select(F.col("a").alias("node"), "label"), "labels")
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
         least = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        new = materialise(least.join(jump, "label", "left").select("node", "old", F.coalesce("next", "label").alias("label")), "labels")
+        new = _kept(least.join(jump, "label", "left").select("node", "old", F.coalesce("next", "label").alias("label")), "labels")
         labels = new.select("node", "label")
         if new.where("old <> label").isEmpty():
             return labels
@@ -202,39 +204,100 @@ def _buckets(reps: DataFrame) -> DataFrame:
     return materialise(all_rows.join(kept, "bucket").select("bucket", "key", (F.col("n") * F.col("times")).alias("weight")), "members")
 
 
+def _kept(df: DataFrame, label: str) -> DataFrame:
+    """A table of a round, written by few tasks: rounds get small soon."""
+    return materialise(df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism), label)
+
+
+#: What bounds the similarity of a text to others: shingles, those that no other live text has, the largest count, and the
+#: share of weight of those that no other has.
+BOUNDS = ("size", "alone", "top", "lone")
+
+
+def _common(size_a: Column, most_a: Column, size_b: Column, most_b: Column) -> Column:
+    """The highest plain Jaccard similarity of sets with at most so many elements in common with others."""
+    common = F.least(most_a, most_b, size_a, size_b)
+    return common / (size_a + size_b - common)
+
+
+def _bounded(live: DataFrame, sets: DataFrame) -> DataFrame:
+    """live with BOUNDS. A shingle that no other live text has is in no intersection."""
+    own = sets.join(live.select("key").distinct(), "key", "left_semi")
+    pairs = own.select("key", F.explode(F.arrays_zip("hashes", "counts")).alias("x"))
+    lone = pairs.groupBy("x.hashes").agg(F.min("key").alias("key"), F.max("key").alias("other"), F.sum("x.counts").alias("c")).where("key = other")
+    lone = lone.groupBy("key").agg(F.count("*").alias("alone"), F.sum("c").alias("weight"))
+    sizes = own.select("key", F.size("hashes").alias("size"), F.aggregate("counts", F.lit(0).cast("long"), lambda a, c: a + c).alias("all"), F.array_max("counts").alias("top"))
+    sizes = sizes.join(lone, "key", "left").na.fill(0).select("key", "size", "alone", "top", (F.col("weight") / F.col("all")).alias("lone"))
+    return live.join(sizes, "key")
+
+
+def _hopeful(live: DataFrame, threshold: float) -> DataFrame:
+    """Bounded live members without those that can't be linked to any other of their bucket.
+
+    With m between the bucket's least and greatest sizes, the best partner of a text that has at most k shingles in common
+    with others is one with k shingles, or the nearest size. Where counts differ, the share of weight that others can have
+    bounds the probability Jaccard similarity.
+    """
+    bounds = live.groupBy("bucket").agg(F.min("size").alias("least"), F.max("size").alias("most"), F.max("top").alias("tops"))
+    k = F.col("size") - F.col("alone")
+    m = F.least(F.greatest(k, F.col("least")), F.col("most"))
+    plain = _common(F.col("size"), k, m, m)
+    best = F.when(F.col("tops") == 1, plain).otherwise(F.greatest(plain, 1 - F.col("lone")))
+    return live.join(bounds, "bucket").where(best >= threshold - 1e-9).select(*live.columns)
+
+
+def _possible(threshold: float) -> Column:
+    """Whether a leader (l_...) and a member may be linked, as far as their bounds tell."""
+    plain = _common(F.col("size"), F.col("size") - F.col("alone"), F.col("l_size"), F.col("l_size") - F.col("l_alone"))
+    weighted = 1 - F.greatest("lone", "l_lone")
+    best = F.when((F.col("top") == 1) & (F.col("l_top") == 1), plain).otherwise(F.greatest(plain, weighted))
+    return F.col("size").isNull() | (best >= threshold - 1e-9)
+
+
+def _open(own: DataFrame) -> DataFrame:
+    """Members (with label) of buckets that have two classes or more, and n, how many of the bucket are in theirs."""
+    counts = own.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    several = counts.groupBy("bucket").agg(F.count("*").alias("labels")).where("labels > 1").select("bucket")
+    return own.join(counts.join(several, "bucket", "left_semi"), ["bucket", "label"])
+
+
 def _classes(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame | None:
     """(node, label) of all keys that are linked with others."""
+    kept = ("bucket", "key", "central", *BOUNDS)
     central = members.groupBy("key").agg(F.sum("weight").alias("central"))
-    members = materialise(members.drop("weight").join(central, "key"), "members")
+    unknown = [F.lit(None).cast(kind).alias(c) for c, kind in zip(BOUNDS, ("int", "long", "int", "double"), strict=True)]
+    live = materialise(members.drop("weight").join(central, "key").select("bucket", "key", "central", *unknown, F.col("key").alias("label"), F.lit(1).alias("n")), "live")
     labels, tested, leaders_now = None, None, 1
-    while True:
-        own = members.withColumn("label", F.col("key")) if labels is None else members.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-        counts = own.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-        open_ones = counts.groupBy("bucket").agg(F.count("*").alias("labels")).where("labels > 1").select("bucket")
-        live = materialise(own.join(open_ones, "bucket", "left_semi").join(counts, ["bucket", "label"]), "live")
-        if live.isEmpty():
-            return labels
+    while not live.isEmpty():
         order = Window.partitionBy("bucket").orderBy("n", F.desc("central"), "key")
-        leaders = materialise(live.withColumn("place", F.row_number().over(order)).where(F.col("place") <= leaders_now).select("bucket", F.col("key").alias("leader"), F.col("label").alias("own")), "leaders")
-        met = live.join(leaders, "bucket").where("own <> label")
+        first = live.withColumn("place", F.row_number().over(order)).where(F.col("place") <= leaders_now)
+        leaders = _kept(first.select(F.col("bucket").alias("l_bucket"), F.col("key").alias("leader"), F.col("label").alias("own"), *[F.col(c).alias(f"l_{c}") for c in BOUNDS]), "leaders")
+        met = live.join(leaders, (F.col("bucket") == F.col("l_bucket")) & (F.col("own") != F.col("label")) & _possible(threshold))
         pairs = met.select(F.least("key", "leader").alias("a"), F.greatest("key", "leader").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "pairs")
+        pairs = _kept(pairs, "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        links = materialise(_verified(pairs, sets, threshold), "links")
-        members = materialise(live.join(leaders.select("bucket", F.col("leader").alias("key")), ["bucket", "key"], "left_anti").select("bucket", "key", "central"), "members")
+        links = _kept(_verified(pairs, sets, threshold), "links")
+        left = live.join(leaders.select(F.col("l_bucket").alias("bucket"), F.col("leader").alias("key")), ["bucket", "key"], "left_anti").select(*kept)
         if not links.isEmpty():
             if labels is not None:
-                of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
+                of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))  # noqa: E731, B023
                 links = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b"))
             merged = components(links)
             if labels is None:
                 labels = merged
             else:
                 old = labels.join(merged.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
-                labels = materialise(old.unionByName(merged.join(labels, "node", "left_anti")), "labels")
+                labels = _kept(old.unionByName(merged.join(labels, "node", "left_anti")), "labels")
+        own = left.withColumn("label", F.col("key")) if labels is None else left.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+        live = _open(own)
+        if leaders_now == 1:
+            live = _kept(live.select("bucket", "key", "central", "label"), "live")
+            live = _open(_hopeful(_kept(_bounded(live, sets), "bounded"), threshold).select(*kept, "label"))
+        live = _kept(live.select(*kept, "label", "n"), "live")
         leaders_now *= 2
+    return labels
 
 
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, per_band: int = ROWS) -> DataFrame:
