@@ -25,7 +25,48 @@ QUERIES = {
 }
 
 
+def _words(table: str) -> str:
+    low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"SELECT *, regexp_extract_all({low}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM {table}"
+
+
+def _crc_table() -> str:
+    """Common tables that end in crc_table (t), the 256 remainders of CRC-32, by eight steps for each byte."""
+    rows = ["c0 AS (SELECT unnest(range(0, 256)) AS n, unnest(range(0, 256)) AS c)"]
+    rows += [f"c{k + 1} AS (SELECT n, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END AS c FROM c{k})" for k in range(8)]
+    return ", ".join([*rows, "crc_table AS (SELECT list(c ORDER BY n) AS t FROM c8)"])
+
+
+def _least_shard(shards: int) -> str:
+    return f"""list_min(list_transform(range(0, {shards}), lambda j: struct_pack(
+        s := -ln((CAST(words[j + 1] AS DOUBLE) + CAST(0.5 AS DOUBLE)) / CAST(4294967296 AS DOUBLE)), shard := CAST(j AS INTEGER)))).shard"""
+
+
 ORACLES: dict[str, str] = {
+    "op3_decontamination": f"""
+        WITH dw AS ({_words("documents")}), bw AS ({_words("benchmark")}),
+             bi AS (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 12) + 1)) AS i FROM bw WHERE len(w) > 0),
+             win AS (SELECT DISTINCT item_id, least(13, len(w)) AS n, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') AS phrase FROM bi),
+             di AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM dw, (SELECT DISTINCT n FROM win)),
+             met AS (SELECT d.doc_id, d.i, d.n, win.item_id FROM (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS phrase FROM di) d JOIN win USING (n, phrase)),
+             hit AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS p FROM met) GROUP BY doc_id),
+             its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM met) GROUP BY doc_id)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+        FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
+    """,
+    "op5_sharding": f"""
+        WITH {_crc_table()},
+             d AS (SELECT doc_id, coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS h FROM documents),
+             c AS (SELECT doc_id, CAST(strlen(text) + 16 AS BIGINT) AS size, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+                       list_transform(range(0, strlen(text)), lambda i: CAST(concat('0x', substr(h, 2 * i + 1, 2)) AS BIGINT))), lambda c, b: xor(c >> 8, crc_table.t[(xor(c, b) & 255) + 1]))) AS text_crc32
+                   FROM d, crc_table),
+             k AS (SELECT *, flatten(list_transform(range(0, 11), lambda g: list_transform(range(0, 4), lambda j:
+                       CAST(concat('0x', substr(md5(concat(CASE WHEN doc_id IS NULL THEN 'null' ELSE concat('k', doc_id) END, ':', g)), CAST(8 * j + 1 AS INTEGER), 8)) AS BIGINT)))) AS words FROM c),
+             s AS (SELECT doc_id, size, text_crc32, {_least_shard(40)} AS shard, {_least_shard(41)} AS grown_shard FROM k)
+        SELECT doc_id, size, text_crc32, 'key' AS law, shard, grown_shard,
+               row_number() OVER (PARTITION BY shard ORDER BY coalesce(doc_id + text_crc32, 0) % 64, doc_id NULLS FIRST, text_crc32, size) - 1 AS slot FROM s
+    """,
     "op7_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
              g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)

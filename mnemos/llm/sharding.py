@@ -4,8 +4,8 @@ Every (key, shard) has a uniform number u in (0, 1) out of MD5, one digest for f
 with the least -ln(u) / weight, the lowest number among equals. A shard's share is its weight's share, and a further
 shard takes keys only into itself: the others' numbers stay as they are. Only DataFrame functions are used.
 
-Places (slots) in a shard are counted in two steps, so no task sorts a whole shard: rows are numbered in hashed
-buckets of each shard, and the buckets' counts, a table of shards x buckets rows, are summed up and joined back.
+Places (slots) in a shard are counted in two steps, so no task sorts a whole shard: rows are numbered in buckets
+of each shard, and the buckets' counts, a table of shards x buckets rows, are summed up and joined back.
 
 Null keys hash as one key of their own (all such rows go to one shard, as do rows with equal keys), null texts have
 no bytes, repeated rows get slots of their own. An empty table stays empty.
@@ -51,21 +51,22 @@ def assign(docs: DataFrame, key: Column, weights: Sequence[float], shard_col: st
     return out.drop(words)
 
 
-def number(rows: DataFrame, shard_col: str, order: Sequence[Column], bucket_key: Column, slot_col: str = "slot", buckets: int = 64) -> DataFrame:
-    """rows with gapless places from 0 in their shard.
+def number(rows: DataFrame, shard_col: str, order: Sequence[Column], spread: Column, slot_col: str = "slot", buckets: int = 64) -> DataFrame:
+    """rows with gapless places from 0 in their shard, by bucket (the integer `spread` modulo buckets), then order.
 
-    bucket_key spreads a shard's rows over `buckets` tasks (a third of all rows may be in one shard); the offsets are
-    shards x buckets rows at most, which is what is broadcast.
+    Equal rows are counted first and get consecutive places, so neither a shard with a third of all rows nor a row that is
+    repeated as often meets in one task. The offsets are shards x buckets rows at most, which is what is broadcast.
     """
-    bucket, offset = free_name(rows.columns, "bucket"), free_name(rows.columns, "offset")
-    dealt = rows.withColumn(bucket, F.pmod(F.xxhash64(bucket_key), F.lit(buckets)))
-    counts = dealt.groupBy(shard_col, bucket).agg(F.count("*").alias("n"))
+    bucket, offset, n = (free_name(rows.columns, x) for x in ("bucket", "offset", "n"))
+    groups = rows.groupBy(*rows.columns).agg(F.count("*").alias(n)).withColumn(bucket, F.pmod(F.coalesce(spread, F.lit(0)), F.lit(buckets)))
+    counts = groups.groupBy(shard_col, bucket).agg(F.sum(n).alias(n))
     before = Window.partitionBy(shard_col).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(shard_col, bucket, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(offset))
-    own = Window.partitionBy(shard_col, bucket).orderBy(*order)
-    placed = dealt.withColumn(slot_col, F.row_number().over(own).cast("long") - 1)
+    offsets = counts.select(shard_col, bucket, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(offset))
+    own = Window.partitionBy(shard_col, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = groups.withColumn(slot_col, F.coalesce(F.sum(n).over(own), F.lit(0)))
     joined = placed.join(F.broadcast(offsets), [shard_col, bucket])
-    return joined.withColumn(slot_col, F.col(slot_col) + F.col(offset)).drop(bucket, offset)
+    first = F.col(slot_col) + F.col(offset)
+    return joined.withColumn(slot_col, F.explode(F.sequence(first, first + F.col(n) - 1))).drop(bucket, offset, n)
 
 
 def op5_sharding(spark, sf_dir: str) -> DataFrame:
@@ -79,6 +80,5 @@ def op5_sharding(spark, sf_dir: str) -> DataFrame:
         F.lit("key").alias("law"),
     )
     placed = assign(rows, F.col("doc_id"), [1.0] * 40, grown_col="grown_shard")
-    spread = F.struct("doc_id", "text_crc32")
-    slots = number(placed, "shard", [F.col("doc_id"), F.col("text_crc32"), F.col("size")], spread)
+    slots = number(placed, "shard", [F.col("doc_id"), F.col("text_crc32"), F.col("size")], F.col("doc_id") + F.col("text_crc32"))
     return slots.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
