@@ -54,7 +54,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with digests of the ids and of what they decode to."""
-    out = byte_bpe.decode(byte_bpe.encode(docs.select("doc_id", "lang", "source", "text")).drop("text"))
+    out = byte_bpe.round_trip(docs.select("doc_id", "lang", "source", "text"))
     return out.select("doc_id", "lang", "source", "ids", *byte_bpe.digests(out))
 
 

@@ -33,7 +33,13 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/mnemos/{label}-{uuid.uuid4().hex}"
+    """A new path in the application's own folder below the shared one."""
+    return f"{scratch_root(spark)}/mnemos/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all that this application's operators wrote between their steps; results not written elsewhere go with it."""
+    drop_path(spark, f"{scratch_root(spark)}/mnemos/{spark.sparkContext.applicationId}")
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -126,3 +132,29 @@ def word_spans(text: str) -> list[tuple[int, int]]:
     import re
 
     return [m.span() for m in re.finditer(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text)]
+
+
+_RESIDENT: dict[str, tuple[object, object]] = {}
+
+
+def resident(kind: str, key: object, build):
+    """What build() makes for a key, kept in the Python worker until another kind or key is asked for.
+
+    Workers serve one operator after another; only the last one's vocabulary and caches stay in memory.
+    """
+    held = _RESIDENT.get(kind)
+    if held is None or held[0] != key:
+        _RESIDENT.clear()
+        held = None
+        trim()
+        _RESIDENT[kind] = held = (key, build())
+    return held[1]
+
+
+def trim() -> None:
+    """Give freed memory back to the system where the C library can: workers that wait keep little."""
+    import ctypes
+
+    release = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if release is not None:
+        release(0)

@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
@@ -27,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemos.llm.common import bound_batches, free_name, keyed, slices, words
+from mnemos.llm.common import bound_batches, free_name, keyed, resident, slices, words
 
 WINDOW = 13
 SAMPLE = 8
@@ -235,9 +234,8 @@ class Shard:
         return out
 
 
-@lru_cache(maxsize=2)
 def _phrases(data: bytes) -> Phrases:
-    return pickle.loads(data)
+    return resident("phrases", data, lambda: pickle.loads(data))
 
 
 HITS = "struct<n_words: long, n_hit: long, spans: array<struct<start: long, end: long>>, items: array<long>>"

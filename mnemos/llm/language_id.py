@@ -15,7 +15,7 @@ that sorts first. Labels, sources and ids play no part in a prediction.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -24,14 +24,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mnemos.llm.byte_bpe import parse_ranks
-from mnemos.llm.common import WORD_TABLE, bound_batches, free_name, slices, vocabulary_bytes
+from mnemos.llm.common import WORD_TABLE, bound_batches, free_name, materialise, resident, slices, trim, vocabulary_bytes
 
 #: As the words' table, with digits as separators too.
 LETTER_TABLE = bytes(32 if 48 <= b <= 57 else b for b in WORD_TABLE)
 #: Longer words are scored one by one with scaling, so that products stay in range.
 LONG_WORD = 64
-WORDS_AT_ONCE = 20_000
-CACHE_ENTRIES = 300_000
+WORDS_AT_ONCE = 4_000
+#: Words that a Python worker remembers, and the bits that tell whether one was met.
+CACHE_ENTRIES = 200_000
+MET_MASK = (1 << 22) - 1
 
 
 def letter_words(text: str) -> list[bytes]:
@@ -150,68 +152,123 @@ def long_word(lattice: Lattice, word: bytes, prob: np.ndarray) -> np.ndarray:
     return np.log(np.maximum(ring[0], 1e-300)) + scale
 
 
-def learn(lattice: Lattice, words: list[bytes], counts: np.ndarray, rounds: int = 4, smoothing: float = 0.1) -> np.ndarray:
-    """Piece probabilities by language (pieces x languages) out of the counts of words (words x languages).
+def expectation(lattice: Lattice, words: list[bytes], counts: np.ndarray, prob: np.ndarray) -> np.ndarray:
+    """Expected uses of the pieces (pieces x languages) in words with counts (words x languages).
 
-    Words of over 64 bytes are left out of the fit. Every piece keeps a little probability, so no text is impossible.
+    Words of over 64 bytes are left out of the fit.
     """
     short = [i for i, w in enumerate(words) if len(w) <= LONG_WORD]
-    parts = [(lattice.build([words[i] for i in own]), counts[own]) for own in (short[a : a + WORDS_AT_ONCE] for a in range(0, len(short), WORDS_AT_ONCE))]
-    prob = np.full((len(lattice.ids), counts.shape[1]), 1 / len(lattice.ids))
+    total = np.zeros_like(prob)
+    for a in range(0, len(short), WORDS_AT_ONCE):
+        own = short[a : a + WORDS_AT_ONCE]
+        total += lattice.build([words[i] for i in own]).expected(prob, counts[own])
+    return total
+
+
+def maximised(uses: np.ndarray, smoothing: float) -> np.ndarray:
+    """Probabilities out of uses; every piece keeps a little, so no text is impossible."""
+    return (uses + smoothing) / (uses + smoothing).sum(axis=0)
+
+
+def _lattice(ranks: bytes) -> Lattice:
+    return resident("lattice", ranks, lambda: Lattice(parse_ranks(ranks)))
+
+
+def learn(table: DataFrame, langs: list[str], ranks: bytes, rounds: int, smoothing: float) -> np.ndarray:
+    """Piece probabilities by language out of a table of words and their counts in each language (n_0, n_1, ...).
+
+    Each round sends the probabilities out and gets the expected uses back: pieces x languages numbers, summed on the
+    executors.
+    """
+    spark, size = table.sparkSession, len(parse_ranks(ranks))
+    prob = np.full((size, len(langs)), 1 / size)
+    names = [f"n_{k}" for k in range(len(langs))]
     for _ in range(rounds):
-        total = np.full_like(prob, smoothing)
-        for cuts, own in parts:
-            total += cuts.expected(prob, own)
-        prob = total / total.sum(axis=0)
+        shared = spark.sparkContext.broadcast((ranks, prob))
+
+        def step(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            own_ranks, own_prob = shared.value
+            lattice = _lattice(own_ranks)
+            uses = np.zeros_like(own_prob)
+            for batch in batches:
+                counts = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]], axis=1).astype(np.float64)
+                uses += expectation(lattice, batch.column(0).to_pylist(), counts, own_prob)
+            met = np.flatnonzero(uses.any(axis=1))
+            trim()
+            yield pa.RecordBatch.from_arrays([pa.array(met, pa.int32()), *[pa.array(uses[met, k]) for k in range(uses.shape[1])]], ["piece", *names])
+
+        schema = "piece int, " + ", ".join(f"{n} double" for n in names)
+        sums = table.mapInArrow(step, schema).groupBy("piece").agg(*[F.sum(n).alias(n) for n in names]).toArrow()
+        uses = np.zeros_like(prob)
+        uses[sums["piece"].to_numpy()] = np.stack([sums[n].to_numpy() for n in names], axis=1)
+        prob = maximised(uses, smoothing)
+        shared.unpersist()
     return prob
 
 
 class Scorer:
-    """Scores texts by a model and remembers the words met."""
+    """Scores texts by a model and remembers the words that come again."""
 
     def __init__(self, pieces: list[bytes], prob: np.ndarray, langs: list[str]):
         self.lattice, self.prob, self.langs = Lattice(pieces), prob, langs
         self.rows: dict[bytes, int] = {}
         self.logs = np.zeros((0, len(langs)))
+        self.met = bytearray(MET_MASK + 1)
 
-    def _learn(self, new: list[bytes]) -> None:
+    def _log_probs(self, new: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+        """The words in another order and their log probabilities."""
         short = [w for w in new if len(w) <= LONG_WORD]
         long = [w for w in new if len(w) > LONG_WORD]
-        parts = [self.logs]
+        parts = [np.zeros((0, len(self.langs)))]
         for a in range(0, len(short), WORDS_AT_ONCE):
             cuts = self.lattice.build(short[a : a + WORDS_AT_ONCE])
             parts.append(np.log(np.maximum(cuts.forward(self.prob)[cuts.last], 1e-300)))
         parts += [long_word(self.lattice, w, self.prob)[None] for w in long]
-        at = len(self.logs)
-        self.rows.update(zip(short + long, range(at, at + len(new)), strict=True))
-        self.logs = np.concatenate(parts)
+        return short + long, np.concatenate(parts)
+
+    def _forget(self, new: list[bytes], base: int, logs: np.ndarray) -> None:
+        """Keeps, of a slice's new words, those that another slice had before; one bit each tells."""
+        kept = []
+        for i, w in enumerate(new):
+            at = hash(w) & MET_MASK
+            if self.met[at] and len(w) <= LONG_WORD:
+                kept.append(i)
+            else:
+                self.met[at] = 1
+                del self.rows[w]
+        if base + len(kept) > CACHE_ENTRIES:  # the frequent ones came first
+            base = min(base, CACHE_ENTRIES // 2)
+            self.rows, kept = {w: i for w, i in self.rows.items() if i < base}, []
+        self.logs = np.concatenate([self.logs[:base], logs[kept]])
+        self.rows.update((new[i], base + k) for k, i in enumerate(kept))
 
     def score(self, texts: list[str]) -> tuple[list[str], list[float]]:
         parts = [letter_words(x) for x in texts]
-        met = set().union(*parts) if parts else set()
-        new = [w for w in met if w not in self.rows]
-        if len(self.rows) + len(new) > CACHE_ENTRIES:
-            self.rows, self.logs, new = {}, np.zeros((0, len(self.langs))), list(met)
-        if new:
-            self._learn(new)
+        rows, base = self.rows, len(self.logs)
+        new, logs = self._log_probs([w for w in set(chain.from_iterable(parts)) if w not in rows])
+        rows.update(zip(new, range(base, base + len(new)), strict=True))
+        table = np.concatenate([self.logs, logs])
         names, shares = [], []
-        get = self.rows.__getitem__
+        get = rows.__getitem__
         for text, own in zip(texts, parts, strict=True):
             if not own or not any(map(str.isalpha, text)):
                 names.append("und")
                 shares.append(0.0)
                 continue
-            total = self.logs[np.fromiter(map(get, own), np.int64, len(own))].sum(axis=0)
+            total = table[np.fromiter(map(get, own), np.int64, len(own))].sum(axis=0)
             best = int(total.argmax())
             names.append(self.langs[best])
             shares.append(float(1 / np.exp(total - total[best]).sum()))
+        self._forget(new, base, logs)
         return names, shares
 
 
-@lru_cache(maxsize=2)
 def _scorer(ranks: bytes, prob: bytes, langs: tuple[str, ...]) -> Scorer:
-    pieces = parse_ranks(ranks)
-    return Scorer(pieces, np.frombuffer(prob).reshape(len(pieces), len(langs)), list(langs))
+    def build() -> Scorer:
+        pieces = parse_ranks(ranks)
+        return Scorer(pieces, np.frombuffer(prob).reshape(len(pieces), len(langs)), list(langs))
+
+    return resident("scorer", (ranks, prob, langs), build)
 
 
 class LanguageModel:
@@ -240,6 +297,7 @@ class LanguageModel:
                 a, b = own.score(part)
                 names += a
                 shares += b
+            trim()
             return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(shares, pa.float64())], ["lang", "score"])
 
         made = free_name(docs.columns, "predicted")
@@ -256,11 +314,12 @@ def fit(
     vocabulary: str | None = None,
     sample_bytes: int = 4 << 20,
     rounds: int = 4,
+    smoothing: float = 0.1,
 ) -> LanguageModel:
     """A model of the languages of docs that are `learnable` and have a label.
 
-    The fit takes about sample_bytes of text of each language (a bound: a hash of `key` picks the documents, whole),
-    whose distinct words and counts come to the driver.
+    The fit takes about sample_bytes of text of each language (a bound: a hash of `key` picks the documents, whole). Their
+    distinct words are counted and fitted on the executors; the driver sees the piece probabilities only.
     """
     bound_batches(docs.sparkSession)
     ranks = vocabulary_bytes(vocabulary or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
@@ -285,14 +344,10 @@ def fit(
             if totals:
                 yield pa.RecordBatch.from_pydict({"lang": pa.array([k[0] for k in totals]), "word": pa.array([k[1] for k in totals], pa.binary()), "n": pa.array(list(totals.values()), pa.int64())})
 
-    table = rows.where(picked).select("lang", "text").mapInArrow(counted, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
-    column = {lang: i for i, lang in enumerate(langs)}
-    words = sorted(set(table["word"].to_pylist()))
-    place = {w: i for i, w in enumerate(words)}
-    counts = np.zeros((len(words), len(langs)))
-    for lang, word, n in zip(*(table[c].to_pylist() for c in ("lang", "word", "n")), strict=True):
-        counts[place[word], column[lang]] += n
-    return LanguageModel(ranks, langs, learn(Lattice(parse_ranks(ranks)), words, counts, rounds))
+    counts = rows.where(picked).select("lang", "text").mapInArrow(counted, "lang string, word binary, n long")
+    sums = [F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0)).alias(f"n_{k}") for k, lang in enumerate(langs)]
+    table = materialise(counts.groupBy("word").agg(*sums), "words")
+    return LanguageModel(ranks, langs, learn(table, langs, ranks, rounds, smoothing))
 
 
 def held_out(doc_id: Column) -> Column:

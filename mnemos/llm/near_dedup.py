@@ -9,7 +9,7 @@ the probability Jaccard or the plain Jaccard similarity reaches the threshold. C
 
 No bucket emits all its pairs. Texts of equal words are one from the start; buckets with the same members are one. In each
 round a bucket's leaders are compared with its members of other classes, then leave it: at first the member that shares
-most buckets, later members of the bucket's smallest class, twice as many in each round. A pair within one class needs
+most buckets, later members of the bucket's smallest class, more of them in each round. A pair within one class needs
 no test, so a bucket is done when it has one class left. After the first round the shingles that
 no other text has bound the similarity of what is left: members that can't reach the threshold leave, pairs that can't
 aren't made. The rounds end when no bucket is left, and no link between classes is lost (but by banding: a pair at 0.8
@@ -30,12 +30,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemos.llm.common import bound_batches, keyed, materialise, slices, words
+from mnemos.llm.common import bound_batches, keyed, materialise, resident, slices, words
 
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 32, 6
 BROADCAST_ROWS = 400_000
+#: A round takes so many times the leaders of the one before.
+GROWTH = 8
 CACHE_ENTRIES = 300_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -52,7 +54,6 @@ class _WordHashes(dict):
         return value
 
 
-_HASHES = _WordHashes()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -65,7 +66,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def shingles(own: list[bytes], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of a list of words, and their counts."""
-    hashes = np.fromiter(map(_HASHES.__getitem__, own), np.uint64, len(own))
+    known = resident("word hashes", 0, _WordHashes)
+    hashes = np.fromiter(map(known.__getitem__, own), np.uint64, len(own))
     if not len(own):
         return hashes, np.zeros(0, np.int64)
     size = min(size, len(own))
@@ -296,7 +298,7 @@ def _classes(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame
             live = _kept(live.select("bucket", "key", "central", "label"), "live")
             live = _open(_hopeful(_kept(_bounded(live, sets), "bounded"), threshold).select(*kept, "label"))
         live = _kept(live.select(*kept, "label", "n"), "live")
-        leaders_now *= 2
+        leaders_now *= GROWTH
     return labels
 
 

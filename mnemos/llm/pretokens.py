@@ -18,8 +18,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-#: Pre-tokens whose ids a Python worker remembers; it forgets half beyond, which changes nothing but speed.
-CACHE_ENTRIES = 400_000
+from mnemos.llm.common import trim
+
+#: Parts and pre-tokens whose ids a Python worker remembers; it forgets half beyond, which changes nothing but speed.
+CACHE_ENTRIES = 300_000
 #: Hash values that tell whether a pre-token was met before.
 MET_MASK = (1 << 22) - 1
 #: Longer pre-tokens aren't remembered.
@@ -29,7 +31,7 @@ _WHITE = r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028
 UNEVEN = rf"^{_WHITE}|{_WHITE}$| {_WHITE}|{_WHITE} "
 
 
-def text_slices(texts: pa.Array, budget: int = 12 << 20) -> Iterator[pa.Array]:
+def text_slices(texts: pa.Array, budget: int = 10 << 20) -> Iterator[pa.Array]:
     """Consecutive parts of a string array of about `budget` bytes each, nulls as empty texts."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
@@ -79,14 +81,14 @@ class ChunkEncoder:
         return known
 
     def _remember(self, known: dict[str, bytes]) -> None:
-        """Keeps pre-tokens from their second slice on; one bit each tells of the first."""
+        """Keeps parts and pre-tokens from their second slice on; one bit each tells of the first."""
         seen, met = self.seen, self.met
         new = {}
-        for p in known.keys() - seen.keys():
+        for p, ids in known.items():
             at = hash(p) & MET_MASK
             if met[at]:
-                if len(p) <= CACHE_CHARS:
-                    new[p] = known[p]
+                if len(p) <= CACHE_CHARS and p not in seen:
+                    new[p] = ids
             else:
                 met[at] = 1
         if len(seen) + len(new) > CACHE_ENTRIES:
@@ -97,18 +99,20 @@ class ChunkEncoder:
         """The ids of distinct parts of texts, each after a blank; a part of letters only is one pre-token."""
         plain = pc.utf8_is_alpha(names).to_numpy(zero_copy_only=False)
         blank = pc.binary_join_element_wise(pa.scalar(" ", names.type), names, pa.scalar("", names.type))
-        mixed = blank.filter(pa.array(~plain)).to_pylist()
+        seen = self.seen
+        mixed = [x for x in blank.filter(pa.array(~plain)).to_pylist() if x not in seen]
         blank = blank.to_pylist()
         cut = list(map(self.split, mixed))
         wanted = set(chain.from_iterable(cut))
-        wanted.update(compress(blank, plain.tolist()))
+        wanted.update(x for x in compress(blank, plain.tolist()) if x not in seen)
         known = self._ids(wanted)
-        self._remember(known)
         get = known.__getitem__
         for name, own in zip(mixed, cut, strict=True):
             if len(own) > 1:
                 known[name] = b"".join(map(get, own))
-        return list(map(get, blank))
+        table = [known[x] if x in known else seen[x] for x in blank]
+        self._remember(known)
+        return table
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, their bounds by text) of a slice of non-null texts."""
@@ -119,6 +123,7 @@ class ChunkEncoder:
         finally:
             if collected:
                 gc.enable()
+            trim()
 
     def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         uneven = pc.match_substring_regex(texts, UNEVEN).to_numpy(zero_copy_only=False)

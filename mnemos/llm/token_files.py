@@ -23,10 +23,11 @@ other. An empty table gives no segment.
 
 from __future__ import annotations
 
+import json
+import os
 import struct
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import pairwise
 
 import numpy as np
@@ -37,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mnemos.llm.common import bound_batches, materialise, scratch_path, vocabulary_bytes
+from mnemos.llm.common import bound_batches, materialise, resident, scratch_path, vocabulary_bytes
 from mnemos.llm.pretokens import ChunkEncoder, text_slices
 
 MAGIC = b"PFR1"
@@ -177,19 +178,14 @@ class LibraryEncoder(ChunkEncoder):
     with one of the vocabulary's added tokens in it, or with another splitter, goes to the library whole.
     """
 
-    def __init__(self, vocabulary: bytes):
-        import json
-
+    def __init__(self, vocabulary: bytes, by_pretoken: bool, added: tuple[str, ...]):
         import tokenizers
 
         super().__init__(public_tokenizers.PATTERN)
         self.library = tokenizers.Tokenizer.from_buffer(vocabulary)
         self.library.no_padding()
         self.library.no_truncation()
-        spec = json.loads(vocabulary)
-        splitter = spec.get("pre_tokenizer") or {}
-        self.by_pretoken = splitter.get("type") == "ByteLevel" and not splitter.get("add_prefix_space") and splitter.get("use_regex", True) and not spec.get("normalizer")
-        self.added = [x["content"] for x in spec.get("added_tokens", [])]
+        self.by_pretoken, self.added = by_pretoken, added
 
     def encode_pretokens(self, pretokens: list[str]) -> list[bytes]:
         return [array("i", x.ids).tobytes() for x in self.library.encode_batch_fast(pretokens, add_special_tokens=False)]
@@ -201,12 +197,17 @@ class LibraryEncoder(ChunkEncoder):
         return np.array([i for x in parts for i in x], "<i4"), np.cumsum([0, *map(len, parts)])
 
 
-@lru_cache(maxsize=2)
-def library_encoder(vocabulary: bytes) -> LibraryEncoder:
-    import os
+def encoder_options(vocabulary: bytes) -> tuple[bytes, bool, tuple[str, ...]]:
+    """What LibraryEncoder takes, read from a vocabulary file on the driver."""
+    spec = json.loads(vocabulary)
+    splitter = spec.get("pre_tokenizer") or {}
+    plain = splitter.get("type") == "ByteLevel" and not splitter.get("add_prefix_space") and splitter.get("use_regex", True) and not spec.get("normalizer")
+    return vocabulary, bool(plain), tuple(x["content"] for x in spec.get("added_tokens", []))
+
 
+def library_encoder(vocabulary: bytes, by_pretoken: bool, added: tuple[str, ...]) -> LibraryEncoder:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return LibraryEncoder(vocabulary)
+    return resident("library", (vocabulary, by_pretoken, added), lambda: LibraryEncoder(vocabulary, by_pretoken, added))
 
 
 def write_token_files(
@@ -228,11 +229,11 @@ def write_token_files(
     """
     spark = docs.sparkSession
     bound_batches(spark)
-    shared = spark.sparkContext.broadcast(vocabulary_bytes(vocabulary or public_tokenizers.path("byte_bpe_50k.json")))
+    shared = spark.sparkContext.broadcast(encoder_options(vocabulary_bytes(vocabulary or public_tokenizers.path("byte_bpe_50k.json"))))
     end = int(end_id).to_bytes(4, "little")
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, part = library_encoder(shared.value), TaskContext.get().partitionId()
+        own, part = library_encoder(*shared.value), TaskContext.get().partitionId()
         doc_ids: list = []
         encoded: list[bytes] = []
         seq = before = held = 0

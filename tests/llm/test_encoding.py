@@ -50,6 +50,8 @@ def test_long_pretokens_and_a_full_cache(monkeypatch):
 def test_encode_and_decode_keep_rows_and_columns(spark, odd, empty):
     clashing = odd.withColumnRenamed("lang", "ids")
     out = byte_bpe.decode(byte_bpe.encode(clashing), "_ids")
+    both = byte_bpe.round_trip(clashing)
+    assert sorted(map(str, both.collect())) == sorted(map(str, out.collect())) and both.columns == out.columns
     assert out.columns == [*clashing.columns, "_ids", "decoded"]
     for r in out.collect():
         assert r["_ids"] == TIKTOKEN.encode_ordinary(r["text"] or "")
