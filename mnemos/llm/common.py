@@ -63,7 +63,7 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 def bound_batches(spark: SparkSession) -> None:
     """Bound the bytes of an Arrow batch, so that a few thousand long texts don't meet in one; a set bound stays."""
     if spark.conf.get(ARROW_BYTES, None) is None:
-        spark.conf.set(ARROW_BYTES, str(32 << 20))
+        spark.conf.set(ARROW_BYTES, str(8 << 20))
 
 
 def free_name(taken: Iterable[str], name: str) -> str:

@@ -293,7 +293,7 @@ class LanguageModel:
             own = _scorer(*shared.value)
             names: list[str] = []
             shares: list[float] = []
-            for _, part in slices(texts, 4 << 20):
+            for _, part in slices(texts, 2 << 20):
                 a, b = own.score(part)
                 names += a
                 shares += b

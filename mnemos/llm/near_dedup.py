@@ -38,7 +38,7 @@ BANDS, ROWS = 32, 6
 BROADCAST_ROWS = 400_000
 #: A round takes so many times the leaders of the one before.
 GROWTH = 8
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 150_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -129,7 +129,7 @@ def _sketches(rows: DataFrame, bands: int, per_band: int) -> DataFrame:
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = mix(np.arange(bands, dtype=np.uint64) + np.uint64(1 << 32))
         for batch in batches:
-            for at, texts in slices(batch.column(1), 4 << 20):
+            for at, texts in slices(batch.column(1), 2 << 20):
                 split = [words(x) for x in texts]
                 own = [xxhash.xxh3_128_digest(b" ".join(w)) for w in split]
                 full = [i for i, w in enumerate(split) if w]
@@ -152,7 +152,7 @@ def _shingled(rows: DataFrame) -> DataFrame:
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, texts in slices(batch.column(1), 4 << 20):
+            for at, texts in slices(batch.column(1), 2 << 20):
                 sets = [shingles(words(x)) for x in texts]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[at : at + len(texts)], pa.array([h.view(np.int64) for h, _ in sets], pa.list_(pa.int64())), pa.array([c.astype(np.int32) for _, c in sets], pa.list_(pa.int32()))],
@@ -281,7 +281,6 @@ def _classes(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame
         pairs = _kept(pairs, "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
         links = _kept(_verified(pairs, sets, threshold), "links")
-        left = live.join(leaders.select(F.col("l_bucket").alias("bucket"), F.col("leader").alias("key")), ["bucket", "key"], "left_anti").select(*kept)
         if not links.isEmpty():
             if labels is not None:
                 of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))  # noqa: E731, B023
@@ -292,12 +291,14 @@ def _classes(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame
             else:
                 old = labels.join(merged.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
                 labels = _kept(old.unionByName(merged.join(labels, "node", "left_anti")), "labels")
-        own = left.withColumn("label", F.col("key")) if labels is None else left.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-        live = _open(own)
+        old = live.select(*kept)
+        own = old.withColumn("label", F.col("key")) if labels is None else old.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+        unsure = _open(own)
         if leaders_now == 1:
-            live = _kept(live.select("bucket", "key", "central", "label"), "live")
-            live = _open(_hopeful(_kept(_bounded(live, sets), "bounded"), threshold).select(*kept, "label"))
-        live = _kept(live.select(*kept, "label", "n"), "live")
+            unsure = _kept(unsure.select("bucket", "key", "central", "label"), "unsure")
+            unsure = _open(_hopeful(_kept(_bounded(unsure, sets), "bounded"), threshold).select(*kept, "label"))
+        left = unsure.drop("n").join(leaders.select(F.col("l_bucket").alias("bucket"), F.col("leader").alias("key")), ["bucket", "key"], "left_anti")
+        live = _kept(_open(left).select(*kept, "label", "n"), "live")
         leaders_now *= GROWTH
     return labels
 
