@@ -21,7 +21,7 @@ import regex
 from mnemos.llm.common import trim
 
 #: Parts and pre-tokens whose ids a Python worker remembers; it forgets half beyond, which changes nothing but speed.
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 150_000
 #: Hash values that tell whether a pre-token was met before.
 MET_MASK = (1 << 22) - 1
 #: Longer pre-tokens aren't remembered.
@@ -31,7 +31,7 @@ _WHITE = r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028
 UNEVEN = rf"^{_WHITE}|{_WHITE}$| {_WHITE}|{_WHITE} "
 
 
-def text_slices(texts: pa.Array, budget: int = 8 << 20) -> Iterator[pa.Array]:
+def text_slices(texts: pa.Array, budget: int = 4 << 20) -> Iterator[pa.Array]:
     """Consecutive parts of a string array of about `budget` bytes each, nulls as empty texts."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
