@@ -30,7 +30,7 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that an earlier document, or the same one above, has alike or nearly so."""
     lost = free_name(docs.columns, "n_dropped")
-    out = line_dedup.dedup(docs, dropped_col=lost)
+    out = line_dedup.dedup(docs, dropped_col=lost, exact_chars=line_dedup.EXACT_CHARS)
     return out.withColumn("n_chars", F.when(F.col(lost) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 

@@ -1,9 +1,10 @@
 """Line deduplication by a deletion-neighbourhood join, with DataFrame functions only.
 
 A line of at least `min_chars` characters is dropped if an earlier line of the corpus equals it or is one edit away (one
-character inserted, deleted or substituted). Earlier: in a document with a smaller id, or higher up in the same one; where
-ids repeat or are null, in a row that is read earlier. Shorter lines stay, as do documents that lose all their lines (their
-text is then empty).
+character inserted, deleted or substituted); a shorter one of at least `exact_chars` that isn't blank, if an earlier line
+equals it. Earlier: in a document with a smaller id, or higher up in the same one; where ids repeat or are null, in a row
+that is read earlier. Other lines stay, as do documents that lose all their lines (their text is then empty). The queries
+count every line that isn't blank.
 
 Two lines are one edit apart just if deleting a character at the same place makes them equal (substitution) or deleting
 one from the longer gives the shorter. All such variants are emitted as hashed keys, but only where a partner is possible:
@@ -26,7 +27,11 @@ from pyspark.sql import functions as F
 
 from mnemos.llm.common import free_name, keyed, materialise
 
-MIN_CHARS = 40
+#: Least characters of lines that are one edit apart. On sf0.1 571 pairs of distinct lines have 2 to 7 characters and 10 have
+#: 8 or 9, mostly other words; the 10 pairs of 10 to 79 characters are copies with a comma or a letter changed.
+MIN_CHARS = 10
+#: Least characters of lines that the queries drop as exact repeats.
+EXACT_CHARS = 1
 NARROW = 16
 BROADCAST_ROWS = 400_000
 
@@ -36,9 +41,9 @@ def _sided(table: DataFrame, most: int) -> DataFrame:
     return F.broadcast(table) if table.limit(most + 1).count() <= most else table
 
 
-def _lines(rows: DataFrame, text: str, min_chars: int) -> DataFrame:
+def _lines(rows: DataFrame, text: str, min_chars: int, exact_chars: int) -> DataFrame:
     lines = rows.select("key", F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-    return lines.where(F.length("line") >= min_chars)
+    return lines.where((F.length("line") >= min_chars) | ((F.length("line") >= exact_chars) & F.col("line").rlike("\\S")))
 
 
 def _hashed(lines: DataFrame) -> DataFrame:
@@ -139,10 +144,10 @@ def _earlier(windows: DataFrame) -> DataFrame:
     return near.select("me.h1", "me.h2").distinct()
 
 
-def dropped_lines(rows: DataFrame, text: str, min_chars: int, broadcast_rows: int) -> DataFrame:
+def dropped_lines(rows: DataFrame, text: str, min_chars: int, exact_chars: int, broadcast_rows: int) -> DataFrame:
     """key and the positions (from 0) of the lines that go, for every row of unique key that loses any."""
-    lines = _hashed(_lines(rows, text, min_chars))
-    near = materialise(_earlier(_near(lines, broadcast_rows)), "near-lines")
+    lines = _hashed(_lines(rows, text, min_chars, exact_chars))
+    near = materialise(_earlier(_near(lines.where(F.length("line") >= min_chars), broadcast_rows)), "near-lines")
     counted = lines.groupBy("h1", "h2").agg(F.min(F.struct("key", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1")
     repeated = counted.select("h1", "h2", "first").unionByName(near.select("h1", "h2", F.lit(None).cast(counted.schema["first"].dataType).alias("first")))
     gone = materialise(repeated.groupBy("h1", "h2").agg(F.min("first").alias("first"), F.max(F.col("first").isNull()).alias("all")), "gone-lines")
@@ -157,14 +162,19 @@ def dedup(
     dropped_col: str = "n_dropped",
     min_chars: int = MIN_CHARS,
     broadcast_rows: int = BROADCAST_ROWS,
+    exact_chars: int | None = None,
 ) -> DataFrame:
-    """docs without lines that have an earlier equal or nearly equal one, and how many went from each."""
+    """docs without lines that have an earlier equal or nearly equal one, and how many went from each.
+
+    Without exact_chars, lines of under min_chars stay.
+    """
     if min_chars < 2:
         raise ValueError("min_chars has to be 2 at least")
+    least = min_chars if exact_chars is None else exact_chars
     key = free_name(docs.columns, "row_key")
     rows = keyed(docs, id_col, key)
     narrow = rows.select(F.col(key).alias("key"), F.col(text_col).cast("string").alias("text"))
-    gone = materialise(dropped_lines(narrow, "text", min_chars, broadcast_rows), "gone")
+    gone = materialise(dropped_lines(narrow, "text", min_chars, least, broadcast_rows), "gone")
     lost = free_name(rows.columns, "lost")
     joined = rows.join(_sided(gone.withColumnsRenamed({"key": key, "gone": lost}), broadcast_rows), key, "left")
     parts = F.split(F.col(text_col), "\n")
@@ -177,4 +187,4 @@ def dedup(
 def op2_line_dedup(spark, sf_dir: str) -> DataFrame:
     """documents without repeated lines: the text that is left and how many lines went."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return dedup(docs).select("doc_id", "text", "n_dropped")
+    return dedup(docs, exact_chars=EXACT_CHARS).select("doc_id", "text", "n_dropped")

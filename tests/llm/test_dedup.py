@@ -82,6 +82,18 @@ def test_lines_of_odd_rows(spark, odd, empty, odd_rows):
         line_dedup.dedup(odd, min_chars=1)
 
 
+def test_short_lines_that_repeat_go(spark, tmp_path):
+    import corpus_pipeline
+
+    texts = ["All rights reserved.\n\nOk.\n \nThe first one here.", "Ok.\n\nAll rights reserved.\nNo.\n ", "The first, one here.\nOn.\nAll rights reserved.\nNo."]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    want = [(texts[0], 0), ("\nNo.\n ", 2), ("On.", 3)]
+    assert [tuple(r)[1:] for r in sorted(line_dedup.op2_line_dedup(spark, str(tmp_path)).collect())] == want
+    staged = corpus_pipeline.dedup_lines(spark, docs, str(tmp_path)).collect()
+    assert sorted((r["doc_id"], r["text"], r["n_chars"]) for r in staged) == [(i, t, len(t)) for i, (t, _) in enumerate(want)]
+
+
 def brute_exact(rows):
     groups = {}
     for i, (doc_id, text) in enumerate(rows):
