@@ -3,9 +3,11 @@
 A text is a weighted set of five-word shingles, weights being their counts. Every shingle sends arrivals of a Poisson
 process whose rate is its weight, each to a random one of `registers` registers; a register keeps the shingle that comes
 first, and a shingle is done once its next arrival is later than every register's. Arrivals depend on the shingle alone, so
-two texts agree in a register with the probability Jaccard similarity of their weighted sets. Bands of registers make
-bucket keys; texts that share a bucket are candidates, and pairs are verified on their exact shingles: they are linked if
-the probability Jaccard or the plain Jaccard similarity reaches the threshold. Classes are the connected components.
+two texts agree in a register with the probability Jaccard similarity of their weighted sets. A text with a repeated shingle
+is sketched once more with weights of 1, where texts agree with their plain Jaccard similarity (of other texts both sketches
+are the same). Bands of registers make bucket keys; texts that share a bucket are candidates, and pairs are verified on their
+exact shingles: they are linked if the probability Jaccard or the plain Jaccard similarity reaches the threshold. Classes are
+the connected components.
 
 No bucket emits all its pairs. Texts of equal words are one from the start; buckets with the same members are one. In each
 round a bucket's leaders are compared with its members of other classes, then leave it: at first the member that shares
@@ -13,7 +15,7 @@ most buckets, later members of the bucket's smallest class, more of them in each
 no test, so a bucket is done when it has one class left. After the first round the shingles that
 no other text has bound the similarity of what is left: members that can't reach the threshold leave, pairs that can't
 aren't made. The rounds end when no bucket is left, and no link between classes is lost (but by banding: a pair at 0.8
-misses all 32 bands of 6 with probability 6e-5).
+by either similarity misses all 32 bands of 6 with probability 6e-5).
 
 Words are those of common.words(). A text of fewer than five words is one shingle of them all. Null texts and texts without
 words form one class. Repeated rows fall into one class; the class id is the smallest row key: the id where ids are distinct
@@ -124,7 +126,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def _sketches(rows: DataFrame, bands: int, per_band: int) -> DataFrame:
-    """key, words (a 128-bit hash of the word sequence) and band keys of each text (none without words)."""
+    """key, words (a 128-bit hash of the word sequence) and band keys of each text (none without words), of both sketches."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = mix(np.arange(bands, dtype=np.uint64) + np.uint64(1 << 32))
@@ -135,13 +137,16 @@ def _sketches(rows: DataFrame, bands: int, per_band: int) -> DataFrame:
                 full = [i for i, w in enumerate(split) if w]
                 lists: list = [[]] * len(split)
                 if full:
-                    kept = sketch([shingles(split[i]) for i in full], bands * per_band).reshape(len(full), bands, per_band)
+                    sets = [shingles(split[i]) for i in full]
+                    again = [k for k, (_, counts) in enumerate(sets) if counts.max() > 1]
+                    sets += [(sets[k][0], np.ones_like(sets[k][1])) for k in again]
+                    kept = sketch(sets, bands * per_band).reshape(len(sets), bands, per_band)
                     with np.errstate(over="ignore"):
-                        total = np.tile(numbers, (len(full), 1))
+                        total = np.tile(numbers, (len(sets), 1))
                         for r in range(per_band):
                             total = mix(total ^ kept[:, :, r])
-                    for i, band in zip(full, total.view(np.int64).tolist(), strict=True):
-                        lists[i] = band
+                    for i, band in zip([*full, *[full[k] for k in again]], total.view(np.int64).tolist(), strict=True):
+                        lists[i] = list({*lists[i], *band})
                 yield pa.RecordBatch.from_arrays([batch.column(0)[at : at + len(texts)], pa.array(own, pa.binary()), pa.array(lists, pa.list_(pa.int64()))], ["key", "words", "bands"])
 
     return rows.mapInArrow(made, "key long, words binary, bands array<long>")

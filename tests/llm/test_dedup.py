@@ -160,6 +160,13 @@ def brute_similarity(a, b):
     return max(plain, total)
 
 
+def test_plain_similarity_makes_candidates(spark):
+    base = " ".join(f"w{i}x" for i in range(300))
+    rows = [(1, base), (2, base + " one two three four five" * 300), (3, base + " six seven eight nine ten" * 90), (4, "something else " * 50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["id"]: r["class_id"] for r in near_dedup.classify(docs).collect()} == {1: 1, 2: 1, 3: 1, 4: 4}
+
+
 def brute_classes(texts, threshold=0.8):
     s, parent = sets_of(texts), list(range(len(texts)))
 
