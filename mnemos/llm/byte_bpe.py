@@ -22,14 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mnemos.llm.common import bound_batches, free_name, resident, vocabulary_bytes
-from mnemos.llm.pretokens import ChunkEncoder, id_lists, text_slices
-
-
-def byte_characters() -> list[str]:
-    """A printable character for each byte: the byte itself where printable, else the next free one from U+0100."""
-    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    spare = iter(range(256, 512))
-    return [chr(b) if b in printable else chr(next(spare)) for b in range(256)]
+from mnemos.llm.pretokens import ChunkEncoder, byte_characters, byte_mapped, id_lists, text_slices
 
 
 def parse_ranks(data: bytes) -> list[bytes]:
@@ -66,13 +59,11 @@ class SentencepieceBpe(ChunkEncoder):
         super().__init__(pattern)
         self.tokens = parse_ranks(ranks)
         self.model = sentencepiece.SentencePieceProcessor(model_proto=build_model(self.tokens))
-        self.chars = dict(enumerate(byte_characters()))
-        back = {c: b for b, c in self.chars.items()}
+        back = {c: b for b, c in enumerate(byte_characters())}
         self.pieces = [bytes(back[c] for c in self.model.id_to_piece(i)) for i in range(len(self.tokens))]
 
     def encode_pretokens(self, pretokens: list[str]) -> list[bytes]:
-        mapped = [p.encode("utf-8").decode("latin-1").translate(self.chars) for p in pretokens]
-        return [array("i", ids).tobytes() for ids in self.model.encode(mapped, num_threads=1)]
+        return [array("i", ids).tobytes() for ids in self.model.encode(list(map(byte_mapped, pretokens)), num_threads=1)]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.pieces.__getitem__, ids))

@@ -2,8 +2,9 @@
 
 Byte-level vocabularies first split a text by a pattern and encode each piece on its own. A single blank between two
 characters that are no white space always begins a new piece, whatever stands around it, so a text may be cut at such
-blanks and its parts encoded apart. Arrow cuts the texts and numbers the distinct parts; Python sees each distinct part
-of a slice once, and each pre-token that the worker remembers not at all; numpy puts the ids together. Texts with other
+blanks and its parts encoded apart. Arrow cuts the texts, numbers the distinct parts and cuts those in turn into
+pre-tokens; the library sees each distinct pre-token of a slice once, and those that the worker remembers not at all; numpy
+puts the ids together. Texts with other
 white space next to a blank, or at their ends, are split by the pattern as they are.
 """
 
@@ -11,14 +12,15 @@ from __future__ import annotations
 
 import gc
 from collections.abc import Iterator
-from itertools import chain, compress, islice
+from itertools import chain, islice
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-from mnemos.llm.common import trim
+from mnemos.llm.common import SLICE_BYTES, trim
 
 #: Parts and pre-tokens whose ids a Python worker remembers; it forgets half beyond, which changes nothing but speed.
 CACHE_ENTRIES = 150_000
@@ -28,10 +30,12 @@ MET_MASK = (1 << 22) - 1
 CACHE_CHARS = 64
 # White space of Unicode, and the separators U+001C to U+001F.
 _WHITE = r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: A word with ASCII punctuation after it, and another on the next line: each group, and the line feed, is a pre-token.
+SIMPLE = r"^(?P<a>\p{L}+)(?P<b>[!-/:-@\[-`{-~]*)(?:\n(?P<c>\p{L}+)(?P<d>[!-/:-@\[-`{-~]*))?$"
 UNEVEN = rf"^{_WHITE}|{_WHITE}$| {_WHITE}|{_WHITE} "
 
 
-def text_slices(texts: pa.Array, budget: int = 4 << 20) -> Iterator[pa.Array]:
+def text_slices(texts: pa.Array, budget: int = SLICE_BYTES) -> Iterator[pa.Array]:
     """Consecutive parts of a string array of about `budget` bytes each, nulls as empty texts."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
@@ -54,11 +58,39 @@ def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
     return flat[places]
 
 
+def byte_characters() -> list[str]:
+    """A printable character for each byte: the byte itself where printable, else the next free one from U+0100."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    spare = iter(range(256, 512))
+    return [chr(b) if b in printable else chr(next(spare)) for b in range(256)]
+
+
+BYTE_CHARACTERS = dict(enumerate(byte_characters()))
+
+
+def byte_mapped(text: str) -> str:
+    """The characters of a text's UTF-8 bytes."""
+    if text.isascii() and text.isprintable():
+        return text.replace(" ", BYTE_CHARACTERS[32])
+    return text.encode("utf-8").decode("latin-1").translate(BYTE_CHARACTERS)
+
+
+def strings(texts: pa.Array) -> list[str]:
+    return texts.to_numpy(zero_copy_only=False).tolist()
+
+
+def table_of(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All ids, and where each row's begin and how many they are."""
+    lengths = np.fromiter(map(len, rows), np.int64, len(rows)) // 4
+    return np.frombuffer(b"".join(rows), "<i4"), np.cumsum(lengths) - lengths, lengths
+
+
 class ChunkEncoder:
     """Ids of texts; subclasses encode lists of pre-tokens."""
 
     def __init__(self, pattern: str):
         self.split = regex.compile(pattern).findall
+        self.simple = pattern == public_tokenizers.PATTERN
         self.seen: dict[str, bytes] = {}
         self.met = bytearray(MET_MASK + 1)
 
@@ -67,52 +99,59 @@ class ChunkEncoder:
         raise NotImplementedError
 
     def encode_whole(self, texts: list[str]) -> list[bytes]:
-        parts = [self.split(x) for x in texts]
-        known = self._ids({p for own in parts for p in own})
-        return [b"".join([known[p] for p in own]) for own in parts]
-
-    def _ids(self, pretokens: set[str]) -> dict[str, bytes]:
-        seen = self.seen
-        known = {p: seen[p] for p in pretokens if p in seen}
-        new = [p for p in pretokens if p not in known]
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            known.update(zip(part, self.encode_pretokens(part), strict=True))
-        return known
+        parts = list(map(self.split, texts))
+        known = self._known(set(chain.from_iterable(parts)))
+        return [b"".join(map(known.__getitem__, own)) for own in parts]
 
-    def _remember(self, known: dict[str, bytes]) -> None:
-        """Keeps parts and pre-tokens from their second slice on; one bit each tells of the first."""
+    def _known(self, pretokens: set[str]) -> dict[str, bytes]:
+        own = list(pretokens)
+        return dict(zip(own, self._ids(own), strict=True))
+
+    def _ids(self, pretokens: list[str]) -> list[bytes]:
+        """Ids of distinct pre-tokens; those that other slices had too are remembered, one bit each tells."""
         seen, met = self.seen, self.met
-        new = {}
-        for p, ids in known.items():
+        out = list(map(seen.get, pretokens))
+        new = [i for i, ids in enumerate(out) if ids is None]
+        kept = {}
+        for at in range(0, len(new), 10_000):
+            part = new[at : at + 10_000]
+            for i, ids in zip(part, self.encode_pretokens([pretokens[i] for i in part]), strict=True):
+                out[i] = ids
+        for i in new:
+            p = pretokens[i]
             at = hash(p) & MET_MASK
-            if met[at]:
-                if len(p) <= CACHE_CHARS and p not in seen:
-                    new[p] = ids
-            else:
-                met[at] = 1
-        if len(seen) + len(new) > CACHE_ENTRIES:
+            if met[at] and len(p) <= CACHE_CHARS:
+                kept[p] = out[i]
+            met[at] = 1
+        if len(seen) + len(kept) > CACHE_ENTRIES:
             self.seen = seen = dict(islice(seen.items(), CACHE_ENTRIES // 2))  # the frequent ones came first
-        seen.update(new)
-
-    def _parts(self, names: pa.Array) -> list[bytes]:
-        """The ids of distinct parts of texts, each after a blank; a part of letters only is one pre-token."""
-        plain = pc.utf8_is_alpha(names).to_numpy(zero_copy_only=False)
-        blank = pc.binary_join_element_wise(pa.scalar(" ", names.type), names, pa.scalar("", names.type))
-        seen = self.seen
-        mixed = [x for x in blank.filter(pa.array(~plain)).to_pylist() if x not in seen]
-        blank = blank.to_pylist()
-        cut = list(map(self.split, mixed))
-        wanted = set(chain.from_iterable(cut))
-        wanted.update(x for x in compress(blank, plain.tolist()) if x not in seen)
-        known = self._ids(wanted)
-        get = known.__getitem__
-        for name, own in zip(mixed, cut, strict=True):
-            if len(own) > 1:
-                known[name] = b"".join(map(get, own))
-        table = [known[x] if x in known else seen[x] for x in blank]
-        self._remember(known)
-        return table
+        seen.update(kept)
+        return out
+
+    def _parts(self, names: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """table_of() the distinct parts of texts, each after a blank.
+
+        Arrow cuts words with punctuation into their pre-tokens, the pattern cuts other parts.
+        """
+        if not self.simple:
+            return table_of(self.encode_whole([" " + x for x in strings(names)]))
+        found = pc.extract_regex(names, SIMPLE)
+        plain = pc.is_valid(found)
+        first, *rest = (found.field(c).filter(plain) for c in "abcd")
+        text = lambda x: pa.scalar(x, names.type)
+        line = pc.if_else(pc.equal(rest[1], ""), text(""), text("\n"))
+        fields = [pc.binary_join_element_wise(text(" "), first, text("")), rest[0], line, *rest[1:]]
+        coded = pa.concat_arrays(fields).dictionary_encode()
+        flat, starts, lengths = table_of(self._ids(strings(coded.dictionary)))
+        order = coded.indices.to_numpy().astype(np.int64).reshape(len(fields), -1).T.ravel()
+        sizes = lengths[order].reshape(-1, len(fields)).sum(axis=1)
+        whole = gather(flat, starts[order], lengths[order])
+        plain = plain.to_numpy(zero_copy_only=False)
+        odd = table_of(self.encode_whole([" " + x for x in strings(names.filter(pa.array(~plain)))]))
+        starts, lengths = np.empty(len(names), np.int64), np.empty(len(names), np.int64)
+        starts[plain], lengths[plain] = np.cumsum(sizes) - sizes, sizes
+        starts[~plain], lengths[~plain] = len(whole) + odd[1], odd[2]
+        return np.concatenate([whole, odd[0]]), starts, lengths
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, their bounds by text) of a slice of non-null texts."""
@@ -135,17 +174,14 @@ class ChunkEncoder:
         first = np.zeros(len(index), bool)
         first[bounds[:-1][bounds[:-1] < bounds[1:]] - bounds[0]] = True
         names = coded.dictionary
-        table = self._parts(names)
         openers = np.unique(index[first])
-        odd = texts.filter(pa.array(uneven)).to_pylist()
-        table += self.encode_whole(names.take(pa.array(openers)).to_pylist())
+        odd = strings(texts.filter(pa.array(uneven)))
+        parts, lone = self._parts(names), table_of(self.encode_whole(strings(names.take(pa.array(openers))) + odd))
         index[first] = len(names) + np.searchsorted(openers, index[first])
-        place = len(table)
-        table += self.encode_whole(odd)
-
-        lengths = np.array([len(x) // 4 for x in table], np.int64)
-        starts = np.cumsum(lengths) - lengths
-        flat = np.frombuffer(b"".join(table), "<i4")
+        place = len(names) + len(openers)
+        flat = np.concatenate([parts[0], lone[0]])
+        starts = np.concatenate([parts[1], lone[1] + len(parts[0])])
+        lengths = np.concatenate([parts[2], lone[2]])
         sizes = np.zeros(len(texts), np.int64)
         sizes[~uneven] = np.diff(bounds)
         sizes[uneven] = 1

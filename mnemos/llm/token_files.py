@@ -1,7 +1,7 @@
 """Token ids in binary files of patched frame-of-reference blocks.
 
 Documents are encoded with a `tokenizers` vocabulary, an end id is appended to each, and the ids are written in
-ascending order of document id. A file is a run of segments, each followed by one line feed; a segment holds whole
+ascending order of document id. A file is a run of segments with line feeds between them; a segment holds whole
 documents (one at least, so a very long text makes one long segment) and reads:
 
     header    magic 'PFR1', bytes of the segment (u32), partition (u32), sequence number in it (u32), ids before it
@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mnemos.llm.common import bound_batches, materialise, resident, scratch_path, vocabulary_bytes
-from mnemos.llm.pretokens import ChunkEncoder, text_slices
+from mnemos.llm.pretokens import ChunkEncoder, byte_mapped, gather, strings, table_of, text_slices
 
 MAGIC = b"PFR1"
 HEAD = struct.Struct("<4sIIIQQIII")
@@ -152,6 +152,9 @@ def read_segments(data: bytes) -> Iterator[dict]:
     """part, seq, before, doc_ids, counts and ids of each segment of a file."""
     at = 0
     while at < len(data):
+        if data[at] == 10:
+            at += 1
+            continue
         magic, length, part, seq, before, n_ids, n_docs, n_blocks, size = HEAD.unpack_from(data, at)
         if magic != MAGIC or at + length > len(data):
             raise ValueError(f"no whole segment at byte {at}")
@@ -173,41 +176,73 @@ def read_segments(data: bytes) -> Iterator[dict]:
 class LibraryEncoder(ChunkEncoder):
     """Ids of the tokenizers library.
 
-    Where the vocabulary splits texts by the public pattern at first and has no normaliser, each distinct pre-token is
-    encoded by the library once and remembered; the library gives a pre-token the same ids alone and in a text. A text
-    with one of the vocabulary's added tokens in it, or with another splitter, goes to the library whole.
+    Where the vocabulary first splits texts by the public pattern and has no normaliser, the library's model gets each
+    distinct pre-token once. A text with one of the vocabulary's added tokens, or with a character at which the library
+    splits in another way than the pattern does (newer ones that it doesn't know), goes to the library whole, as do all
+    texts of other vocabularies (`odd` is then None).
     """
 
-    def __init__(self, vocabulary: bytes, by_pretoken: bool, added: tuple[str, ...]):
+    def __init__(self, vocabulary: bytes, odd: str | None):
         import tokenizers
 
         super().__init__(public_tokenizers.PATTERN)
         self.library = tokenizers.Tokenizer.from_buffer(vocabulary)
         self.library.no_padding()
         self.library.no_truncation()
-        self.by_pretoken, self.added = by_pretoken, added
+        self.odd = odd
 
     def encode_pretokens(self, pretokens: list[str]) -> list[bytes]:
-        return [array("i", x.ids).tobytes() for x in self.library.encode_batch_fast(pretokens, add_special_tokens=False)]
+        tokenize = self.library.model.tokenize
+        return [array("i", [x.id for x in tokenize(byte_mapped(p))]).tobytes() for p in pretokens]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        if self.by_pretoken and not any(pc.any(pc.match_substring(texts, x)).as_py() for x in self.added):
+        odd = np.ones(len(texts), bool) if self.odd is None else pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False)
+        if not odd.any():
             return super().encode(texts)
-        parts = [x.ids for x in self.library.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
-        return np.array([i for x in parts for i in x], "<i4"), np.cumsum([0, *map(len, parts)])
+        ids, bounds = super().encode(texts.filter(pa.array(~odd)))
+        whole = self.library.encode_batch_fast(strings(texts.filter(pa.array(odd))), add_special_tokens=False)
+        more, starts, sizes = table_of([array("i", x.ids).tobytes() for x in whole])
+        first, lengths = np.empty(len(texts), np.int64), np.empty(len(texts), np.int64)
+        first[~odd], lengths[~odd] = bounds[:-1], np.diff(bounds)
+        first[odd], lengths[odd] = len(ids) + starts, sizes
+        return gather(np.concatenate([ids, more]), first, lengths), np.concatenate([[0], np.cumsum(lengths)])
+
+
+def _strange(split_alike, least: int = 16, top: int = 1 << 16) -> str:
+    """A class of the characters up to `top` (in runs of `least`) at which two splitters disagree, and all beyond."""
+    ranges: list[tuple[int, int]] = []
+
+    def hunt(start: int, size: int) -> None:
+        own = [chr(c) for c in range(start, start + size) if c and not 0xD800 <= c < 0xE000]
+        if own and not split_alike("".join(f"a{c}b {c}1{c} " for c in own)):
+            if size > least:
+                for at in range(start, start + size, size // 4):
+                    hunt(at, size // 4)
+            else:
+                ranges.append((start, start + size - 1))
+
+    for at in range(0, top, 1024):
+        hunt(at, 1024)
+    return "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in [*ranges, (top, 0x10FFFF)]) + "]"
+
+
+def encoder_options(vocabulary: bytes) -> tuple[bytes, str | None]:
+    """What LibraryEncoder takes, found out on the driver from a vocabulary file; the splitters are compared by probes."""
+    import regex
+    import tokenizers
 
-
-def encoder_options(vocabulary: bytes) -> tuple[bytes, bool, tuple[str, ...]]:
-    """What LibraryEncoder takes, read from a vocabulary file on the driver."""
     spec = json.loads(vocabulary)
     splitter = spec.get("pre_tokenizer") or {}
-    plain = splitter.get("type") == "ByteLevel" and not splitter.get("add_prefix_space") and splitter.get("use_regex", True) and not spec.get("normalizer")
-    return vocabulary, bool(plain), tuple(x["content"] for x in spec.get("added_tokens", []))
+    if splitter.get("type") != "ByteLevel" or splitter.get("add_prefix_space") or not splitter.get("use_regex", True) or spec.get("normalizer"):
+        return vocabulary, None
+    own, theirs = regex.compile(public_tokenizers.PATTERN).findall, tokenizers.Tokenizer.from_buffer(vocabulary).pre_tokenizer.pre_tokenize_str
+    strange = _strange(lambda probe: [x for x, _ in theirs(probe)] == list(map(byte_mapped, own(probe))))
+    return vocabulary, "|".join([strange, *(regex.escape(x["content"], special_only=True) for x in spec.get("added_tokens", []))])
 
 
-def library_encoder(vocabulary: bytes, by_pretoken: bool, added: tuple[str, ...]) -> LibraryEncoder:
+def library_encoder(vocabulary: bytes, odd: str | None) -> LibraryEncoder:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return resident("library", (vocabulary, by_pretoken, added), lambda: LibraryEncoder(vocabulary, by_pretoken, added))
+    return resident("library", (vocabulary, odd), lambda: LibraryEncoder(vocabulary, odd))
 
 
 def write_token_files(
@@ -220,12 +255,16 @@ def write_token_files(
     block_ids: int = 128,
     percentile: float = 0.9,
     segment_ids: int = 1 << 18,
+    segment_docs: int = 1 << 14,
     file_segments: int = 16,
+    segment_bytes: int = 8 << 20,
 ) -> None:
     """Encode docs and write their ids to files under `path`, in ascending order of the integer column id_col.
 
     Rows are dealt by ranges of (id, hash of the text): one shuffle of the texts, whose ties are split too. A task
-    holds one segment's ids at a time. Sizes: segments close at segment_ids ids; a file has file_segments segments.
+    holds one segment's ids at a time. Sizes: segments close at segment_ids ids or segment_docs documents; a file has
+    file_segments lines. A segment of over segment_bytes (a very long text) is followed by an empty line for each
+    segment_bytes of its own, so files have file_segments times that and one segment at most.
     """
     spark = docs.sparkSession
     bound_batches(spark)
@@ -240,7 +279,7 @@ def write_token_files(
 
         def image() -> pa.RecordBatch:
             data = write_segment(doc_ids, encoded, part, seq, before, block_ids, percentile)
-            return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["image"])
+            return pa.RecordBatch.from_arrays([pa.array([data, *[b""] * (len(data) // segment_bytes)], pa.binary())], ["image"])
 
         for batch in batches:
             names = iter(batch.column(0).to_pylist())
@@ -250,7 +289,7 @@ def write_token_files(
                     doc_ids.append(next(names))
                     encoded.append(ids[a:b].tobytes() + end)
                     held += b - a + 1
-                    if held >= segment_ids:
+                    if held >= segment_ids or len(doc_ids) >= segment_docs:
                         yield image()
                         seq, before, held, doc_ids, encoded = seq + 1, before + held, 0, [], []
         if doc_ids:
