@@ -1,16 +1,17 @@
 """Secret scans: fixed patterns, and a battery of randomness tests for what no pattern knows.
 
 Base spans come from patterns for assignments, access keys and hexadecimal runs. The battery looks at every other run of
-at least `min_length` characters of the base64 alphabets (both kinds, with padding): the narrowest common encoding that
-holds all its characters is inferred (hexadecimal, base 32, 36, 62, 64, 64 for URLs), and three tests ask whether the run
-may be a uniform draw of that alphabet: chi-squared over the characters' counts, the number of runs above and below
-the alphabet's middle, and the correlation of neighbours. The run's score is the least of the three p-values times three,
-at most 1; ordinary words score low, the lower the longer they are.
-
-How high a score has to be depends on the length: long words of ordinary text that are as long as the run, letters of the
-run's own document with their separators left out, are scored as decoys. For each class of lengths, over the whole corpus,
-the threshold is the lowest score at which (decoys that pass + 1) / runs that pass is at most `rate` - an estimate of the
-share of false discoveries. A class in which no threshold does so gives no spans, so a small corpus gives few.
+at least `min_length` characters of the base64 alphabets (both kinds, with padding), and at the base spans' values: the
+narrowest common encoding that holds all characters is inferred (hexadecimal, base 32, 36, 62, 64, 64 for URLs), and four
+tests ask whether they may be a uniform draw of that alphabet: chi-squared over the characters' counts, and over those of
+digits, small and capital letters (cells that short runs fill, too), the number of runs above and below the alphabet's
+middle, and the correlation of neighbours. The score is the least of the four p-values times four, at most 1.
+
+How high a score has to be depends on the length. Each document gives a decoy for each class of lengths: that many
+characters of its ordinary text in a row, separators left out. The share of a class's decoys that score as high, one
+added above and below, is a run's p-value as ordinary text; in each class Benjamini and Hochberg's step-up over all runs of
+the corpus (and one of its own over all base values, which stay in any case) keeps the share of false discoveries at `rate`. A class with fewer than `least_decoys` takes those of the next
+shorter class, which pass more easily. So a single random key in a small corpus can be found, of any length.
 
 Null and empty texts have no spans. Texts are scanned whole; spans are code points, end exclusive. Repeated rows are scanned
 alike, but count each in the corpus' estimate. An empty table stays empty.
@@ -21,8 +22,10 @@ from __future__ import annotations
 import math
 import re
 from bisect import bisect_right
-from itertools import pairwise
+from collections import defaultdict
+from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,160 +53,199 @@ ENCODINGS = {
     "base64url": UPPER + LOWER + DIGITS + "-_",
     "base66": UPPER + LOWER + DIGITS + "+/-_",
 }
-_PLACES = {name: {c: i for i, c in enumerate(alphabet)} for name, alphabet in ENCODINGS.items()}
+_NAMES = tuple(ENCODINGS)
+#: For each byte the encodings (a bit each) that have it, its place in each, and whether it is a digit or sign, small or capital.
+_HOLDS = np.array([sum(1 << e for e, x in enumerate(ENCODINGS.values()) if chr(c) in x) for c in range(256)], np.uint8)
+_PLACES = np.array([[max(0, x.find(chr(c))) for c in range(256)] for x in ENCODINGS.values()])
+_SORTS = np.array([1 if chr(c) in LOWER else 2 if chr(c) in UPPER else 0 for c in range(256)])
+_NO_TEXT = bytes(c for c in range(256) if not _HOLDS[c])
 #: Classes of lengths begin at these.
-LENGTH_CLASSES = (0, 24, 32, 40, 48, 64, 96, 128, 256, 1024)
+LENGTH_CLASSES = (12, 16, 20, 24, 32, 40, 48, 64, 96, 128, 256, 1024)
 SCORE_BINS = 200
 
-SPAN = "struct<kind: int, start: int, end: int>"
-FOUND = f"struct<base: array<{SPAN}>, runs: array<struct<start: int, end: int, encoding: string, cls: int, bin: int, decoy: int>>>"
+SPAN = "struct<kind: int, start: int, end: int, encoding: string, cls: int, bin: int>"
+FOUND = f"struct<base: array<{SPAN}>, runs: array<{SPAN}>, decoys: array<int>>"
 
 
-def base_spans(text: str) -> list[tuple[int, int, int]]:
-    """(kind, start, end) of the fixed patterns, leftmost and without overlap within a kind, by start and kind."""
+def base_values(text: str) -> list[tuple[int, int, int, str]]:
+    """(kind, start, end, value) of the fixed patterns, leftmost and without overlap within a kind, by start and kind."""
     low = text.lower()
     out = []
     if any(k in low for k in KEYWORDS):
-        out += [(0, m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= ASSIGN_LEAST]
+        out += [(0, m.start(), m.end(), m[2]) for m in ASSIGN.finditer(text) if len(m[2]) >= ASSIGN_LEAST]
     if "AKIA" in text:
-        out += [(1, m.start(), m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= ACCESS_LEAST]
-    out += [(2, m.start(), m.end()) for m in HEX.finditer(text)]
+        out += [(1, m.start(), m.end(), m[0]) for m in ACCESS.finditer(text) if m.end() - m.start() >= ACCESS_LEAST]
+    out += [(2, m.start(), m.end(), m[0]) for m in HEX.finditer(text)]
     return sorted(out, key=lambda s: (s[1], s[0]))
 
 
-def infer(run: str) -> str:
-    """The narrowest encoding that has all characters of a run."""
-    own = set(run)
-    return next(name for name, places in _PLACES.items() if own <= places.keys())
+def base_spans(text: str) -> list[tuple[int, int, int]]:
+    return [x[:3] for x in base_values(text)]
 
 
-def _two_sided(z: float) -> float:
-    return math.erfc(abs(z) / math.sqrt(2))
+def _two_sided(z: np.ndarray) -> np.ndarray:
+    return np.array([math.erfc(abs(x) / math.sqrt(2)) for x in z.tolist()])
 
 
-def chi_squared(places: list[int], size: int) -> float:
-    """Upper p-value of uniformity over `size` characters (Wilson and Hilferty's cube root)."""
-    counts = [0] * size
-    for x in places:
-        counts[x] += 1
-    n, df = len(places), size - 1
-    stat = size / n * sum(c * c for c in counts) - n
+def _upper(stat: np.ndarray, df: int) -> np.ndarray:
+    """Upper p-values of chi-squared: exact for 1 and 2 degrees of freedom, else by Wilson and Hilferty's cube root."""
+    if df < 3:
+        return _two_sided(np.sqrt(stat)) if df == 1 else np.exp(-stat / 2)
     z = ((stat / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
-    return 0.5 * math.erfc(z / math.sqrt(2))
-
-
-def runs_test(places: list[int], size: int) -> float:
-    """Two-sided p-value of the number of runs below and above the alphabet's middle; 0 if all lie on one side."""
-    above = [2 * x >= size for x in places]
-    n, a = len(above), sum(above)
-    b = n - a
-    if not a or not b:
-        return 0.0
-    mean = 2 * a * b / n + 1
-    spread = math.sqrt(max(1e-12, (mean - 1) * (mean - 2) / (n - 1)))
-    return _two_sided((1 + sum(x != y for x, y in pairwise(above)) - mean) / spread)
-
-
-def serial_test(places: list[int]) -> float:
-    """Two-sided p-value of the correlation of neighbours; 0 if all are equal."""
-    n, mean = len(places), sum(places) / len(places)
-    total = sum((x - mean) ** 2 for x in places)
-    if not total:
-        return 0.0
-    r = sum((x - mean) * (y - mean) for x, y in pairwise(places)) / total
-    return _two_sided((r + 1 / n) * math.sqrt(n))
+    return np.array([0.5 * math.erfc(x / math.sqrt(2)) for x in z.tolist()])
+
+
+def chi_squared(cells: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """P-values of rows of cells (numbers from 0 on) whose shares are given."""
+    n, size = cells.shape[1], len(shares)
+    counts = np.bincount((np.arange(len(cells))[:, None] * size + cells).ravel(), minlength=len(cells) * size).reshape(-1, size)
+    return _upper(np.maximum((counts**2 / (shares * n)).sum(axis=1) - n, 0), size - 1)
+
+
+def runs_test(above: np.ndarray) -> np.ndarray:
+    """Two-sided p-values of the number of runs in rows of true and false; 0 if all are alike."""
+    n, a = above.shape[1], above.sum(axis=1)
+    mean = 2 * a * (n - a) / n + 1
+    spread = np.sqrt(np.maximum(1e-12, (mean - 1) * (mean - 2) / (n - 1)))
+    p = _two_sided((1 + (above[:, 1:] != above[:, :-1]).sum(axis=1) - mean) / spread)
+    return np.where((a > 0) & (a < n), p, 0.0)
+
+
+def serial_test(places: np.ndarray) -> np.ndarray:
+    """Two-sided p-values of the correlation of neighbours in rows of numbers; 0 if all are equal."""
+    n = places.shape[1]
+    d = places - places.mean(axis=1, keepdims=True)
+    total = (d**2).sum(axis=1)
+    r = (d[:, 1:] * d[:, :-1]).sum(axis=1) / np.where(total > 0, total, 1)
+    return np.where(total > 0, _two_sided((r + 1 / n) * math.sqrt(n)), 0.0)
+
+
+def scores(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Inferred encodings (their places in ENCODINGS) and scores of rows of characters of the alphabets, of equal length."""
+    holds = np.bitwise_and.reduce(_HOLDS[windows], axis=1)
+    encoding = np.array([(int(x) & -int(x)).bit_length() - 1 for x in holds])
+    out = np.zeros(len(windows))
+    for e in np.unique(encoding):
+        own = encoding == e
+        alphabet = np.frombuffer(ENCODINGS[_NAMES[e]].encode(), np.uint8)
+        places, size = _PLACES[e][windows[own]], len(alphabet)
+        sorts, shares = np.unique(_SORTS[alphabet], return_counts=True)
+        cells = np.searchsorted(sorts, _SORTS[windows[own]])
+        tests = [chi_squared(places, np.full(size, 1 / size)), chi_squared(cells, shares / size), runs_test(2 * places >= size), serial_test(places.astype(np.float64))]
+        out[own] = np.minimum(1.0, len(tests) * np.min(tests, axis=0))
+    return encoding, out
 
 
 def score(run: str) -> tuple[str, float]:
     """The inferred encoding of a run without padding, and how well it passes for a uniform draw (0 to 1)."""
-    name = infer(run)
-    places, size = [_PLACES[name][c] for c in run], len(ENCODINGS[name])
-    return name, min(1.0, 3 * min(chi_squared(places, size), runs_test(places, size), serial_test(places)))
-
-
-def _bin(p: float) -> int:
-    return min(SCORE_BINS - 1, int(p * SCORE_BINS))
-
-
-def decoy(letters: str, at: int, length: int) -> str | None:
-    """`length` letters of ordinary text from before a place, or from its start on, or none if there are too few."""
-    if len(letters) < length:
-        return None
-    end = max(length, min(at, len(letters)))
-    return letters[end - length : end]
-
-
-def random_runs(text: str, base: list[tuple[int, int, int]], pattern: re.Pattern) -> list[dict]:
-    """Runs that touch no base span, with class of length, bin of score, and the bin of a decoy's score (-1: none)."""
-    found = [m for m in pattern.finditer(text) if not any(a < m.end() and m.start() < b for _, a, b in base)]
-    if not found:
-        return []
-    pieces, at, offsets = [], 0, []
-    taken = sorted([(m.start(), m.end()) for m in found] + [(a, b) for _, a, b in base])
-    length = 0
-    for a, b in [*taken, (len(text), len(text))]:
-        if a > at:
-            pieces.append(re.sub(r"[^A-Za-z]+", "", text[at:a]))
-            length += len(pieces[-1])
-        offsets.append((a, length))
-        at = max(at, b)
-    letters, before = "".join(pieces), dict(reversed(offsets))
-    out = []
-    for m in found:
-        run = m[0].rstrip("=")
-        name, p = score(run)
-        other = decoy(letters, before[m.start()], len(run))
-        out.append({"start": m.start(), "end": m.end(), "encoding": name, "cls": bisect_right(LENGTH_CLASSES, len(run)) - 1, "bin": _bin(p), "decoy": -1 if other is None else _bin(score(other)[1])})
+    encoding, p = scores(np.frombuffer(run.encode(), np.uint8)[None])
+    return _NAMES[encoding[0]], float(p[0])
+
+
+def _scored(runs: list[bytes]) -> list[tuple[str, int, int]]:
+    """(encoding, class of length, bin of the score) of each run; runs of a length are scored together."""
+    lengths = defaultdict(list)
+    for i, run in enumerate(runs):
+        lengths[len(run)].append(i)
+    out: list = [None] * len(runs)
+    for n, own in lengths.items():
+        if n < 2:
+            encoding, p = np.zeros(len(own), int), np.zeros(len(own))
+        else:
+            encoding, p = scores(np.frombuffer(b"".join(runs[i] for i in own), np.uint8).reshape(-1, n))
+        cls = max(0, bisect_right(LENGTH_CLASSES, n) - 1)
+        for i, e, x in zip(own, encoding.tolist(), p.tolist(), strict=True):
+            out[i] = (_NAMES[e], cls, min(SCORE_BINS - 1, int(x * SCORE_BINS)))
     return out
 
 
-def scan(docs: DataFrame, text_col: str = "text", found_col: str = "found", min_length: int = 20) -> DataFrame:
-    """docs with base spans and scored runs of every text; row by row, without a shuffle."""
+def decoys(ordinary: bytes) -> list[bytes]:
+    """For each class of lengths as many characters in a row, at a place that hangs on the text; empty where it is too short."""
+    spare = [len(ordinary) - n + 1 for n in LENGTH_CLASSES]
+    at = crc32(ordinary)
+    return [ordinary[at % k : at % k + n] if k > 0 else b"" for n, k in zip(LENGTH_CLASSES, spare, strict=True)]
+
+
+def random_runs(text: str, base: list[tuple], pattern: re.Pattern) -> tuple[list[re.Match], bytes]:
+    """Runs that touch no base span, and the characters of the alphabets in all the rest of the text."""
+    found, taken, k = [], [], 0
+    reach = sorted((x[1], x[2]) for x in base)
+    end = 0  # of the base spans that begin before the run
+    for m in pattern.finditer(text):
+        while k < len(reach) and reach[k][0] < m.end():
+            end = max(end, reach[k][1])
+            k += 1
+        if m.start() >= end:
+            found.append(m)
+            taken.append(m.span())
+    pieces, at = [], 0
+    for a, b in sorted([*taken, *reach]):
+        pieces.append(text[at : max(a, at)])
+        at = max(at, b)
+    return found, "".join([*pieces, text[at:]]).encode().translate(None, _NO_TEXT)
+
+
+def scan(docs: DataFrame, text_col: str = "text", found_col: str = "found", min_length: int = 16) -> DataFrame:
+    """docs with base spans, scored runs and decoys of every text; row by row, without a shuffle."""
     bound_batches(docs.sparkSession)
     pattern = re.compile(RUN % min_length)
 
     @F.arrow_udf(FOUND)
     def found(texts: pa.Array) -> pa.Array:
-        rows = []
+        spans: dict[str, list] = {"base": [], "runs": []}
+        drawn: list[list[int]] = []
         for _, part in slices(texts):
-            for text in part:
-                base = base_spans(text)
-                rows.append({"base": [{"kind": k, "start": a, "end": b} for k, a, b in base], "runs": random_runs(text, base, pattern)})
-        span = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
-        run = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("encoding", pa.string()), ("cls", pa.int32()), ("bin", pa.int32()), ("decoy", pa.int32())])
-        return pa.array(rows, pa.struct([("base", pa.list_(span)), ("runs", pa.list_(run))]))
+            own = [(base := base_values(text), *random_runs(text, base, pattern)) for text in part]
+            values = [[re.sub("[^A-Za-z0-9+/_-]", "", v).encode() for *_, v in base] for base, _, _ in own]
+            runs = [[m[0].rstrip("=").encode() for m in more] for _, more, _ in own]
+            chances = [decoys(ordinary) for *_, ordinary in own]
+            scored = iter(_scored([x for groups in (values, runs, chances) for group in groups for x in group]))
+            spans["base"] += [[(k, a, b, *next(scored)) for k, a, b, _ in base] for base, _, _ in own]
+            spans["runs"] += [[(3, *m.span(), *next(scored)) for m in more] for _, more, _ in own]
+            drawn += [[s[2] if x else -1 for x, s in zip(group, scored, strict=False)] for group in chances]
+        span = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("encoding", pa.string()), ("cls", pa.int32()), ("bin", pa.int32())])
+        lists = [pa.array([[dict(zip(span.names, x, strict=True)) for x in row] for row in spans[c]], pa.list_(span)) for c in ("base", "runs")]
+        return pa.StructArray.from_arrays([*lists, pa.array(drawn, pa.list_(pa.int32()))], ["base", "runs", "decoys"])
 
     return docs.withColumn(free_name(docs.columns, found_col), found(F.col(text_col).cast("string")))
 
 
-def thresholds(scanned: DataFrame, found_col: str = "found", rate: float = 0.05) -> list[int]:
-    """For each class of lengths the least bin of a score that counts as random (SCORE_BINS: none).
+def thresholds(scanned: DataFrame, found_col: str = "found", rate: float = 0.05, least_decoys: int = 200) -> tuple[list[int], list[int]]:
+    """For runs and for base values: of each class of lengths the least bin of a score that counts as random (SCORE_BINS: none).
 
-    Counts by class and bin are summed over the corpus; classes x bins rows at most come to the driver.
+    Counts by class and bin are summed over the corpus; classes x bins x 3 rows at most come to the driver.
     """
-    runs = scanned.select(F.explode(F.col(found_col)["runs"]).alias("r")).select(F.col("r")["cls"].alias("cls"), F.explode(F.array(F.struct(F.lit(True).alias("real"), F.col("r")["bin"].alias("bin")), F.struct(F.lit(False).alias("real"), F.col("r")["decoy"].alias("bin")))).alias("x"))
-    counts = runs.groupBy("cls", "x.real", "x.bin").count().collect()
-    table = {(r["cls"], r["real"], r["bin"]): r["count"] for r in counts}
+    found = F.col(found_col)
+    sets = [scanned.select(F.explode(found[c]).alias("r")).select(F.lit(k).alias("set"), F.col("r.cls").alias("cls"), F.col("r.bin").alias("bin")) for k, c in enumerate(("runs", "base"))]
+    drawn = scanned.select(F.posexplode(found["decoys"]).alias("cls", "bin")).select(F.lit(2).alias("set"), "cls", "bin")
+    table = np.zeros((3, len(LENGTH_CLASSES), SCORE_BINS))
+    for r in sets[0].unionByName(sets[1]).unionByName(drawn).where("bin >= 0").groupBy("set", "cls", "bin").count().collect():
+        table[r["set"], r["cls"], r["bin"]] = r["count"]
+    return step_up(table[0], table[2], rate, least_decoys), step_up(table[1], table[2], rate, least_decoys)
+
+
+def step_up(runs: np.ndarray, drawn: np.ndarray, rate: float, least_decoys: int) -> list[int]:
+    """thresholds() out of the counts of spans and decoys (classes x bins)."""
     out = []
-    for cls in range(len(LENGTH_CLASSES)):
-        least, real, false = SCORE_BINS, 0, 0
-        drawn = sum(n for (c, r, b), n in table.items() if c == cls and not r and b >= 0)
-        total = sum(n for (c, r, _), n in table.items() if c == cls and r)
-        for b in range(SCORE_BINS - 1, -1, -1):
-            real += table.get((cls, True, b), 0)
-            false += table.get((cls, False, b), 0)
-            if drawn and real and (false * total / drawn + 1) / real <= rate:
-                least = b
-        out.append(least)
+    for cls in range(len(runs)):
+        enough = [c for c in range(cls + 1) if drawn[c].sum() >= least_decoys]
+        null = drawn[enough[-1] if enough else int(drawn[: cls + 1].sum(axis=1).argmax())]
+        passed = runs[cls][::-1].cumsum()[::-1]
+        p = (null[::-1].cumsum()[::-1] + 1) / (null.sum() + 1)
+        good = np.flatnonzero((passed > 0) & (p * passed[0] <= rate * passed))
+        out.append(int(good[0]) if len(good) else SCORE_BINS)
     return out
 
 
+def passes(least: list[int]):
+    """Whether a scored span counts as random."""
+    known = F.array(*[F.lit(x) for x in least])
+    return lambda r: r["bin"] >= F.get(known, r["cls"])
+
+
 def spans(found: Column, least: list[int]) -> Column:
     """All spans, base and random, by start and kind."""
-    known = F.array(*[F.lit(x) for x in least])
-    passed = F.filter(found["runs"], lambda r: r["bin"] >= F.get(known, r["cls"]))
-    added = F.transform(passed, lambda r: F.struct(F.lit(3).alias("kind"), r["start"].alias("start"), r["end"].alias("end")))
-    return F.array_sort(F.transform(F.concat(found["base"], added), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
+    return F.array_sort(F.transform(F.concat(found["base"], F.filter(found["runs"], passes(least))), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
 
 
 def joined(own: Column) -> Column:
@@ -213,10 +255,11 @@ def joined(own: Column) -> Column:
 
 
 def op6_secrets(spark, sf_dir: str) -> DataFrame:
-    """Secrets in every document: counts and a digest of the base spans, and all spans."""
+    """Secrets in every document: counts and a digest of the base spans, all spans, and base values that pass as random."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     scanned = materialise(scan(docs.select("doc_id", "text")).drop("text"), "secrets")
-    all_spans = scanned.withColumn("own", spans(F.col("found"), thresholds(scanned)))
+    least, least_base = thresholds(scanned)
+    all_spans = scanned.withColumn("own", spans(F.col("found"), least))
     count = lambda k: F.size(F.filter("own", lambda s: s["kind"] == k)).cast("long")
     base = F.filter("own", lambda s: s["kind"] < 3)
     return all_spans.select(
@@ -226,4 +269,5 @@ def op6_secrets(spark, sf_dir: str) -> DataFrame:
         count(2).alias("n_hex"),
         F.sha2(joined(base), 256).alias("base_sha256"),
         joined(F.col("own")).alias("spans"),
+        F.size(F.filter(F.col("found")["base"], passes(least_base))).cast("long").alias("n_random_base"),
     )
