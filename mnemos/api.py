@@ -170,13 +170,13 @@ class MemoryEngine:
     def entities(self, user_id: str, q: str | None = None, entity_type: str | None = None, tenant_id: str | None = None, limit: int = 50) -> list[dict]:
         return [r.asDict() for r in lookup.search_entities(self.store.read("entities"), user_id, q, entity_type, tenant_id, limit).collect()]
 
-    def impact(self, user_id: str, entity: str, direction: str = "inbound", max_hops: int | None = None) -> list[dict]:
+    def impact(self, user_id: str, entity: str, direction: str = "inbound", max_hops: int | None = None, tenant_id: str | None = None) -> list[dict]:
         self._within("max_hops", max_hops, 1, 5)
-        e = self.store.read("entities")
+        e = graph.of_tenant(self.store.read("entities"), tenant_id)
         seeds = graph.with_seeds(self._one("seed_id long, user_id string, entity_name string", seed_id=0, user_id=user_id, entity_name=entity), e)
         if seeds.isEmpty():
             raise KeyError(entity)
-        found = graph.impact(seeds, e, self.store.read("relations"), direction, max_hops, self.config)
+        found = graph.impact(seeds, e, self.store.read("relations"), direction, max_hops, self.config, tenant_id)
         return [{"hops": r["hops"], "nodes": [n.asDict() for n in r["nodes"]], "edges": [x.asDict() for x in r["edges"]]} for r in graph.ranked(found).orderBy("rank").collect()]
 
     # --- feedback
@@ -213,6 +213,7 @@ class MemoryEngine:
         return told
 
     def reembed(self, dry_run: bool = False, **options) -> dict:
+        """Bring all vectors up to date; all users' rows are embedded in Arrow batches of one distributed plan."""
         memories, vectors, report = migrate.reembed(self.store.read("memories"), self.store.read("embeddings"), self._now(), self.config, dry_run=dry_run, embed=self.embed, **options)
         told = report.first().asDict()
         if not dry_run:
