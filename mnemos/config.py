@@ -58,6 +58,9 @@ class EngineConfig:
     # vocabularies
     stacks: dict[str, tuple[str, ...]] = field(default_factory=lambda: V.STACKS)
     topics: dict[str, tuple[str, ...]] = field(default_factory=lambda: V.TOPICS)
+    databases: dict[str, tuple[str, ...]] = field(default_factory=lambda: {d: (d,) for d in V.DATABASES} | {"postgresql": ("postgres",)})
+    languages: dict[str, tuple[str, ...]] = field(default_factory=lambda: V.LANGUAGES)
+    conflict_negation: str = V.CONFLICT_NEGATION
     fact_patterns: tuple[str, ...] = V.FACT_PATTERNS
     chitchat_patterns: tuple[str, ...] = V.CHITCHAT_PATTERNS
 

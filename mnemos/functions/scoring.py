@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column
@@ -45,7 +46,10 @@ def passes(score: Column, lexical: Column, least: Column | float, floor: float)
 
 
 def _hits(text: Column, patterns: Iterable[str]) -> Column:
-    return sum((F.when(text.rlike(f"(?iU){p}"), 1).otherwise(0) for p in patterns), F.lit(0))
+    """How many of the patterns occur; those without special characters are searched as they are."""
+    low = F.lower(text)
+    found = [F.contains(low, F.lit(p.lower())) if re.escape(p) == p else text.rlike(f"(?iU){p}") for p in patterns]
+    return sum((F.when(x, 1).otherwise(0) for x in found), F.lit(0))
 
 
 def importance(content: Column, kind: Column, pinned: Column, config: EngineConfig = DEFAULT) -> Column:

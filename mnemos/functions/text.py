@@ -56,11 +56,34 @@ def hit_score(keys: Column, content: Column) -> Column:
     return share(inside(keys, F.lower(content)), keys)
 
 
+def _bound(values: Column, then) -> Column:
+    """then(values), with the struct evaluated once."""
+    return F.get(F.transform(F.array(values), then), F.lit(0))
+
+
+def mostly_inside(keys: Column, text: Column, least: float = HIT_SCORE_NEAR) -> Column:
+    """Whether hit_score(keys, text) reaches `least`, for distinct keys that tokens() gave.
+
+    Keys that are tokens of the text occur in it; others are searched in its distinct tokens, longest first, until too
+    many are missing.
+    """
+    longest = lambda ks: F.reverse(F.array_sort(F.transform(ks, lambda k: F.struct(F.length(k).alias("n"), k.alias("k")))))
+    sets = F.struct(keys.alias("keys"), F.array_distinct(tokens(text, 2)).alias("own"))
+    parts = _bound(sets, lambda s: F.struct(F.size(s["keys"]).alias("n"), longest(F.array_except(s["keys"], s["own"])).alias("rest"), F.array_join(s["own"], " ").alias("joined")))
+
+    def decide(p: Column) -> Column:
+        enough = lambda missing: (p["n"] - missing) / F.greatest(p["n"], F.lit(1)) >= least
+        missing = F.aggregate(p["rest"], F.lit(0), lambda m, x: F.when(enough(m) & ~F.contains(p["joined"], x["k"]), m + 1).otherwise(m))
+        return (p["n"] > 0) & enough(missing)
+
+    return _bound(parts, decide)
+
+
 def near_duplicate(a: Column, b: Column, keys_a: Column | None = None, keys_b: Column | None = None) -> Column:
     """Equal but for outer white space, or most keys of each in the other."""
     keys_a = query_keys(a) if keys_a is None else keys_a
     keys_b = query_keys(b) if keys_b is None else keys_b
-    return (strip(a) == strip(b)) | ((hit_score(keys_a, b) >= HIT_SCORE_NEAR) & (hit_score(keys_b, a) >= HIT_SCORE_NEAR))
+    return (strip(a) == strip(b)) | (mostly_inside(keys_a, b) & mostly_inside(keys_b, a))
 
 
 def overlap(keys_a: Column, keys_b: Column) -> Column:

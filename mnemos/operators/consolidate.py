@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from mnemos.config import DEFAULT, EngineConfig
 from mnemos.functions import scoring as S
 from mnemos.functions import vocabulary as V
-from mnemos.functions.text import bigrams, has_any, matching, overlap, stacks, strip, tokens
+from mnemos.functions.text import bigrams, has_any, matching, overlap, strip, tokens
 from mnemos.functions.vector import small
 from mnemos.operators.graph import new_id
 from mnemos.operators.lookup import active, recent_order
@@ -31,17 +31,16 @@ def keys(text: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(tokens(text, 2), lambda t: F.concat(F.array(t), bigrams(t)))))
 
 
-def topic_conflict(a: Column, b: Column, topic: Column) -> Column:
+def topic_conflict(a: Column, b: Column, topic: Column, config: EngineConfig = DEFAULT) -> Column:
     """Whether two texts disagree on a topic: other databases, other languages, or a negation with words in common."""
-    databases = {d: (d,) for d in V.DATABASES} | {"postgresql": ("postgres",)}
     apart = lambda x, y: (F.size(x) > 0) & (F.size(y) > 0) & (F.array_sort(x) != F.array_sort(y))
 
     def spoken(text: Column) -> Column:
         go = F.when(F.lower(text).rlike(r"(?U)\bgo\b"), F.array(F.lit("golang"))).otherwise(F.array().cast("array<string>"))
-        return F.array_union(matching(text, V.LANGUAGES), go)
+        return F.array_union(matching(text, config.languages), go)
 
-    negated = F.concat(F.lower(a), F.lower(b)).rlike(V.CONFLICT_NEGATION) & (overlap(keys(a), keys(b)) >= NEGATED_OVERLAP)
-    return F.when(topic == "database", apart(matching(a, databases), matching(b, databases))).when(topic == "backend_lang", apart(spoken(a), spoken(b))).otherwise(negated)
+    negated = F.concat(F.lower(a), F.lower(b)).rlike(config.conflict_negation) & (overlap(keys(a), keys(b)) >= NEGATED_OVERLAP)
+    return F.when(topic == "database", apart(matching(a, config.databases), matching(b, config.databases))).when(topic == "backend_lang", apart(spoken(a), spoken(b))).otherwise(negated)
 
 
 def conflicts(memories: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
@@ -53,7 +52,7 @@ def conflicts(memories: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
     rank = F.struct(F.col("pinned"), (F.col("source") == "reflection").alias("reflected"), F.col("weight"), F.coalesce("updated_at", "created_at").alias("at"), F.col("id"), F.col("content"))
     winners = rows.groupBy("user_id", "topic").agg(F.max(rank).alias("w"), F.count("*").alias("n")).where("n > 1").select("user_id", "topic", F.col("w.id").alias("winner"), F.col("w.content").alias("kept"))
     met = rows.join(small(winners), ["user_id", "topic"]).where("NOT pinned AND id <> winner")
-    return met.where(topic_conflict(F.col("kept"), F.col("content"), F.col("topic"))).select("user_id", "topic", "winner", F.col("id").alias("loser"))
+    return met.where(topic_conflict(F.col("kept"), F.col("content"), F.col("topic"), config)).select("user_id", "topic", "winner", F.col("id").alias("loser"))
 
 
 def candidates(memories: DataFrame) -> DataFrame:
@@ -207,8 +206,3 @@ def consolidate(memories: DataFrame, embeddings: DataFrame, now: Column, config:
     for part in (touched, retired, squeezed, forgotten):
         report = report.join(part, "user_id", "left")
     return rows, vectors, report.na.fill(0)
-
-
-def shared_stacks(memories: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
-    """Which technology stacks each active memory names."""
-    return active(memories).select("id", "user_id", stacks(F.col("content"), config.stacks).alias("stacks"))

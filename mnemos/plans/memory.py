@@ -151,22 +151,18 @@ def recall_with_session(spark, d):
     return _recall(spark, d, OPEN, items)
 
 
-def next_turns(spark, d):
-    """Every turn of a conversation as a question, and the text of the turn after it."""
-    t = V.table(spark, d, "conversations")
-    after = t.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("content"))
-    return t.select("conv_id", "turn", F.col("text").alias("query")).join(after, ["conv_id", "turn"])
-
-
-TURNS_SQL = "p AS (SELECT a.conv_id, a.turn, a.text AS query, b.text AS content FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)"
+def _asked(spark, d):
+    """Whole documents with each benchmark item whose number leaves the same rest, as questions."""
+    q = V.table(spark, d, "benchmark").select("item_id", F.col("text").alias("query"), F.expr("item_id % 40").alias("k"))
+    return V.memories(spark, d).select("id", "content", F.expr("n % 40").alias("k")).join(q, "k")
 
 
 @query(f"""
-    WITH {TURNS_SQL}, q AS (SELECT *, {V.TOKENS_SQL.format("query", 1)} AS toks FROM p)
-    SELECT conv_id, turn, round(CASE WHEN len(toks) = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(len(list_filter(toks, lambda t: contains(lower(content), t))) AS DOUBLE) / len(toks) END, 6) AS lexical FROM q
+    WITH {V.MEMORIES_SQL}, q AS (SELECT item_id, {V.TOKENS_SQL.format("text", 1)} AS toks FROM benchmark)
+    SELECT id, item_id, round(CASE WHEN len(toks) = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(len(list_filter(toks, lambda t: contains(lower(content), t))) AS DOUBLE) / len(toks) END, 6) AS lexical FROM memories m JOIN q ON m.n % 40 = q.item_id % 40
 """)
 def lexical_similarity_scores(spark, d):
-    return next_turns(spark, d).select("conv_id", "turn", r6("lexical", lexical_similarity(F.col("content"), tokens(F.col("query")))))
+    return _asked(spark, d).select("id", "item_id", r6("lexical", lexical_similarity(F.col("content"), tokens(F.col("query")))))
 
 
 @query(f"""
@@ -193,11 +189,11 @@ def near_duplicate_pairs(spark, d):
 
 
 @query(f"""
-    WITH {TURNS_SQL}, q AS (SELECT *, list_distinct({V.TOKENS_SQL.format("query", 2)}) AS k FROM p)
-    SELECT conv_id, turn, round(CASE WHEN len(k) = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(len(list_filter(k, lambda x: contains(lower(content), x))) AS DOUBLE) / len(k) END, 6) AS hit FROM q
+    WITH {V.MEMORIES_SQL}, q AS (SELECT item_id, list_distinct({V.TOKENS_SQL.format("text", 2)}) AS k FROM benchmark)
+    SELECT id, item_id, round(CASE WHEN len(k) = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(len(list_filter(k, lambda x: contains(lower(content), x))) AS DOUBLE) / len(k) END, 6) AS hit FROM memories m JOIN q ON m.n % 40 = q.item_id % 40
 """)
 def lexical_hit_scores(spark, d):
-    return next_turns(spark, d).select("conv_id", "turn", r6("hit", hit_score(query_keys(F.col("query")), F.col("content"))))
+    return _asked(spark, d).select("id", "item_id", r6("hit", hit_score(query_keys(F.col("query")), F.col("content"))))
 
 
 @query(f"""

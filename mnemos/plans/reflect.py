@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from mnemos.config import EngineConfig
 from mnemos.functions import vocabulary as W
-from mnemos.functions.text import stacks
+from mnemos.functions.text import normal_name, stacks
 from mnemos.operators import alerts as A
 from mnemos.operators import changes, consolidate, feedback, graph, lookup
 from mnemos.operators import recall as R
@@ -20,7 +20,10 @@ ORACLES: dict = {}
 #: Words that the driver's texts have: topics of consolidation and stacks for them.
 TOPICS = {"database": ("the the", "tion"), "backend_lang": ("que", "ment"), "auth": ("ich", "und")}
 STACKS = {"java": ("thand", "ingon"), "go": ("go",), "python": ("erha", "tion"), "rust": ("que", "ment"), "php": ("ung",)}
-CONFIG = EngineConfig(decay_lambda=0.001, topics=TOPICS, stacks=STACKS, alert_similarity=0.2, recommend_min_score=0.2)
+DATABASES = {"mysql": ("erha",), "sqlite": ("ingon",), "mongodb": ("thand", "enti")}
+LANGUAGES = {"java": ("ement",), "rust": ("eux",), "python": ("ungen",)}
+NEGATION = "tion|ich"
+CONFIG = EngineConfig(decay_lambda=0.001, topics=TOPICS, stacks=STACKS, alert_similarity=0.2, recommend_min_score=0.2, databases=DATABASES, languages=LANGUAGES, conflict_negation=NEGATION)
 
 
 def query(sql: str | None = None):
@@ -67,9 +70,13 @@ def feedback_weights(spark, d):
     return parts[0].unionByName(parts[1])
 
 
-@query()
+@query(f"""
+    WITH {V.FEEDBACK_SQL}, {V.MEMORIES_SQL}, s AS (SELECT memory_id, list(CASE WHEN feedback_type = 'upvote' THEN CAST(0.05 AS DOUBLE) ELSE CAST(-0.1 AS DOUBLE) END ORDER BY created_at, id) AS deltas FROM feedback GROUP BY 1)
+    SELECT m.id, round(CASE WHEN deltas IS NULL OR deleted_at IS NOT NULL THEN weight ELSE list_reduce(list_prepend(weight, deltas), lambda w, x: least(greatest(w + x, CAST(0.05 AS DOUBLE)), CAST(3 AS DOUBLE))) END, 6) AS weight
+    FROM memories m LEFT JOIN s ON s.memory_id = m.id
+""")
 def feedback_weights_mixed(spark, d):
-    """Weights after all events in order; no SQL, as each step is clamped. Tested against a loop."""
+    """Weights after all events in order, each step clamped."""
     m = V.memories(spark, d)
     deltas = feedback.weight_deltas(V.feedback(spark, d))
     return changes.adjust_weights(m, deltas).select("id", r6("weight"))
@@ -125,21 +132,35 @@ def graph_extract_entities(spark, d):
     return graph.extract_entities(graph.extract_relations(V.sentences(spark, d))).select("id", "name", "entity_type")
 
 
-@query(EXTRACT + "SELECT lower(name) AS low, arg_max(entity_type, id) AS entity_type FROM (SELECT id, from_name AS name, 'other' AS entity_type FROM k UNION ALL SELECT id, to_name, to_type FROM k) GROUP BY 1")
+@query(EXTRACT + f"""
+    , {V.GRAPH_SQL}, f AS (SELECT regexp_replace(lower(name), '\\s+', '', 'g') AS norm, arg_max(entity_type, id) AS kind FROM (SELECT id, from_name AS name, 'other' AS entity_type FROM k UNION ALL SELECT id, to_name, to_type FROM k) GROUP BY 1),
+    b AS (SELECT *, regexp_replace(lower(name), '\\s+', '', 'g') AS norm FROM entities)
+    SELECT b.id, b.norm AS low, coalesce(f.kind, b.entity_type) AS entity_type FROM b LEFT JOIN f USING (norm) UNION ALL SELECT 'new', norm, kind FROM f WHERE norm NOT IN (SELECT norm FROM b)
+""")
 def entity_upsert(spark, d):
+    """Extracted entities onto the graph's: suppliers and nations are known, parts and brands are new."""
     found = graph.extract_entities(graph.extract_relations(V.sentences(spark, d)))
     rows = found.select(F.lit("u").alias("user_id"), F.lit(None).cast("string").alias("tenant_id"), "name", "entity_type", F.array().cast("array<string>").alias("aliases"), F.col("id").alias("ord"))
-    return graph.upsert_entities(V.entities(spark, d).where("false"), rows, V.now()).select(F.lower("name").alias("low"), "entity_type")
+    out = graph.upsert_entities(V.entities(spark, d), rows, V.now())
+    return out.select(F.when(F.col("id").startswith("ent_"), "new").otherwise(F.col("id")).alias("id"), normal_name(F.col("name")).alias("low"), "entity_type")
+
 
+_ORD = "(l_orderkey * 10 + l_linenumber) * 1000 + CAST(round(l_discount * 100) AS BIGINT)"
 
-@query("SELECT concat('p', l_partkey) AS a, concat('s', l_suppkey) AS b, max(l_quantity) AS confidence, arg_max(l_discount, (l_orderkey * 10 + l_linenumber) * 1000 + CAST(round(l_discount * 100) AS BIGINT)) AS weight FROM lineitem GROUP BY 1, 2")
+
+@query(f"""
+    SELECT concat('p', l_partkey) AS a, concat('s', l_suppkey) AS b, max(l_quantity) AS confidence,
+        coalesce(arg_max(l_discount, {_ORD}) FILTER (l_returnflag <> 'R'), arg_max(l_discount, {_ORD}) FILTER (l_returnflag = 'R')) AS weight FROM lineitem GROUP BY 1, 2
+""")
 def relation_upsert(spark, d):
+    """Returned lines make the relations that all other lines then update or add to."""
     li = V.table(spark, d, "lineitem")
     found = li.select(
         F.lit("u").alias("user_id"), F.lit(None).cast("string").alias("tenant_id"), F.concat(F.lit("p"), "l_partkey").alias("from_entity_id"), F.concat(F.lit("s"), "l_suppkey").alias("to_entity_id"), F.lit("uses").alias("relation_type"),
-        F.col("l_discount").alias("weight"), F.col("l_quantity").alias("confidence"), F.lit("").alias("source_memory_id"), F.expr("(l_orderkey * 10 + l_linenumber) * 1000 + CAST(round(l_discount * 100) AS BIGINT)").alias("ord"),
+        F.col("l_discount").alias("weight"), F.col("l_quantity").alias("confidence"), F.lit("").alias("source_memory_id"), F.expr(_ORD).alias("ord"), (F.col("l_returnflag") == "R").alias("first"),
     )
-    out = graph.upsert_relations(V.relations(spark, d).where("false"), found, V.now())
+    base = graph.upsert_relations(V.relations(spark, d).where("false"), found.where("first").drop("first"), V.now())
+    out = graph.upsert_relations(base, found.where("NOT first").drop("first"), V.now())
     return out.select(F.col("from_entity_id").alias("a"), F.col("to_entity_id").alias("b"), "confidence", "weight")
 
 
@@ -156,21 +177,22 @@ def entity_search(spark, d):
 
 def impact_sql(edges: str, hops: int, seeds: str) -> str:
     return f"""
-    WITH RECURSIVE {V.GRAPH_SQL}, steps AS (SELECT DISTINCT src, dst FROM ({edges})), p AS (
-        SELECT id AS seed_id, id AS at, [id] AS nodes, 0 AS hops FROM entities WHERE {seeds}
-        UNION ALL SELECT p.seed_id, s.dst, list_append(p.nodes, s.dst), p.hops + 1 FROM p JOIN steps s ON s.src = p.at WHERE p.hops < {hops} AND NOT list_contains(p.nodes, s.dst))
-    SELECT p.seed_id, CAST(p.hops AS INT) AS hops, e.name AS end_name, array_to_string(p.nodes, '>') AS path, CAST(p.hops AS INT) AS n_edges FROM p JOIN entities e ON e.id = p.at WHERE p.hops > 0
+    WITH RECURSIVE {V.GRAPH_SQL}, steps AS (SELECT DISTINCT src, dst, edge FROM ({edges})), p AS (
+        SELECT id AS seed_id, id AS at, [id] AS nodes, CAST([] AS VARCHAR[]) AS edges, 0 AS hops FROM entities WHERE {seeds}
+        UNION ALL SELECT p.seed_id, s.dst, list_append(p.nodes, s.dst), list_append(p.edges, s.edge), p.hops + 1 FROM p JOIN steps s ON s.src = p.at WHERE p.hops < {hops} AND NOT list_contains(p.nodes, s.dst))
+    SELECT p.seed_id, CAST(p.hops AS INT) AS hops, e.name AS end_name, array_to_string(p.nodes, ' ') AS path, array_to_string(p.edges, ' ') AS edges FROM p JOIN entities e ON e.id = p.at WHERE p.hops > 0
     """
 
 
-FORTH, BACK = "SELECT a AS src, b AS dst FROM relations", "SELECT b AS src, a AS dst FROM relations"
+FORTH, BACK = "SELECT a AS src, b AS dst, concat(a, '>', b) AS edge FROM relations", "SELECT b AS src, a AS dst, concat(a, '>', b) AS edge FROM relations"
 
 
-def _impact(spark, d, direction, hops, prefix):
+def _impact(spark, d, direction, hops, *prefixes):
     e, r = V.entities(spark, d), V.relations(spark, d)
-    seeds = e.where(F.col("id").startswith(prefix)).select(F.col("id").alias("seed_id"), "user_id", F.col("id").alias("entity_id"))
+    seeds = e.where(F.substring("id", 1, 1).isin(*prefixes)).select(F.col("id").alias("seed_id"), "user_id", F.col("id").alias("entity_id"))
     out = graph.impact(seeds, e, r, direction, hops)
-    return out.select("seed_id", "hops", "end_name", F.array_join(F.transform("nodes", lambda x: x["id"]), ">").alias("path"), F.size("edges").alias("n_edges"))
+    ids = lambda c: F.array_join(F.transform(c, lambda x: x["id"]), " ").alias("path" if c == "nodes" else c)
+    return out.select("seed_id", "hops", "end_name", ids("nodes"), ids("edges"))
 
 
 @query(impact_sql(BACK, 2, "starts_with(id, 'r')"))
@@ -185,10 +207,7 @@ def impact_outbound(spark, d):
 
 @query(impact_sql(f"{FORTH} UNION ALL {BACK}", 2, "starts_with(id, 'r') OR starts_with(id, 's')"))
 def impact_both(spark, d):
-    e, r = V.entities(spark, d), V.relations(spark, d)
-    seeds = e.where(F.col("id").startswith("r") | F.col("id").startswith("s")).select(F.col("id").alias("seed_id"), "user_id", F.col("id").alias("entity_id"))
-    out = graph.impact(seeds, e, r, "both", 2)
-    return out.select("seed_id", "hops", "end_name", F.array_join(F.transform("nodes", lambda x: x["id"]), ">").alias("path"), F.size("edges").alias("n_edges"))
+    return _impact(spark, d, "both", 2, "r", "s")
 
 
 # --- alerts and recommendations
@@ -254,10 +273,25 @@ def conflict_winners(spark, d):
     return rows.groupBy("user_id", "topic").agg(F.max(rank)["id"].alias("winner"), F.count("*").alias("members")).where("members > 1")
 
 
-@query()
+def _spoken(text: str) -> str:
+    return f"list_sort(list_distinct(list_concat({names_of(text, LANGUAGES)}, CASE WHEN regexp_matches(lower({text}), '(^|[^\\p{{L}}\\p{{N}}_])go($|[^\\p{{L}}\\p{{N}}_])') THEN ['golang'] ELSE CAST([] AS VARCHAR[]) END)))"
+
+
+def _apart(a: str, b: str) -> str:
+    return f"(len({a}) > 0 AND len({b}) > 0 AND {a} <> {b})"
+
+
+@query(f"""
+    WITH {V.MEMORIES_SQL}, r AS (SELECT *, unnest({names_of('content', TOPICS)}) AS topic FROM memories WHERE deleted_at IS NULL),
+    w AS (SELECT *, row_number() OVER (PARTITION BY user_id, topic ORDER BY pinned DESC, source = 'reflection' DESC, weight DESC, updated_at DESC, id DESC) AS place FROM r),
+    m AS (SELECT l.user_id, l.topic, w.id AS winner, l.id AS loser, w.content AS a, l.content AS b FROM w JOIN w l ON w.user_id IS NOT DISTINCT FROM l.user_id AND w.topic = l.topic WHERE w.place = 1 AND l.place > 1 AND NOT l.pinned),
+    n AS (SELECT *, {names_of('a', DATABASES)} AS da, {names_of('b', DATABASES)} AS db, {_spoken('a')} AS la, {_spoken('b')} AS lb, list_distinct({V.TOKENS_SQL.format('a', 2)}) AS ka, list_distinct({V.TOKENS_SQL.format('b', 2)}) AS kb FROM m)
+    SELECT user_id, topic, winner, loser FROM n WHERE CASE topic WHEN 'database' THEN {_apart('da', 'db')} WHEN 'backend_lang' THEN {_apart('la', 'lb')}
+        ELSE regexp_matches(concat(lower(a), lower(b)), '{NEGATION}') AND len(ka) > 0 AND len(kb) > 0 AND CAST(len(list_intersect(ka, kb)) AS DOUBLE) / len(list_distinct(list_concat(ka, kb))) >= 0.25 END
+""")
 def conflict_losers(spark, d):
-    """What consolidation retires; the driver's texts hold no database, so few rows. Tested on small cases."""
-    return consolidate.conflicts(V.memories(spark, d), CONFIG)
+    """What consolidation retires in each topic."""
+    return consolidate.conflicts(V.memories(spark, d), CONFIG).select("user_id", "topic", "winner", "loser")
 
 
 TOPIC_ROWS = f"""
