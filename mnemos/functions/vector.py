@@ -8,11 +8,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mnemos.functions.text import WIDE_SEPARATORS, tokens
 
 EMPTY_TOKEN = "__empty__"
 PAIR_ROWS = 200_000
+PAIR_BYTES = 64 << 20
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -30,13 +32,16 @@ def cosine(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column |
 
 
 def small(df: DataFrame, most: int = PAIR_ROWS) -> DataFrame:
-    """df, to be broadcast if it is counted to have at most `most` rows; joins shuffle it otherwise."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    """df, to be broadcast if it is measured to be small (see rows_of); joins shuffle it otherwise."""
+    return F.broadcast(df) if rows_of(df, most) <= most else df
 
 
-def rows_of(df: DataFrame, most: int = PAIR_ROWS) -> int:
-    """How many rows df has, or most + 1 if it has more."""
-    return df.limit(most + 1).count()
+def rows_of(df: DataFrame, most: int = PAIR_ROWS, most_bytes: int = PAIR_BYTES) -> int:
+    """How many rows df has, or most + 1 if it has more, or more than most_bytes of text and array elements."""
+    wide = [F.octet_length(f.name) if isinstance(f.dataType, T.StringType | T.BinaryType) else 8 * F.size(f.name) for f in df.schema if isinstance(f.dataType, T.StringType | T.BinaryType | T.ArrayType)]
+    size = sum((F.greatest(F.coalesce(x, F.lit(0)), F.lit(0)).cast("long") for x in wide), F.lit(8 * len(df.columns)).cast("long"))
+    held = df.limit(most + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("size")).first()
+    return held["n"] if held["size"] <= most_bytes else most + 1
 
 
 def hinted(df: DataFrame, rows: int, most: int = PAIR_ROWS) -> DataFrame:

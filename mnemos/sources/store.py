@@ -1,15 +1,18 @@
 """Tables as Parquet snapshots with one pointer: readers see one version of all tables, writers never touch what is read.
 
-A version is a folder for each changed table; `_versions/<n>` is a small JSON line that names the folder of every table.
-It is written last and at once by Spark's committer, so a commit of several tables is visible as a whole or not at all.
-Merges are copy-on-write: base rows whose key isn't among the changes, and the changes. Batches carry an id; one that is
+A version is a folder for each changed table; `_versions/<n>.json` is a small JSON line that names the folder of every table.
+It is made last, and only if no other writer made one of that number: then the commit fails whole (update() starts anew), so
+no writer loses another's changes. A commit of several tables is visible as a whole or not at all. Merges are copy-on-write: base rows whose key isn't among the changes, and the changes. Batches carry an id; one that is
 in the history isn't applied again.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +21,10 @@ from mnemos.schemas import TABLES, conform
 POINTER = "version long, batch string, tables map<string,string>"
 
 
+class CommitConflict(RuntimeError):
+    """Another writer's commit came first."""
+
+
 class SnapshotStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -32,15 +39,27 @@ class SnapshotStore:
         system, path = self._fs(f"{self.root}/_versions")
         if not system.exists(path):
             return []
-        names = sorted(s.getPath().getName() for s in system.listStatus(path))
-        return [n for n in names if system.exists(self._fs(f"{self.root}/_versions/{n}/_SUCCESS")[1])]
+        return sorted(n for n in (s.getPath().getName() for s in system.listStatus(path)) if n.endswith(".json"))
 
     def current(self) -> tuple[int, dict[str, str]]:
-        names = self._versions()
-        if not names:
-            return 0, {}
-        row = self.spark.read.schema(POINTER).json(f"{self.root}/_versions/{names[-1]}").first()
-        return row["version"], dict(row["tables"])
+        """The newest version and its tables' folders; a pointer that a writer left unfinished is passed over."""
+        for name in reversed(self._versions()):
+            row = self.spark.read.schema(POINTER).json(f"{self.root}/_versions/{name}").where("version IS NOT NULL").first()
+            if row is not None:
+                return row["version"], dict(row["tables"])
+        return 0, {}
+
+    def _point(self, version: int, batch: str | None, tables: dict[str, str]) -> None:
+        """Make the pointer of a version, unless there is one."""
+        system, path = self._fs(f"{self.root}/_versions/{version:08d}.json")
+        try:
+            out = system.create(path, False)
+        except Py4JJavaError as error:
+            if system.exists(path):
+                raise CommitConflict(f"another writer made version {version}") from error
+            raise
+        out.write(bytearray(json.dumps({"version": version, "batch": batch, "tables": tables}).encode()))
+        out.close()
 
     def applied(self, batch: str) -> bool:
         names = self._versions()
@@ -56,22 +75,34 @@ class SnapshotStore:
             return self.spark.createDataFrame([], TABLES[table])
         return conform(self.spark.read.parquet(f"{self.root}/{tables[table]}"), table)
 
-    def commit(self, changed: dict[str, DataFrame], batch: str | None = None) -> int:
-        """Write new snapshots of tables and flip the pointer; a known batch id leaves all as it is."""
+    def commit(self, changed: dict[str, DataFrame], batch: str | None = None, base: int | None = None) -> int:
+        """Write new snapshots of tables and flip the pointer; a known batch id leaves all as it is.
+
+        base: the version that the snapshots were made from; CommitConflict if there is a newer one.
+        """
         if batch is not None and self.applied(batch):
             return self.current()[0]
-        version, tables = self.current()
-        version += 1
+        before, tables = self.current()
+        if base is not None and before != base:
+            raise CommitConflict(f"version {before} came after {base}")
+        version = max([before, *(int(n.split(".")[0]) for n in self._versions())]) + 1
         for name, df in changed.items():
-            folder = f"{name}/v={version:08d}"
-            conform(df, name).write.mode("overwrite").parquet(f"{self.root}/{folder}")
+            folder = f"{name}/v={version:08d}-{uuid.uuid4().hex[:8]}"
+            conform(df, name).write.parquet(f"{self.root}/{folder}")
             tables[name] = folder
-        pointer = self.spark.createDataFrame([(version, batch, tables)], POINTER)
-        pointer.coalesce(1).write.mode("overwrite").json(f"{self.root}/_versions/{version:08d}")
+        self._point(version, batch, tables)
         return version
 
-    def update(self, table: str, change: Callable[[DataFrame], DataFrame], batch: str | None = None) -> int:
-        return self.commit({table: change(self.read(table))}, batch)
+    def update(self, table: str, change: Callable[[DataFrame], DataFrame], batch: str | None = None, attempts: int = 5) -> int:
+        """Change one table; starts anew from the newest version if another writer was faster."""
+        for attempt in range(attempts):
+            try:
+                base = self.current()[0]
+                return self.commit({table: change(self.read(table))}, batch, base)
+            except CommitConflict:
+                if attempt + 1 == attempts:
+                    raise
+        raise ValueError("attempts has to be 1 at least")
 
     def append(self, table: str, rows: DataFrame) -> int:
         return self.update(table, lambda base: base.unionByName(conform(rows, table)))

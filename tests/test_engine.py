@@ -224,3 +224,27 @@ def test_store_versions(make, spark):
     row = e.store.read("memories").first()
     assert row["access_count"] == 0 and row["weight"] == 1.0
     assert e.store.truncate("memories") == 4 and e.store.read("memories").count() == 0
+
+
+def test_two_writers_lose_no_commit(spark, tmp_path):
+    from mnemos.sources.store import CommitConflict, SnapshotStore
+
+    store, other = (SnapshotStore(spark, f"file://{tmp_path}/s") for _ in range(2))
+    row = lambda i: spark.createDataFrame([(i,)], "id string")
+    store.append("entities", row("a"))
+    base = store.current()[0]
+    other.append("entities", row("b"))
+    with pytest.raises(CommitConflict):
+        store.commit({"entities": store.read("entities")}, base=base)
+    calls = []
+
+    def change(df):
+        calls.append(1)
+        if len(calls) == 1:
+            other.append("entities", row("c"))
+        return df.unionByName(row("d"), allowMissingColumns=True)
+
+    store.update("entities", change)
+    (tmp_path / "s/_versions/00000099.json").write_text("")  # a writer died here
+    store.append("entities", row("e"))
+    assert sorted(r["id"] for r in store.read("entities").collect()) == list("abcde") and len(calls) == 2 and store.current()[0] == 100
