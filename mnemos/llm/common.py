@@ -49,6 +49,13 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables that materialise() made, as soon as nothing reads them any more."""
+    for table in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            drop_path(table.sparkSession, folder)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a folder through Hadoop's file system, whatever store it is in."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

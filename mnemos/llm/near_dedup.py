@@ -13,8 +13,8 @@ No bucket emits all its pairs. Texts of equal words are one from the start; buck
 round a bucket's leaders are compared with its members of other classes, then leave it: at first the member that shares
 most buckets, later members of the bucket's smallest class, more of them in each round. A pair within one class needs
 no test, so a bucket is done when it has one class left. After the first round the shingles that
-no other text has bound the similarity of what is left: members that can't reach the threshold leave, pairs that can't
-aren't made. The rounds end when no bucket is left, and no link between classes is lost (but by banding: a pair at 0.8
+no other text has, and bitmaps of their parities, bound the similarity of what is left: members that can't reach the
+threshold leave, pairs that can't aren't made. The rounds end when no bucket is left, and no link between classes is lost (but by banding: a pair at 0.8
 by either similarity misses all 32 bands of 6 with probability 6e-5).
 
 Words are those of common.words(). A text of fewer than five words is one shingle of them all. Null texts and texts without
@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemos.llm.common import bound_batches, keyed, materialise, resident, slices, words
+from mnemos.llm.common import bound_batches, discard, keyed, materialise, resident, slices, words
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -152,19 +152,29 @@ def _sketches(rows: DataFrame, bands: int, per_band: int) -> DataFrame:
     return rows.mapInArrow(made, "key long, words binary, bands array<long>")
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """A bitmap with the parity of the hashes that fall on each bit: a bit or more a hash, up to 1024 in all.
+
+    Two sets whose bitmaps differ in n bits differ in n elements at least. The larger of two bitmaps, folded, is comparable
+    with the smaller one.
+    """
+    words = min(16, 1 << (len(hashes) // 64).bit_length())
+    odd = np.bincount((hashes % np.uint64(64 * words)).astype(np.int64), minlength=64 * words) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _shingled(rows: DataFrame) -> DataFrame:
-    """key, hashes (sorted as unsigned) and counts of each text."""
+    """key, hashes (sorted as unsigned), counts and the bitmap of each text."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, texts in slices(batch.column(1), 2 << 20):
                 sets = [shingles(words(x)) for x in texts]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[at : at + len(texts)], pa.array([h.view(np.int64) for h, _ in sets], pa.list_(pa.int64())), pa.array([c.astype(np.int32) for _, c in sets], pa.list_(pa.int32()))],
-                    ["key", "hashes", "counts"],
-                )
+                columns = [[h.view(np.int64) for h, _ in sets], [c.astype(np.int32) for _, c in sets], [parities(h) for h, _ in sets]]
+                lists = [pa.array(x, pa.list_(kind)) for x, kind in zip(columns, (pa.int64(), pa.int32(), pa.int64()), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[at : at + len(texts)], *lists], ["key", "hashes", "counts", "bits"])
 
-    return rows.mapInArrow(made, "key long, hashes array<long>, counts array<int>")
+    return rows.mapInArrow(made, "key long, hashes array<long>, counts array<int>, bits array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -177,7 +187,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
     left = sets.select(F.col("key").alias("a"), F.col("hashes").alias("ha"), F.col("counts").alias("ca"))
     right = sets.select(F.col("key").alias("b"), F.col("hashes").alias("hb"), F.col("counts").alias("cb"))
-    joined = pairs.join(left, "a").join(right, "b")
+    joined = left.join(_sided(pairs), "a").join(right, "b")
     return joined.withColumn("s", similar("ha", "ca", "hb", "cb")).where(F.col("s") >= threshold).select("a", "b")
 
 
@@ -205,10 +215,18 @@ def components(edges: DataFrame) -> DataFrame:
 def _buckets(reps: DataFrame) -> DataFrame:
     """(bucket, key) of buckets with two members or more; of buckets with the same members one is left."""
     all_rows = reps.select("key", F.explode("bands").alias("bucket"))
-    sizes = all_rows.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "key")).alias("y"), F.min("key").alias("least")).where("n > 1")
-    once = materialise(sizes.groupBy("n", "x", "y", "least").agg(F.min("bucket").alias("bucket"), F.count("*").alias("times")), "buckets")
-    kept = F.broadcast(once) if once.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else once
-    return materialise(all_rows.join(kept, "bucket").select("bucket", "key", (F.col("n") * F.col("times")).alias("weight")), "members")
+    shared = materialise(all_rows.groupBy("bucket").agg(F.min("key").alias("x"), F.max("key").alias("y")).where("x <> y").select("bucket"), "shared")
+    several = materialise(all_rows.join(_sided(shared), "bucket"), "several")
+    sizes = several.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "key")).alias("y"))
+    once = materialise(sizes.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket"), F.count("*").alias("times")), "buckets")
+    members = materialise(several.join(_sided(once), "bucket").select("bucket", "key", (F.col("n") * F.col("times")).alias("weight")), "members")
+    discard(shared, several, once)
+    return members
+
+
+def _sided(table: DataFrame) -> DataFrame:
+    """A written table of few narrow columns, to be broadcast if it has at most BROADCAST_ROWS rows."""
+    return F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table
 
 
 def _kept(df: DataFrame, label: str) -> DataFrame:
@@ -216,15 +234,23 @@ def _kept(df: DataFrame, label: str) -> DataFrame:
     return materialise(df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism), label)
 
 
-#: What bounds the similarity of a text to others: shingles, those that no other live text has, the largest count, and the
-#: share of weight of those that no other has.
-BOUNDS = ("size", "alone", "top", "lone")
+#: What bounds the similarity of a text to others: shingles and their weight, the shingles that no other live text has and
+#: their weight, and the bitmap.
+BOUNDS = {"size": "int", "weight": "long", "alone": "long", "lone": "long", "bits": "array<long>"}
+
 
+def _plain(sizes: Column, common: Column) -> Column:
+    """The plain Jaccard similarity of sets with so many elements in both."""
+    return common / (sizes - common)
 
-def _common(size_a: Column, most_a: Column, size_b: Column, most_b: Column) -> Column:
-    """The highest plain Jaccard similarity of sets with at most so many elements in common with others."""
-    common = F.least(most_a, most_b, size_a, size_b)
-    return common / (size_a + size_b - common)
+
+def _differing(a: Column, b: Column) -> Column:
+    """The bits in which two bitmaps differ; parts of the larger one are laid over each other."""
+    words = F.least(F.size(a), F.size(b))
+    fold = lambda x: F.when(F.size(x) == words, x).otherwise(
+        F.transform(F.slice(x, F.lit(1), words), lambda first, i: F.aggregate(F.sequence(i + words, F.size(x) - 1, words), first, lambda z, j: z.bitwiseXOR(F.get(x, j))))
+    )
+    return F.aggregate(F.zip_with(fold(a), fold(b), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, c: n + c)
 
 
 def _bounded(live: DataFrame, sets: DataFrame) -> DataFrame:
@@ -232,61 +258,93 @@ def _bounded(live: DataFrame, sets: DataFrame) -> DataFrame:
     own = sets.join(live.select("key").distinct(), "key", "left_semi")
     pairs = own.select("key", F.explode(F.arrays_zip("hashes", "counts")).alias("x"))
     lone = pairs.groupBy("x.hashes").agg(F.min("key").alias("key"), F.max("key").alias("other"), F.sum("x.counts").alias("c")).where("key = other")
-    lone = lone.groupBy("key").agg(F.count("*").alias("alone"), F.sum("c").alias("weight"))
-    sizes = own.select("key", F.size("hashes").alias("size"), F.aggregate("counts", F.lit(0).cast("long"), lambda a, c: a + c).alias("all"), F.array_max("counts").alias("top"))
-    sizes = sizes.join(lone, "key", "left").na.fill(0).select("key", "size", "alone", "top", (F.col("weight") / F.col("all")).alias("lone"))
-    return live.join(sizes, "key")
+    lone = lone.groupBy("key").agg(F.count("*").alias("alone"), F.sum("c").alias("lone"))
+    sizes = own.select("key", F.size("hashes").alias("size"), F.aggregate("counts", F.lit(0).cast("long"), lambda a, c: a + c).alias("weight"), "bits")
+    return live.join(sizes.join(lone, "key", "left").na.fill(0).select("key", *BOUNDS), "key")
 
 
 def _hopeful(live: DataFrame, threshold: float) -> DataFrame:
     """Bounded live members without those that can't be linked to any other of their bucket.
 
     With m between the bucket's least and greatest sizes, the best partner of a text that has at most k shingles in common
-    with others is one with k shingles, or the nearest size. Where counts differ, the share of weight that others can have
-    bounds the probability Jaccard similarity.
+    with others is one with k shingles, or the nearest size. Its probability Jaccard similarity is at most the share of weight
+    of what others may have.
     """
-    bounds = live.groupBy("bucket").agg(F.min("size").alias("least"), F.max("size").alias("most"), F.max("top").alias("tops"))
+    bounds = live.groupBy("bucket").agg(F.min("size").alias("least"), F.max("size").alias("most"), F.max(F.col("weight") - F.col("size")).alias("extra"))
     k = F.col("size") - F.col("alone")
     m = F.least(F.greatest(k, F.col("least")), F.col("most"))
-    plain = _common(F.col("size"), k, m, m)
-    best = F.when(F.col("tops") == 1, plain).otherwise(F.greatest(plain, 1 - F.col("lone")))
+    best = _plain(F.col("size") + m, F.least(k, m))
+    best = F.when(F.col("extra") == 0, best).otherwise(F.greatest(best, 1 - F.col("lone") / F.col("weight")))
     return live.join(bounds, "bucket").where(best >= threshold - 1e-9).select(*live.columns)
 
 
 def _possible(threshold: float) -> Column:
-    """Whether a leader (l_...) and a member may be linked, as far as their bounds tell."""
-    plain = _common(F.col("size"), F.col("size") - F.col("alone"), F.col("l_size"), F.col("l_size") - F.col("l_alone"))
-    weighted = 1 - F.greatest("lone", "l_lone")
-    best = F.when((F.col("top") == 1) & (F.col("l_top") == 1), plain).otherwise(F.greatest(plain, weighted))
-    return F.col("size").isNull() | (best >= threshold - 1e-9)
+    """Whether a leader (l_...) and a member may be linked, as far as their bounds tell; the bitmaps are looked at last.
 
+    With p and q the least weights that one text has without the other, and P and Q what is left of their weights, the
+    probability Jaccard similarity is 1 / (1 + p/P + q/Q) at most: a common shingle adds at most 1 / (p/x + q/y +
+    max(P/x, Q/y)), x and y being its counts, which is concave and homogeneous in x and y, so the sum is largest if the
+    counts of common shingles are in proportion.
+    """
+    sizes = F.col("size") + F.col("l_size")
+    common = F.least(F.col("size") - F.col("alone"), F.col("l_size") - F.col("l_alone"))
 
-def _open(own: DataFrame) -> DataFrame:
-    """Members (with label) of buckets that have two classes or more, and n, how many of the bucket are in theirs."""
-    counts = own.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-    several = counts.groupBy("bucket").agg(F.count("*").alias("labels")).where("labels > 1").select("bucket")
-    return own.join(counts.join(several, "bucket", "left_semi"), ["bucket", "label"])
+    def enough(most: Column, own: Column, other: Column) -> Column:
+        left, l_left = F.col("weight") - own, F.col("l_weight") - other
+        weighted = F.when((left > 0) & (l_left > 0), 1 / (1 + own / left + other / l_left)).otherwise(0.0)
+        return F.greatest(_plain(sizes, most), weighted) >= threshold - 1e-9
+
+    differing = _differing(F.col("bits"), F.col("l_bits"))
+    least = lambda lone, more: F.greatest(F.col(lone), F.ceil((differing + more) / 2))
+    more = F.col("size") - F.col("l_size")
+    finer = enough(F.least(common, F.floor((sizes - differing) / 2)), least("lone", more), least("l_lone", -more))
+    return F.when(F.col("size").isNull(), True).when(enough(common, F.col("lone"), F.col("l_lone")), finer).otherwise(False)
+
+
+def _several(counts: DataFrame) -> DataFrame:
+    """Buckets with two classes or more."""
+    return counts.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
+
+
+def _left(own: DataFrame, leaders: DataFrame) -> DataFrame:
+    """Members but the leaders (bucket, key, label), of buckets that have two classes without them, and n, how many of the
+    bucket are in a member's class."""
+    one = lambda rows, n: rows.select("bucket", "label", F.lit(n).alias("n"))
+    counts = one(own, 1).unionByName(one(leaders, -1)).groupBy("bucket", "label").agg(F.sum("n").alias("n")).where("n > 0")
+    live = own.join(counts.join(_several(counts), "bucket", "left_semi"), ["bucket", "label"])
+    return live.join(leaders.select("bucket", "key"), ["bucket", "key"], "left_anti")
+
+
+def _relabelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """rows with their keys' labels of now."""
+    if labels is None:
+        return rows
+    return rows.withColumnRenamed("label", "own").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "own")).drop("own")
 
 
 def _classes(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame | None:
     """(node, label) of all keys that are linked with others."""
-    kept = ("bucket", "key", "central", *BOUNDS)
     central = members.groupBy("key").agg(F.sum("weight").alias("central"))
-    unknown = [F.lit(None).cast(kind).alias(c) for c, kind in zip(BOUNDS, ("int", "long", "int", "double"), strict=True)]
-    live = materialise(members.drop("weight").join(central, "key").select("bucket", "key", "central", *unknown, F.col("key").alias("label"), F.lit(1).alias("n")), "live")
+    unknown = [F.lit(None).cast(kind).alias(c) for c, kind in BOUNDS.items()]
+    live = materialise(members.drop("weight").join(central, "key").select("bucket", "key", "central", F.col("key").alias("label"), F.lit(1).cast("long").alias("n")), "live")
     labels, tested, leaders_now = None, None, 1
     while not live.isEmpty():
         order = Window.partitionBy("bucket").orderBy("n", F.desc("central"), "key")
-        first = live.withColumn("place", F.row_number().over(order)).where(F.col("place") <= leaders_now)
-        leaders = _kept(first.select(F.col("bucket").alias("l_bucket"), F.col("key").alias("leader"), F.col("label").alias("own"), *[F.col(c).alias(f"l_{c}") for c in BOUNDS]), "leaders")
-        met = live.join(leaders, (F.col("bucket") == F.col("l_bucket")) & (F.col("own") != F.col("label")) & _possible(threshold))
+        wide = live.select("*", *unknown) if leaders_now == 1 else live
+        leaders = _kept(wide.withColumn("place", F.row_number().over(order)).where(F.col("place") <= leaders_now).drop("place", "n", "central"), "leaders")
+        renamed = leaders.select(F.col("bucket").alias("l_bucket"), F.col("key").alias("leader"), F.col("label").alias("own"), *[F.col(c).alias(f"l_{c}") for c in BOUNDS])
+        met = wide.join(renamed, (F.col("bucket") == F.col("l_bucket")) & (F.col("own") != F.col("label")) & _possible(threshold))
         pairs = met.select(F.least("key", "leader").alias("a"), F.greatest("key", "leader").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = _kept(pairs, "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
         links = _kept(_verified(pairs, sets, threshold), "links")
-        if not links.isEmpty():
+        own, done = live.drop("n"), [live, leaders]
+        if links.isEmpty():
+            discard(links)
+        else:
+            done.append(links)
             if labels is not None:
                 of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))  # noqa: E731, B023
                 links = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b"))
@@ -296,14 +354,17 @@ def _classes(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame
             else:
                 old = labels.join(merged.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
                 labels = _kept(old.unionByName(merged.join(labels, "node", "left_anti")), "labels")
-        old = live.select(*kept)
-        own = old.withColumn("label", F.col("key")) if labels is None else old.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-        unsure = _open(own)
+            own, leaders = _kept(_relabelled(own, labels), "own"), _relabelled(leaders, labels)
+            done.append(own)
         if leaders_now == 1:
-            unsure = _kept(unsure.select("bucket", "key", "central", "label"), "unsure")
-            unsure = _open(_hopeful(_kept(_bounded(unsure, sets), "bounded"), threshold).select(*kept, "label"))
-        left = unsure.drop("n").join(leaders.select(F.col("l_bucket").alias("bucket"), F.col("leader").alias("key")), ["bucket", "key"], "left_anti")
-        live = _kept(_open(left).select(*kept, "label", "n"), "live")
+            unsure = _kept(own.join(_several(own), "bucket", "left_semi"), "unsure")
+            bounded = _kept(_bounded(unsure, sets), "bounded")
+            own = _kept(_hopeful(bounded, threshold), "hopeful")
+            discard(unsure, bounded)
+            leaders = leaders.join(own.select("bucket", "key"), ["bucket", "key"], "left_semi")
+            done.append(own)
+        live = _kept(_left(own, leaders), "live")
+        discard(*done)
         leaders_now *= GROWTH
     return labels
 
@@ -320,17 +381,19 @@ def keyed_classes(rows: DataFrame, id_col: str, text_col: str, threshold: float
     narrow = rows.select(F.col("row_key").alias("key"), F.col(text_col).cast("string").alias("text"))
     sketches = materialise(_sketches(narrow, bands, per_band), "sketches")
     copies = materialise(sketches.groupBy("words").agg(F.min("key").alias("rep"), F.count("*").alias("n")), "copies")
-    reps = sketches.join(copies.select(F.col("rep").alias("key")), "key", "left_semi").select("key", "bands")
-    members = _buckets(reps)
+    repeated = materialise(copies.where("n > 1").select("words", "rep"), "repeated")
+    others = materialise(sketches.select("key", "words").join(_sided(repeated), "words").where("key <> rep").select("key"), "others")
+    members = _buckets(sketches.select("key", "bands").join(_sided(others), "key", "left_anti"))
+    discard(repeated, others)
     wanted = materialise(members.select("key").distinct(), "wanted")
-    small = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    sets = materialise(_shingled(narrow.join(F.broadcast(wanted) if small else wanted, "key", "left_semi")), "shingles")
+    sets = materialise(_shingled(narrow.join(_sided(wanted), "key", "left_semi")), "shingles")
     labels = _classes(members, sets, threshold)
     if labels is None:
         found = copies.select("words", F.col("rep").alias("class_id"), "n")
     else:
         found = copies.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("words", F.coalesce("label", "rep").alias("class_id"), "n")
     found = materialise(found, "classes")
+    discard(sets, members, wanted, copies)
     sizes = found.groupBy("class_id").agg(F.sum("n").alias("class_size"))
     classes = sketches.select(F.col("key").alias("row_key"), "words").join(found.join(sizes, "class_id").select("words", "class_id", "class_size"), "words")
     ids = rows.select("row_key", F.col(id_col).alias("id"))
