@@ -183,6 +183,7 @@ def jaccard_overlap(spark, d):
         AND CAST(len(list_filter(kb, lambda x: contains(lower(ta), x))) AS DOUBLE) / len(kb) >= 0.72) AS near_duplicate FROM p
 """)
 def near_duplicate_pairs(spark, d):
+    """The predicate on each document and the one with the next id; the search for duplicates is mnemos.llm's."""
     a = V.table(spark, d, "documents").select("doc_id", F.col("text").alias("ta"))
     b = a.select((F.col("doc_id") - 1).alias("doc_id"), F.col("ta").alias("tb"))
     return near_duplicates(a.join(b, "doc_id"), "ta", "tb").select("doc_id", "near_duplicate")
