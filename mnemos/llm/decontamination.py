@@ -11,22 +11,24 @@ Words: UTF-8 runs of ASCII digits, ASCII letters (A-Z lower-cased) and anything
 words, are hit nowhere and aren't contaminated; items without words have no window and never occur. Repeated rows are
 treated alike. Whole texts of any length are indexed. Empty tables on either side leave all documents clean.
 
-The benchmark's items are taken in blocks of bounded size, each of which goes to every executor; with more than one block
-every document is read once for each block and its hits are brought together by a row key.
+The benchmark's items are taken in blocks of bounded size, one after the other: each goes to every executor, all documents
+are searched, the hits are written and the block is dropped before the next one is read. Hits of several blocks are brought
+together by a row key.
 """
 
 from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemos.llm.common import bound_batches, free_name, keyed, resident, slices, words
+from mnemos.llm.common import bound_batches, free_name, keyed, materialise, resident, slices, words
 
 WINDOW = 13
 SAMPLE = 8
@@ -241,7 +243,8 @@ def _phrases(data: bytes) -> Phrases:
 HITS = "struct<n_words: long, n_hit: long, spans: array<struct<start: long, end: long>>, items: array<long>>"
 
 
-def _search(docs: DataFrame, text_col: str, hits_col: str, phrases: Phrases) -> DataFrame:
+def _search(docs: DataFrame, text_col: str, hits_col: str, phrases: Phrases) -> tuple[DataFrame, Broadcast]:
+    """docs with hits of the phrases, and what was broadcast for that."""
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(phrases))
 
     @F.arrow_udf(HITS)
@@ -263,7 +266,7 @@ def _search(docs: DataFrame, text_col: str, hits_col: str, phrases: Phrases) ->
         span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
         return pa.array(rows, pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("spans", pa.list_(span)), ("items", pa.list_(pa.int64()))]))
 
-    return docs.withColumn(hits_col, hits(F.col(text_col).cast("string")))
+    return docs.withColumn(hits_col, hits(F.col(text_col).cast("string"))), shared
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list]:
@@ -296,16 +299,19 @@ def find(
     """
     bound_batches(docs.sparkSession)
     hits_col = free_name(docs.columns, hits_col)
-    blocks = [Phrases(rows, window) for rows in _blocks(benchmark, item_col, item_text_col, block_bytes)] or [Phrases([], window)]
+    blocks = _blocks(benchmark, item_col, item_text_col, block_bytes)
+    block, more = next(blocks, []), next(blocks, None)
     sort = lambda df: df.withColumn(hits_col, F.col(hits_col).withField("items", F.array_sort(F.array_compact(F.col(hits_col)["items"]))))
-    if len(blocks) == 1:
-        return sort(_search(docs, text_col, hits_col, blocks[0]))
-    key = free_name(docs.columns, "row_key")
+    if more is None:
+        return sort(_search(docs, text_col, hits_col, Phrases(block, window))[0])
+    key = free_name([*docs.columns, hits_col], "row_key")
     rows = keyed(docs, id_col, key)
-    found = [_search(rows.select(key, text_col), text_col, hits_col, b).drop(text_col) for b in blocks]
-    merged = found[0]
-    for more in found[1:]:
-        merged = merged.unionByName(more)
+    merged = None
+    for own in chain([block, more], blocks):
+        hits, shared = _search(rows.select(key, text_col), text_col, hits_col, Phrases(own, window))
+        hits = materialise(hits.drop(text_col), "hits")
+        shared.destroy()
+        merged = hits if merged is None else merged.unionByName(hits)
     merged = merged.groupBy(key).agg(F.max(f"{hits_col}.n_words").alias("n"), F.flatten(F.collect_list(f"{hits_col}.spans")).alias("s"), F.array_distinct(F.flatten(F.collect_list(f"{hits_col}.items"))).alias("i"))
     span = lambda a, b: F.struct(a.alias("start"), b.alias("end"))
     last = lambda xs: F.element_at(xs, -1)
@@ -327,6 +333,7 @@ def contaminated(hits):
 
 def clean(docs: DataFrame, benchmark: DataFrame, hits_col: str = "hits", text_col: str = "text", **options) -> DataFrame:
     """Text of docs without the words in merged spans, joined by blanks, for documents with spans; others as they are."""
+    hits_col = free_name(docs.columns, hits_col)
     found = find(docs, benchmark, text_col=text_col, hits_col=hits_col, **options)
 
     @F.arrow_udf("string")
