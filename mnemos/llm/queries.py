@@ -7,7 +7,7 @@ from mnemos.llm.language_id import op8_language_id
 from mnemos.llm.line_dedup import op2_line_dedup
 from mnemos.llm.near_dedup import op1_near_dedup
 from mnemos.llm.secrets import op6_secrets
-from mnemos.llm.sharding import op5_sharding
+from mnemos.llm.sharding import BUCKETS, op5_sharding
 from mnemos.llm.token_counts import op9_token_counts
 from mnemos.llm.token_files import op4_token_files
 
@@ -65,7 +65,7 @@ ORACLES: dict[str, str] = {
                        CAST(concat('0x', substr(md5(concat(CASE WHEN doc_id IS NULL THEN 'null' ELSE concat('k', doc_id) END, ':', g)), CAST(8 * j + 1 AS INTEGER), 8)) AS BIGINT)))) AS words FROM c),
              s AS (SELECT doc_id, size, text_crc32, {_least_shard(40)} AS shard, {_least_shard(41)} AS grown_shard FROM k)
         SELECT doc_id, size, text_crc32, 'key' AS law, shard, grown_shard,
-               row_number() OVER (PARTITION BY shard ORDER BY coalesce(doc_id + text_crc32, 0) % 64, doc_id NULLS FIRST, text_crc32, size) - 1 AS slot FROM s
+               row_number() OVER (PARTITION BY shard ORDER BY coalesce((doc_id % {BUCKETS} + {BUCKETS}) % {BUCKETS} + text_crc32 % {BUCKETS}, 0) % {BUCKETS}, doc_id NULLS FIRST, text_crc32, size) - 1 AS slot FROM s
     """,
     "op7_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),

@@ -8,7 +8,8 @@ Places (slots) in a shard are counted in two steps, so no task sorts a whole sha
 of each shard, and the buckets' counts, a table of shards x buckets rows, are summed up and joined back.
 
 Null keys hash as one key of their own (all such rows go to one shard, as do rows with equal keys), null texts have
-no bytes, repeated rows get slots of their own. An empty table stays empty.
+no bytes, repeated rows get slots of their own. An empty table stays empty. A column that has the name of a new one stays,
+and the new one gets '_' before its name.
 """
 
 from __future__ import annotations
@@ -18,9 +19,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemos.llm.common import free_name
+from mnemos.llm.common import free_name, materialise
 
 WORDS = 4
+#: Parts of a shard whose rows are sorted together.
+BUCKETS = 1024
 
 
 def uniform_words(key: Column, shards: int) -> Column:
@@ -41,7 +44,9 @@ def assign(docs: DataFrame, key: Column, weights: Sequence[float], shard_col: st
     """docs with the shard of each key and, if grown_col is named, its shard if one more of grown_weight is there."""
     if not weights or min(weights) <= 0 or grown_weight <= 0:
         raise ValueError("weights have to be above 0")
-    words = free_name(docs.columns, "words")
+    shard_col = free_name(docs.columns, shard_col)
+    grown_col = grown_col and free_name([*docs.columns, shard_col], grown_col)
+    words = free_name([*docs.columns, shard_col, grown_col or ""], "words")
     text = F.coalesce(F.concat(F.lit("k"), key.cast("string")), F.lit("null"))
     count = len(weights) + (grown_col is not None)
     out = docs.withColumn(words, uniform_words(text, count))
@@ -51,14 +56,17 @@ def assign(docs: DataFrame, key: Column, weights: Sequence[float], shard_col: st
     return out.drop(words)
 
 
-def number(rows: DataFrame, shard_col: str, order: Sequence[Column], spread: Column, slot_col: str = "slot", buckets: int = 64) -> DataFrame:
+def number(rows: DataFrame, shard_col: str, order: Sequence[Column], spread: Column, slot_col: str = "slot", buckets: int = BUCKETS) -> DataFrame:
     """rows with gapless places from 0 in their shard, by bucket (the integer `spread` modulo buckets), then order.
 
     Equal rows are counted first and get consecutive places, so neither a shard with a third of all rows nor a row that is
-    repeated as often meets in one task. The offsets are shards x buckets rows at most, which is what is broadcast.
+    repeated as often meets in one task; they are written, so they are hashed once. The offsets are shards x buckets rows at
+    most, which is what is broadcast.
     """
-    bucket, offset, n = (free_name(rows.columns, x) for x in ("bucket", "offset", "n"))
+    slot_col = free_name(rows.columns, slot_col)
+    bucket, offset, n = (free_name([*rows.columns, slot_col], x) for x in ("bucket", "offset", "n"))
     groups = rows.groupBy(*rows.columns).agg(F.count("*").alias(n)).withColumn(bucket, F.pmod(F.coalesce(spread, F.lit(0)), F.lit(buckets)))
+    groups = materialise(groups, "sharded")
     counts = groups.groupBy(shard_col, bucket).agg(F.sum(n).alias(n))
     before = Window.partitionBy(shard_col).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(shard_col, bucket, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(offset))
@@ -80,5 +88,5 @@ def op5_sharding(spark, sf_dir: str) -> DataFrame:
         F.lit("key").alias("law"),
     )
     placed = assign(rows, F.col("doc_id"), [1.0] * 40, grown_col="grown_shard")
-    slots = number(placed, "shard", [F.col("doc_id"), F.col("text_crc32"), F.col("size")], F.col("doc_id") + F.col("text_crc32"))
+    slots = number(placed, "shard", [F.col("doc_id"), F.col("text_crc32"), F.col("size")], F.pmod(F.col("doc_id"), F.lit(BUCKETS)) + F.col("text_crc32") % BUCKETS)
     return slots.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
