@@ -1,9 +1,9 @@
 """Exact deduplication by deterministic block naming.
 
 Texts are cut into blocks of a fixed number of bytes. Equal blocks get one integer name: the distinct blocks are sorted
-and numbered. Then neighbouring names are paired and distinct pairs are sorted and numbered, level by level, until every
+and numbered, part by part of a shuffle, so names are unique and keep the order within a part. Then neighbouring names are paired and distinct pairs are sorted and numbered, level by level, until every
 document is down to one name; a name without a neighbour pairs with none. Two texts are equal just if they end on the same
-level with the same name, whatever their contents: names are places in a sorted list, not fingerprints.
+level with the same name, whatever their contents: names are places in sorted lists, not fingerprints.
 
 Distinct blocks are found by one shuffle of the blocks after a map-side combine, so thousands of copies of a block travel
 once a task. Occurrences learn their names by a 128-bit hash of the block; the shuffle of the contents tells whether

@@ -82,28 +82,42 @@ class Rollup:
         """Add a batch of signed changes; False if a batch of that id was committed before, whatever is in this one."""
         if not re.fullmatch(r"[A-Za-z0-9-]+", batch):
             raise ValueError("a batch id is made of letters, digits and hyphens")
-        if batch in self.committed():
+        if self._marked(f"batches/{batch}") or self._inside([batch]):
             return False
         sums = changes.groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in SUMS])
         sums.write.mode("overwrite").parquet(f"{self.path}/batches/{batch}")
         return True
 
-    def _version(self) -> tuple[int, set[str]]:
-        """The newest whole version (0: none) and the batches in it."""
-        for name in reversed(self._names("versions")):
-            if self._marked(f"versions/{name}/batches") and self._marked(f"versions/{name}/totals"):
-                rows = self.spark.read.schema("batch string").parquet(f"{self.path}/versions/{name}/batches").collect()
-                return int(name), {r["batch"] for r in rows}
-        return 0, set()
+    def _version(self) -> int:
+        """The newest whole version (0: none)."""
+        whole = (int(n) for n in reversed(self._names("versions")) if self._marked(f"versions/{n}/batches") and self._marked(f"versions/{n}/totals"))
+        return next(whole, 0)
 
-    def committed(self) -> set[str]:
+    def _held(self, version: int) -> DataFrame:
+        """Ids of the batches in a version."""
+        read = self.spark.read.schema("batch string")
+        return read.parquet(f"{self.path}/versions/{version:08d}/batches") if version else self.spark.createDataFrame([], "batch string")
+
+    def _inside(self, batches: list[str]) -> set[str]:
+        """Those of a few batches that the newest version holds."""
+        version = self._version()
+        return {r["batch"] for r in self._held(version).where(F.col("batch").isin(batches)).collect()} if version and batches else set()
+
+    def _open(self) -> list[str]:
+        """Committed batches that no version holds."""
+        marked = [b for b in self._names("batches") if self._marked(f"batches/{b}")]
+        inside = self._inside(marked)
+        return [b for b in marked if b not in inside]
+
+    def committed(self) -> DataFrame:
         """Ids of all committed batches."""
-        return self._version()[1] | {b for b in self._names("batches") if self._marked(f"batches/{b}")}
+        more = self.spark.createDataFrame([(b,) for b in self._open()], "batch string")
+        return self._held(self._version()).unionByName(more)
 
     def totals(self) -> DataFrame:
-        version, inside = self._version()
+        version = self._version()
         folders = [f"{self.path}/versions/{version:08d}/totals"] if version else []
-        folders += [f"{self.path}/batches/{b}" for b in self._names("batches") if b not in inside and self._marked(f"batches/{b}")]
+        folders += [f"{self.path}/batches/{b}" for b in self._open()]
         read = self.spark.read.schema(TOTALS)
         rows = read.parquet(*folders) if folders else self.spark.createDataFrame([], TOTALS)
         sums = rows.groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in SUMS])
@@ -111,14 +125,12 @@ class Rollup:
 
     def compact(self) -> int:
         """Fold all committed batches into a new version; their folders go once it is whole."""
-        version, inside = self._version()
-        held = sorted(self.committed())
+        version, folded = self._version(), self._open()
         at = f"{self.path}/versions/{version + 1:08d}"
         self.totals().write.mode("overwrite").parquet(f"{at}/totals")
-        self.spark.createDataFrame([(b,) for b in held], "batch string").write.mode("overwrite").parquet(f"{at}/batches")
-        for b in held:
-            if path_exists(self.spark, f"{self.path}/batches/{b}"):
-                drop_path(self.spark, f"{self.path}/batches/{b}")
+        self.committed().write.mode("overwrite").parquet(f"{at}/batches")
+        for b in folded:
+            drop_path(self.spark, f"{self.path}/batches/{b}")
         return version + 1
 
 
