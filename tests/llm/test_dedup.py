@@ -8,6 +8,8 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from mnemos.llm import exact_dedup, line_dedup, near_dedup, sharding
@@ -223,6 +225,68 @@ def test_near_classes_against_brute_force(spark, seed):
     assert all(r["class_size"] == sizes[r["class_id"]] and r["kept"] == (r["id"] == r["class_id"]) for r in out)
 
 
+def test_recall_by_similarity_band(spark):
+    """Of linked pairs nearly all fall into one class, also where blocks repeat, and in a large group of unlike near copies."""
+    rnd = random.Random(12)
+    vocabulary = [f"v{i}" for i in range(5000)]
+    texts = []
+    for _ in range(20):  # pairs of growing distance
+        base = [rnd.choice(vocabulary) for _ in range(120)]
+        for k in (0, 1, 2, 4):
+            own = list(base)
+            for _ in range(k):
+                own[rnd.randrange(len(own))] = rnd.choice(vocabulary)
+            texts.append(" ".join(own))
+    for times in (5, 10, 20):  # the same passage, repeated in one copy
+        for _ in range(10):
+            base = [rnd.choice(vocabulary) for _ in range(150)]
+            texts += [" ".join(base), " ".join(base + base[:20] * times)]
+    base = [rnd.choice(vocabulary) for _ in range(100)]
+    for _ in range(50):  # many of them under the threshold to each other
+        own = list(base)
+        for _ in range(rnd.randrange(7)):
+            own[rnd.randrange(len(own))] = rnd.choice(vocabulary)
+        texts.append(" ".join(own) + " tail tail tail tail tail tail" * rnd.choice([0, 0, 1, 30]))
+    out = near_dedup.classify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), bands=32).collect()
+    got = {r["id"]: r["class_id"] for r in out}
+    sets, bands, links = sets_of(texts), {}, []
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i].keys() & sets[j].keys() and (s := brute_similarity(sets[i], sets[j])) >= 0.8:
+                links.append((j, i))
+                band = bands.setdefault(min(int(s * 20), 19), [0, 0])
+                band[0] += got[i] == got[j]
+                band[1] += 1
+    assert len(bands) >= 3 and all(found >= 0.99 * n for found, n in bands.values()), bands
+    least = list(range(len(texts)))
+    for _ in texts:  # until labels stand still
+        for a, b in links:
+            least[a] = least[b] = min(least[a], least[b])
+    assert all(got[i] == got[least[i]] or sum(i in x for x in links) for i in got) and all(least[i] == least[c] for i, c in got.items())
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 4), min_size=1, max_size=90), st.lists(st.integers(0, 4), min_size=1, max_size=90))
+def test_bitmaps_bound_what_sets_differ_in(a, b):
+    def own(xs, wide):
+        h = np.unique(near_dedup.mix(np.array(xs, np.uint64) * np.uint64(7) + np.arange(len(xs), dtype=np.uint64) // np.uint64(3)))
+        return np.unique(np.concatenate([h, near_dedup.mix(np.arange(wide, dtype=np.uint64))]))
+
+    x, y = own(a, 10), own(b, 900)
+    p, q = (near_dedup.parities(h).view(np.uint64) for h in (x, y))
+    n = min(len(p), len(q))
+    fold = lambda w: np.bitwise_xor.reduce(w.reshape(-1, n), axis=0)
+    assert sum(int(v).bit_count() for v in fold(p) ^ fold(q)) <= len(np.setxor1d(x, y))
+
+
+def test_differing_bits(spark):
+    rows = [([1, 2], [3, 0]), ([-1], [0]), ([5, 6, 7, 8], [1, 1]), ([4], [1, 1, 1, 1, 1, 1, 1, 3])]
+    df = spark.createDataFrame(rows, "a array<long>, b array<long>")
+    fold = lambda w, n: [int(np.bitwise_xor.reduce(np.array(w[i::n], np.int64))) for i in range(n)]
+    want = [sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(fold(a, n), fold(b, n), strict=True)) for a, b in rows for n in [min(len(a), len(b))]]
+    assert [r[0] for r in df.select(near_dedup._differing(F.col("a"), F.col("b"))).collect()] == want
+
+
 def test_components(spark):
     rnd = random.Random(2)
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(rnd.randrange(200, 260), rnd.randrange(200, 260)) for _ in range(40)]
@@ -283,3 +347,15 @@ def test_weighted_shares_and_few_moves(spark):
     assert all(r["grown"] == 3 for r in moved) and 0.18 < len(moved) / 20_000 < 0.22
     with pytest.raises(ValueError):
         sharding.assign(df, F.col("doc_id"), [1.0, 0.0])
+
+
+def test_shards_of_extreme_ids_and_clashing_names(spark, tmp_path):
+    rows = [(2**63 - 1, "ab", 7, 8, 9), (-(2**63), None, 7, 8, 9), (0, "ab", 7, 8, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, shard int, slot long, words int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    out = sharding.op5_sharding(spark, str(tmp_path)).collect()
+    assert {r["doc_id"]: r["shard"] for r in out} == {r[0]: brute_shard(r[0], [1.0] * 40) for r in rows}
+    placed = sharding.assign(docs, F.col("doc_id"), [1.0, 1.0], grown_col="slot")
+    assert placed.columns == [*docs.columns, "_shard", "_slot"] and {r["shard"] for r in placed.collect()} == {7}
+    numbered = sharding.number(placed, "_shard", [F.col("doc_id")], F.col("words"))
+    assert sorted(numbered.columns) == sorted([*docs.columns, "_shard", "_slot", "__slot"]) and numbered.count() == 3

@@ -11,6 +11,7 @@ import tiktoken
 import tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from mnemos.llm import byte_bpe, token_counts, token_files
 
@@ -124,6 +125,16 @@ def test_many_segments_and_files(spark, clean, tmp_path):
     assert ids.tolist() == [i for x in texts for i in [*LIBRARY.encode(x, add_special_tokens=False).ids, 0]]
 
 
+def test_odd_characters_and_long_texts(spark, tmp_path):
+    """Characters that splitters treat differently, added tokens, contractions, lines; files get filler lines after long texts."""
+    texts = ["a\u0558't b", "x<|endoftext|> y", "it's\nWe'll  don't", "foo.\nBar, baz!", "\ua7cea 1\u2081", "日本 語\u3000x", "\U0001f600 a\U00010400b", " lead", "trail ", "", "w" * 5000 + " z" * 5000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    token_files.write_token_files(docs, str(tmp_path / "t"), segment_ids=50, segment_docs=2, file_segments=3, segment_bytes=200)
+    got = token_files.read_token_files(spark, str(tmp_path / "t")).orderBy("doc_id").collect()
+    assert [np.frombuffer(bytes(r["ids_le"]), "<u4").tolist() for r in got] == [[*LIBRARY.encode(x, add_special_tokens=False).ids, 0] for x in texts]
+    assert any(b"\n\n" in b or b[:1] == b"\n" for b in (f.read_bytes() for f in (tmp_path / "t").glob("part-*")))
+
+
 def test_rollup_is_idempotent_and_additive(spark, clean, tmp_path):
     counts = token_counts.count_tokens(clean).withColumnRenamed("n_chars", "x").selectExpr("source", "lang", "'v1' AS tokenizer", "n_tokens")
     r = token_counts.Rollup(spark, f"file://{tmp_path}/r")
@@ -136,7 +147,7 @@ def test_rollup_is_idempotent_and_additive(spark, clean, tmp_path):
         want[k] = (n + 1, t + len(TIKTOKEN.encode_ordinary(row["text"])))
     read = lambda: {(x["source"], x["lang"], x["tokenizer"]): (x["n_docs"], x["n_tokens"]) for x in r.totals().collect()}
     assert read() == want
-    assert r.compact() == 1 and read() == want and r.committed() == {"a"}
+    assert r.compact() == 1 and read() == want and [x["batch"] for x in r.committed().collect()] == ["a"]
     assert not r.commit("a", token_counts.inserts(counts))
     gone = counts.where("source = 's0'")
     r.commit("b", token_counts.deletes(gone))
@@ -157,6 +168,11 @@ def test_a_failed_attempt_is_overwritten(spark, clean, tmp_path):
     assert sum(x["n_docs"] for x in r.totals().collect()) == 40
 
 
+def test_a_clashing_count_column_stays(spark, clean):
+    out = token_counts.count_tokens(clean.limit(2).withColumn("n_tokens", F.lit("mine"))).collect()
+    assert all(r["n_tokens"] == "mine" and r["_n_tokens"] == len(TIKTOKEN.encode_ordinary(r["text"])) for r in out)
+
+
 def test_op9(spark, sf_dir, odd_rows, empty_dir):
     labels = {1: (1, 0), 2: (0, 1), 3: (1, 1)}
     want = {}
