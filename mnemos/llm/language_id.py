@@ -6,9 +6,10 @@ forward pass gives in one sweep. A text's score is the sum of its words' log pro
 highest wins; the reported score is its share of the languages' likelihoods. Piece probabilities come from expectation
 maximisation (forward-backward) over the words of labelled texts.
 
-Words are runs of letters of the lower-cased text (ASCII digits and punctuation part them). A text that is null or has
+Words are runs of letters of the lower-cased text (ASCII digits and punctuation part them); longer runs than 64 bytes,
+as in scripts without blanks, are cut into words between characters, in the fit as in scoring. A text that is null or has
 no letter is `und` with score 0, as is every text if nothing was learned (empty table, no labels). Whole texts are
-read, of any length: long words are scored with scaled sums. Repeated rows are scored alike; ties go to the language
+read, of any length; where products of probabilities could leave the range of numbers, logarithms are summed. Repeated rows are scored alike; ties go to the language
 that sorts first. Labels, sources and ids play no part in a prediction.
 """
 
@@ -28,140 +29,137 @@ from mnemos.llm.common import WORD_TABLE, bound_batches, free_name, materialise,
 
 #: As the words' table, with digits as separators too.
 LETTER_TABLE = bytes(32 if 48 <= b <= 57 else b for b in WORD_TABLE)
-#: Longer words are scored one by one with scaling, so that products stay in range.
-LONG_WORD = 64
-WORDS_AT_ONCE = 4_000
+#: Longer runs of letters are cut into words of so many bytes at most, between characters.
+WORD_BYTES = 64
+#: Words whose lattices are in memory at a time, times the languages.
+LATTICES = 32_768
+#: Products of probabilities stay above e to the minus this.
+RANGE = 690.0
 #: Words that a Python worker remembers, and the bits that tell whether one was met.
 CACHE_ENTRIES = 200_000
 MET_MASK = (1 << 22) - 1
 
 
+def _cut(word: bytes) -> Iterator[bytes]:
+    at = 0
+    while len(word) - at > WORD_BYTES:
+        end = at + WORD_BYTES
+        while word[end] & 0xC0 == 0x80:
+            end -= 1
+        yield word[at:end]
+        at = end
+    yield word[at:]
+
+
 def letter_words(text: str) -> list[bytes]:
-    return text.lower().encode("utf-8", "surrogatepass").translate(LETTER_TABLE).split()
+    """The words of a lower-cased text in UTF-8."""
+    own = text.lower().encode("utf-8", "surrogatepass").translate(LETTER_TABLE).split()
+    if own and max(map(len, own)) > WORD_BYTES:
+        return [x for w in own for x in _cut(w)]
+    return own
 
 
 class Lattice:
-    """The pieces of a vocabulary and all ways to cut words into them."""
+    """The pieces of a vocabulary that words can hold, as a table of transitions from byte to byte."""
 
     def __init__(self, pieces: list[bytes]):
-        self.ids = {p: i for i, p in enumerate(pieces)}
-        self.walk: dict[bytes, int] = {}
-        for p, i in self.ids.items():
-            for n in range(1, len(p)):
-                self.walk.setdefault(p[:n], -1)
-            self.walk[p] = i
-
-    def edges(self, word: bytes) -> list[tuple[int, int, int]]:
-        """(start, end, piece) within a blank and the word."""
-        text, walk, out = b" " + word, self.walk, []
-        for i in range(len(text)):
-            for j in range(i + 1, len(text) + 1):
-                piece = walk.get(text[i:j])
-                if piece is None:
-                    break
-                if piece >= 0:
-                    out.append((i, j, piece))
-        return out
-
-    def build(self, words: list[bytes]) -> Cuts:
-        return Cuts(self, words)
+        letters = [*range(97, 123), *range(128, 256)]
+        self.column = np.zeros(256, np.uint8)  # 0: none
+        self.column[[32, *letters]] = np.arange(1, len(letters) + 2)
+        states: dict[bytes, int] = {b"": 1}  # 0: dead
+        known = bytes([32, *letters])
+        for p in pieces:
+            if p and not p.strip(known) and b" " not in p[1:]:
+                for n in range(1, len(p) + 1):
+                    states.setdefault(p[:n], len(states) + 1)
+        self.step = np.zeros((len(states) + 1, len(letters) + 2), np.int32)
+        self.piece = np.full(len(states) + 1, -1, np.int32)
+        for p, state in states.items():
+            if p:
+                self.step[states[p[:-1]], self.column[p[-1]]] = state
+        for i, p in enumerate(pieces):
+            if p in states and p:
+                self.piece[states[p]] = i
+
+    def cuts(self, words: list[bytes], languages: int) -> Iterator[tuple[np.ndarray, Cuts]]:
+        """The words in groups of like lengths: their places in the list, and their cuts."""
+        order = np.argsort(np.fromiter(map(len, words), np.int64, len(words)), kind="stable")[::-1]
+        size = max(1, LATTICES // max(1, languages))
+        for at in range(0, len(order), size):
+            own = order[at : at + size]
+            yield own, Cuts(self, [words[i] for i in own.tolist()])
 
 
 class Cuts:
-    """The lattices of many short words as arrays, and sums over all their paths."""
+    """All ways to cut words, longest first and each with a blank before it, into pieces; sums over all of them."""
 
     def __init__(self, lattice: Lattice, words: list[bytes]):
-        lengths = np.array([len(w) + 2 for w in words], np.int64)
-        self.first = np.cumsum(lengths) - lengths
-        self.last = self.first + lengths - 1
-        self.nodes = int(lengths.sum())
-        flat: list[tuple[int, int, int]] = []
-        sizes = []
-        for w in words:
-            own = lattice.edges(w)
-            flat += own
-            sizes.append(len(own))
-        e = np.array(flat, np.int64).reshape(-1, 3)
-        self.word = np.repeat(np.arange(len(words)), sizes)
-        base = self.first[self.word]
-        self.start, self.end, self.piece = base + e[:, 0], base + e[:, 1], e[:, 2]
-        self.by_end = self._levels(e[:, 1], self.end)
-        self.by_start = self._levels(e[:, 0], self.start)[::-1]
-
-    @staticmethod
-    def _levels(level: np.ndarray, node: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """For each level its edges by node, where each node's run begins, and the nodes."""
-        order = np.lexsort((node, level))
-        bounds = np.flatnonzero(np.diff(level[order], prepend=-1))
-        out = []
-        for a, b in zip(bounds, [*bounds[1:], len(order)], strict=True):
-            own = order[a:b]
-            runs = np.flatnonzero(np.diff(node[own], prepend=-1))
-            out.append((own, runs, node[own][runs]))
-        return out
-
-    def forward(self, prob: np.ndarray) -> np.ndarray:
-        """For each node and language the summed probability of all paths to it."""
-        alpha = np.zeros((self.nodes, prob.shape[1]))
-        alpha[self.first] = 1
-        for own, runs, node in self.by_end:
-            alpha[node] = np.add.reduceat(alpha[self.start[own]] * prob[self.piece[own]], runs, axis=0)
+        lengths = np.array([len(w) for w in words], np.int64)
+        codes = np.zeros((len(words), int(lengths[0]) + 1 if len(words) else 1), np.uint8)
+        codes[:, 0] = lattice.column[32]
+        codes[:, 1:][np.arange(codes.shape[1] - 1) < lengths[:, None]] = lattice.column[np.frombuffer(b"".join(words), np.uint8)]
+        codes = np.ascontiguousarray(codes.T)
+        self.last, self.all = lengths + 1, np.arange(len(words))
+        self.edges: list[tuple[int, int, np.ndarray, np.ndarray]] = []  # start, end, words, pieces; by start
+        for i in range(len(codes)):
+            rows = self.all[: np.searchsorted(-lengths, -i, side="right")]
+            state = np.ones(len(rows), np.int32)
+            for j in range(i, len(codes)):
+                state = lattice.step[state, codes[j][rows]]
+                alive = state > 0
+                rows, state = rows[alive], state[alive]
+                if not len(rows):
+                    break
+                piece = lattice.piece[state]
+                own = piece >= 0
+                if own.any():
+                    self.edges.append((i, j + 1, rows[own], piece[own]))
+
+    def _logs(self, prob: np.ndarray) -> bool:
+        """Whether products would leave the range of numbers, so logarithms are summed instead."""
+        return float(self.last.max(initial=0)) * -np.log(max(prob.min(initial=1.0), 1e-300)) > RANGE
+
+    def _forward(self, p: np.ndarray, logs: bool) -> np.ndarray:
+        alpha = np.full((int(self.last.max(initial=0)) + 1, len(self.all), p.shape[1]), -np.inf if logs else 0.0)
+        alpha[0] = 0 if logs else 1
+        for i, j, rows, piece in self.edges:
+            more = alpha[i][rows] + p[piece] if logs else alpha[i][rows] * p[piece]
+            alpha[j][rows] = np.logaddexp(alpha[j][rows], more) if logs else alpha[j][rows] + more
         return alpha
 
-    def backward(self, prob: np.ndarray) -> np.ndarray:
-        beta = np.zeros((self.nodes, prob.shape[1]))
-        beta[self.last] = 1
-        for own, runs, node in self.by_start:
-            beta[node] = np.add.reduceat(beta[self.end[own]] * prob[self.piece[own]], runs, axis=0)
-        return beta
+    def log_probs(self, prob: np.ndarray) -> np.ndarray:
+        """Log probabilities of the words in each language."""
+        logs = self._logs(prob)
+        with np.errstate(divide="ignore"):
+            total = self._forward(np.log(prob) if logs else prob, logs)[self.last, self.all]
+            return np.maximum(total if logs else np.log(total), -1e6)
 
     def expected(self, prob: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Expected uses of each piece in each language, for counts of each word in each language."""
-        alpha, beta = self.forward(prob), self.backward(prob)
-        weight = counts / alpha[self.last]
-        used = alpha[self.start] * prob[self.piece] * beta[self.end] * weight[self.word]
-        out = np.zeros_like(prob)
-        for k in range(prob.shape[1]):
-            out[:, k] = np.bincount(self.piece, used[:, k], len(prob))
-        return out
-
-
-def long_word(lattice: Lattice, word: bytes, prob: np.ndarray) -> np.ndarray:
-    """Log probabilities of a long word: the same sums, each position's divided by its largest."""
-    text, walk = b" " + word, lattice.walk
-    most = max(map(len, lattice.ids))
-    ring = np.zeros((most + 1, prob.shape[1]))
-    ring[0] = 1
-    scale = np.zeros(prob.shape[1])
-    for i in range(len(text)):
-        here = ring[0]
-        top = here.max(axis=0)
-        ok = top > 0
-        if ok and not 1e-100 < top:
-            ring /= top
-            scale += np.log(top)
-            here = ring[0]
-        for j in range(i + 1, min(len(text), i + most) + 1):
-            piece = walk.get(text[i:j])
-            if piece is None:
-                break
-            if piece >= 0:
-                ring[j - i] += here * prob[piece]
-        ring = np.roll(ring, -1, axis=0)
-        ring[-1] = 0
-    return np.log(np.maximum(ring[0], 1e-300)) + scale
+        logs = self._logs(prob)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            p = np.log(prob) if logs else prob
+            alpha = self._forward(p, logs)
+            total = alpha[self.last, self.all]
+            beta = np.full(alpha.shape, -np.inf if logs else 0.0)
+            beta[self.last, self.all] = 0 if logs else 1
+            weight = np.where((counts > 0) & (total > (-np.inf if logs else 0)), counts if logs else counts / total, 0)
+            places, uses = [np.zeros(0, np.int64)], [np.zeros((0, prob.shape[1]))]
+            for i, j, rows, piece in reversed(self.edges):
+                behind = p[piece] + beta[j][rows] if logs else p[piece] * beta[j][rows]
+                beta[i][rows] = np.logaddexp(beta[i][rows], behind) if logs else beta[i][rows] + behind
+                used = np.exp(alpha[i][rows] + behind - total[rows]) if logs else alpha[i][rows] * behind
+                places.append(piece)
+                uses.append(np.where(weight[rows] > 0, used * weight[rows], 0))
+        place, use = np.concatenate(places), np.concatenate(uses)
+        return np.stack([np.bincount(place, use[:, k], len(prob)) for k in range(prob.shape[1])], axis=1)
 
 
 def expectation(lattice: Lattice, words: list[bytes], counts: np.ndarray, prob: np.ndarray) -> np.ndarray:
-    """Expected uses of the pieces (pieces x languages) in words with counts (words x languages).
-
-    Words of over 64 bytes are left out of the fit.
-    """
-    short = [i for i, w in enumerate(words) if len(w) <= LONG_WORD]
+    """Expected uses of the pieces (pieces x languages) in words with counts (words x languages)."""
     total = np.zeros_like(prob)
-    for a in range(0, len(short), WORDS_AT_ONCE):
-        own = short[a : a + WORDS_AT_ONCE]
-        total += lattice.build([words[i] for i in own]).expected(prob, counts[own])
+    for own, cuts in lattice.cuts(words, prob.shape[1]):
+        total += cuts.expected(prob, counts[own])
     return total
 
 
@@ -215,23 +213,18 @@ class Scorer:
         self.logs = np.zeros((0, len(langs)))
         self.met = bytearray(MET_MASK + 1)
 
-    def _log_probs(self, new: list[bytes]) -> tuple[list[bytes], np.ndarray]:
-        """The words in another order and their log probabilities."""
-        short = [w for w in new if len(w) <= LONG_WORD]
-        long = [w for w in new if len(w) > LONG_WORD]
-        parts = [np.zeros((0, len(self.langs)))]
-        for a in range(0, len(short), WORDS_AT_ONCE):
-            cuts = self.lattice.build(short[a : a + WORDS_AT_ONCE])
-            parts.append(np.log(np.maximum(cuts.forward(self.prob)[cuts.last], 1e-300)))
-        parts += [long_word(self.lattice, w, self.prob)[None] for w in long]
-        return short + long, np.concatenate(parts)
+    def _log_probs(self, new: list[bytes]) -> np.ndarray:
+        out = np.zeros((len(new), len(self.langs)))
+        for own, cuts in self.lattice.cuts(new, len(self.langs)):
+            out[own] = cuts.log_probs(self.prob)
+        return out
 
     def _forget(self, new: list[bytes], base: int, logs: np.ndarray) -> None:
         """Keeps, of a slice's new words, those that another slice had before; one bit each tells."""
         kept = []
         for i, w in enumerate(new):
             at = hash(w) & MET_MASK
-            if self.met[at] and len(w) <= LONG_WORD:
+            if self.met[at]:
                 kept.append(i)
             else:
                 self.met[at] = 1
@@ -245,7 +238,8 @@ class Scorer:
     def score(self, texts: list[str]) -> tuple[list[str], list[float]]:
         parts = [letter_words(x) for x in texts]
         rows, base = self.rows, len(self.logs)
-        new, logs = self._log_probs([w for w in set(chain.from_iterable(parts)) if w not in rows])
+        new = [w for w in set(chain.from_iterable(parts)) if w not in rows]
+        logs = self._log_probs(new)
         rows.update(zip(new, range(base, base + len(new)), strict=True))
         table = np.concatenate([self.logs, logs])
         names, shares = [], []
