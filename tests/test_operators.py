@@ -111,9 +111,11 @@ def test_paths_are_simple(spark):
     rnd = random.Random(9)
     edges = {(rnd.randrange(7), rnd.randrange(7)) for _ in range(16)}
     edges = {(a, b) for a, b in edges if a != b}
-    steps = spark.createDataFrame([("u", str(a), str(b)) for a, b in edges], "user_id string, src string, dst string")
-    seeds = spark.createDataFrame([(i, "u", str(i)) for i in range(7)], "seed_id long, user_id string, entity_id string")
-    got = {tuple(r["nodes"]) for r in graph.paths(seeds, steps, 3).collect()}
+    steps = spark.createDataFrame([("u", str(a), (str(b),), (f"{a}>{b}",)) for a, b in edges], "user_id string, src string, node struct<id: string>, edge struct<id: string>")
+    seeds = spark.createDataFrame([(i, "u", (str(i),)) for i in range(7)], "seed_id long, user_id string, node struct<id: string>")
+    rows = graph.paths(seeds, steps, 3).collect()
+    got = {tuple(n["id"] for n in r["nodes"]) for r in rows}
+    assert all([e["id"] for e in r["edges"]] == [f"{a['id']}>{b['id']}" for a, b in zip(r["nodes"], r["nodes"][1:], strict=False)] and r["hops"] == len(r["edges"]) for r in rows)
     want = set()
     front = [(str(i),) for i in range(7)]
     for _ in range(3):
