@@ -42,7 +42,25 @@ def _least_shard(shards: int) -> str:
         s := -ln((CAST(words[j + 1] AS DOUBLE) + CAST(0.5 AS DOUBLE)) / CAST(4294967296 AS DOUBLE)), shard := CAST(j AS INTEGER)))).shard"""
 
 
+#: Lines by place; distinct ones with their first place; those one edit from an earlier one, which share a half with it.
+_LINES = r"""
+    l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents WHERE text IS NOT NULL),
+    c AS (SELECT doc_id, pos, line, length(line) AS n, doc_id * 10000000 + pos AS place FROM l WHERE length(line) >= 10 OR regexp_matches(line, '\S')),
+    d AS (SELECT line, n, min(place) AS first FROM c GROUP BY line, n),
+    k AS (SELECT line, first, longer, n - longer AS m, side, CASE side WHEN 0 THEN substr(line, 1, (n - longer) // 2) ELSE substr(line, CAST(n - (n - longer) // 2 + 1 AS BIGINT)) END AS half
+          FROM d, (VALUES (0), (1)) a(longer), (VALUES (0), (1)) b(side) WHERE n >= 10),
+    e AS (SELECT DISTINCT x.line AS a, x.first AS fa, y.line AS b, y.first AS fb, x.m, y.longer FROM k x JOIN k y ON x.m = y.m AND x.side = y.side AND x.half = y.half AND x.longer = 0 AND x.line <> y.line),
+    near AS (SELECT DISTINCT CASE WHEN fa < fb THEN b ELSE a END AS line FROM e WHERE CASE longer
+        WHEN 0 THEN len(list_filter(range(1, m + 1), lambda i: substr(a, i, 1) <> substr(b, i, 1))) = 1
+        ELSE len(list_filter(range(1, m + 2), lambda i: concat(substr(b, 1, i - 1), substr(b, i + 1)) = a)) > 0 END),
+    gone AS (SELECT doc_id, pos FROM c JOIN d USING (line) WHERE place <> first OR line IN (SELECT line FROM near))
+"""
+
 ORACLES: dict[str, str] = {
+    "op2_line_dedup": f"""
+        WITH {_LINES}, r AS (SELECT l.doc_id, coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE g.pos IS NULL), '') AS text, count(g.pos) AS n_dropped FROM l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.pos = l.pos GROUP BY l.doc_id)
+        SELECT doc_id, r.text, coalesce(n_dropped, 0) AS n_dropped FROM documents LEFT JOIN r USING (doc_id)
+    """,
     "op3_decontamination": f"""
         WITH dw AS ({_words("documents")}), bw AS ({_words("benchmark")}),
              bi AS (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 12) + 1)) AS i FROM bw WHERE len(w) > 0),
