@@ -134,7 +134,7 @@ def round_trip(
     @F.arrow_udf("struct<ids: array<int>, decoded: binary>")
     def both(texts: pa.Array) -> pa.Array:
         own, encoded, decoded = codec(ranks.value, pattern), [], []
-        for part in text_slices(texts):
+        for part in text_slices(texts, 2 << 20):
             ids, bounds = own.encode(part)
             encoded.append((ids, bounds))
             decoded += [own.decode(ids[a:b].tolist()) for a, b in pairwise(bounds.tolist())]

@@ -67,10 +67,10 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
 
 
-def bound_batches(spark: SparkSession) -> None:
+def bound_batches(spark: SparkSession, most: int = 4 << 20) -> None:
     """Bound the bytes of an Arrow batch, so that a few thousand long texts don't meet in one; a set bound stays."""
     if spark.conf.get(ARROW_BYTES, None) is None:
-        spark.conf.set(ARROW_BYTES, str(8 << 20))
+        spark.conf.set(ARROW_BYTES, str(most))
 
 
 def free_name(taken: Iterable[str], name: str) -> str:

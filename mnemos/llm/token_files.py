@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mnemos.llm.common import bound_batches, materialise, resident, scratch_path, vocabulary_bytes
+from mnemos.llm.common import SLICE_BYTES, bound_batches, materialise, resident, scratch_path, vocabulary_bytes
 from mnemos.llm.pretokens import ChunkEncoder, byte_mapped, gather, strings, table_of, text_slices
 
 MAGIC = b"PFR1"
@@ -267,7 +267,7 @@ def write_token_files(
     segment_bytes of its own, so files have file_segments times that and one segment at most.
     """
     spark = docs.sparkSession
-    bound_batches(spark)
+    bound_batches(spark, SLICE_BYTES)
     shared = spark.sparkContext.broadcast(encoder_options(vocabulary_bytes(vocabulary or public_tokenizers.path("byte_bpe_50k.json"))))
     end = int(end_id).to_bytes(4, "little")
 
@@ -283,7 +283,7 @@ def write_token_files(
 
         for batch in batches:
             names = iter(batch.column(0).to_pylist())
-            for texts in text_slices(batch.column(1)):
+            for texts in text_slices(batch.column(1), SLICE_BYTES):
                 ids, bounds = own.encode(texts)
                 for a, b in pairwise(bounds.tolist()):
                     doc_ids.append(next(names))
