@@ -8,7 +8,7 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,6 +56,26 @@ def discard(*tables: DataFrame) -> None:
             drop_path(table.sparkSession, folder)
 
 
+def _row_bytes(df: DataFrame) -> Column:
+    """About the bytes that a row takes in memory."""
+    total = F.lit(16)
+    for field in df.schema.fields:
+        c, kind = F.col(field.name), field.dataType
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            total = total + F.coalesce(F.octet_length(c), F.lit(0)) + 16
+        elif isinstance(kind, T.ArrayType) and not isinstance(kind.elementType, (T.StringType, T.BinaryType, T.ArrayType, T.StructType)):
+            total = total + F.greatest(F.size(c), F.lit(0)) * 8 + 24
+        else:
+            total = total + (8 if not isinstance(kind, (T.ArrayType, T.MapType, T.StructType)) else F.length(F.to_json(F.struct(c))))
+    return total.cast("long")
+
+
+def sided(table: DataFrame, most_rows: int = 200_000, most_bytes: int = 32 << 20) -> DataFrame:
+    """A written table, marked to be broadcast if its rows and their bytes, both counted, stay within the bounds."""
+    n, size = table.agg(F.count("*"), F.sum(_row_bytes(table))).first()
+    return F.broadcast(table) if n <= most_rows and (size or 0) <= most_bytes else table
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a folder through Hadoop's file system, whatever store it is in."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -2,14 +2,17 @@
 
 from mnemos.llm.byte_bpe import op10_byte_bpe
 from mnemos.llm.decontamination import op3_decontamination
+from mnemos.llm.divergence import op13_source_divergence
 from mnemos.llm.exact_dedup import op7_exact_dedup
 from mnemos.llm.language_id import op8_language_id
 from mnemos.llm.line_dedup import op2_line_dedup
 from mnemos.llm.near_dedup import op1_near_dedup
+from mnemos.llm.prefix_trie import op11_prefix_trie
 from mnemos.llm.secrets import op6_secrets
 from mnemos.llm.sharding import BUCKETS, op5_sharding
 from mnemos.llm.token_counts import op9_token_counts
 from mnemos.llm.token_files import op4_token_files
+from mnemos.llm.toxicity import op12_toxicity
 
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
@@ -22,6 +25,9 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_token_counts": op9_token_counts,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_toxicity": op12_toxicity,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 
@@ -91,4 +97,38 @@ ORACLES: dict[str, str] = {
         SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d.t) AS text_sha256
         FROM d JOIN g USING (t)
     """,
+    "op11_prefix_trie": rf"""
+        WITH {_crc_table()},
+             t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+             o AS (SELECT conv_id, list(struct_pack(role := role, text := text) ORDER BY pos) AS turns FROM t GROUP BY conv_id),
+             h AS (SELECT conv_id, turns, conv_id - conv_id % 20 AS base, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+                       list_transform(range(1, length(CAST(conv_id AS VARCHAR)) + 1), lambda i: CAST(ascii(substr(CAST(conv_id AS VARCHAR), i, 1)) AS BIGINT))), lambda c, b: xor(c >> 8, crc_table.t[(xor(c, b) & 255) + 1]))) % 4 AS h FROM o, crc_table),
+             c AS (SELECT h.conv_id, list_concat(coalesce(b.turns[1:h.h], []), h.turns[h.h + 1:]) AS turns FROM h LEFT JOIN o b ON b.conv_id = h.base),
+             p AS (SELECT conv_id, len(turns) AS n, d AS depth, turns[1:d] AS prefix FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS d FROM c)),
+             v AS (SELECT depth, prefix, min(conv_id) AS conv_id, count(*) AS n_convs, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE n = depth) AS ends FROM p GROUP BY depth, prefix),
+             w AS (SELECT v.*, u.conv_id AS parent_conv_id, CASE WHEN v.depth = 0 THEN 0 ELSE (v.n_convs - 1) * len(regexp_extract_all(v.prefix[-1].text, '[^\x20\x09-\x0D]+')) END AS saved
+                   FROM v LEFT JOIN v u ON u.depth = v.depth - 1 AND u.prefix = v.prefix[1:v.depth - 1]),
+             k AS (SELECT parent_conv_id AS conv_id, depth - 1 AS depth, count(*) AS n_children FROM w WHERE depth > 0 GROUP BY ALL),
+             x AS (SELECT w.*, coalesce(n_children, 0) AS n_children FROM w LEFT JOIN k USING (conv_id, depth)),
+             b AS (SELECT y.conv_id, y.depth, sum(CASE WHEN z.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(z.saved) AS saved_tokens FROM x y JOIN x z ON z.depth >= y.depth AND z.prefix[1:y.depth] = y.prefix GROUP BY ALL)
+        SELECT conv_id, CAST(depth AS BIGINT) AS depth, parent_conv_id, n_convs, n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+        FROM x JOIN b USING (conv_id, depth)
+    """,
+    "op13_source_divergence": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{80}-\x{10FFFF}]+') AS w FROM documents),
+             t AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+             k AS (SELECT lang, term, CAST(count(*) AS HUGEINT) AS lang_n FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+             n AS (SELECT lang, source, term, CAST(count(*) AS HUGEINT) AS n FROM t JOIN k USING (lang, term) GROUP BY ALL),
+             l AS (SELECT lang, CAST(count(*) AS HUGEINT) AS v, sum(lang_n) AS lang_total FROM k GROUP BY lang),
+             g AS (SELECT lang, source, coalesce(sum(n), 0) AS total FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN n USING (lang, source) GROUP BY ALL),
+             s AS (SELECT lang, source, term, coalesce(n.n, 0) AS n, CAST(1 + (CAST(1000000000 AS HUGEINT) * (coalesce(n.n, 0) + 1)) // (total + v) AS BIGINT) AS p, CAST(1 + (CAST(1000000000 AS HUGEINT) * (lang_n + 1)) // (lang_total + v) AS BIGINT) AS q
+                   FROM g JOIN l USING (lang) JOIN k USING (lang) LEFT JOIN n USING (lang, source, term)),
+             pv AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value FROM s a JOIN s b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+             pr AS (SELECT a.lang, a.source, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pv ON pv.lang = a.lang AND pv.source = a.source AND pv.item = b.source),
+             tm AS (SELECT lang, source, term AS item, ((p - q) * (p - q)) // q AS value FROM s WHERE n > 0 AND p > q),
+             tr AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) AS rank FROM tm)
+        SELECT lang, source, 'pair' AS part, item, value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) AS rank FROM pr
+        UNION ALL SELECT lang, source, 'term', item, value, rank FROM tr WHERE rank <= 200
+    """,
 }
