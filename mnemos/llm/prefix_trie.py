@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mnemos.llm.common import bound_batches, discard, materialise
 
@@ -90,7 +91,7 @@ def running(rows: DataFrame, key: str, order: list[Column], powers: str | None =
     return out.withColumns({n: (F.col(n) + F.coalesce(F.col(f"before_{n}"), F.lit(0))).bitwiseAND(F.lit(mask)) for n in sums}).select(*rows.columns, *sums)
 
 
-@F.arrow_udf("long")
+@F.arrow_udf(T.LongType())
 def _word_count(texts: pa.Array) -> pa.Array:
     return pa.array((len(x.as_py().split()) for x in texts), pa.int64())
 

@@ -31,6 +31,7 @@ from mnemos.llm.common import WORD_TABLE, bound_batches, free_name, materialise,
 from mnemos.llm.language_id import held_out
 
 SENTENCE = re.compile(r"[^.!?\n。！？]+")
+STOPS = [x.encode() for x in "。！？"]
 #: Beginnings of so many characters are features beside whole words.
 PREFIXES = range(4, 9)
 SAMPLE_DOCS, FEATURES, LEAST_DOCS = 8_000, 4_096, 3
@@ -45,8 +46,12 @@ def features(word: bytes) -> list[str]:
     return [w, *[w[:k] + "*" for k in PREFIXES if k <= len(w)]]
 
 
-def words(text: str) -> set[bytes]:
-    return set(text.encode("utf-8", "replace").translate(WORD_TABLE).split())
+def words(text: bytes) -> set[bytes]:
+    """Distinct words of a text in UTF-8; full stops of any script part them."""
+    for stop in STOPS:
+        if stop in text:
+            text = text.replace(stop, b" ")
+    return set(text.translate(WORD_TABLE).split())
 
 
 def noisy_or(scores: Iterable[float]) -> float:
@@ -78,11 +83,11 @@ class Scorer:
     def instances(self, text: bytes) -> Iterator[tuple[int, int, set[int]]]:
         """(start, end, features) of the sentences that have any; code points, end exclusive."""
         held = self.held
-        hot = {w for w in set(text.translate(WORD_TABLE).split()) if held(w)}
+        hot = {w for w in words(text) if held(w)}
         if not hot:
             return
         for m in SENTENCE.finditer(text.decode("utf-8", "replace")):
-            own = words(m[0]) & hot
+            own = words(m[0].encode()) & hot
             if own:
                 yield m.start(), m.end(), {f for w in own for f in held(w)}
 
@@ -170,7 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, text_col: str = "
                 total: Counter = Counter()
                 for label, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                     if label == y:
-                        total.update({f for w in set(text.as_py().translate(WORD_TABLE).split()) for f in features(w)})
+                        total.update({f for w in words(text.as_py()) for f in features(w)})
                 names = list(total)
                 for at in range(0, len(names), 100_000):
                     part = names[at : at + 100_000]
