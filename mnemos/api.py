@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 from datetime import UTC, datetime
 from typing import Any
@@ -14,15 +15,17 @@ from mnemos.config import DEFAULT, EngineConfig
 from mnemos.functions.vector import hash_embed
 from mnemos.operators import alerts, changes, consolidate, feedback, graph, ingest, lookup, migrate
 from mnemos.operators import recall as recalling
+from mnemos.schemas import TABLES
 from mnemos.sources import archive
-from mnemos.sources.store import SnapshotStore, merge
+from mnemos.sources.store import SnapshotStore, Transaction, merge
 from mnemos.streaming.jobs import apply_feedback, process_pending
 
 
 class MemoryEngine:
     """Sessions, memories, recall, graph, feedback, consolidation, migration and archives in one store.
 
-    Arguments out of range raise ValueError, unknown ids KeyError. `clock` gives the time of every call.
+    Arguments out of range raise ValueError, unknown ids KeyError. `clock` gives the time of every call. Each call that writes
+    is one transaction of the store, done anew if another writer was faster.
     """
 
     def __init__(self, spark: SparkSession, root: str, config: EngineConfig = DEFAULT, clock: Callable[[], datetime] | None = None, embed: Callable | None = None):
@@ -58,49 +61,69 @@ class MemoryEngine:
 
     def create_session(self, user_id: str | None = None, tenant_id: str | None = None, meta: dict[str, str] | None = None) -> str:
         self._count("sessions_created")
-        ord_ = self.store.read("sessions").count()
-        row = self._one("ord long, tenant_id string, user_id string, meta map<string,string>", ord=ord_, tenant_id=tenant_id, user_id=user_id, meta=meta or {})
+        row = self._one("ord string, tenant_id string, user_id string, meta map<string,string>", ord=uuid.uuid4().hex, tenant_id=tenant_id, user_id=user_id, meta=meta or {})
         made = ingest.open_sessions(row, self._now())
-        self.store.append("sessions", made)
+        self.store.upsert("sessions", made)
         return made.first()["id"]
 
     def close_session(self, session_id: str) -> dict:
-        ids = self._one("id string", id=session_id)
-        items, memories, now = self.store.read("l1_items"), self.store.read("memories"), self._now()
-        sessions, promoted, left, report = ingest.close(self.store.read("sessions"), ids, items, memories, now, self.config)
-        row = report.first()
-        if row["outcome"] == "not_found":
-            raise KeyError(session_id)
-        if row["outcome"] == "conflict":
-            raise ValueError(f"session {session_id} is closed")
-        vectors = ingest.embedded(promoted, now, self.config, self.embed)
-        self.store.commit({"sessions": sessions, "l1_items": left, "memories": merge(memories, promoted, ["id"]), "embeddings": merge(self.store.read("embeddings"), vectors, ["memory_id"])})
+        ids, now = self._one("id string", id=session_id), self._now()
+
+        def work(own: Transaction) -> dict:
+            own_items, memories = own.read("l1_items").where(F.col("session_id") == session_id), own.read("memories")
+            sessions, promoted, _, report = ingest.close(own.read("sessions", [session_id]), ids, own_items, memories, now, self.config)
+            row = report.first()
+            if row["outcome"] == "not_found":
+                raise KeyError(session_id)
+            if row["outcome"] == "conflict":
+                raise ValueError(f"session {session_id} is closed")
+            own.upsert("sessions", sessions)
+            own.delete("l1_items", own_items.select("id"))
+            own.upsert("memories", promoted)
+            own.upsert("embeddings", ingest.embedded(promoted, now, self.config, self.embed))
+            return {"id": session_id, "status": "closed", "promoted_count": row["promoted_count"], "dropped_count": row["dropped_count"]}
+
+        told = self.store.transact(work)
         self._count("sessions_closed")
-        return {"id": session_id, "status": "closed", "promoted_count": row["promoted_count"], "dropped_count": row["dropped_count"]}
+        return told
 
     # --- memories
 
     def remember(self, content: str, user_id: str | None = None, tenant_id: str | None = None, session_id: str | None = None, memory_type: str = "fact", importance: float = 0.5, pinned: bool = False, extract_graph: bool | None = None, source: str = "ingest") -> dict:
         self._within("importance", importance, 0, 1)
         self._count("memories_remembered")
-        now, memories = self._now(), self.store.read("memories")
-        items = self.store.read("l1_items")
-        ord_ = memories.count() + items.count()
-        schema = "ord long, content string, user_id string, tenant_id string, session_id string, memory_type string, importance double, pinned boolean"
-        row = self._one(schema, ord=ord_, content=content, user_id=user_id, tenant_id=tenant_id, session_id=session_id, memory_type=memory_type, importance=float(importance), pinned=pinned)
-        made = ingest.remember(row, items, now, self.config, self.embed)
-        told = made.rows.first()
-        new = made.memories.withColumn("source", F.lit(source))
-        found = self.detect_alerts(user_id, content, told["id"], tenant_id) if user_id else []
-        tables = {"l1_items": made.l1_items, "memories": merge(memories, new, ["id"]), "embeddings": merge(self.store.read("embeddings"), made.embeddings, ["memory_id"])}
-        counts = {"entities": 0, "relations": 0}
-        if user_id and (self.config.extract_on_remember if extract_graph is None else extract_graph):
-            text = self._one("id string, user_id string, tenant_id string, text string, source_memory_id string", id=told["id"], user_id=user_id, tenant_id=tenant_id, text=content, source_memory_id=told["id"])
-            entities, relations, n = graph.ingest(text, self.store.read("entities"), self.store.read("relations"), now, self.config)
-            tables |= {"entities": entities, "relations": relations}
-            counts = n.first().asDict()
-        self.store.commit(tables)
-        return {"id": told["id"], "layer": told["layer"], "pinned": told["pinned"], "importance": told["importance"], "entities_extracted": counts["entities"], "relations_extracted": counts["relations"], "alerts": found}
+        now = self._now()
+        schema = "ord long, seed string, content string, user_id string, tenant_id string, session_id string, memory_type string, importance double, pinned boolean"
+        row = self._one(schema, ord=0, seed=uuid.uuid4().hex, content=content, user_id=user_id, tenant_id=tenant_id, session_id=session_id, memory_type=memory_type, importance=float(importance), pinned=pinned)
+
+        def work(own: Transaction) -> dict:
+            items = own.read("l1_items") if session_id is not None else self.spark.createDataFrame([], TABLES["l1_items"])
+            items = items.where(F.col("session_id") == session_id) if session_id is not None else items
+            made = ingest.remember(row, items, now, self.config, self.embed)
+            told = made.rows.first()
+            found = self.detect_alerts(user_id, content, told["id"], tenant_id) if user_id else []
+            own.upsert("memories", made.memories.withColumn("source", F.lit(source)))
+            own.upsert("embeddings", made.embeddings)
+            if session_id is not None:
+                own.upsert("l1_items", made.l1_items.join(items.select("id"), "id", "left_anti"))
+                own.delete("l1_items", items.select("id").join(made.l1_items.select("id"), "id", "left_anti"))
+            counts = {"entities": 0, "relations": 0}
+            if user_id and (self.config.extract_on_remember if extract_graph is None else extract_graph):
+                text = self._one("id string, user_id string, tenant_id string, text string, source_memory_id string", id=told["id"], user_id=user_id, tenant_id=tenant_id, text=content, source_memory_id=told["id"])
+                counts = self._extracted(own, text)
+            return {"id": told["id"], "layer": told["layer"], "pinned": told["pinned"], "importance": told["importance"], "entities_extracted": counts["entities"], "relations_extracted": counts["relations"], "alerts": found}
+
+        return self.store.transact(work)
+
+    def _extracted(self, own: Transaction, text: DataFrame) -> dict:
+        """Put the graph of a text into a transaction; returns its counts. A text without relations reads and writes nothing."""
+        none = {k: self.spark.createDataFrame([], TABLES[k]) for k in ("entities", "relations")}
+        counts = graph.ingest(text, none["entities"], none["relations"], self._now(), self.config)[2].first().asDict()
+        if counts["entities"] or counts["relations"]:
+            entities, relations, _ = graph.ingest(text, own.read("entities"), own.read("relations"), self._now(), self.config)
+            own.put("entities", entities)
+            own.put("relations", relations)
+        return counts
 
     def pin(self, memory_id: str | None = None, content: str | None = None, pinned: bool = True, **options) -> dict:
         """Pin (or unpin) a memory, or remember a new pinned one."""
@@ -108,14 +131,17 @@ class MemoryEngine:
             if not content:
                 raise ValueError("a memory or a content is needed")
             return self.remember(content, memory_type="identity", importance=1.0, pinned=True, **options)
-        row = self._one("id string, pin boolean", id=memory_id, pin=pinned)
-        after = changes.set_pinned(self.store.read("memories"), row, self._now())
-        hit = after.where("repinned")
-        if hit.isEmpty():
-            raise KeyError(memory_id)
-        vectors = ingest.embedded(hit, self._now(), self.config, self.embed)
-        self.store.commit({"memories": after.drop("repinned"), "embeddings": merge(self.store.read("embeddings"), vectors, ["memory_id"])})
-        return {"id": memory_id, "pinned": pinned}
+        row, now = self._one("id string, pin boolean", id=memory_id, pin=pinned), self._now()
+
+        def work(own: Transaction) -> dict:
+            hit = changes.set_pinned(own.read("memories", [memory_id]), row, now).where("repinned").drop("repinned")
+            if hit.isEmpty():
+                raise KeyError(memory_id)
+            own.upsert("memories", hit)
+            own.upsert("embeddings", ingest.embedded(hit, now, self.config, self.embed))
+            return {"id": memory_id, "pinned": pinned}
+
+        return self.store.transact(work)
 
     def recall(self, user_id: str, query: str, session_id: str | None = None, tenant_id: str | None = None, top_k: int | None = None, include_pinned: bool = True, min_score: float | None = None, touch: bool = True) -> list[dict]:
         self._within("top_k", top_k, 1, 100)
@@ -129,8 +155,8 @@ class MemoryEngine:
         found = [r.asDict() for r in recalling.recall(q, self.store.read("memories"), self.store.read("embeddings"), self._now(), items, self.config).orderBy("rank").collect()]
         used = [(r["id"],) for r in found if r["layer"] == "L2"]
         if touch and used:
-            ids = self.spark.createDataFrame(used, "id string")
-            self.store.update("memories", lambda base: changes.touch(base, ids, self._now()))
+            ids, now = self.spark.createDataFrame(used, "id string"), self._now()
+            self.store.transact(lambda own: own.upsert("memories", changes.touch(own.read("memories", [i for (i,) in used]), ids, now)))
         return found
 
     def recommend(self, user_id: str, query: str, exclude: list[str] | None = None, top_k: int | None = None, tenant_id: str | None = None) -> list[dict]:
@@ -143,11 +169,16 @@ class MemoryEngine:
 
     def apply_decay(self, threshold: float | None = None) -> int:
         """Soft-delete what has decayed; returns how many."""
-        gone = changes.decayed(self.store.read("memories"), self._now(), threshold, self.config).select("id")
-        n = gone.count()
-        memories = changes.soft_delete(self.store.read("memories"), gone, self._now()).drop("changed")
-        self.store.commit({"memories": memories, "embeddings": changes.drop_vectors(self.store.read("embeddings"), gone)})
-        return n
+        now = self._now()
+
+        def work(own: Transaction) -> int:
+            rows = own.read("memories")
+            gone = changes.decayed(rows, now, threshold, self.config).select("id")
+            own.upsert("memories", changes.soft_delete(rows, gone, now).where("changed").drop("changed"))
+            own.delete("embeddings", gone)
+            return gone.count()
+
+        return self.store.transact(work)
 
     # --- graph
 
@@ -155,16 +186,14 @@ class MemoryEngine:
         if text is None:
             if memory_id is None:
                 raise ValueError("a text or a memory is needed")
-            row = self.store.read("memories").where((F.col("id") == memory_id) & F.col("deleted_at").isNull()).first()
+            row = self.store.read("memories", keys=[memory_id]).where(F.col("deleted_at").isNull()).first()
             if row is None:
                 raise KeyError(memory_id)
             if not row["user_id"]:
                 raise ValueError("the memory has no user")
             user_id, tenant_id, text = row["user_id"], row["tenant_id"], row["content"]
         source = self._one("id string, user_id string, tenant_id string, text string, source_memory_id string", id="t", user_id=user_id, tenant_id=tenant_id, text=text, source_memory_id=memory_id)
-        entities, relations, n = graph.ingest(source, self.store.read("entities"), self.store.read("relations"), self._now(), self.config)
-        counts = n.first()
-        self.store.commit({"entities": entities, "relations": relations})
+        counts = self.store.transact(lambda own: self._extracted(own, source))
         return {"entities": counts["entities"], "relations": counts["relations"]}
 
     def entities(self, user_id: str, q: str | None = None, entity_type: str | None = None, tenant_id: str | None = None, limit: int = 50) -> list[dict]:
@@ -183,8 +212,7 @@ class MemoryEngine:
 
     def submit_feedback(self, user_id: str, answer_id: str, feedback_type: str, session_id: str | None = None, tenant_id: str | None = None, correction_text: str | None = None, related_memory_ids: list[str] | None = None, answer_text: str | None = None, wait: bool | None = None) -> dict:
         schema = "id string, tenant_id string, user_id string, session_id string, answer_id string, feedback_type string, correction_text string, related_memory_ids array<string>, answer_text string, created_at timestamp"
-        n = self.store.read("feedback_events").count()
-        row = (f"fb_{n:032d}", tenant_id, user_id, session_id, answer_id, feedback_type, correction_text, related_memory_ids or [], answer_text, self.clock())
+        row = (f"fb_{uuid.uuid4().hex}", tenant_id, user_id, session_id, answer_id, feedback_type, correction_text, related_memory_ids or [], answer_text, self.clock())
         later = self.config.feedback_async if wait is None else not wait
         problems = apply_feedback(self.store, self.spark.createDataFrame([row], schema), self.clock(), self.config, pending=later)
         problem = problems.first()
@@ -196,7 +224,7 @@ class MemoryEngine:
         process_pending(self.store, self.clock(), self.config)
 
     def get_feedback(self, feedback_id: str) -> dict:
-        events = self.store.read("feedback_events").where(F.col("id") == feedback_id)
+        events = self.store.read("feedback_events", keys=[feedback_id])
         row = feedback.with_reflection(events, self.store.read("reflection_records")).first()
         if row is None:
             raise KeyError(feedback_id)
@@ -205,25 +233,35 @@ class MemoryEngine:
     # --- upkeep
 
     def consolidate(self) -> list[dict]:
-        rows, vectors, report = consolidate.consolidate(self.store.read("memories"), self.store.read("embeddings"), self._now(), self.config)
-        told = [r.asDict() for r in report.collect()]
-        made = rows.where("source = 'consolidation' AND deleted_at IS NULL").join(vectors.select(F.col("memory_id").alias("id")), "id", "left_anti")
-        fresh = ingest.embedded(made, self._now(), self.config, self.embed)
-        self.store.commit({"memories": rows, "embeddings": merge(vectors, fresh, ["memory_id"])})
-        return told
+        now = self._now()
+
+        def work(own: Transaction) -> list[dict]:
+            rows, vectors, report = consolidate.consolidate(own.read("memories"), own.read("embeddings"), now, self.config)
+            made = rows.where("source = 'consolidation' AND deleted_at IS NULL").join(vectors.select(F.col("memory_id").alias("id")), "id", "left_anti")
+            fresh = ingest.embedded(made, now, self.config, self.embed)
+            own.put("memories", rows)
+            own.put("embeddings", merge(vectors, fresh, ["memory_id"]))
+            return [r.asDict() for r in report.collect()]
+
+        return self.store.transact(work)
 
     def reembed(self, dry_run: bool = False, **options) -> dict:
         """Bring all vectors up to date; all users' rows are embedded in Arrow batches of one distributed plan."""
-        memories, vectors, report = migrate.reembed(self.store.read("memories"), self.store.read("embeddings"), self._now(), self.config, dry_run=dry_run, embed=self.embed, **options)
-        told = report.first().asDict()
-        if not dry_run:
-            self.store.commit({"memories": memories, "embeddings": vectors})
-        return told
+        now = self._now()
+
+        def work(own: Transaction) -> dict:
+            memories, vectors, report = migrate.reembed(own.read("memories"), own.read("embeddings"), now, self.config, dry_run=dry_run, embed=self.embed, **options)
+            if not dry_run:
+                own.put("memories", memories)
+                own.put("embeddings", vectors)
+            return report.first().asDict()
+
+        return self.store.transact(work)
 
     def dump(self, root: str, user_id: str | None = None) -> dict:
         parts = archive.sections(self.store.read("memories"), self.store.read("entities"), self.store.read("relations"), user_id)
         row = archive.dump(self.spark, parts, root, self.clock(), user_id)
-        self.store.append("l3_archives", row)
+        self.store.upsert("l3_archives", row)
         return row.first().asDict()
 
     def archives(self, limit: int = 20) -> list[dict]:

@@ -28,14 +28,15 @@ class IngestResult:
 def flagged(rows: DataFrame, now: Column, config: EngineConfig = DEFAULT) -> DataFrame:
     """rows (ord, content, user_id, tenant_id, session_id, memory_type, importance, pinned) with id, resolved importance and
 
-    layer: L2 if pinned or important enough, else L1 in a session, else none.
+    layer: L2 if pinned or important enough, else L1 in a session, else none. A column `seed`, if there is one, takes ord's
+    place in ids.
     """
     for name, kind, default in (("tenant_id", "string", None), ("session_id", "string", None), ("memory_type", "string", "fact"), ("importance", "double", 0.5), ("pinned", "boolean", False)):
         rows = rows.withColumn(name, F.coalesce(F.col(name), F.lit(default).cast(kind)) if name in rows.columns else F.lit(default).cast(kind))
     out = rows.withColumn("importance", S.resolve_importance(F.col("content"), F.col("memory_type"), F.col("pinned"), F.col("importance"), config))
     keep = F.col("pinned") | (F.col("importance") >= config.promotion_threshold)
     layer = F.when(keep, "L2").when(F.col("session_id").isNotNull(), "L1").otherwise("none")
-    return out.withColumn("id", new_id("mem_", F.col("ord"), F.col("user_id"), F.col("session_id"), F.col("content"))).withColumn("layer", layer).withColumn("created_at", now).withColumn("weight", F.lit(1.0))
+    return out.withColumn("id", new_id("mem_", F.col("seed" if "seed" in rows.columns else "ord"), F.col("user_id"), F.col("session_id"), F.col("content"))).withColumn("layer", layer).withColumn("created_at", now).withColumn("weight", F.lit(1.0))
 
 
 def as_memories(rows: DataFrame, source: str) -> DataFrame:

@@ -39,6 +39,8 @@ TABLES = {
     "reflection_records": REFLECTIONS,
     "l3_archives": ARCHIVES,
 }
+#: What tells a table's rows apart.
+KEYS = dict.fromkeys(TABLES, "id") | {"embeddings": "memory_id"}
 #: Values of columns that rows of older versions don't have.
 DEFAULTS = {
     "memories": {"memory_type": "fact", "importance": 0.5, "weight": 1.0, "pinned": False, "source": "manual", "meta_json": "{}", "access_count": 0},

@@ -16,7 +16,7 @@ from mnemos.config import DEFAULT, EngineConfig
 from mnemos.operators import changes, feedback
 from mnemos.operators.ingest import embedded
 from mnemos.schemas import FEEDBACK_EVENTS, conform
-from mnemos.sources.store import SnapshotStore, merge
+from mnemos.sources.store import SnapshotStore, Transaction
 
 
 def apply_feedback(store: SnapshotStore, events: DataFrame, now: datetime, config: EngineConfig = DEFAULT, batch: str | None = None, pending: bool = False) -> DataFrame:
@@ -26,38 +26,41 @@ def apply_feedback(store: SnapshotStore, events: DataFrame, now: datetime, confi
     """
     at = F.lit(now).cast("timestamp")
     checked = feedback.validated(conform(events, "feedback_events"))
-    known = store.read("feedback_events")
-    valid = checked.where("problem IS NULL").drop("problem").dropDuplicates(["id"]).join(known.select("id"), "id", "left_anti")
-    memories = store.read("memories")
-    weighed = changes.adjust_weights(memories, feedback.weight_deltas(valid, config))
-    tables = {"feedback_events": known.unionByName(valid.select(*known.columns))}
-    old = store.read("reflection_records")
-    if pending:
-        tables |= {"memories": weighed, "reflection_records": old.unionByName(feedback.pending_rows(valid, at).select(*old.columns))}
-    else:
-        tables |= _finished(store, valid, memories, weighed, at, config)
-    store.commit(tables, batch)
+
+    def work(own: Transaction) -> None:
+        known, memories = own.read("feedback_events"), own.read("memories")
+        valid = checked.where("problem IS NULL").drop("problem").dropDuplicates(["id"]).join(known.select("id"), "id", "left_anti")
+        deltas = feedback.weight_deltas(valid, config)
+        named = memories.join(deltas.select("id").distinct(), "id", "left_semi")
+        own.upsert("feedback_events", valid)
+        own.upsert("memories", changes.adjust_weights(named, deltas))
+        if pending:
+            own.upsert("reflection_records", feedback.pending_rows(valid, at))
+        else:
+            _finish(own, valid, memories, at, config)
+
+    store.transact(work, batch)
     return checked.where("problem IS NOT NULL")
 
 
-def _finished(store: SnapshotStore, events: DataFrame, memories: DataFrame, weighed: DataFrame, at, config: EngineConfig) -> dict[str, DataFrame]:
+def _finish(own: Transaction, events: DataFrame, memories: DataFrame, at, config: EngineConfig) -> None:
+    """Put the events' reflections, and the memories and vectors that follow from them, into a transaction."""
     final = feedback.finalise(feedback.drafts(feedback.with_related(events, memories)), config)
-    derived = feedback.derived_memories(final, at)
-    rows = conform(derived, "memories")
-    old = store.read("reflection_records")
-    return {
-        "memories": merge(weighed, rows, ["id"]),
-        "embeddings": merge(store.read("embeddings"), conform(embedded(rows, at, config), "embeddings"), ["memory_id"]),
-        "reflection_records": merge(old, feedback.reflection_rows(final, at).select(*old.columns), ["feedback_id"]),
-    }
+    rows = conform(feedback.derived_memories(final, at), "memories")
+    own.upsert("memories", rows)
+    own.upsert("embeddings", embedded(rows, at, config))
+    own.upsert("reflection_records", feedback.reflection_rows(final, at))
 
 
 def process_pending(store: SnapshotStore, now: datetime, config: EngineConfig = DEFAULT, batch: str | None = None) -> None:
     """Finish all pending reflections."""
-    waiting = store.read("reflection_records").where("status = 'pending'").select(F.col("feedback_id").alias("id"))
-    events = store.read("feedback_events").join(waiting, "id", "left_semi")
-    memories = store.read("memories")
-    store.commit(_finished(store, events, memories, memories, F.lit(now).cast("timestamp"), config), batch)
+
+    def work(own: Transaction) -> None:
+        waiting = own.read("reflection_records").where("status = 'pending'").select(F.col("feedback_id").alias("id"))
+        events = own.read("feedback_events").join(waiting, "id", "left_semi")
+        _finish(own, events, own.read("memories"), F.lit(now).cast("timestamp"), config)
+
+    store.transact(work, batch)
 
 
 def feedback_stream(spark: SparkSession, source: str, store: SnapshotStore, checkpoint: str, now: datetime, config: EngineConfig = DEFAULT, once: bool = True) -> StreamingQuery:
