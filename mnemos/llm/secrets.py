@@ -1,8 +1,9 @@
 """Secret scans: fixed patterns, and a battery of randomness tests for what no pattern knows.
 
 Base spans come from patterns for assignments, access keys and hexadecimal runs. The battery looks at every other run of
-at least `min_length` characters of the base64 alphabets (both kinds, with padding), and at the base spans' values: the
-narrowest common encoding that holds all characters is inferred (hexadecimal, base 32, 36, 62, 64, 64 for URLs), and four
+at least `min_length` characters of the base64 alphabets (both kinds, with padding), and at the base spans' values: hyphens
+and underscores that part a run into groups of four characters or more are left out, as in UUIDs, the
+narrowest common encoding that holds all characters is inferred (decimal, hexadecimal, letters, base 32, 36, 62, 64, 64 for URLs, in one case or both), and four
 tests ask whether they may be a uniform draw of that alphabet: chi-squared over the characters' counts, and over those of
 digits, small and capital letters (cells that short runs fill, too), the number of runs above and below the alphabet's
 middle, and the correlation of neighbours. The score is the least of the four p-values times four, at most 1.
@@ -10,7 +11,8 @@ middle, and the correlation of neighbours. The score is the least of the four p-
 How high a score has to be depends on the length. Each document gives a decoy for each class of lengths: that many
 characters of its ordinary text in a row, separators left out. The share of a class's decoys that score as high, one
 added above and below, is a run's p-value as ordinary text; in each class Benjamini and Hochberg's step-up over all runs of
-the corpus (and one of its own over all base values, which stay in any case) keeps the share of false discoveries at `rate`. A class with fewer than `least_decoys` takes those of the next
+the corpus (and one of its own over all base values, which stay in any case) keeps the share of false discoveries at `rate`,
+for each family of encodings by itself: words of letters don't hide short keys with digits or of mixed case. A class with fewer than `least_decoys` takes those of the next
 shorter class, which pass more easily. So a single random key in a small corpus can be found, of any length.
 
 Null and empty texts have no spans. Texts are scanned whole; spans are code points, end exclusive. Repeated rows are scanned
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mnemos.llm.common import bound_batches, free_name, materialise, slices
+from mnemos.llm.common import bound_batches, materialise, slices
 
 # The base patterns and the least lengths of what they find.
 ASSIGN = re.compile(r"""(?a:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""", re.IGNORECASE | re.ASCII)
@@ -44,10 +46,15 @@ RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{%d,}={0,2}"
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: From narrow to wide.
 ENCODINGS = {
+    "decimal": DIGITS,
     "hex": DIGITS + LOWER[:6],
     "hex_upper": DIGITS + UPPER[:6],
+    "letters": LOWER,
+    "letters_upper": UPPER,
     "base32": UPPER + "234567",
+    "base32_lower": LOWER + "234567",
     "base36": DIGITS + LOWER,
+    "base36_upper": DIGITS + UPPER,
     "base62": UPPER + LOWER + DIGITS,
     "base64": UPPER + LOWER + DIGITS + "+/",
     "base64url": UPPER + LOWER + DIGITS + "-_",
@@ -55,16 +62,22 @@ ENCODINGS = {
 }
 _NAMES = tuple(ENCODINGS)
 #: For each byte the encodings (a bit each) that have it, its place in each, and whether it is a digit or sign, small or capital.
-_HOLDS = np.array([sum(1 << e for e, x in enumerate(ENCODINGS.values()) if chr(c) in x) for c in range(256)], np.uint8)
+_HOLDS = np.array([sum(1 << e for e, x in enumerate(ENCODINGS.values()) if chr(c) in x) for c in range(256)], np.uint16)
 _PLACES = np.array([[max(0, x.find(chr(c))) for c in range(256)] for x in ENCODINGS.values()])
 _SORTS = np.array([1 if chr(c) in LOWER else 2 if chr(c) in UPPER else 0 for c in range(256)])
 _NO_TEXT = bytes(c for c in range(256) if not _HOLDS[c])
 #: Classes of lengths begin at these.
 LENGTH_CLASSES = (12, 16, 20, 24, 32, 40, 48, 64, 96, 128, 256, 1024)
 SCORE_BINS = 200
+#: Characters of a group, in runs that signs part into groups.
+LEAST_GROUP = 4
+
+#: Families of encodings: letters of one case, as in most words; one case with digits, or digits; the rest.
+FAMILIES = (("letters", "letters_upper"), ("decimal", "hex", "hex_upper", "base32", "base32_lower", "base36", "base36_upper"), ("base62", "base64", "base64url", "base66"))
+_FAMILY = {name: f for f, names in enumerate(FAMILIES) for name in names}
 
 SPAN = "struct<kind: int, start: int, end: int, encoding: string, cls: int, bin: int>"
-FOUND = f"struct<base: array<{SPAN}>, runs: array<{SPAN}>, decoys: array<int>>"
+FOUND = f"struct<base: array<{SPAN}>, runs: array<{SPAN}>, decoys: array<struct<cls: int, bin: int>>>"
 
 
 def base_values(text: str) -> list[tuple[int, int, int, str]]:
@@ -79,6 +92,12 @@ def base_values(text: str) -> list[tuple[int, int, int, str]]:
     return sorted(out, key=lambda s: (s[1], s[0]))
 
 
+def bare(run: str) -> bytes:
+    """A run's characters without padding, and without the signs between groups if it is made of such."""
+    groups = re.split("[-_]", run.rstrip("="))
+    return ("".join(groups) if min(map(len, groups)) >= LEAST_GROUP else run.rstrip("=")).encode()
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     return [x[:3] for x in base_values(text)]
 
@@ -143,7 +162,10 @@ def score(run: str) -> tuple[str, float]:
 
 
 def _scored(runs: list[bytes]) -> list[tuple[str, int, int]]:
-    """(encoding, class of length, bin of the score) of each run; runs of a length are scored together."""
+    """(encoding, class, bin of the score) of each run; runs of a length are scored together. Classes are those of lengths,
+
+    family by family of encodings.
+    """
     lengths = defaultdict(list)
     for i, run in enumerate(runs):
         lengths[len(run)].append(i)
@@ -155,7 +177,7 @@ def _scored(runs: list[bytes]) -> list[tuple[str, int, int]]:
             encoding, p = scores(np.frombuffer(b"".join(runs[i] for i in own), np.uint8).reshape(-1, n))
         cls = max(0, bisect_right(LENGTH_CLASSES, n) - 1)
         for i, e, x in zip(own, encoding.tolist(), p.tolist(), strict=True):
-            out[i] = (_NAMES[e], cls, min(SCORE_BINS - 1, int(x * SCORE_BINS)))
+            out[i] = (_NAMES[e], _FAMILY[_NAMES[e]] * len(LENGTH_CLASSES) + cls, min(SCORE_BINS - 1, int(x * SCORE_BINS)))
     return out
 
 
@@ -185,29 +207,34 @@ def random_runs(text: str, base: list[tuple], pattern: re.Pattern) -> tuple[list
     return found, "".join([*pieces, text[at:]]).encode().translate(None, _NO_TEXT)
 
 
-def scan(docs: DataFrame, text_col: str = "text", found_col: str = "found", min_length: int = 16) -> DataFrame:
-    """docs with base spans, scored runs and decoys of every text; row by row, without a shuffle."""
+def scan(docs: DataFrame, text_col: str = "text", found_col: str = "found", min_length: int = LENGTH_CLASSES[0]) -> DataFrame:
+    """docs with base spans, scored runs and decoys of every text; row by row, without a shuffle.
+
+    found_col must not be a column of docs: thresholds() and spans() look for the scan there.
+    """
+    if found_col.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"there is a column {found_col}")
     bound_batches(docs.sparkSession)
     pattern = re.compile(RUN % min_length)
 
     @F.arrow_udf(FOUND)
     def found(texts: pa.Array) -> pa.Array:
         spans: dict[str, list] = {"base": [], "runs": []}
-        drawn: list[list[int]] = []
+        drawn: list[list[dict]] = []
         for _, part in slices(texts):
             own = [(base := base_values(text), *random_runs(text, base, pattern)) for text in part]
             values = [[re.sub("[^A-Za-z0-9+/_-]", "", v).encode() for *_, v in base] for base, _, _ in own]
-            runs = [[m[0].rstrip("=").encode() for m in more] for _, more, _ in own]
+            runs = [[bare(m[0]) for m in more] for _, more, _ in own]
             chances = [decoys(ordinary) for *_, ordinary in own]
             scored = iter(_scored([x for groups in (values, runs, chances) for group in groups for x in group]))
             spans["base"] += [[(k, a, b, *next(scored)) for k, a, b, _ in base] for base, _, _ in own]
             spans["runs"] += [[(3, *m.span(), *next(scored)) for m in more] for _, more, _ in own]
-            drawn += [[s[2] if x else -1 for x, s in zip(group, scored, strict=False)] for group in chances]
+            drawn += [[{"cls": s[1], "bin": s[2]} for x, s in zip(group, scored, strict=False) if x] for group in chances]
         span = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("encoding", pa.string()), ("cls", pa.int32()), ("bin", pa.int32())])
         lists = [pa.array([[dict(zip(span.names, x, strict=True)) for x in row] for row in spans[c]], pa.list_(span)) for c in ("base", "runs")]
-        return pa.StructArray.from_arrays([*lists, pa.array(drawn, pa.list_(pa.int32()))], ["base", "runs", "decoys"])
+        return pa.StructArray.from_arrays([*lists, pa.array(drawn, pa.list_(pa.struct([("cls", pa.int32()), ("bin", pa.int32())])))], ["base", "runs", "decoys"])
 
-    return docs.withColumn(free_name(docs.columns, found_col), found(F.col(text_col).cast("string")))
+    return docs.withColumn(found_col, found(F.col(text_col).cast("string")))
 
 
 def thresholds(scanned: DataFrame, found_col: str = "found", rate: float = 0.05, least_decoys: int = 200) -> tuple[list[int], list[int]]:
@@ -216,23 +243,35 @@ def thresholds(scanned: DataFrame, found_col: str = "found", rate: float = 0.05,
     Counts by class and bin are summed over the corpus; classes x bins x 3 rows at most come to the driver.
     """
     found = F.col(found_col)
-    sets = [scanned.select(F.explode(found[c]).alias("r")).select(F.lit(k).alias("set"), F.col("r.cls").alias("cls"), F.col("r.bin").alias("bin")) for k, c in enumerate(("runs", "base"))]
-    drawn = scanned.select(F.posexplode(found["decoys"]).alias("cls", "bin")).select(F.lit(2).alias("set"), "cls", "bin")
-    table = np.zeros((3, len(LENGTH_CLASSES), SCORE_BINS))
-    for r in sets[0].unionByName(sets[1]).unionByName(drawn).where("bin >= 0").groupBy("set", "cls", "bin").count().collect():
+    sets = [scanned.select(F.explode(found[c]).alias("r")).select(F.lit(k).alias("set"), F.col("r.cls").alias("cls"), F.col("r.bin").alias("bin")) for k, c in enumerate(("runs", "base", "decoys"))]
+    n = len(LENGTH_CLASSES)
+    table = np.zeros((3, len(FAMILIES) * n, SCORE_BINS))
+    for r in sets[0].unionByName(sets[1]).unionByName(sets[2]).groupBy("set", "cls", "bin").count().collect():
         table[r["set"], r["cls"], r["bin"]] = r["count"]
-    return step_up(table[0], table[2], rate, least_decoys), step_up(table[1], table[2], rate, least_decoys)
+    whole = table.reshape(3, len(FAMILIES), n, SCORE_BINS).sum(axis=(1, 3))
+
+    def least(spans: int) -> list[int]:
+        parts = range(0, len(FAMILIES) * n, n)
+        return [x for at in parts for x in step_up(table[spans, at : at + n], table[2, at : at + n], rate, least_decoys, whole[spans], whole[2])]
+
+    return least(0), least(1)
 
 
-def step_up(runs: np.ndarray, drawn: np.ndarray, rate: float, least_decoys: int) -> list[int]:
-    """thresholds() out of the counts of spans and decoys (classes x bins)."""
+def step_up(runs: np.ndarray, drawn: np.ndarray, rate: float, least_decoys: int, all_runs: np.ndarray | None = None, all_drawn: np.ndarray | None = None) -> list[int]:
+    """thresholds() out of the counts of one family's spans and decoys (classes of lengths x bins).
+
+    all_runs, all_drawn: those of all families by class. A run is as likely to come into this family by chance, and to
+    score as high, as a decoy of its length.
+    """
+    all_runs = runs.sum(axis=1) if all_runs is None else all_runs
+    all_drawn = drawn.sum(axis=1) if all_drawn is None else all_drawn
     out = []
     for cls in range(len(runs)):
-        enough = [c for c in range(cls + 1) if drawn[c].sum() >= least_decoys]
-        null = drawn[enough[-1] if enough else int(drawn[: cls + 1].sum(axis=1).argmax())]
+        enough = [c for c in range(cls + 1) if all_drawn[c] >= least_decoys]
+        own = enough[-1] if enough else int(all_drawn[: cls + 1].argmax())
         passed = runs[cls][::-1].cumsum()[::-1]
-        p = (null[::-1].cumsum()[::-1] + 1) / (null.sum() + 1)
-        good = np.flatnonzero((passed > 0) & (p * passed[0] <= rate * passed))
+        p = (drawn[own][::-1].cumsum()[::-1] + 1) / (all_drawn[own] + 1)
+        good = np.flatnonzero((passed > 0) & (p * all_runs[cls] <= rate * passed))
         out.append(int(good[0]) if len(good) else SCORE_BINS)
     return out
 

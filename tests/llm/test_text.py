@@ -6,6 +6,7 @@ import json
 import math
 import random
 import re
+import uuid
 import zlib
 from collections import Counter
 
@@ -238,10 +239,46 @@ def test_random_keys_are_found_and_words_are_not(spark, many):
     assert len(found & keys) > 0.6 * len(keys) and len(found & long_words) < 0.08 * max(1, len(found)), (len(found & keys), len(keys), len(found & long_words), len(found))
 
 
+def test_keys_of_every_alphabet(spark):
+    """Keys of one case are found from 40 characters on, those of mixed case from 12; grouped ones as if they weren't."""
+    rnd = random.Random(12)
+    kinds = [(e, n) for e in secrets.ENCODINGS if e not in ("hex", "decimal") for n in (12, 20, 40, 64, 128)] + [("uuid", 36)]
+    rows, keys, long_words = [], {}, set()
+    for i in range(3600):
+        text = " ".join(rnd.choice(NAMES) for _ in range(200))
+        kind, n = kinds[(i // 3) % len(kinds)]
+        if i % 3 == 0:
+            key = str(uuid.UUID(int=rnd.getrandbits(128), version=4)) if kind == "uuid" else "".join(rnd.choice(secrets.ENCODINGS[kind]) for _ in range(n))
+            keys[i, len(text) + 1] = (kind, n)
+            text += f" {key} end"
+        elif i % 3 == 1:
+            long_words.add((i, len(text) + 1))
+            text += " " + "".join(rnd.choice(NAMES[:13]) for _ in range(rnd.randrange(3, 9))) + " end"
+        rows.append((i, text))
+    scanned = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"))
+    out = scanned.withColumn("own", secrets.spans(F.col("found"), secrets.thresholds(scanned)[0])).select("doc_id", "own").collect()
+    found = {(r["doc_id"], s["start"]) for r in out for s in r["own"] if s["kind"] == 3}
+    assert len(found & long_words) < 0.08 * len(found)
+    share = lambda want: sum(k in found for k, v in keys.items() if want(*v)) / sum(want(*v) for v in keys.values())
+    for kind in secrets.ENCODINGS:
+        if kind not in ("hex", "decimal"):
+            assert share(lambda e, n, kind=kind: e == kind and n >= 40) > 0.85, kind
+    assert share(lambda e, n: e in ("base62", "base64") and n < 40) > 0.6 and share(lambda e, n: e == "uuid") > 0.5
+
+
+def test_signs_between_groups():
+    assert secrets.bare("0123-4567-89ab==") == b"0123456789ab" and secrets.bare("abcd-ef-0123") == b"abcd-ef-0123" and secrets.bare("plain0") == b"plain0"
+
+
+def test_scan_wants_its_column(spark):
+    with pytest.raises(ValueError):
+        secrets.scan(spark.createDataFrame([("x", 1)], "text string, Found int"))
+
+
 def brute_runs(text):
     """Runs that no base span touches."""
     base = brute_spans(text)
-    return [m.span() for m in re.finditer(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}={0,2}", text or "") if all(m.end() <= a or b <= m.start() for a, _, b in base)]
+    return [m.span() for m in re.finditer(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{12,}={0,2}", text or "") if all(m.end() <= a or b <= m.start() for a, _, b in base)]
 
 
 def test_op6(spark, sf_dir, odd_rows, empty_dir, tmp_path):
