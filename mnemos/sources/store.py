@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from mnemos.schemas import KEYS, TABLES, conform
 
 BUCKETS, MOST_PARTS = 16, 24
+#: Keys (of some tens of bytes) that a read may broadcast to leave older rows out; pointers tell how many there are.
+BROADCAST_ROWS = 200_000
 EXTRA = "_deleted boolean, _part string, _bucket int"
 T = TypeVar("T")
 
@@ -188,11 +190,20 @@ class SnapshotStore:
             df = self.spark.read.option("basePath", f"{self.root}/{table}").schema(schema).parquet(*[f"{self.root}/{p['path']}" for p in own])
             return df if only is None else df.where(only)
 
-        base = scan(parts[:1])
-        if len(parts) > 1:
+        def newest(df: DataFrame) -> DataFrame:
+            """The row of each key that was written last."""
             order = F.create_map(*[F.lit(x) for i, p in enumerate(parts) for x in (p["path"].partition("=")[2], i)])
-            newest = scan(parts[1:]).groupBy(F.col(key).alias("_key")).agg(F.max_by(F.struct(*base.columns), order[F.col("_part")]).alias("row"))
-            base = base.join(newest.select(F.col("_key").alias(key)), key, "left_anti").select(*base.columns).unionByName(newest.select("row.*"))
+            return df.groupBy(F.col(key).alias("_key")).agg(F.max_by(F.struct(*df.columns), order[F.col("_part")]).alias("row"))
+
+        later = sum(p["rows"] for p in parts[1:])
+        if later and parts[0]["rows"] <= 4 * later:
+            base = newest(scan(parts)).select("row.*")
+        elif later:
+            base, last = scan(parts[:1]), newest(scan(parts[1:]))
+            keys_ = last.select(F.col("_key").alias(key))
+            base = base.join(F.broadcast(keys_) if later <= BROADCAST_ROWS else keys_, key, "left_anti").select(*base.columns).unionByName(last.select("row.*"))
+        else:
+            base = scan(parts)
         return conform(base.where("NOT _deleted"), table)
 
     # --- tables
