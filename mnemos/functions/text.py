@@ -30,9 +30,15 @@ def share(found: Column, of: Column) -> Column:
     return F.when(F.size(of) == 0, F.lit(0.0)).otherwise(F.size(found) / F.greatest(F.size(of), F.lit(1)))
 
 
+def _bound(values: Column, then) -> Column:
+    """then(values), with the values evaluated once."""
+    return F.get(F.transform(F.array(values), then), F.lit(0))
+
+
 def inside(parts: Column, text: Column) -> Column:
-    """The parts that occur in a text."""
-    return F.filter(parts, lambda p: F.contains(text, p))
+    """The parts (repeats count) that occur in a text; each distinct one is searched once."""
+    searched = _bound(F.struct(F.array_distinct(parts).alias("parts"), text.alias("text")), lambda s: F.filter(s["parts"], lambda p: F.contains(s["text"], p)))
+    return _bound(F.struct(parts.alias("all"), searched.alias("found")), lambda s: F.filter(s["all"], lambda p: F.array_contains(s["found"], p)))
 
 
 def lexical_similarity(content: Column, query_tokens: Column) -> Column:
@@ -40,10 +46,9 @@ def lexical_similarity(content: Column, query_tokens: Column) -> Column:
 
     all tokens together.
     """
-    low = F.lower(content)
-    hits = share(inside(query_tokens, low), query_tokens)
+    hits = share(inside(query_tokens, F.lower(content)), query_tokens)
     grams = F.array_distinct(bigrams(F.array_join(query_tokens, "")))
-    return F.when(hits > 0, hits).otherwise(share(inside(grams, low), grams))
+    return _bound(F.struct(hits.alias("hits")), lambda h: F.when(h["hits"] > 0, h["hits"]).otherwise(share(inside(grams, F.lower(content)), grams)))
 
 
 def query_keys(text: Column) -> Column:
@@ -56,19 +61,14 @@ def hit_score(keys: Column, content: Column) -> Column:
     return share(inside(keys, F.lower(content)), keys)
 
 
-def _bound(values: Column, then) -> Column:
-    """then(values), with the struct evaluated once."""
-    return F.get(F.transform(F.array(values), then), F.lit(0))
-
-
-def mostly_inside(keys: Column, text: Column, least: float = HIT_SCORE_NEAR) -> Column:
-    """Whether hit_score(keys, text) reaches `least`, for distinct keys that tokens() gave.
+def mostly_inside(keys: Column, text: Column, least: float = HIT_SCORE_NEAR, own: Column | None = None) -> Column:
+    """Whether hit_score(keys, text) reaches `least`, for distinct keys that tokens() gave. own: the text's distinct tokens, if known.
 
     Keys that are tokens of the text occur in it; others are searched in its distinct tokens, longest first, until too
     many are missing.
     """
     longest = lambda ks: F.reverse(F.array_sort(F.transform(ks, lambda k: F.struct(F.length(k).alias("n"), k.alias("k")))))
-    sets = F.struct(keys.alias("keys"), F.array_distinct(tokens(text, 2)).alias("own"))
+    sets = F.struct(keys.alias("keys"), (F.array_distinct(tokens(text, 2)) if own is None else own).alias("own"))
     parts = _bound(sets, lambda s: F.struct(F.size(s["keys"]).alias("n"), longest(F.array_except(s["keys"], s["own"])).alias("rest"), F.array_join(s["own"], " ").alias("joined")))
 
     def decide(p: Column) -> Column:
@@ -79,11 +79,11 @@ def mostly_inside(keys: Column, text: Column, least: float = HIT_SCORE_NEAR) ->
     return _bound(parts, decide)
 
 
-def near_duplicate(a: Column, b: Column, keys_a: Column | None = None, keys_b: Column | None = None) -> Column:
-    """Equal but for outer white space, or most keys of each in the other."""
+def near_duplicate(a: Column, b: Column, keys_a: Column | None = None, keys_b: Column | None = None, own_a: Column | None = None, own_b: Column | None = None) -> Column:
+    """Equal but for outer white space, or most keys of each in the other. own_a, own_b: the texts' distinct tokens."""
     keys_a = query_keys(a) if keys_a is None else keys_a
     keys_b = query_keys(b) if keys_b is None else keys_b
-    return (strip(a) == strip(b)) | (mostly_inside(keys_a, b) & mostly_inside(keys_b, a))
+    return (strip(a) == strip(b)) | (mostly_inside(keys_a, b, own=own_b) & mostly_inside(keys_b, a, own=own_a))
 
 
 def overlap(keys_a: Column, keys_b: Column) -> Column:

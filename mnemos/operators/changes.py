@@ -6,9 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemos.config import DEFAULT, EngineConfig
-from mnemos.functions.scoring import effective_score, shifted_weight
+from mnemos.functions.scoring import effective_score
 from mnemos.functions.vector import small
 
+LEAST_WEIGHT, MOST_WEIGHT = 0.05, 3.0
+#: Neighbouring steps that are put together at a time.
+FOLD = 4_096
+
 
 def soft_delete(memories: DataFrame, ids: DataFrame, now: Column) -> DataFrame:
     """Every memory, with deleted_at and updated_at set on listed ones that are neither pinned nor deleted, and `changed`."""
@@ -30,12 +34,34 @@ def touch(memories: DataFrame, used: DataFrame, now: Column) -> DataFrame:
     return met.withColumn("access_count", F.when(hit, F.col("access_count") + F.col("times")).otherwise(F.col("access_count"))).withColumn("last_accessed_at", F.when(hit, now).otherwise(F.col("last_accessed_at"))).drop("times")
 
 
+def _then(f: Column, g: Column) -> Column:
+    """First f, then g: a step (a, low, high) takes x to x + a within low and high, and so do two steps, whatever x is."""
+    within = lambda x: F.least(F.greatest(x + g["a"], g["low"]), g["high"])
+    return F.struct((f["a"] + g["a"]).alias("a"), within(f["low"]).alias("low"), within(f["high"]).alias("high"))
+
+
+def folded_deltas(deltas: DataFrame) -> DataFrame:
+    """id and `step`: what all deltas (id, seq, delta) of a memory, in their order, do to its weight.
+
+    Steps combine associatively: rows are dealt by range of id and seq, so a memory of many events is spread over tasks;
+    FOLD neighbours are put together at a time, in three levels.
+    """
+    step = F.struct(F.col("delta").cast("double").alias("a"), F.lit(LEAST_WEIGHT).alias("low"), F.lit(MOST_WEIGHT).alias("high"))
+    rows = deltas.where("delta <> 0").repartitionByRange("id", "seq").sortWithinPartitions("id", "seq").select("id", step.alias("step"), F.monotonically_increasing_id().alias("n"))
+    none = F.struct(F.lit(0.0).alias("a"), F.lit(float("-inf")).alias("low"), F.lit(float("inf")).alias("high"))
+    for level in range(3):
+        keys = ["id", F.floor(F.col("n") / FOLD).cast("long").alias("n")] if level < 2 else ["id"]
+        ordered = F.transform(F.array_sort(F.collect_list(F.struct("n", "step"))), lambda x: x["step"])
+        rows = rows.groupBy(*keys).agg(F.aggregate(ordered, none, _then).alias("step"))
+    return rows
+
+
 def adjust_weights(memories: DataFrame, deltas: DataFrame) -> DataFrame:
     """Active memories after the deltas (id, seq, delta) of theirs, applied one by one within 0.05 to 3."""
-    lists = deltas.where("delta <> 0").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "delta"))), lambda x: x["delta"]).alias("deltas"))
-    met = memories.join(small(lists), "id", "left")
-    hit = F.col("deltas").isNotNull() & F.col("deleted_at").isNull()
-    return met.withColumn("weight", F.when(hit, shifted_weight(F.col("weight"), F.col("deltas"))).otherwise(F.col("weight"))).drop("deltas")
+    met = memories.join(small(folded_deltas(deltas)), "id", "left")
+    hit = F.col("step").isNotNull() & F.col("deleted_at").isNull()
+    after = F.least(F.greatest(F.col("weight").cast("double") + F.col("step.a"), F.col("step.low")), F.col("step.high"))
+    return met.withColumn("weight", F.when(hit, after).otherwise(F.col("weight"))).drop("step")
 
 
 def decayed(memories: DataFrame, now: Column, threshold: float | None = None, config: EngineConfig = DEFAULT) -> DataFrame:

@@ -9,6 +9,7 @@ from mnemos.config import DEFAULT, EngineConfig
 from mnemos.functions import scoring as S
 from mnemos.functions.text import hit_score, lexical_similarity, query_keys, tokens
 from mnemos.functions.vector import cosine, hinted, nearest, norm, rows_of
+from mnemos.operators.index import VectorIndex
 from mnemos.operators.lookup import active, newest_by_user
 
 QUERY_DEFAULTS = {"session_id": "string", "tenant_id": "string", "top_k": "int", "include_pinned": "boolean", "min_score": "double"}
@@ -32,14 +33,15 @@ def _visible(tenant: Column, own: Column) -> Column:
     return tenant.isNull() | tenant.eqNullSafe(own)
 
 
-def recall(queries: DataFrame, memories: DataFrame, embeddings: DataFrame, now: Column, l1_items: DataFrame | None = None, config: EngineConfig = DEFAULT) -> DataFrame:
+def recall(queries: DataFrame, memories: DataFrame, embeddings: DataFrame, now: Column, l1_items: DataFrame | None = None, config: EngineConfig = DEFAULT, index: VectorIndex | None = None) -> DataFrame:
     """The best memories for each query: query_id, id, content, memory_type, pinned, layer, score, relevance, lexical,
 
     vector_sim and rank. Vector hits are cut before deleted rows and other tenants go, as slots are theirs; then come
-    pinned rows of the user, then the session's cached items (with `vector`, if they are embedded), each id once.
+    pinned rows of the user, then the session's cached items (with `vector`, if they are embedded), each id once. index: of
+    the embeddings; without one all vectors of the users are scored.
     """
     q, few = prepared(queries, config), rows_of(queries)
-    hits, k = _hits(q, embeddings, few, None if "top_k" in queries.columns else 3 * config.recall_top_k)
+    hits, k = _hits(q, index or embeddings, few, None if "top_k" in queries.columns else 3 * config.recall_top_k)
     rows = active(memories).select("id", "user_id", "tenant_id", "content", "memory_type", "importance", "weight", "pinned", "decay_lambda", "created_at", "updated_at")
     asked = q.select("query_id", F.col("tenant_id").alias("asked_tenant"), F.col("user_id").alias("asked_user"), "tokens", "qn", "vector", "include_pinned", "min_score", "top_k", "session_id")
     vector_side = rows.join(hinted(hits, few * k), rows["id"] == hits["memory_id"]).drop("memory_id").withColumn("tier", F.lit(0))
@@ -73,15 +75,16 @@ def recall(queries: DataFrame, memories: DataFrame, embeddings: DataFrame, now:
     return ranked.select("query_id", "id", "content", "memory_type", "pinned", F.when(F.col("tier") < 2, "L2").otherwise("L1").alias("layer"), "score", "relevance", "lexical", "vector_sim", "rank")
 
 
-def _hits(q: DataFrame, embeddings: DataFrame, few: int, k: int | None, least: int = 20) -> tuple[DataFrame, int]:
+def _hits(q: DataFrame, embeddings: DataFrame | VectorIndex, few: int, k: int | None, least: int = 20) -> tuple[DataFrame, int]:
     """Vector hits of each query, three times its top_k (`least` at least), and the most that a query has."""
     options = q.select("query_id", F.greatest(3 * F.col("top_k"), F.lit(least)).alias("k"))
     most = int(options.agg(F.max("k")).first()[0] or 0) if k is None else max(k, least)
-    hits = nearest(q.select("query_id", "user_id", "vector"), embeddings, most, rows=few)
+    own = q.select("query_id", "user_id", "vector")
+    hits = embeddings.search(own, most, rows=few) if isinstance(embeddings, VectorIndex) else nearest(own, embeddings, most, rows=few)
     return hits.join(hinted(options, few), "query_id").where("rank <= k").drop("k"), most
 
 
-def recommend(queries: DataFrame, memories: DataFrame, embeddings: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
+def recommend(queries: DataFrame, memories: DataFrame, embeddings: DataFrame | VectorIndex, config: EngineConfig = DEFAULT) -> DataFrame:
     """query_id, memory_id, content, score, tier and rank of recommended memories.
 
     queries: query_id, user_id, query, vector, and maybe exclude (array of ids), top_k, tenant_id. First vector hits in

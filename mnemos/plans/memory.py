@@ -11,7 +11,8 @@ from mnemos.functions.vector import hash_buckets, nearest
 from mnemos.operators import changes, consolidate, lookup, migrate
 from mnemos.operators import recall as R
 from mnemos.operators.alerts import near_duplicates
-from mnemos.operators.ingest import promotion
+from mnemos.operators.index import VectorIndex
+from mnemos.operators.ingest import close, flagged, promotion
 from mnemos.plans import views as V
 
 QUERIES: dict = {}
@@ -98,6 +99,21 @@ def knn_all_users(spark, d):
     return nearest(q, v, 10).select("query_id", "memory_id", r6("similarity"), F.col("rank").cast("long").alias("rank"))
 
 
+@query(KNN.format("q.label = e.label"))
+def knn_indexed(spark, d):
+    """As knn_per_label, through an index of pivots."""
+    v = V.vectors(spark, d)
+    q = v.where("n % 50 = 0").select(F.col("n").alias("query_id"), "user_id", "vector")
+    return VectorIndex.build(v).search(q, 10).select("query_id", "memory_id", r6("similarity"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(KNN.format("true"))
+def knn_all_users_indexed(spark, d):
+    v = V.vectors(spark, d).withColumn("user_id", F.lit("all"))
+    q = v.where("n % 50 = 0").select(F.col("n").alias("query_id"), "user_id", "vector")
+    return VectorIndex.build(v).search(q, 10).select("query_id", "memory_id", r6("similarity"), F.col("rank").cast("long").alias("rank"))
+
+
 def recall_sql(config: EngineConfig, columns: str, gate: bool = True, l1: bool = False) -> str:
     base = f"c.importance * exp(-coalesce(c.decay_lambda, CAST({config.decay_lambda} AS DOUBLE)) * {V.AGE_SQL.format('c.created_at', now=V.NOW_SQL)}) * c.weight"
     gates = f"AND score >= {config.min_score} AND NOT (lexical <= 0 AND score < {config.min_score_no_lexical})" if gate else ""
@@ -130,8 +146,8 @@ FULL = "query_id, id, pinned, layer, round(score, 6) AS score, round(relevance,
 OPEN = EngineConfig(decay_lambda=0.001, min_score=0.0, min_score_no_lexical=0.0)
 
 
-def _recall(spark, d, config, l1=None):
-    out = R.recall(V.queries(spark, d) if l1 is None else V.queries(spark, d).withColumn("session_id", F.expr("CAST(query_id DIV 50 AS STRING)")), V.embedded(spark, d), V.vectors(spark, d), V.now(), l1, config)
+def _recall(spark, d, config, l1=None, index=None):
+    out = R.recall(V.queries(spark, d) if l1 is None else V.queries(spark, d).withColumn("session_id", F.expr("CAST(query_id DIV 50 AS STRING)")), V.embedded(spark, d), V.vectors(spark, d), V.now(), l1, config, index)
     return out.select("query_id", "id", "pinned", "layer", r6("score"), r6("relevance"), r6("lexical"), r6("vector_sim"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -140,6 +156,12 @@ def recall_hybrid(spark, d):
     return _recall(spark, d, OPEN)
 
 
+@query(recall_sql(OPEN, FULL, gate=False))
+def recall_indexed(spark, d):
+    """Hybrid recall whose vector hits come through an index of pivots."""
+    return _recall(spark, d, OPEN, index=VectorIndex.build(V.vectors(spark, d)))
+
+
 @query(recall_sql(GATED, FULL))
 def recall_gated(spark, d):
     return _recall(spark, d, GATED)
@@ -184,8 +206,9 @@ def jaccard_overlap(spark, d):
 """)
 def near_duplicate_pairs(spark, d):
     """The predicate on each document and the one with the next id; the search for duplicates is mnemos.llm's."""
-    a = V.table(spark, d, "documents").select("doc_id", F.col("text").alias("ta"))
-    b = a.select((F.col("doc_id") - 1).alias("doc_id"), F.col("ta").alias("tb"))
+    text = F.col("text")
+    a = V.table(spark, d, "documents").select("doc_id", text.alias("ta"), query_keys(text).alias("ta_keys"), F.array_distinct(tokens(text, 2)).alias("ta_own"))
+    b = a.select((F.col("doc_id") - 1).alias("doc_id"), F.col("ta").alias("tb"), F.col("ta_keys").alias("tb_keys"), F.col("ta_own").alias("tb_own"))
     return near_duplicates(a.join(b, "doc_id"), "ta", "tb").select("doc_id", "near_duplicate")
 
 
@@ -216,6 +239,28 @@ def session_close_counts(spark, d):
     return own.groupBy("session_id").agg(F.count_if("promoted").alias("promoted_count"), F.count_if(~F.col("promoted")).alias("dropped_count"))
 
 
+@query(f"WITH {V.L1_SQL} SELECT session_id, id, content, memory_type, round(importance, 6) AS importance, pinned FROM l1 WHERE {PROMOTED}")
+def session_promoted(spark, d):
+    """The rows that closing all sessions writes to long-term memory."""
+    items = V.l1_items(spark, d)
+    sessions = items.select(F.col("session_id").alias("id"), F.lit("open").alias("status"), F.lit(None).cast("timestamp").alias("closed_at")).distinct()
+    promoted = close(sessions, sessions.select("id"), items, V.memories(spark, d), V.now())[1]
+    return promoted.select("session_id", "id", "content", "memory_type", r6("importance"), "pinned")
+
+
+@query(f"""
+    WITH {V.L1_SQL}, h AS (SELECT *, len(list_filter(['api', 'redis', 'sqlite', 'postgres', 'fastapi'], lambda p: contains(lower(content), p))) AS f, length(trim(content, chr(32) || chr(9) || chr(10) || chr(13))) AS n_chars FROM l1),
+    s AS (SELECT id, pinned, session_id, CASE WHEN pinned THEN greatest(importance, CAST(0.9 AS DOUBLE)) ELSE greatest(importance, least(greatest(
+        CASE memory_type WHEN 'preference' THEN CAST(0.85 AS DOUBLE) WHEN 'fact' THEN CAST(0.7 AS DOUBLE) ELSE CAST(0.35 AS DOUBLE) END
+        + CASE WHEN n_chars >= 80 THEN CAST(0.1 AS DOUBLE) WHEN n_chars >= 40 THEN CAST(0.05 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END + CAST(0.05 AS DOUBLE) * least(f, 3), CAST(0 AS DOUBLE)), CAST(1 AS DOUBLE))) END AS importance FROM h)
+    SELECT id AS item, round(importance, 6) AS importance, CASE WHEN pinned OR importance >= 0.6 THEN 'L2' WHEN CAST(session_id AS BIGINT) % 2 = 0 THEN 'L1' ELSE 'none' END AS layer FROM s
+""")
+def remember_layers(spark, d):
+    """Where a batch of remembered rows goes; odd sessions count as none."""
+    rows = V.l1_items(spark, d).select(F.col("id").alias("item"), F.col("seq").alias("ord"), "content", "user_id", "tenant_id", F.expr("CASE WHEN CAST(session_id AS BIGINT) % 2 = 0 THEN session_id END").alias("session_id"), "memory_type", "importance", "pinned")
+    return flagged(rows, V.now()).select("item", r6("importance"), "layer")
+
+
 @query(f"WITH {V.L1_SQL} SELECT session_id, id, place FROM (SELECT session_id, id, row_number() OVER (PARTITION BY session_id ORDER BY importance * weight DESC, created_at DESC, seq) AS place FROM l1) WHERE place <= 3")
 def l1_evict(spark, d):
     return changes.evict(V.l1_items(spark, d), 3).where("kept").select("session_id", "id", F.col("place").cast("long").alias("place"))
@@ -272,6 +317,18 @@ def reembed_plan(spark, d):
     return migrate.plan(rows, V.vectors(spark, d), "driver", 64).select("id", "action")
 
 
+@query(f"""
+    WITH {V.MEMORIES_SQL}, m AS (SELECT *, CASE WHEN n % 10 <> 9 THEN CAST(n % 10 AS VARCHAR) END AS owner FROM memories WHERE deleted_at IS NULL),
+    p AS (SELECT owner, CAST(e.label AS VARCHAR) AS v_user, e.vec_id IS NOT NULL AS has FROM m LEFT JOIN embeddings e ON e.vec_id = m.n)
+    SELECT count(*) AS scanned, count(*) FILTER (WHERE owner IS NOT NULL AND NOT (has AND v_user = owner)) AS reembedded, count(*) FILTER (WHERE owner IS NOT NULL AND has AND v_user = owner) AS skipped, count(*) FILTER (WHERE owner IS NULL) AS orphans_skipped,
+        (SELECT count(*) FROM embeddings e LEFT JOIN m ON m.n = e.vec_id AND m.owner IS NOT NULL WHERE m.id IS NULL) AS dangling_removed FROM p
+""")
+def reembed_report(spark, d):
+    rows = V.memories(spark, d).withColumn("user_id", F.expr("CASE WHEN n % 10 <> 9 THEN CAST(n % 10 AS STRING) END"))
+    report = migrate.reembed(rows, V.vectors(spark, d), V.now(), EngineConfig(embedding_model="driver", embedding_dim=64), dry_run=True)[2]
+    return report.select("scanned", "reembedded", "skipped", "orphans_skipped", "dangling_removed")
+
+
 @query(f"""
     WITH t AS (SELECT item_id, unnest(list_filter(regexp_split_to_array(lower(text), '[\\s,.;:!?，。；：！？、/\\-_()（）\\[\\]{{}}]+'), lambda x: x <> '')) AS token FROM benchmark),
     c AS (SELECT item_id, token, count(*) AS n, md5(token) AS h FROM t GROUP BY item_id, token)

@@ -210,6 +210,19 @@ def impact_both(spark, d):
     return _impact(spark, d, "both", 2, "r", "s")
 
 
+@query(f"""
+    WITH a AS ({impact_sql(f"{FORTH} UNION ALL {BACK}", 5, "starts_with(id, 'n')")}),
+    b AS (SELECT seed_id, hops, end_name, path, row_number() OVER (PARTITION BY seed_id ORDER BY hops, end_name, sha256(concat(seed_id, chr(31), replace(path, ' ', chr(31))))) AS rank FROM a)
+    SELECT * FROM b WHERE rank <= 200
+""")
+def impact_ranked(spark, d):
+    """Paths of five hops at most in both directions from every nation, the first 200 of each in their order."""
+    e, r = V.entities(spark, d), V.relations(spark, d)
+    seeds = e.where(F.col("id").startswith("n")).select(F.col("id").alias("seed_id"), "user_id", F.col("id").alias("entity_id"))
+    out = graph.ranked(graph.impact(seeds, e, r, "both", 5)).where("rank <= 200")
+    return out.select("seed_id", "hops", "end_name", F.array_join(F.transform("nodes", lambda x: x["id"]), " ").alias("path"), F.col("rank").cast("long").alias("rank"))
+
+
 # --- alerts and recommendations
 
 

@@ -67,6 +67,77 @@ def test_mixed_deltas_against_a_loop(spark):
         assert got[r["id"]] == pytest.approx(w)
 
 
+def test_folded_steps_are_the_loop(spark, monkeypatch):
+    """Many events of one memory over many parts, put together three at a time."""
+    monkeypatch.setattr(changes, "FOLD", 3)
+    rnd = random.Random(8)
+    m = spark.createDataFrame([memory(1), memory(2, weight=2.5), memory(3, deleted=NOW)], MEM)
+    deltas = [("m1", i, rnd.uniform(-1.5, 1.4)) for i in range(700)] + [("m2", 1, 0.4), ("m2", 0, 5.0), ("m2", 2, 0.0), ("m3", 0, 1.0), ("none", 0, 1.0)]
+    rnd.shuffle(deltas)
+    got = {r["id"]: r["weight"] for r in changes.adjust_weights(m, spark.createDataFrame(deltas, "id string, seq long, delta double").repartition(9)).collect()}
+    w = 1.0
+    for _, _, d in sorted(x for x in deltas if x[0] == "m1"):
+        w = min(3.0, max(0.05, w + d))
+    assert got["m1"] == pytest.approx(w) and got["m2"] == 3.0 and got["m3"] == 1.0
+
+
+def clustered_vectors():
+    rnd = random.Random(6)
+    centres = [[rnd.gauss(0, 1) for _ in range(8)] for _ in range(12)]
+    rows = [(f"m{i}", "hot" if i % 4 else f"u{i % 3}", [x + rnd.gauss(0, 0.05) for x in centres[i % 12]]) for i in range(900)]
+    odd = [("z1", "hot", [0.0] * 8), ("z2", "hot", [1.0, 2.0]), ("z3", "hot", None), ("same1", "hot", centres[0]), ("same2", "hot", centres[0]), ("far", "lone", [1.0, 2.0])]
+    queries = [(i, "hot" if i % 2 else "u1", [x + rnd.gauss(0, 0.05) for x in centres[i % 12]]) for i in range(20)]
+    queries += [(90, "hot", [0.0] * 8), (91, "hot", [1.0, 2.0]), (92, "nobody", centres[0]), (93, "lone", centres[0]), (94, "hot", centres[0])]
+    return rows + odd, queries
+
+
+@pytest.mark.parametrize("pivots,k", [(12, 5), (1, 7), (40, 400)])
+def test_index_finds_what_a_scan_finds(spark, pivots, k):
+    from mnemos.functions.vector import nearest
+    from mnemos.operators.index import VectorIndex
+
+    rows, queries = clustered_vectors()
+    v = spark.createDataFrame(rows, "memory_id string, user_id string, vector array<double>")
+    q = spark.createDataFrame(queries, "query_id long, user_id string, vector array<double>")
+    index = VectorIndex.build(v, pivots=pivots)
+    show = lambda df: sorted((r["query_id"], r["rank"], r["memory_id"], r["similarity"]) for r in df.collect())
+    assert show(index.search(q, k)) == show(nearest(q, v, k))
+    if pivots == 12:
+        assert index.scored_share(q.where("query_id < 20"), k) < 0.25
+
+
+def test_index_of_nothing(spark):
+    from mnemos.operators.index import VectorIndex
+
+    v = spark.createDataFrame([], "memory_id string, user_id string, vector array<double>")
+    q = spark.createDataFrame([(1, "u", [1.0])], "query_id long, user_id string, vector array<double>")
+    assert VectorIndex.build(v).search(q, 3).count() == 0
+    some = spark.createDataFrame([("a", "u", None), ("b", "u", [])], v.schema)
+    assert VectorIndex.build(some).search(q, 3).count() == 0
+
+
+def test_paths_of_five_hops(spark):
+    """Simple paths against a walk, over a graph with cycles and a hub."""
+    rnd = random.Random(2)
+    pairs = sorted({(a, b) for a, b in ((rnd.randrange(9), rnd.randrange(9)) for _ in range(22)) if a != b} | {(0, i) for i in range(1, 9)})
+    steps = spark.createDataFrame([("u", str(a), (str(b),), f"{a}>{b}") for a, b in pairs], "user_id string, src string, node struct<id: string>, edge string")
+    seeds = spark.createDataFrame([(0, "u", ("0",)), (1, "u", ("4",))], "seed_id long, user_id string, node struct<id: string>")
+
+    def walk(nodes, left):
+        for a, b in pairs:
+            if str(a) == nodes[-1] and str(b) not in nodes:
+                yield (*nodes, str(b))
+                if left > 1:
+                    yield from walk((*nodes, str(b)), left - 1)
+
+    for hops in (2, 5):
+        found = [(r["seed_id"], r["hops"], tuple(n["id"] for n in r["nodes"])) for r in graph.paths(seeds, steps, hops).collect()]
+        want = [(s, len(p) - 1, p) for s, start in ((0, "0"), (1, "4")) for p in walk((start,), hops)]
+        assert sorted(found) == sorted(want)
+    front = graph.paths(seeds, steps, 5)
+    assert front._jdf.queryExecution().optimizedPlan().toString().count("Join ") <= 5
+
+
 def test_soft_delete_spares_pinned_and_deleted(spark):
     m = spark.createDataFrame([memory(1, pinned=True), memory(2), memory(3, deleted=datetime(2026, 1, 1)), memory(4)], MEM)
     ids = spark.createDataFrame([("m1",), ("m2",), ("m2",), ("m3",), ("none",)], "id string")
