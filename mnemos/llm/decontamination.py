@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mnemos.llm.common import bound_batches, free_name, keyed, materialise, resident, slices, words
 
@@ -45,16 +46,16 @@ class Phrases:
     def __init__(self, items: list[tuple[object, str | None]], window: int = WINDOW):
         self.vocabulary: dict[bytes, int] = {}
         known: dict[tuple[int, ...], int] = {}
-        self.items: list[list] = []
+        held: list[dict] = []  # of each phrase, its items in their order; one item may come in several rows
         for name, text in items:
             own = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text or "")]
             for i in range(max(1, len(own) - window + 1) if own else 0):
                 phrase = tuple(own[i : i + window])
                 at = known.setdefault(phrase, len(known))
-                if at == len(self.items):
-                    self.items.append([])
-                if name not in self.items[at]:
-                    self.items[at].append(name)
+                if at == len(held):
+                    held.append({})
+                held[at][name] = None
+        self.items: list[list] = [list(x) for x in held]
         self.lengths = np.array([len(p) for p in known], np.int64)
         self.shortest = int(self.lengths.min()) if known else 0
         self.table = np.zeros((len(known), int(self.lengths.max()) if known else 0), np.int64)
@@ -313,19 +314,27 @@ def find(
         shared.destroy()
         merged = hits if merged is None else merged.unionByName(hits)
     merged = merged.groupBy(key).agg(F.max(f"{hits_col}.n_words").alias("n"), F.flatten(F.collect_list(f"{hits_col}.spans")).alias("s"), F.array_distinct(F.flatten(F.collect_list(f"{hits_col}.items"))).alias("i"))
-    span = lambda a, b: F.struct(a.alias("start"), b.alias("end"))
-    last = lambda xs: F.element_at(xs, -1)
-    joined = F.aggregate(
-        F.array_sort("s"),
-        F.lit(None).cast("array<struct<start: long, end: long>>"),
-        lambda xs, x: F.when(xs.isNull(), F.array(x)).when(x["start"] <= last(xs)["end"], F.concat(F.slice(xs, 1, F.size(xs) - 1), F.array(span(last(xs)["start"], F.greatest(last(xs)["end"], x["end"]))))).otherwise(F.concat(xs, F.array(x))),
-    )
-    spans = F.coalesce(joined, F.array().cast("array<struct<start: long, end: long>>"))
+    spans = _merged(F.array_sort("s"))
     hit = F.aggregate(spans, F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
     merged = merged.select(key, F.struct(F.col("n").alias("n_words"), hit.alias("n_hit"), spans.alias("spans"), F.col("i").alias("items")).alias(hits_col))
     return sort(rows.join(merged, key).drop(key))
 
 
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))
+def _merged(spans: pa.Array) -> pa.Array:
+    """Sorted spans of each row, overlapping and touching ones as one."""
+    out = []
+    for row in spans.to_pylist():
+        own: list[dict] = []
+        for x in row or []:
+            if own and x["start"] <= own[-1]["end"]:
+                own[-1]["end"] = max(own[-1]["end"], x["end"])
+            else:
+                own.append(x)
+        out.append(own)
+    return pa.array(out, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+
+
 def contaminated(hits):
     """A twentieth or more of the words is hit, and one at least."""
     return (hits["n_hit"] > 0) & (20 * hits["n_hit"] >= hits["n_words"])

@@ -34,8 +34,8 @@ def _blocks(content: Column, size: int) -> Column:
 
 
 def _numbered(distinct: DataFrame, by: list[str], kept: list[str]) -> DataFrame:
-    """Sorted rows with a number each; written, so every reader sees the same numbers."""
-    named = distinct.sortWithinPartitions(*by).select(*kept, F.monotonically_increasing_id().alias("name"))
+    """Rows with a number each, in their order over all partitions; written, so every reader sees the same numbers."""
+    named = distinct.repartitionByRange(*by).sortWithinPartitions(*by).select(*kept, F.monotonically_increasing_id().alias("name"))
     return materialise(named, "names")
 
 

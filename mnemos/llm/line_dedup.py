@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mnemos.llm.common import free_name, keyed, materialise
+from mnemos.llm.common import free_name, keyed, materialise, sided
 
 #: Least characters of lines that are one edit apart. On sf0.1 571 pairs of distinct lines have 2 to 7 characters and 10 have
 #: 8 or 9, mostly other words; the 10 pairs of 10 to 79 characters are copies with a comma or a letter changed.
@@ -37,8 +37,8 @@ BROADCAST_ROWS = 400_000
 
 
 def _sided(table: DataFrame, most: int) -> DataFrame:
-    """A written table, to be broadcast if it has at most `most` rows."""
-    return F.broadcast(table) if table.limit(most + 1).count() <= most else table
+    """A written table, to be broadcast if it has at most `most` rows and they are small."""
+    return sided(table, most)
 
 
 def _lines(rows: DataFrame, text: str, min_chars: int, exact_chars: int) -> DataFrame:

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemos.llm.common import bound_batches, discard, keyed, materialise, resident, slices, words
+from mnemos.llm.common import bound_batches, discard, keyed, materialise, resident, sided, slices, words
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -225,8 +225,8 @@ def _buckets(reps: DataFrame) -> DataFrame:
 
 
 def _sided(table: DataFrame) -> DataFrame:
-    """A written table of few narrow columns, to be broadcast if it has at most BROADCAST_ROWS rows."""
-    return F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table
+    """A written table, to be broadcast if its rows and their bytes stay within the bounds."""
+    return sided(table, BROADCAST_ROWS)
 
 
 def _kept(df: DataFrame, label: str) -> DataFrame:

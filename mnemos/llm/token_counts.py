@@ -99,9 +99,12 @@ class Rollup:
         return read.parquet(f"{self.path}/versions/{version:08d}/batches") if version else self.spark.createDataFrame([], "batch string")
 
     def _inside(self, batches: list[str]) -> set[str]:
-        """Those of a few batches that the newest version holds."""
+        """Those of the open batches that the newest version holds."""
         version = self._version()
-        return {r["batch"] for r in self._held(version).where(F.col("batch").isin(batches)).collect()} if version and batches else set()
+        if not version or not batches:
+            return set()
+        asked = self.spark.createDataFrame([(b,) for b in batches], "batch string")
+        return {r["batch"] for r in self._held(version).join(asked, "batch", "left_semi").collect()}
 
     def _open(self) -> list[str]:
         """Committed batches that no version holds."""

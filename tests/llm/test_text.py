@@ -53,6 +53,20 @@ def test_index_counts_and_locates(text):
         assert found == [i for i in range(len(text) - n + 1) if text[i : i + n] == phrase]
 
 
+def test_phrases_of_many_items_take_linear_time():
+    """Items that share a passage: each is held once by the passage's phrases, in a time that follows their number."""
+    import time
+
+    text = " ".join(f"w{i}" for i in range(20))
+    took = []
+    for n in (2_000, 8_000):
+        at = time.process_time()
+        own = decontamination.Phrases([(i // 2, text) for i in range(n)])
+        took.append(time.process_time() - at)
+        assert own.items == [list(range(n // 2))] * 8
+    assert took[1] < 10 * max(took[0], 0.02)
+
+
 def brute_hits(docs, items, window=13):
     phrases = {}
     for name, text in items:
