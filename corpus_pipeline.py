@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemos.llm import byte_bpe, decontamination, language_id, line_dedup, near_dedup
-from mnemos.llm.common import free_name, keyed, materialise
+from mnemos.llm.common import discard, free_name, keyed, materialise, sided
 
 #: A document whose best language has less than this share of the likelihood is rejected.
 LEAST_SCORE = 0.5
@@ -53,8 +53,7 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = keyed(docs, "doc_id", key)
     classes = near_dedup.keyed_classes(rows.select(F.col(key).alias("row_key"), "doc_id", "text"), "doc_id", "text")
     gone = materialise(classes.where(~F.col("kept")).select(F.col("row_key").alias(key)), "near-duplicates")
-    few = gone.limit(near_dedup.BROADCAST_ROWS + 1).count() <= near_dedup.BROADCAST_ROWS
-    return rows.join(F.broadcast(gone) if few else gone, key, "left_anti").select(*docs.columns)
+    return rows.join(sided(gone, near_dedup.BROADCAST_ROWS), key, "left_anti").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -90,10 +89,12 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents, each written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages over documents, each written and read again; what a stage replaces goes."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(*before)
+        before = [docs]
     return docs
 
 
