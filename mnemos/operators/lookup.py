@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from mnemos.functions.text import normal_name
 from mnemos.functions.vector import small
+from mnemos.operators.trigrams import TrigramIndex
 
 
 def active(memories: DataFrame, user_id: str | None = None, tenant_id: str | None = None, orphans: bool = True, limit: int | None = None) -> DataFrame:
@@ -89,6 +90,20 @@ def search_entities(entities: DataFrame, user_id: str | None = None, q: str | No
     return out.orderBy("created_at", "id").limit(limit) if limit is not None else out
 
 
+def search_entities_indexed(entities: DataFrame, index: TrigramIndex, requests: DataFrame) -> DataFrame:
+    """request_id and id of the entities that fit each request (request_id, user_id, q, entity_type, tenant_id), any but the
+
+    first null for all, through an index of normal_name(name) by entity id. For many requests; limits are the caller's.
+    """
+    asked = requests.withColumn("needle", F.coalesce(normal_name(F.col("q")), F.lit("")))
+    own = asked.select("request_id", "needle", *[F.col(c).alias(f"asked_{c}") for c in ("user_id", "entity_type", "tenant_id")])
+    met = index.containing(asked).join(own, "needle").join(entities, "id")
+    fits = F.lit(True)
+    for c in ("user_id", "entity_type", "tenant_id"):
+        fits = fits & (F.col(f"asked_{c}").isNull() | (F.col(f"asked_{c}") == F.col(c)))
+    return met.where(fits).select("request_id", "id", "name", "created_at")
+
+
 def first_by(table: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row of each key."""
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))

@@ -13,6 +13,7 @@ from mnemos.operators import recall as R
 from mnemos.operators.alerts import near_duplicates
 from mnemos.operators.index import VectorIndex
 from mnemos.operators.ingest import close, flagged, promotion
+from mnemos.operators.trigrams import TrigramIndex
 from mnemos.plans import views as V
 
 QUERIES: dict = {}
@@ -212,6 +213,17 @@ def near_duplicate_pairs(spark, d):
     return near_duplicates(a.join(b, "doc_id"), "ta", "tb").select("doc_id", "near_duplicate")
 
 
+@query(f"""
+    WITH t AS (SELECT DISTINCT unnest({V.TOKENS_SQL.format("text", 12)}) AS needle FROM benchmark)
+    SELECT needle, count(*) AS n_docs, max(doc_id) AS last FROM t JOIN documents ON contains(lower(text), needle) GROUP BY needle
+""")
+def text_search_indexed(spark, d):
+    """In which documents each long word of the benchmark occurs, as a part of a word or whole, through an index of trigrams."""
+    words = V.table(spark, d, "benchmark").select(F.explode(tokens(F.col("text"), 12)).alias("needle"))
+    index = TrigramIndex.build(V.table(spark, d, "documents"), "doc_id", F.lower("text"))
+    return index.containing(words).groupBy("needle").agg(F.count("*").alias("n_docs"), F.max("id").alias("last"))
+
+
 @query(f"""
     WITH {V.MEMORIES_SQL}, q AS (SELECT item_id, list_distinct({V.TOKENS_SQL.format("text", 2)}) AS k FROM benchmark)
     SELECT id, item_id, round(CASE WHEN len(k) = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(len(list_filter(k, lambda x: contains(lower(content), x))) AS DOUBLE) / len(k) END, 6) AS hit FROM memories m JOIN q ON m.n % 40 = q.item_id % 40

@@ -10,6 +10,7 @@ from mnemos.functions.text import normal_name, stacks
 from mnemos.operators import alerts as A
 from mnemos.operators import changes, consolidate, feedback, graph, lookup
 from mnemos.operators import recall as R
+from mnemos.operators.trigrams import TrigramIndex
 from mnemos.plans import views as V
 from mnemos.plans.memory import r6
 from mnemos.sources import archive
@@ -175,6 +176,21 @@ def entity_search(spark, d):
     return lookup.search_entities(V.entities(spark, d), user_id="u", q="Nation _1", limit=50).select("id", "name")
 
 
+@query(f"""
+    WITH {V.GRAPH_SQL}, q AS (SELECT concat('Nation _', n_nationkey) AS q, n_nationkey AS request_id, CASE WHEN n_nationkey % 2 = 0 THEN 'project' END AS kind FROM nation UNION ALL SELECT concat('0', r_regionkey), 100 + r_regionkey, NULL FROM region UNION ALL SELECT '#', 200, NULL)
+    SELECT request_id, id FROM q JOIN entities ON contains(regexp_replace(lower(name), '\s+', '', 'g'), regexp_replace(lower(q), '\s+', '', 'g')) WHERE kind IS NULL OR entity_type = kind
+""")
+def entity_search_indexed(spark, d):
+    """Substring searches for every nation's and region's number, and for a single character, through an index of trigrams."""
+    e = V.entities(spark, d)
+    n = V.table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("request_id"), F.concat(F.lit("Nation _"), "n_nationkey").alias("q"), F.expr("CASE WHEN n_nationkey % 2 = 0 THEN 'project' END").alias("entity_type"))
+    r = V.table(spark, d, "region").select((100 + F.col("r_regionkey")).cast("long").alias("request_id"), F.concat(F.lit("0"), "r_regionkey").alias("q"), F.lit(None).cast("string").alias("entity_type"))
+    one = spark.createDataFrame([(200, "#", None)], r.schema)
+    asked = n.unionByName(r).unionByName(one).withColumn("user_id", F.lit("u")).withColumn("tenant_id", F.lit(None).cast("string"))
+    index = TrigramIndex.build(e, "id", normal_name(F.col("name")))
+    return lookup.search_entities_indexed(e, index, asked).select("request_id", "id")
+
+
 def impact_sql(edges: str, hops: int, seeds: str) -> str:
     return f"""
     WITH RECURSIVE {V.GRAPH_SQL}, steps AS (SELECT DISTINCT src, dst, edge FROM ({edges})), p AS (

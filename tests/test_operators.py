@@ -116,6 +116,30 @@ def test_index_of_nothing(spark):
     assert VectorIndex.build(some).search(q, 3).count() == 0
 
 
+def test_trigrams_find_what_a_scan_finds(spark, tmp_path):
+    from mnemos.operators.trigrams import TrigramIndex
+
+    rnd = random.Random(5)
+    texts = [(i, "".join(rnd.choice("abcß中 ") for _ in range(rnd.randrange(0, 30)))) for i in range(200)] + [(200, None), (201, ""), (202, "a" * 5000), (202, "twice b")]
+    needles = {"", "a", "ab", "中", "ßa", "abc", "zzz", "aaaa", " b", "a" * 4000, *(t[2:9] for _, t in texts[:40])}
+    df = spark.createDataFrame(texts, "n long, body string")
+    asked = spark.createDataFrame([(x,) for x in [*needles, None, "a"]], "needle string")
+    want = sorted((x, i) for x in needles for i, t in texts if t is not None and x in t)
+    for path in (None, f"file://{tmp_path}/index"):
+        index = TrigramIndex.build(df, "n", F.col("body"), path)
+        assert sorted((r["needle"], r["id"]) for r in index.containing(asked).collect()) == want
+    # The rarest trigram alone gives the candidates, and only their folders are opened.
+    one = asked.where("needle = 'zzz'")
+    assert index.candidates(one).isEmpty() and index.containing(one).isEmpty()
+    lone = [x for x in needles if sum(t is not None and x in t for _, t in texts) == 1 and len(x) == 7][0]
+    found = index.containing(asked.where(F.col("needle") == lone))
+    assert found.count() == 1
+    assert len({f.split("folder=")[1].split("/")[0] for f in index.texts.inputFiles()}) > 20
+    scan = [x for x in found._jdf.queryExecution().executedPlan().toString().split("\n") if "PartitionFilters" in x]
+    assert scan and all("folder#" in x.split("PartitionFilters: [")[1] for x in scan)
+    assert TrigramIndex.build(df.where("false"), "n", F.col("body")).containing(asked).isEmpty()
+
+
 def test_paths_of_five_hops(spark):
     """Simple paths against a walk, over a graph with cycles and a hub."""
     rnd = random.Random(2)
