@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 from mnemos.schemas import ARCHIVES
 
 
+VERSION = 1
+#: Lines of a file of a dump, and parts whose files' digests are put together.
+FILE_LINES, FILES_A_NODE = 50_000, 1_000
+
+
 def sections(memories: DataFrame, entities: DataFrame, relations: DataFrame, user_id: str | None = None) -> dict[str, DataFrame]:
     """What a dump holds, of one user or of all."""
     found = {"memories": memories.where("deleted_at IS NULL"), "entities": entities, "relations": relations.where("deleted_at IS NULL")}
@@ -45,20 +50,33 @@ def lines(parts: dict[str, DataFrame]) -> DataFrame:
 
 
 def dump(spark: SparkSession, parts: dict[str, DataFrame], root: str, now: datetime, user_id: str | None = None) -> DataFrame:
-    """Write a dump as JSON lines by section and return its catalogue row.
+    """Write a dump as JSON lines by section, in the order of ids, and return its catalogue row.
 
-    The checksum is the SHA-256 of each section's row count and two order-free sums of its lines' hashes.
+    A section `header` names version, dumped_at and user_id. The checksum is that of checksum().
     """
     uri = f"{root.rstrip('/')}/dump_{stamp(now)}_{user_id or 'all'}.json"
-    own = lines(parts)
-    own.write.mode("errorifexists").partitionBy("section").json(uri)
-    back = spark.read.schema("id string, json string, section string").json(uri)
-    found = {r["section"]: r for r in back.groupBy("section").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("json")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "json")).alias("y")).collect()}
-    body = ";".join(f"{k}:{found[k]['n']}:{found[k]['x']}:{found[k]['y']}" if k in found else f"{k}:0" for k in sorted(parts))
-    checksum = hashlib.sha256(body.encode()).hexdigest()
-    n = lambda k: found[k]["n"] if k in found else 0
+    header = spark.createDataFrame([("header", "header", VERSION, user_id)], "section string, id string, version int, user_id string")
+    header = header.select("section", "id", F.to_json(F.struct("version", F.lit(now.astimezone(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")).alias("dumped_at"), "user_id"), {"ignoreNullFields": "false"}).alias("json"))
+    own = lines(parts).unionByName(header).repartitionByRange("section", "id").sortWithinPartitions("section", "id", "json")
+    own.write.mode("errorifexists").option("maxRecordsPerFile", FILE_LINES).partitionBy("section").json(uri)
+    found = {r["section"]: r["n"] for r in spark.read.schema("id string, json string, section string").json(uri).groupBy("section").agg(F.count("*").alias("n")).collect()}
+    n = lambda k: found.get(k, 0)
     name = "l3_" + hashlib.sha256(uri.encode()).hexdigest()[:32]
-    return spark.createDataFrame([(name, uri, checksum, n("memories"), n("entities"), n("relations"), now)], ARCHIVES)
+    return spark.createDataFrame([(name, uri, checksum(spark, uri), n("memories"), n("entities"), n("relations"), now)], ARCHIVES)
+
+
+def checksum(spark: SparkSession, uri: str) -> str:
+    """SHA-256 of a dump's bytes, as a tree: of each file where it is read, of FILES_A_NODE files in their order, of those.
+
+    Files have FILE_LINES lines at most, so each is small enough for a row; the driver sees a digest for so many files.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").load(uri)
+    piece = lambda i: F.regexp_extract("path", r"/section=([^/]+)/part-(\d+)-[^/]*?c(\d+)\.json$", i)
+    own = files.select(piece(1).alias("section"), piece(2).cast("long").alias("part"), piece(3).cast("long").alias("file"), F.sha2("content", 256).alias("digest"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("part", "file", "digest"))), lambda x: x["digest"])
+    nodes = own.groupBy("section", F.floor(F.col("part") / FILES_A_NODE).alias("node")).agg(F.sha2(F.array_join(ordered, ":"), 256).alias("digest"))
+    body = ";".join(f"{r['section']}:{r['node']}:{r['digest']}" for r in nodes.orderBy("section", "node").collect())
+    return hashlib.sha256(body.encode()).hexdigest()
 
 
 def document(parts: dict[str, DataFrame], now: datetime, user_id: str | None = None) -> DataFrame:
@@ -70,7 +88,7 @@ def document(parts: dict[str, DataFrame], now: datetime, user_id: str | None = N
     for more in arrays[1:]:
         joined = joined.crossJoin(more)  # one row each
     at = now.astimezone(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
-    body = F.to_json(F.struct(F.lit(1).alias("version"), F.lit(at).alias("dumped_at"), F.lit(user_id).alias("user_id"), *parts), {"pretty": "true", "ignoreNullFields": "false"})
+    body = F.to_json(F.struct(F.lit(VERSION).alias("version"), F.lit(at).alias("dumped_at"), F.lit(user_id).alias("user_id"), *parts), {"pretty": "true", "ignoreNullFields": "false"})
     return joined.select(body.alias("json")).withColumn("checksum", F.sha2("json", 256))
 
 

@@ -145,3 +145,23 @@ def test_two_engines_lose_no_rows(spark, tmp_path):
     rows = {r["id"]: r["pinned"] for r in b.store.read("memories").where("deleted_at IS NULL OR source = 'consolidation'").collect()}
     everything = {r["id"] for r in b.store.read("memories").collect()}
     assert {first, second, *seen} <= everything and rows[first] and len(seen) == 2
+
+
+def test_checksum_follows_every_byte(spark, tmp_path):
+    from mnemos.sources import archive
+
+    rows = conform(spark.createDataFrame([(f"e{i}", f"name {i % 3}") for i in range(40)], "id string, name string"), "entities")
+    none = {k: spark.createDataFrame([], t) for k, t in (("memories", "id string, deleted_at timestamp"), ("relations", "id string, deleted_at timestamp"))}
+    dump = lambda df, name: archive.dump(spark, archive.sections(none["memories"], df, none["relations"]), f"file://{tmp_path}/{name}", START).first()
+    first, again = dump(rows, "a"), dump(rows, "b")
+    assert first["checksum"] == again["checksum"] == archive.checksum(spark, first["uri"]) and first["entity_count"] == 40
+    header = spark.read.text(f"{first['uri']}/section=header").first()[0]
+    assert 'version' in header and "2026-07-29T00:00:00Z" in header
+    doubled = rows.unionByName(rows.where("id = 'e1'")).unionByName(rows.where("id = 'e1'"))
+    swapped = rows.withColumn("name", F.when(F.col("id") == "e1", "name 2").when(F.col("id") == "e2", "name 1").otherwise(F.col("name")))
+    assert len({first["checksum"], dump(doubled, "c")["checksum"], dump(swapped, "d")["checksum"]}) == 3
+    (file,) = [f for f in (tmp_path / "a").rglob("section=entities/*.json")][:1]
+    text = file.read_text().splitlines()
+    file.write_text("\n".join([text[1], text[0], *text[2:]]) + "\n")
+    (file.parent / f".{file.name}.crc").unlink(missing_ok=True)
+    assert archive.checksum(spark, first["uri"]) != first["checksum"]
