@@ -258,6 +258,10 @@ class MemoryEngine:
 
         return self.store.transact(work)
 
+    def reembed_in_parts(self, run: str, **options) -> dict:
+        """Re-embedding in commits of some rows each; a stopped run goes on where it was."""
+        return migrate.reembed_in_parts(self.store, self._now(), run, self.config, embed=self.embed, **options)
+
     def dump(self, root: str, user_id: str | None = None) -> dict:
         parts = archive.sections(self.store.read("memories"), self.store.read("entities"), self.store.read("relations"), user_id)
         row = archive.dump(self.spark, parts, root, self.clock(), user_id)

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from mnemos.config import DEFAULT, EngineConfig
 from mnemos.operators.ingest import embedded
 from mnemos.operators.lookup import active, orphan, vector_meta
-from mnemos.sources.store import merge
+from mnemos.sources.scratch import kept
+from mnemos.sources.store import SnapshotStore, Transaction, merge
 
 POLICIES = ("assign", "skip", "fail")
 
@@ -51,3 +52,51 @@ def reembed(memories: DataFrame, embeddings: DataFrame, now: Column, config: Eng
         return memories, embeddings, report
     fresh = embedded(todo, now, config, embed)
     return owned, merge(embeddings.join(lost.select("memory_id"), "memory_id", "left_anti"), fresh, ["memory_id"]), report
+
+
+def reembed_in_parts(store: SnapshotStore, now: Column, run: str, config: EngineConfig = DEFAULT, part_rows: int = 100_000, most_parts: int | None = None, recreate: bool = False, cleanup: bool = True, embed=None, **options) -> dict[str, int | bool]:
+    """Re-embed in parts of about part_rows rows, each a commit of its own that also says in `reembed_parts` that it is done.
+
+    A run that was stopped, or that most_parts ended, goes on under the same name where it was; parts are told by a hash of
+    ids, so they stay the same whatever was embedded meanwhile. recreate: drop all vectors of another size than the target's
+    first. Returns the run's counts so far, and whether it is finished.
+    """
+    known = store.read("reembed_parts").where(F.col("run") == run)
+    first = known.first()
+    model, dim = config.embedding_model, config.embedding_dim
+
+    def todo(own: Transaction) -> DataFrame:
+        return plan(own.read("memories"), own.read("embeddings"), model, dim, **options).where("action = 'embed'")
+
+    parts = first["parts"] if first else max(1, -(-store.transact(lambda own: todo(own).count()) // part_rows))
+    done = {r["part"] for r in known.select("part").collect()}
+
+    def told(own: Transaction, part: int, **counts: int) -> None:
+        row = (f"{run}:{part}", run, part, parts, counts.get("reembedded", 0), counts.get("orphans_assigned", 0), counts.get("dangling_removed", 0))
+        columns = "id string, run string, part int, parts int, reembedded long, orphans_assigned long, dangling_removed long"
+        own.upsert("reembed_parts", store.spark.createDataFrame([row], columns).withColumn("created_at", now))
+
+    def embed_part(own: Transaction, part: int) -> None:
+        rows = kept(todo(own).where(F.crc32(F.col("id").cast("binary")) % parts == part))
+        n = rows.agg(F.count("*").alias("n"), F.count_if("assigned").alias("assigned")).first()
+        owners = rows.where("assigned").withColumn("updated_at", now)
+        own.upsert("memories", owners)
+        own.upsert("embeddings", embedded(rows, now, config, embed))
+        told(own, part, reembedded=n["n"], orphans_assigned=n["assigned"])
+
+    def start(own: Transaction) -> None:
+        own.delete("embeddings", own.read("embeddings").where(F.col("dim") != dim).select("memory_id"))
+        told(own, -1)
+
+    def finish(own: Transaction) -> None:
+        lost = dangling(own.read("embeddings"), own.read("memories"), options.get("user_id")).select("memory_id") if cleanup else own.read("embeddings").where("false").select("memory_id")
+        lost = kept(lost)
+        own.delete("embeddings", lost)
+        told(own, parts, dangling_removed=lost.count())
+
+    steps = ([(-1, start)] if recreate else []) + [(k, lambda own, k=k: embed_part(own, k)) for k in range(parts)] + [(parts, finish)]
+    left = [s for s in steps if s[0] not in done]
+    for _, step in left[:most_parts]:
+        store.transact(step)
+    sums = store.read("reembed_parts").where(F.col("run") == run).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("reembedded", "orphans_assigned", "dangling_removed")]).first().asDict()
+    return sums | {"finished": most_parts is None or len(left) <= most_parts}

@@ -165,3 +165,35 @@ def test_checksum_follows_every_byte(spark, tmp_path):
     file.write_text("\n".join([text[1], text[0], *text[2:]]) + "\n")
     (file.parent / f".{file.name}.crc").unlink(missing_ok=True)
     assert archive.checksum(spark, first["uri"]) != first["checksum"]
+
+
+def test_reembedding_goes_on_where_it_stopped(spark, tmp_path):
+    from mnemos.functions.vector import hash_embed
+    from mnemos.operators import migrate
+
+    rows = conform(spark.createDataFrame([(f"m{i}", None if i % 5 == 0 else "u", f"text {i}") for i in range(20)], "id string, user_id string, content string"), "memories")
+    old = conform(spark.createDataFrame([(f"m{i}", "u", "old", 8, [0.0] * 8) for i in range(10)] + [("ghost", "u", "hashing", 16, [0.0] * 16)], "memory_id string, user_id string, model string, dim int, vector array<float>"), "embeddings")
+    config, now, options = EngineConfig(embedding_dim=16), F.lit(START).cast("timestamp"), {"orphan_policy": "assign", "orphan_user": "u"}
+    stores = [SnapshotStore(spark, f"file://{tmp_path}/{n}") for n in "ab"]
+    for s in stores:
+        s.upsert("memories", rows)
+        s.upsert("embeddings", old)
+    seen = []
+
+    def embed(df, id_col, text_col, dim):
+        seen.append(sorted(r[0] for r in df.select(id_col).collect()))
+        if len(seen) == 3:
+            raise OSError("killed")
+        return hash_embed(df, id_col, text_col, dim)
+
+    run = lambda **more: migrate.reembed_in_parts(stores[0], now, "r", config, part_rows=5, embed=embed, **options, **more)
+    assert not run(most_parts=1, recreate=True)["finished"] and stores[0].read("embeddings").select("dim").distinct().count() == 1
+    with pytest.raises(OSError):
+        run()
+    told = run()
+    assert told == {"reembedded": 20, "orphans_assigned": 4, "dangling_removed": 1, "finished": True}
+    assert sorted(x for k, part in enumerate(seen) if k != 2 for x in part) == sorted(f"m{i}" for i in range(20)) and seen[2] == seen[3]
+    assert run() == told and len(seen) == 5
+    _, vectors, report = migrate.reembed(stores[1].read("memories"), stores[1].read("embeddings"), now, config, **options)
+    show = lambda df: sorted((r["memory_id"], r["user_id"], r["model"], tuple(r["vector"])) for r in df.collect())
+    assert show(stores[0].read("embeddings")) == show(vectors) and report.first()["reembedded"] == 20
