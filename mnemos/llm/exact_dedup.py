@@ -1,7 +1,7 @@
 """Exact deduplication by deterministic block naming.
 
-Texts are cut into blocks of a fixed number of bytes. Equal blocks get one integer name: the distinct blocks are sorted
-and numbered, part by part of a shuffle, so names are unique and keep the order within a part. Then neighbouring names are paired and distinct pairs are sorted and numbered, level by level, until every
+Texts are cut into blocks of a fixed number of bytes. Equal blocks get one integer name: the distinct blocks are dealt by
+range, sorted and numbered, so names are unique and follow one order over all parts. Then neighbouring names are paired and distinct pairs are sorted and numbered, level by level, until every
 document is down to one name; a name without a neighbour pairs with none. Two texts are equal just if they end on the same
 level with the same name, whatever their contents: names are places in sorted lists, not fingerprints.
 
@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from mnemos.llm.common import keyed, materialise
 
 BLOCK_BYTES = 4096
+#: Bytes of a block that bounds of ranges have.
+BOUND_BYTES = 64
 
 
 def _hash(block: Column) -> list[Column]:
@@ -34,8 +36,13 @@ def _blocks(content: Column, size: int) -> Column:
 
 
 def _numbered(distinct: DataFrame, by: list[str], kept: list[str]) -> DataFrame:
-    """Rows with a number each, in their order over all partitions; written, so every reader sees the same numbers."""
-    named = distinct.repartitionByRange(*by).sortWithinPartitions(*by).select(*kept, F.monotonically_increasing_id().alias("name"))
+    """Rows with a number each, in their order over all partitions; written, so every reader sees the same numbers.
+
+    Blocks are ordered by their first bytes, a hash and then their bytes: ranges need no whole blocks as bounds, and many
+    blocks that begin alike are still dealt out.
+    """
+    order = [x for c in by for x in ((F.substring(c, 1, BOUND_BYTES), F.xxhash64(c)) if c == "block" else (F.col(c),))]
+    named = distinct.repartitionByRange(*order).sortWithinPartitions(*order, *by).select(*kept, F.monotonically_increasing_id().alias("name"))
     return materialise(named, "names")
 
 
