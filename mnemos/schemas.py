@@ -28,6 +28,7 @@ FEEDBACK_EVENTS = (
 REFLECTIONS = "id string, feedback_id string, analysis string, summary string, confidence double, derived_memory_id string, status string, created_at timestamp"
 ARCHIVES = "id string, uri string, checksum string, memory_count int, entity_count int, relation_count int, created_at timestamp"
 REEMBED_PARTS = "id string, run string, part int, parts int, reembedded long, orphans_assigned long, dangling_removed long, created_at timestamp"
+FEEDBACK_FAILED = "id string, problem string, event string, created_at timestamp"
 
 TABLES = {
     "sessions": SESSIONS,
@@ -40,6 +41,7 @@ TABLES = {
     "reflection_records": REFLECTIONS,
     "l3_archives": ARCHIVES,
     "reembed_parts": REEMBED_PARTS,
+    "feedback_failed": FEEDBACK_FAILED,
 }
 #: What tells a table's rows apart.
 KEYS = dict.fromkeys(TABLES, "id") | {"embeddings": "memory_id"}

@@ -5,7 +5,7 @@ The batch operators do the work; a stream adds the source, the checkpoint and ba
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,15 +14,17 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from mnemos.config import DEFAULT, EngineConfig
 from mnemos.operators import changes, feedback
+from mnemos.operators.graph import new_id
 from mnemos.operators.ingest import embedded
 from mnemos.schemas import FEEDBACK_EVENTS, conform
 from mnemos.sources.store import SnapshotStore, Transaction
 
 
-def apply_feedback(store: SnapshotStore, events: DataFrame, now: datetime, config: EngineConfig = DEFAULT, batch: str | None = None, pending: bool = False) -> DataFrame:
+def apply_feedback(store: SnapshotStore, events: DataFrame, now: datetime, config: EngineConfig = DEFAULT, batch: str | None = None, pending: bool = False, keep_failed: bool = False) -> DataFrame:
     """Apply a batch of feedback to a store in one commit; returns the invalid events.
 
-    pending: events and weights are written, reflections are left for process_pending().
+    pending: events and weights are written, reflections are left for process_pending(). keep_failed: invalid events go to
+    the table feedback_failed, with what is wrong and the event as JSON, in the same commit.
     """
     at = F.lit(now).cast("timestamp")
     checked = feedback.validated(conform(events, "feedback_events"))
@@ -33,6 +35,10 @@ def apply_feedback(store: SnapshotStore, events: DataFrame, now: datetime, confi
         deltas = feedback.weight_deltas(valid, config)
         named = memories.join(deltas.select("id").distinct(), "id", "left_semi")
         own.upsert("feedback_events", valid)
+        if keep_failed:
+            event = F.to_json(F.struct(*[c for c in checked.columns if c != "problem"]), {"ignoreNullFields": "false"})
+            failed = checked.where("problem IS NOT NULL").select(F.coalesce("id", new_id("lost_", event)).alias("id"), "problem", event.alias("event"), at.alias("created_at"))
+            own.upsert("feedback_failed", failed)
         own.upsert("memories", changes.adjust_weights(named, deltas))
         if pending:
             own.upsert("reflection_records", feedback.pending_rows(valid, at))
@@ -63,11 +69,15 @@ def process_pending(store: SnapshotStore, now: datetime, config: EngineConfig =
     store.transact(work, batch)
 
 
-def feedback_stream(spark: SparkSession, source: str, store: SnapshotStore, checkpoint: str, now: datetime, config: EngineConfig = DEFAULT, once: bool = True) -> StreamingQuery:
-    """A query that applies JSON files of feedback events as they arrive; a batch that was committed is skipped."""
+def feedback_stream(spark: SparkSession, source: str, store: SnapshotStore, checkpoint: str, now: datetime | Callable[[], datetime], config: EngineConfig = DEFAULT, once: bool = True) -> StreamingQuery:
+    """A query that applies JSON files of feedback events as they arrive, each batch at the time that `now` gives then.
+
+    A batch that was committed is skipped when it comes again, one that wasn't has left nothing: its parts are named by no
+    version. Events that can't be applied stop nothing; they are in the table feedback_failed.
+    """
 
     def apply(events: DataFrame, number: int) -> None:
-        apply_feedback(store, events, now, config, batch=f"feedback-{number}")
+        apply_feedback(store, events, now() if callable(now) else now, config, batch=f"feedback-{number}", keep_failed=True)
 
     stream = spark.readStream.schema(FEEDBACK_EVENTS).json(source)
     writer = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)

@@ -268,6 +268,34 @@ def test_feedback_stream_equals_batch(spark, tmp_path):
     assert stores[0].read("memories").where("id = 'm1'").first()["weight"] == pytest.approx(0.95)
 
 
+def test_feedback_is_applied_once_and_bad_events_are_kept(spark, tmp_path):
+    """The writer dies before the pointer is made; the same batch comes again, at another time."""
+    from pyspark.errors import StreamingQueryException
+
+    (tmp_path / "in").mkdir()
+    rows = [{"id": "f1", "feedback_type": "upvote"} | EVENT, {"id": "f3", "feedback_type": "bad"} | EVENT]
+    (tmp_path / "in/1.json").write_text("\n".join([*map(json.dumps, rows), "{not json"]))
+    store = SnapshotStore(spark, f"file://{tmp_path}/s")
+    store.append("memories", spark.createDataFrame([memory(1)], MEM))
+    times, make = iter([NOW, datetime(2026, 7, 30)]), store.point
+
+    def die(*args):
+        store.point = make
+        raise OSError("killed")
+
+    store.point = die
+    start = lambda: jobs.feedback_stream(spark, f"file://{tmp_path}/in", store, f"file://{tmp_path}/cp", lambda: next(times), EngineConfig(embedding_dim=16))
+    with pytest.raises(StreamingQueryException):
+        start().awaitTermination(120)
+    assert store.read("feedback_events").isEmpty() and store.read("memories").first()["weight"] == 1.0
+    start().awaitTermination(120)
+    start().awaitTermination(120)
+    assert store.read("memories").first()["weight"] == pytest.approx(1.05)
+    failed = {r["id"]: (r["problem"], r["created_at"]) for r in store.read("feedback_failed").collect()}
+    assert len(failed) == 2 and failed["f3"] == ("unknown feedback type", datetime(2026, 7, 30))
+    assert store.applied("feedback-0")
+
+
 def test_session_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     item = lambda i, imp, pinned=False: {"session_id": "s", "kind": "item", "id": f"i{i}", "content": f"c{i}", "importance": imp, "weight": 1.0, "pinned": pinned, "created_at": "2026-07-29T00:00:00Z"}
