@@ -177,7 +177,7 @@ def entity_search(spark, d):
 
 
 @query(f"""
-    WITH {V.GRAPH_SQL}, q AS (SELECT concat('Nation _', n_nationkey) AS q, n_nationkey AS request_id, CASE WHEN n_nationkey % 2 = 0 THEN 'project' END AS kind FROM nation UNION ALL SELECT concat('0', r_regionkey), 100 + r_regionkey, NULL FROM region UNION ALL SELECT '#', 200, NULL)
+    WITH {V.GRAPH_SQL}, q AS (SELECT concat('Nation _', n_nationkey) AS q, CAST(n_nationkey AS BIGINT) AS request_id, CASE WHEN n_nationkey % 2 = 0 THEN 'project' END AS kind FROM nation UNION ALL SELECT concat('0', r_regionkey), 100 + r_regionkey, NULL FROM region UNION ALL SELECT '#', 200, NULL)
     SELECT request_id, id FROM q JOIN entities ON contains(regexp_replace(lower(name), '\\s+', '', 'g'), regexp_replace(lower(q), '\\s+', '', 'g')) WHERE kind IS NULL OR entity_type = kind
 """)
 def entity_search_indexed(spark, d):
