@@ -178,6 +178,12 @@ def resident(kind: str, key: object, build):
     return held[1]
 
 
+def release() -> None:
+    """Drop what resident() keeps: a worker that begins another operator's work needs none of it."""
+    _RESIDENT.clear()
+    trim()
+
+
 def trim() -> None:
     """Give freed memory back to the system where the C library can: workers that wait keep little."""
     import ctypes

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mnemos.llm.byte_bpe import parse_ranks
-from mnemos.llm.common import WORD_TABLE, bound_batches, free_name, materialise, resident, slices, trim, vocabulary_bytes
+from mnemos.llm.common import WORD_TABLE, bound_batches, free_name, materialise, release, resident, slices, trim, vocabulary_bytes
 
 #: As the words' table, with digits as separators too.
 LETTER_TABLE = bytes(32 if 48 <= b <= 57 else b for b in WORD_TABLE)
@@ -330,9 +330,10 @@ def fit(
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from collections import Counter
 
+        release()
         for batch in batches:
             names, totals = batch.column(0).to_pylist(), Counter()
-            for at, texts in slices(batch.column(1)):
+            for at, texts in slices(batch.column(1), 1 << 20):
                 for lang, text in zip(names[at:], texts, strict=False):
                     totals.update((lang, w) for w in letter_words(text))
             if totals:
