@@ -6,8 +6,9 @@ from pyspark.sql import SparkSession
 
 
 def session(master: str | None = None, partitions: int | None = None, **conf: str) -> SparkSession:
-    """Times are UTC, plans adaptive; options override."""
+    """Times are UTC, plans adaptive, streams keep their state in RocksDB; options override."""
     builder = SparkSession.builder.appName("mnemos").config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true").config("spark.sql.adaptive.skewJoin.enabled", "true")
+    builder = builder.config("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     if master:
         builder = builder.master(master)
     if partitions:

@@ -1,11 +1,11 @@
-"""Streams: feedback events to reflections and memories, and session items kept as keyed state.
+"""Streams: feedback events to reflections and memories; session items as keyed state are in mnemos.streaming.sessions.
 
 The batch operators do the work; a stream adds the source, the checkpoint and batch ids that make a repeated batch harmless.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +18,7 @@ from mnemos.operators.graph import new_id
 from mnemos.operators.ingest import embedded
 from mnemos.schemas import FEEDBACK_EVENTS, conform
 from mnemos.sources.store import SnapshotStore, Transaction
+from mnemos.streaming.sessions import SESSION_EVENT, session_stream  # noqa: F401
 
 
 def apply_feedback(store: SnapshotStore, events: DataFrame, now: datetime, config: EngineConfig = DEFAULT, batch: str | None = None, pending: bool = False, keep_failed: bool = False) -> DataFrame:
@@ -84,52 +85,6 @@ def feedback_stream(spark: SparkSession, source: str, store: SnapshotStore, chec
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 second")).start()
 
 
-SESSION_EVENT = "session_id string, kind string, id string, content string, importance double, weight double, pinned boolean, created_at timestamp"
-SESSION_OUT = "session_id string, id string, content string, promoted boolean, score double"
-SESSION_STATE = "ids array<string>, contents array<string>, importance array<double>, weight array<double>, pinned array<boolean>, created array<timestamp>"
-
-
-def session_stream(events: DataFrame, now: datetime, config: EngineConfig = DEFAULT, timeout_ms: int = 3_600_000) -> DataFrame:
-    """Items of sessions held as keyed state, at most l1_max_items each; a `close` event (or the timeout) lets them out.
-
-    events: SESSION_EVENT, kind `item` or `close`. Out come all items of the closed session and whether they are promoted.
-    """
-    import math
-
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupState
-
-    most, least, decay = config.l1_max_items, config.promotion_threshold, config.decay_lambda
-    at = pd.Timestamp(now).tz_localize(None)
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = [list(x) for x in zip(*state.get, strict=True)] if state.exists else []
-        closing = state.hasTimedOut
-        if not closing:
-            for pdf in batches:
-                for e in pdf.itertuples(index=False):
-                    if e.kind == "close":
-                        closing = True
-                    else:
-                        held.append([e.id, e.content, float(e.importance), float(e.weight), bool(e.pinned), e.created_at])
-            if len(held) > most:
-                held = sorted(held, key=lambda x: (x[2] * x[3], pd.Timestamp(x[5])), reverse=True)[:most]
-        if closing:
-            if state.exists:
-                state.remove()
-            rows = []
-            for name, text, importance, weight, pinned, created in held:
-                days = max(0.0, (at - pd.Timestamp(created).tz_localize(None)).total_seconds() / 86400)
-                value = importance * math.exp(-decay * days) * weight
-                rows.append((key[0], name, text, pinned or value >= least, value))
-            yield pd.DataFrame(rows, columns=["session_id", "id", "content", "promoted", "score"])
-        else:
-            state.update(tuple(list(x) for x in zip(*held, strict=True)) if held else ([], [], [], [], [], []))
-            state.setTimeoutDuration(timeout_ms)
-
-    return events.groupBy("session_id").applyInPandasWithState(step, SESSION_OUT, SESSION_STATE, "append", "ProcessingTimeTimeout")
-
-
 def nightly(config: EngineConfig = DEFAULT) -> str | None:
     """The cron line of the nightly consolidation for an outside scheduler, or None if it is off."""
     return f"{config.scheduler_minute} {config.scheduler_hour} * * *" if config.scheduler_enabled else None

@@ -305,3 +305,35 @@ def test_session_stream(spark, tmp_path):
     out = jobs.session_stream(events, NOW, EngineConfig(l1_max_items=3))
     out.writeStream.format("memory").queryName("closed").outputMode("append").option("checkpointLocation", f"file://{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination(180)
     assert {r["id"]: r["promoted"] for r in spark.table("closed").collect()} == {"i1": True, "i2": False, "i3": True}
+
+
+def test_session_stream_equals_batch_after_restart_with_late_items_and_timeouts(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    rng, config = random.Random(5), EngineConfig(l1_max_items=4)
+    at = lambda minute: f"2026-07-29T{minute // 60:02d}:{minute % 60:02d}:00Z"
+
+    def item(n, session, minute):
+        return {"session_id": session, "kind": "item", "id": f"i{n}", "content": f"c{n}", "importance": rng.choice([0.1, 0.3, 0.6, 0.9]), "weight": rng.choice([1.0, 2.0]), "pinned": rng.random() < 0.2, "created_at": at(minute), "seq": n}
+
+    def play(name, rows):
+        (tmp_path / f"in/{name}.json").write_text("\n".join(json.dumps(r) for r in rows))
+        events = spark.readStream.schema(jobs.SESSION_EVENT).json(f"file://{tmp_path}/in")
+        out = jobs.session_stream(events, config=config, timeout_ms=3_600_000, delay="10 minutes")
+        writer = out.writeStream.format("parquet").option("path", f"file://{tmp_path}/out").option("checkpointLocation", f"file://{tmp_path}/cp")
+        writer.trigger(availableNow=True).start().awaitTermination(180)
+
+    first = [item(n, rng.choice("ab"), rng.randrange(30)) for n in range(20)]
+    second = [item(20 + n, rng.choice("ab"), 25 + rng.randrange(10)) for n in range(10)]
+    lost = item(30, "a", 1)
+    play(1, first)
+    play(2, [*second, lost, {"session_id": None, "kind": "item", "id": "x", "created_at": at(30)}, {"session_id": "c", "kind": "close", "created_at": at(31)}])
+    play(3, [{"session_id": "a", "kind": "close", "created_at": at(40)}])
+    play(4, [item(31, "d", 300)])
+    got = {r["id"]: (r["session_id"], r["promoted"], round(r["score"], 9), r["closed_at"]) for r in spark.read.parquet(f"file://{tmp_path}/out").collect()}
+    last = max(int(r["created_at"][14:16]) for r in first + second if r["session_id"] == "b")
+    closed = {"a": datetime(2026, 7, 29, 0, 40), "b": datetime(2026, 7, 29, 1, last)}
+    rows = [(r["session_id"], r["id"], r["content"], r["importance"], r["weight"], r["pinned"], datetime.fromisoformat(r["created_at"]), r["seq"], closed[r["session_id"]]) for r in first + second]
+    items = spark.createDataFrame(rows, "session_id string, id string, content string, importance double, weight double, pinned boolean, created_at timestamp, seq long, closed_at timestamp")
+    batch = ingest.promotion(changes.evict(items, 4).where("kept"), F.col("closed_at"), config)
+    assert got == {r["id"]: (r["session_id"], r["promoted"], round(r["score"], 9), r["closed_at"]) for r in batch.collect()}
+    assert len(got) == 8
