@@ -39,8 +39,12 @@ class MemoryEngine:
     def _now(self):
         return F.lit(self.clock()).cast("timestamp")
 
-    def _count(self, name: str) -> None:
-        self.metrics[name] = self.metrics.get(name, 0) + 1
+    def _count(self, name: str, by: int = 1) -> None:
+        self.metrics[name] = self.metrics.get(name, 0) + by
+
+    def snapshot(self) -> dict[str, int]:
+        """This engine's counters, sorted by name."""
+        return dict(sorted(self.metrics.items()))
 
     def _one(self, schema: str, **values) -> DataFrame:
         return self.spark.createDataFrame([tuple(values.values())], schema)
@@ -197,6 +201,8 @@ class MemoryEngine:
         return {"entities": counts["entities"], "relations": counts["relations"]}
 
     def entities(self, user_id: str, q: str | None = None, entity_type: str | None = None, tenant_id: str | None = None, limit: int = 50) -> list[dict]:
+        if limit < 1:
+            raise ValueError("limit is 1 or more")
         return [r.asDict() for r in lookup.search_entities(self.store.read("entities"), user_id, q, entity_type, tenant_id, limit).collect()]
 
     def impact(self, user_id: str, entity: str, direction: str = "inbound", max_hops: int | None = None, tenant_id: str | None = None) -> list[dict]:
@@ -233,17 +239,23 @@ class MemoryEngine:
     # --- upkeep
 
     def consolidate(self) -> list[dict]:
+        """Consolidate all users; returns their reports, the sums over which are counted once the change is committed."""
         now = self._now()
 
-        def work(own: Transaction) -> list[dict]:
+        def work(own: Transaction) -> tuple[list[dict], dict[str, int]]:
             rows, vectors, report = consolidate.consolidate(own.read("memories"), own.read("embeddings"), now, self.config)
             made = rows.where("source = 'consolidation' AND deleted_at IS NULL").join(vectors.select(F.col("memory_id").alias("id")), "id", "left_anti")
             fresh = ingest.embedded(made, now, self.config, self.embed)
             own.put("memories", rows)
             own.put("embeddings", merge(vectors, fresh, ["memory_id"]))
-            return [r.asDict() for r in report.collect()]
+            report, seen = consolidate.observed(report)
+            return [r.asDict() for r in report.collect()], seen.get
 
-        return self.store.transact(work)
+        told, sums = self.store.transact(work)
+        self._count("consolidations")
+        for name, n in sums.items():
+            self._count(f"consolidation_{name}", n)
+        return told
 
     def reembed(self, dry_run: bool = False, **options) -> dict:
         """Bring all vectors up to date; all users' rows are embedded in Arrow batches of one distributed plan."""
@@ -276,7 +288,7 @@ class MemoryEngine:
 
     def dispatch(self, name: str, arguments: str | dict[str, Any] | None = None) -> dict:
         """Call a method by its name with JSON or dict arguments; errors come back as {ok: false}."""
-        tools = {"remember": self.remember, "recall": self.recall, "impact": self.impact, "feedback": self.submit_feedback, "recommend": self.recommend, "consolidate": self.consolidate, "health": lambda: {"status": "ok", "metrics": dict(sorted(self.metrics.items()))}}
+        tools = {"remember": self.remember, "recall": self.recall, "impact": self.impact, "feedback": self.submit_feedback, "recommend": self.recommend, "consolidate": self.consolidate, "health": lambda: {"status": "ok", "metrics": self.snapshot()}}
         try:
             own = json.loads(arguments) if isinstance(arguments, str) else dict(arguments or {})
             if name not in tools:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from mnemos.config import DEFAULT, EngineConfig
@@ -163,3 +163,21 @@ def consolidate(memories: DataFrame, embeddings: DataFrame, now: Column, config:
     for part in (touched, retired, squeezed, forgotten):
         report = report.join(part, "user_id", "left")
     return rows, vectors, report.na.fill(0)
+
+
+COUNTERS = ("reweighted", "conflicts_resolved", "compressed_clusters", "compressed_deleted", "forgotten")
+
+
+def totals(report: DataFrame) -> DataFrame:
+    """One row: users, and the sums of all counters over their reports (zeros for an empty report)."""
+    return report.agg(*_sums())
+
+
+def observed(report: DataFrame) -> tuple[DataFrame, Observation]:
+    """The report, and the same totals as metrics of the job that first reads it to its end."""
+    seen = Observation()
+    return report.observe(seen, *_sums()), seen
+
+
+def _sums() -> list[Column]:
+    return [F.count(F.lit(1)).alias("users"), *[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in COUNTERS]]

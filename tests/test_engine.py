@@ -248,3 +248,24 @@ def test_two_writers_lose_no_commit(spark, tmp_path):
     (tmp_path / "s/_versions/00000099.json").write_text("")  # a writer died here
     store.append("entities", row("e"))
     assert sorted(r["id"] for r in store.read("entities").collect()) == list("abcde") and len(calls) == 2 and store.current()[0] == 100
+
+
+def test_counters_of_consolidation_are_the_sums_of_its_reports(make):
+    from mnemos.operators import consolidate
+
+    e = make(embedding_dim=128)
+    assert e.consolidate() == [] and e.snapshot()["consolidation_users"] == 0
+    for user in ("u", "v"):
+        for t in ("数据库使用 sqlite 存储 a", "数据库使用 sqlite 存储 b", "数据库 sqlite 备份 c"):
+            e.remember(t, user)
+    told = e.consolidate()
+    schema = "user_id string, " + ", ".join(f"{c} long" for c in consolidate.COUNTERS)
+    report = e.spark.createDataFrame([tuple(r[c.split()[0]] for c in schema.split(", ")) for r in told], schema)
+    sums = consolidate.totals(report).first().asDict()
+    assert sums["users"] == 2 and sums["compressed_deleted"] == 6 and sums["compressed_clusters"] == 2
+    found = e.snapshot()
+    assert {f"consolidation_{k}": v for k, v in sums.items()}.items() <= found.items()
+    assert list(found) == sorted(found) and found["consolidations"] == 2 and found["memories_remembered"] == 6
+    assert consolidate.totals(report.limit(0)).first().asDict() == dict.fromkeys(sums, 0)
+    with pytest.raises(ValueError):
+        e.entities("u", limit=0)
