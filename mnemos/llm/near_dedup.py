@@ -178,7 +178,7 @@ def _shingled(rows: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose similarity reaches the threshold."""
+    """The pairs (a, b) whose similarity reaches the threshold. Only sets that a pair names are shuffled."""
 
     @F.arrow_udf("double")
     def similar(ha: pa.Array, ca: pa.Array, hb: pa.Array, cb: pa.Array) -> pa.Array:
@@ -187,7 +187,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
     left = sets.select(F.col("key").alias("a"), F.col("hashes").alias("ha"), F.col("counts").alias("ca"))
     right = sets.select(F.col("key").alias("b"), F.col("hashes").alias("hb"), F.col("counts").alias("cb"))
-    joined = left.join(_sided(pairs), "a").join(right, "b")
+    named = right.join(_sided(pairs.select("b").distinct()), "b", "left_semi")
+    joined = left.join(_sided(pairs), "a").join(named, "b")
     return joined.withColumn("s", similar("ha", "ca", "hb", "cb")).where(F.col("s") >= threshold).select("a", "b")
 
 
@@ -215,7 +216,8 @@ def components(edges: DataFrame) -> DataFrame:
 def _buckets(reps: DataFrame) -> DataFrame:
     """(bucket, key) of buckets with two members or more; of buckets with the same members one is left."""
     all_rows = reps.select("key", F.explode("bands").alias("bucket"))
-    shared = materialise(all_rows.groupBy("bucket").agg(F.min("key").alias("x"), F.max("key").alias("y")).where("x <> y").select("bucket"), "shared")
+    # A key is in a bucket once.
+    shared = materialise(all_rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "shared")
     several = materialise(all_rows.join(_sided(shared), "bucket"), "several")
     sizes = several.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "key")).alias("y"))
     once = materialise(sizes.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket"), F.count("*").alias("times")), "buckets")

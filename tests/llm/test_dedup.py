@@ -359,3 +359,12 @@ def test_shards_of_extreme_ids_and_clashing_names(spark, tmp_path):
     assert placed.columns == [*docs.columns, "_shard", "_slot"] and {r["shard"] for r in placed.collect()} == {7}
     numbered = sharding.number(placed, "_shard", [F.col("doc_id")], F.col("words"))
     assert sorted(numbered.columns) == sorted([*docs.columns, "_shard", "_slot", "__slot"]) and numbered.count() == 3
+
+
+def test_only_sets_that_pairs_name_are_shuffled(spark):
+    """Verifying few pairs doesn't send all texts' shingles around."""
+    sets = near_dedup.materialise(near_dedup._shingled(spark.createDataFrame([(i, f"a b c d e f g {i % 50}") for i in range(100)], "key long, text string")), "sets")
+    pairs = near_dedup.materialise(spark.createDataFrame([(0, 50), (0, 1)], "a long, b long"), "pairs")
+    found = near_dedup._verified(pairs, sets, 0.8)
+    assert [tuple(r) for r in found.collect()] == [(0, 50)]
+    assert "LeftSemi" in found._jdf.queryExecution().executedPlan().toString()
