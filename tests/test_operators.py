@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mnemos.config import EngineConfig
+from mnemos.functions import vector
 from mnemos.operators import changes, consolidate, graph, ingest, lookup
 from mnemos.sources import readers
 from mnemos.sources.store import SnapshotStore
@@ -337,3 +338,28 @@ def test_session_stream_equals_batch_after_restart_with_late_items_and_timeouts(
     batch = ingest.promotion(changes.evict(items, 4).where("kept"), F.col("closed_at"), config)
     assert got == {r["id"]: (r["session_id"], r["promoted"], round(r["score"], 9), r["closed_at"]) for r in batch.collect()}
     assert len(got) == 8
+
+
+def test_nearest_in_blocks(spark, monkeypatch):
+    """Blocks of few vectors give what pairs give: ties, copies, vectors without length, of other sizes, null."""
+    monkeypatch.setattr(vector, "BLOCK_NUMBERS", 24)
+    monkeypatch.setattr(vector, "TILE_NUMBERS", 16)
+    own = [[float((i * k) % 7 - 3) for k in (1, 2, 3)] for i in range(30)] + [[0.0, 0.0, 0.0], [1.0, 2.0], None, [float("nan"), 1.0, 0.0]]
+    v = spark.createDataFrame([("u" if i % 3 else "w", f"m{i}", x) for i, x in enumerate(own)], "user_id string, memory_id string, vector array<double>")
+    q = v.selectExpr("user_id", "memory_id AS query_id", "vector")
+    show = lambda df: sorted((r["query_id"], r["rank"], r["memory_id"], repr(r["similarity"])) for r in df.collect())
+    assert show(vector.nearest(q, v, 4)) == show(vector.nearest(q, v, F.lit(4)))
+    assert "FlatMapCoGroupsInArrow" in vector.nearest(q, v, 4)._jdf.queryExecution().toString()
+
+
+def test_names_are_dealt_before_they_are_sorted(spark):
+    """One file of texts isn't sorted by one task, and a name of all texts is one row before names are looked up."""
+    texts = spark.createDataFrame([(f"t{i}", f"part{i} uses redis;") for i in range(50)], "id string, text string").coalesce(1)
+    found = graph.extract_entities(graph.extract_relations(texts))
+    plan = found._jdf.queryExecution().sparkPlan().toString().split("\n")
+    assert "REPARTITION_BY_COL" in "".join(plan) and found.count() == 100
+    rows = found.selectExpr("'u' AS user_id", "CAST(NULL AS STRING) AS tenant_id", "name", "entity_type", "CAST(array() AS array<string>) AS aliases", "id AS ord")
+    columns = "id string, tenant_id string, user_id string, name string, entity_type string, aliases array<string>, meta_json string, created_at timestamp, updated_at timestamp"
+    base = spark.createDataFrame([("e1", None, "u", "Redis", "other", ["R"], "{}", None, None)], columns)
+    out = {r["name"]: (r["id"], r["entity_type"], r["aliases"]) for r in graph.upsert_entities(base, rows, F.current_timestamp()).collect()}
+    assert len(out) == 51 and out["Redis"] == ("e1", "tech", ["R"])
