@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemos.functions.vector import cosine, hinted, norm, small
+from mnemos.functions.vector import best_in_blocks, cosine, hinted, norm, small
 from mnemos.sources.scratch import kept
 
 PIVOTS, SAMPLE = 32, 4_096
@@ -60,15 +60,19 @@ class VectorIndex:
 
     def search(self, queries: DataFrame, k: Column | int, query_id: str = "query_id", rows: int | None = None) -> DataFrame:
         """query_id, id, similarity and rank of the k nearest vectors of each query among those of its keys, as nearest() gives."""
-        return self._searched(queries, k, query_id, rows)[0]
+        order = Window.partitionBy(query_id).orderBy(F.desc("similarity"), self.id_col)
+        plan, rest, hits = self._searched(queries, k, query_id, rows)
+        return hits.unionByName(self._best(rest, k, query_id)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
     def scored_share(self, queries: DataFrame, k: int, query_id: str = "query_id") -> float:
         """The share of all vectors of the queries' keys that a search scores."""
-        scored = self._searched(queries, k, query_id, None)[1].count()
+        plan, rest, _ = self._searched(queries, k, query_id, None)
+        scored = self._scored(plan.where("first"), query_id).count() + self._scored(rest, query_id).count()
         every = queries.select(*self.on).join(self.cells, self.on).agg(F.sum("n")).first()[0] or 0
         return scored / max(1, every)
 
-    def _searched(self, queries: DataFrame, k: Column | int, query_id: str, rows: int | None) -> tuple[DataFrame, DataFrame]:
+    def _searched(self, queries: DataFrame, k: Column | int, query_id: str, rows: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """All cells of each query, those that may hold more than its first ones do, and the nearest vectors of the first ones."""
         angles = _angles(self.pivots)(F.col("vector").cast("array<double>"))
         asked = queries.select(query_id, *self.on, F.col("vector").alias("qv"), norm(F.col("vector")).alias("qn"), angles.alias("a"))
         q = small(kept(asked)) if rows is None else hinted(kept(asked), rows)
@@ -80,14 +84,17 @@ class VectorIndex:
         before = Window.partitionBy(query_id).orderBy("least", F.coalesce("own", F.lit(0.0)), "cell").rowsBetween(Window.unboundedPreceding, -1)
         plan = kept(met.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)) < k))
         order = Window.partitionBy(query_id).orderBy(F.desc("similarity"), self.id_col)
-        home = self._scored(plan.where("first"), query_id)
-        hits = kept(home.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).drop("r"))
+        hits = kept(self._best(plan.where("first"), k, query_id).withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).drop("r"))
         reached = hits.groupBy(query_id).agg(F.min("similarity").alias("worst"), F.count("*").alias("met"))
         bound = F.when(F.col("met") >= k, F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.col("worst")))) + SLACK).otherwise(F.lit(4.0))
         rest = plan.where("NOT first").join(reached, query_id, "left").withColumn("bound", F.coalesce(bound, F.lit(4.0))).where("least <= bound")
-        more = self._scored(rest, query_id)
-        out = hits.unionByName(more).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        return out, home.unionByName(more)
+        return plan, rest, hits
+
+    def _best(self, plan: DataFrame, k: Column | int, query_id: str) -> DataFrame:
+        """The nearest vectors, k of each block at least, of the planned cells: a block is scored whole, whatever its angles."""
+        if not isinstance(k, int):
+            return self._scored(plan, query_id)
+        return best_in_blocks(plan, self.rows.select(self.id_col, *self.on, "cell", F.col("vector").alias("v")), k, [*self.on, "cell"], query_id, self.id_col)
 
     def _scored(self, plan: DataFrame, query_id: str) -> DataFrame:
         """Similarities of the planned cells' vectors that may be within the query's bound (if it has one)."""
