@@ -363,3 +363,13 @@ def test_names_are_dealt_before_they_are_sorted(spark):
     base = spark.createDataFrame([("e1", None, "u", "Redis", "other", ["R"], "{}", None, None)], columns)
     out = {r["name"]: (r["id"], r["entity_type"], r["aliases"]) for r in graph.upsert_entities(base, rows, F.current_timestamp()).collect()}
     assert len(out) == 51 and out["Redis"] == ("e1", "tech", ["R"])
+
+
+def test_hit_score_of_odd_rows(spark):
+    """Keys are searched over batches in Python; nulls and empty lists count as before."""
+    from mnemos.functions.text import hit_score
+
+    rows = [(["ab", "xy", None, "ü"], "zABü"), ([], "a"), (None, "a"), (["a"], None), (["", "a"], "")]
+    out = spark.createDataFrame(rows, "k array<string>, t string").select(hit_score(F.col("k"), F.col("t")).alias("s"))
+    assert [r["s"] for r in out.collect()] == [0.5, 0.0, None, 0.0, 0.5]
+    assert "ArrowEvalPython" in out._jdf.queryExecution().executedPlan().toString()
