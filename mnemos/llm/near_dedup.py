@@ -255,13 +255,17 @@ def _differing(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(fold(a), fold(b), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, c: n + c)
 
 
-def _bounded(live: DataFrame, sets: DataFrame) -> DataFrame:
-    """live with BOUNDS. A shingle that no other live text has is in no intersection."""
-    own = sets.join(live.select("key").distinct(), "key", "left_semi")
+def _bounded(live: DataFrame, sets: DataFrame, keys: DataFrame) -> DataFrame:
+    """live, whose distinct keys are keys (written), with BOUNDS. A shingle that no other live text has is in no intersection.
+
+    Sets stay where they are if the keys can be broadcast; what is told without shingles is computed before it is joined.
+    """
+    known = _sided(keys)
+    own = sets.select("key", "hashes", "counts").join(known, "key", "left_semi")
     pairs = own.select("key", F.explode(F.arrays_zip("hashes", "counts")).alias("x"))
     lone = pairs.groupBy("x.hashes").agg(F.min("key").alias("key"), F.max("key").alias("other"), F.sum("x.counts").alias("c")).where("key = other")
     lone = lone.groupBy("key").agg(F.count("*").alias("alone"), F.sum("c").alias("lone"))
-    sizes = own.select("key", F.size("hashes").alias("size"), F.aggregate("counts", F.lit(0).cast("long"), lambda a, c: a + c).alias("weight"), "bits")
+    sizes = sets.select("key", F.size("hashes").alias("size"), F.aggregate("counts", F.lit(0).cast("long"), lambda a, c: a + c).alias("weight"), "bits").join(known, "key", "left_semi")
     return live.join(sizes.join(lone, "key", "left").na.fill(0).select("key", *BOUNDS), "key")
 
 
@@ -360,9 +364,10 @@ def _classes(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame
             done.append(own)
         if leaders_now == 1:
             unsure = _kept(own.join(_several(own), "bucket", "left_semi"), "unsure")
-            bounded = _kept(_bounded(unsure, sets), "bounded")
+            keys = _kept(unsure.select("key").distinct(), "keys")
+            bounded = _kept(_bounded(unsure, sets, keys), "bounded")
             own = _kept(_hopeful(bounded, threshold), "hopeful")
-            discard(unsure, bounded)
+            discard(unsure, keys, bounded)
             leaders = leaders.join(own.select("bucket", "key"), ["bucket", "key"], "left_semi")
             done.append(own)
         live = _kept(_left(own, leaders), "live")

@@ -368,3 +368,24 @@ def test_only_sets_that_pairs_name_are_shuffled(spark):
     found = near_dedup._verified(pairs, sets, 0.8)
     assert [tuple(r) for r in found.collect()] == [(0, 50)]
     assert "LeftSemi" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sets_are_bounded_where_they_lie(spark, monkeypatch):
+    """Keys of live texts go to the sets of shingles, whatever Spark would broadcast by itself; what counts shingles doesn't carry them."""
+    monkeypatch.setattr(near_dedup, "BROADCAST_ROWS", 100)
+    texts = [(1, "a b c d e f"), (2, "a b c d e x x x x x x x"), (3, "a b c d e f g")]
+    sets = near_dedup.materialise(near_dedup._shingled(spark.createDataFrame(texts, "key long, text string")), "sets")
+    live = spark.createDataFrame([(7, 1), (7, 2), (8, 1)], "bucket long, key long")
+    keys = near_dedup.materialise(live.select("key").distinct(), "keys")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = near_dedup._bounded(live, sets, keys)
+        rows = sorted((r["bucket"], r["key"], r["size"], r["weight"], r["alone"], r["lone"]) for r in found.collect())
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # Text 3 isn't live, so its shingle counts for none.
+    assert rows == [(7, 1, 2, 2, 1, 1), (7, 2, 6, 8, 5, 7), (8, 1, 2, 2, 1, 1)]
+    semi = [x for x in plan.splitlines() if "LeftSemi" in x]
+    assert semi and all("BroadcastHashJoin" in x for x in semi)
