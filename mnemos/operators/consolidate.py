@@ -13,6 +13,7 @@ from mnemos.functions.vector import small
 from mnemos.operators import stars
 from mnemos.operators.graph import new_id
 from mnemos.operators.lookup import active, recent_order
+from mnemos.sources.scratch import kept
 
 WEIGHT_STEP = 1e-4
 NEGATED_OVERLAP = 0.25
@@ -65,9 +66,10 @@ def candidates(memories: DataFrame) -> DataFrame:
 def topic_clusters(rows: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
     """rows with `topic`: each row's first topic in which enough rows are left that no earlier topic took (else null).
 
-    A user's rows are counted by their set of topics first; which topics take which sets follows from those few counts.
+    A user's rows are counted by their set of topics first; which topics take which sets follows from those few counts. The rows
+    are written once, since what follows reads them several times.
     """
-    marked = rows.withColumn("topics", matching(F.col("content"), config.topics))
+    marked = kept(rows.withColumn("topics", matching(F.col("content"), config.topics)))
     sets = marked.groupBy("user_id", "topics").agg(F.count("*").alias("n"))
     taken = F.lit(None).cast("string")
     for topic in config.topics:
@@ -137,7 +139,6 @@ def consolidate(memories: DataFrame, embeddings: DataFrame, now: Column, config:
     keep(df, name) writes and rereads a stage's result, to cut lineage; by default it goes to the shared checkpoint folder.
     """
     from mnemos.operators.changes import drop_vectors, forgettable, soft_delete
-    from mnemos.sources.scratch import kept
     from mnemos.sources.store import merge
 
     if keep is None:

@@ -373,3 +373,19 @@ def test_hit_score_of_odd_rows(spark):
     out = spark.createDataFrame(rows, "k array<string>, t string").select(hit_score(F.col("k"), F.col("t")).alias("s"))
     assert [r["s"] for r in out.collect()] == [0.5, 0.0, None, 0.0, 0.5]
     assert "ArrowEvalPython" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_star_clusters_find_frequent_stars_without_all_pairs(spark, monkeypatch):
+    """A user whose first heads give all stars needs no comparison of all pairs of blocks; one with rare stars does, and gets the same."""
+    from mnemos.operators import stars
+
+    rows = [("u", f"m{i}", i, f"a{i % 5} b{i % 5}", None) for i in range(60)]
+    df = spark.createDataFrame(rows, "user_id string, id string, place long, content string, vector array<double>")
+    pairs, used = stars._leaders, []
+    monkeypatch.setattr(stars, "_leaders", lambda *a: used.append(1) or pairs(*a))
+    got = {r["id"]: r["cluster"] for r in consolidate.star_clusters(df, EngineConfig(max_clusters=4), block=10, heads=8).collect()}
+    assert got == {f"m{i}": i % 5 for i in range(60) if i % 5 < 4} and not used
+    # Lone rows first: no star within the first heads.
+    late = df.withColumn("content", F.when(F.col("place") < 40, F.concat(F.lit("x"), "place")).otherwise(F.col("content")))
+    got = {r["id"]: r["cluster"] for r in consolidate.star_clusters(late, EngineConfig(max_clusters=4), block=10, heads=8).collect()}
+    assert got == {f"m{i}": 40 + i % 5 for i in range(40, 60) if i % 5 < 4} and used
