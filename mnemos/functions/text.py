@@ -1,7 +1,8 @@
-"""Text functions as Column expressions: tokens, lexical scores, names, trimming. Only hit_score() runs Python, over batches."""
+"""Text functions as Column expressions: tokens, lexical scores, names, trimming. Only hit_score() and near_duplicate() run Python, over batches."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 import pyarrow as pa
@@ -71,29 +72,57 @@ def hit_score(keys: Column, content: Column) -> Column:
     return found(keys, F.lower(content))
 
 
-def mostly_inside(keys: Column, text: Column, least: float = HIT_SCORE_NEAR, own: Column | None = None) -> Column:
-    """Whether hit_score(keys, text) reaches `least`, for distinct keys that tokens() gave. own: the text's distinct tokens, if known.
+#: SEPARATORS for Python's re, whose \\s takes four control characters more.
+_SEPARATED = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000,.;:!?，。；：！？、]+")
+_NOT_CJK = re.compile(NOT_CJK)
+
+
+def _distinct_tokens(low: str) -> set[str]:
+    return {t for t in _SEPARATED.split(low) if len(t) >= 2}
+
+
+def _with_bigrams(own: set[str]) -> set[str]:
+    """The tokens and the CJK bigrams of each."""
+    out = set(own)
+    for t in own:
+        if not t.isascii():
+            cjk = _NOT_CJK.sub("", t)
+            out.update(cjk[i : i + 2] for i in range(len(cjk) - 1))
+    return out
 
-    Keys that are tokens of the text occur in it; others are searched in its distinct tokens, longest first, until too
-    many are missing.
-    """
-    longest = lambda ks: F.reverse(F.array_sort(F.transform(ks, lambda k: F.struct(F.length(k).alias("n"), k.alias("k")))))
-    sets = F.struct(keys.alias("keys"), (F.array_distinct(tokens(text, 2)) if own is None else own).alias("own"))
-    parts = _bound(sets, lambda s: F.struct(F.size(s["keys"]).alias("n"), longest(F.array_except(s["keys"], s["own"])).alias("rest"), F.array_join(s["own"], " ").alias("joined")))
 
-    def decide(p: Column) -> Column:
-        enough = lambda missing: (p["n"] - missing) / F.greatest(p["n"], F.lit(1)) >= least
-        missing = F.aggregate(p["rest"], F.lit(0), lambda m, x: F.when(enough(m) & ~F.contains(p["joined"], x["k"]), m + 1).otherwise(m))
-        return (p["n"] > 0) & enough(missing)
+def _mostly_inside(keys: set[str], own: set[str], least: float) -> bool:
+    """Whether `least` of the keys occur in the text of these tokens. Keys that are tokens do; others are searched in them, longest first, until too many are missing."""
+    n, missing, joined = len(keys), 0, " ".join(own)
+    for k in sorted(keys - own, key=len, reverse=True):
+        if k not in joined:
+            missing += 1
+            if (n - missing) / n < least:
+                return False
+    return n > 0
 
-    return _bound(parts, decide)
 
+def near_duplicate(a: Column, b: Column, least: float = HIT_SCORE_NEAR) -> Column:
+    """Equal but for outer white space, or most keys of each in the other; each text is cut once for both, by Python's own search.
+
+    Texts that are equal but for outer white space have the same tokens, so others aren't compared.
+    """
 
-def near_duplicate(a: Column, b: Column, keys_a: Column | None = None, keys_b: Column | None = None, own_a: Column | None = None, own_b: Column | None = None) -> Column:
-    """Equal but for outer white space, or most keys of each in the other. own_a, own_b: the texts' distinct tokens."""
-    keys_a = query_keys(a) if keys_a is None else keys_a
-    keys_b = query_keys(b) if keys_b is None else keys_b
-    return (strip(a) == strip(b)) | (mostly_inside(keys_a, b, own=own_b) & mostly_inside(keys_b, a, own=own_a))
+    @F.arrow_udf("int")
+    def alike(left: pa.Array, right: pa.Array) -> pa.Array:
+        out: list[int | None] = []
+        for x, y in zip(left, right, strict=True):
+            low_a, low_b = x.as_py(), y.as_py()
+            if low_a is None or low_b is None:
+                out.append(None)
+                continue
+            own_a, own_b = _distinct_tokens(low_a), _distinct_tokens(low_b)
+            both = _mostly_inside(_with_bigrams(own_a), own_b, least) and _mostly_inside(_with_bigrams(own_b), own_a, least)
+            out.append(1 if both else 2 if own_a == own_b else 0)
+        return pa.array(out, pa.int32())
+
+    code = alike(F.lower(a), F.lower(b))
+    return F.when(code == 2, strip(a) == strip(b)).otherwise(code == 1)
 
 
 def overlap(keys_a: Column, keys_b: Column) -> Column:

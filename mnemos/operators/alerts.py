@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mnemos.config import DEFAULT, EngineConfig
 from mnemos.functions import vocabulary as V
-from mnemos.functions.text import cut, near_duplicate, query_keys, stack_shift, stacks, tokens
+from mnemos.functions.text import cut, near_duplicate, stack_shift, stacks, tokens
 from mnemos.functions.vector import hinted, nearest, rows_of
 from mnemos.operators.lookup import active, newest_by_user
 
@@ -66,8 +66,5 @@ def detect(contents: DataFrame, memories: DataFrame, embeddings: DataFrame, conf
 
 
 def near_duplicates(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """pairs with near_duplicate of two text columns. Columns <a>_keys and <a>_own, if there are any, save cutting the texts again."""
-    if {f"{a}_keys", f"{b}_keys", f"{a}_own", f"{b}_own"} <= set(pairs.columns):
-        given = (F.col(f"{a}_keys"), F.col(f"{b}_keys"), F.col(f"{a}_own"), F.col(f"{b}_own"))
-        return pairs.withColumn("near_duplicate", near_duplicate(F.col(a), F.col(b), *given))
-    return pairs.withColumn("ka", query_keys(F.col(a))).withColumn("kb", query_keys(F.col(b))).withColumn("near_duplicate", near_duplicate(F.col(a), F.col(b), F.col("ka"), F.col("kb"))).drop("ka", "kb")
+    """pairs with near_duplicate of two text columns."""
+    return pairs.withColumn("near_duplicate", near_duplicate(F.col(a), F.col(b)))

@@ -389,3 +389,14 @@ def test_star_clusters_find_frequent_stars_without_all_pairs(spark, monkeypatch)
     late = df.withColumn("content", F.when(F.col("place") < 40, F.concat(F.lit("x"), "place")).otherwise(F.col("content")))
     got = {r["id"]: r["cluster"] for r in consolidate.star_clusters(late, EngineConfig(max_clusters=4), block=10, heads=8).collect()}
     assert got == {f"m{i}": 40 + i % 5 for i in range(40, 60) if i % 5 < 4} and used
+
+
+def test_near_duplicates_shuffle_texts_and_no_tokens(spark, tmp_path):
+    """Documents meet their neighbours as texts alone; what Python cuts is what the tokens are, odd white space and null texts too."""
+    from mnemos.plans import QUERIES
+
+    texts = ["red small ring", "red small\x85ring", "red small ring extra words", None, "数据库连接，红色", "数据库连接 红色", "a\x1cb cd", "cd a b", "", "x"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = QUERIES["near_duplicate_pairs"](spark, str(tmp_path))
+    assert {r["doc_id"]: r["near_duplicate"] for r in out.collect()} == {0: True, 1: False, 2: None, 3: None, 4: True, 5: False, 6: False, 7: False, 8: False}
+    assert "split(" not in out._jdf.queryExecution().executedPlan().toString()
