@@ -400,3 +400,14 @@ def test_near_duplicates_shuffle_texts_and_no_tokens(spark, tmp_path):
     out = QUERIES["near_duplicate_pairs"](spark, str(tmp_path))
     assert {r["doc_id"]: r["near_duplicate"] for r in out.collect()} == {0: True, 1: False, 2: None, 3: None, 4: True, 5: False, 6: False, 7: False, 8: False}
     assert "split(" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_postings_are_lists(spark):
+    """A trigram of many texts of a slice is one row, not one for each text."""
+    from mnemos.operators.trigrams import TrigramIndex
+
+    texts = [(f"k{i}", f"same words {i}") for i in range(100)]
+    index = TrigramIndex.build(spark.createDataFrame(texts, "k string, body string").coalesce(1), "k", F.col("body"))
+    rows = [r for r in index.postings.collect() if r["gram"] == "wor"]
+    assert len(rows) == 1 and sorted(rows[0]["ids"]) == sorted(k for k, _ in texts)
+    assert index.sizes.where("gram = 'wor'").first()["n"] == 100
