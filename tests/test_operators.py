@@ -2,6 +2,7 @@
 
 import json
 import random
+from collections import Counter
 from datetime import datetime
 
 import pytest
@@ -163,6 +164,24 @@ def test_paths_of_five_hops(spark):
     assert front._jdf.queryExecution().optimizedPlan().toString().count("Join ") <= 5
 
 
+def test_paths_through_a_wide_node_come_from_many_tasks(spark):
+    """At larger sizes nothing is broadcast; all paths through a hub came from the one task that has its key."""
+    n, seeded = 8_000, 20
+    ends = [("u", "hub", (str(i),), f"hub>{i}") for i in range(n)] + [("u", str(i), ("hub",), f"{i}>hub") for i in range(n)]
+    steps = spark.createDataFrame(ends, "user_id string, src string, node struct<id: string>, edge string")
+    seeds = spark.createDataFrame([(i, "u", (str(i),)) for i in range(seeded)], "seed_id long, user_id string, node struct<id: string>")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = graph.paths(seeds, steps, 2).select("seed_id", "hops", F.array_join("nodes.id", " ").alias("path"), F.array_join("edges", " ").alias("edges"), F.spark_partition_id().alias("task")).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    want = [(s, 1, f"{s} hub", f"{s}>hub") for s in range(seeded)] + [(s, 2, f"{s} hub {i}", f"{s}>hub hub>{i}") for s in range(seeded) for i in range(n) if i != s]
+    assert sorted((r["seed_id"], r["hops"], r["path"], r["edges"]) for r in rows) == sorted(want)
+    tasks = Counter(r["task"] for r in rows)
+    assert max(tasks.values()) <= 0.7 * len(rows), tasks
+
+
 def test_soft_delete_spares_pinned_and_deleted(spark):
     m = spark.createDataFrame([memory(1, pinned=True), memory(2), memory(3, deleted=datetime(2026, 1, 1)), memory(4)], MEM)
     ids = spark.createDataFrame([("m1",), ("m2",), ("m2",), ("m3",), ("none",)], "id string")
