@@ -174,9 +174,9 @@ def recall_with_session(spark, d):
     return _recall(spark, d, OPEN, items)
 
 
-def _asked(spark, d):
-    """Whole documents with each benchmark item whose number leaves the same rest, as questions."""
-    q = V.table(spark, d, "benchmark").select("item_id", F.col("text").alias("query"), F.expr("item_id % 40").alias("k"))
+def _asked(spark, d, **more):
+    """Whole documents with each benchmark item whose number leaves the same rest, as questions; more: columns made of items before they meet documents."""
+    q = V.table(spark, d, "benchmark").select("item_id", F.col("text").alias("query"), F.expr("item_id % 40").alias("k"), *[c.alias(name) for name, c in more.items()])
     return V.memories(spark, d).select("id", "content", F.expr("n % 40").alias("k")).join(q, "k")
 
 
@@ -228,7 +228,7 @@ def text_search_indexed(spark, d):
     SELECT id, item_id, round(CASE WHEN len(k) = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(len(list_filter(k, lambda x: contains(lower(content), x))) AS DOUBLE) / len(k) END, 6) AS hit FROM memories m JOIN q ON m.n % 40 = q.item_id % 40
 """)
 def lexical_hit_scores(spark, d):
-    return _asked(spark, d).select("id", "item_id", r6("hit", hit_score(query_keys(F.col("query")), F.col("content"))))
+    return _asked(spark, d, keys=query_keys(F.col("text"))).select("id", "item_id", r6("hit", hit_score(F.col("keys"), F.col("content"))))
 
 
 @query(f"""

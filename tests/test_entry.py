@@ -37,3 +37,11 @@ def test_entry_imports_without_the_subpackage(tmp_path):
             (package / p.name).symlink_to(p)
     code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert set(o) <= set(q) and 'recall_hybrid' in q and not any(k.startswith('op') for k in q if k[2:3].isdigit())"
     subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, check=True, timeout=120)
+
+
+@pytest.mark.skipif(not SF.is_dir(), reason="no test tables here")
+def test_python_functions_are_taken_out_of_every_plan(spark):
+    """Spark misses a Python function over nested lambdas by the numbers of their variables, mostly from a session's second plan on."""
+    for _ in range(6):
+        plan = plans.QUERIES["lexical_hit_scores"](spark, str(SF))._jdf.queryExecution().optimizedPlan().toString()
+        assert "ArrowEvalPython" in plan
