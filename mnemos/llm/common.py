@@ -4,16 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Bytes of text that a Python worker takes from an Arrow batch at a time.
-SLICE_BYTES = 8 << 20
+from mnemos.functions.text import SLICE_BYTES, slices  # noqa: F401
+
 ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -115,19 +113,6 @@ def keyed(docs: DataFrame, id_col: str, key: str) -> DataFrame:
     return materialise(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
 
 
-def slices(texts: pa.Array, budget: int = SLICE_BYTES) -> Iterator[tuple[int, list[str]]]:
-    """(offset, texts) of consecutive parts of a string array of about `budget` bytes; nulls come as ''."""
-    lengths = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
-    start, size = 0, 0
-    for i, n in enumerate(lengths):
-        size += n
-        if size >= budget:
-            yield start, [x or "" for x in texts[start : i + 1].to_pylist()]
-            start, size = i + 1, 0
-    if start < len(lengths):
-        yield start, [x or "" for x in texts[start:].to_pylist()]
-
-
 def _word_table() -> bytes:
     table = bytearray(b" " * 256)
     for i in range(256):

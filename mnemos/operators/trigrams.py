@@ -17,8 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from mnemos.functions.text import slices
 from mnemos.functions.vector import small
-from mnemos.llm.common import slices
 from mnemos.sources.scratch import checkpoint_root, kept
 
 END = "\x03\x03"

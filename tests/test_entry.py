@@ -45,3 +45,9 @@ def test_python_functions_are_taken_out_of_every_plan(spark):
     for _ in range(6):
         plan = plans.QUERIES["lexical_hit_scores"](spark, str(SF))._jdf.queryExecution().optimizedPlan().toString()
         assert "ArrowEvalPython" in plan
+
+
+def test_core_imports_nothing_of_the_subpackage():
+    """Imports within functions, too, which the copy without the subpackage doesn't run."""
+    core = [p for p in (ROOT / "mnemos").rglob("*.py") if "llm" not in p.relative_to(ROOT).parts]
+    assert core and not [p for p in core if any(line.split()[:1] in (["import"], ["from"]) and "mnemos.llm" in line for line in p.read_text().splitlines())]
