@@ -182,6 +182,24 @@ def test_paths_through_a_wide_node_come_from_many_tasks(spark):
     assert max(tasks.values()) <= 0.7 * len(rows), tasks
 
 
+def test_steps_of_wide_nodes_are_dealt_once_for_all_hops(spark):
+    """Two hops make three joins with the steps; those of the first hop were dealt apart, as a filter was added to them."""
+    ends = [("u", "hub", (str(i),), f"hub>{i}") for i in range(1_500)] + [("u", str(i), ("hub",), f"{i}>hub") for i in range(1_500)]
+    steps = spark.createDataFrame(ends, "user_id string, src string, node struct<id: string>, edge string")
+    seeds = spark.createDataFrame([(0, "u", ("0",))], "seed_id long, user_id string, node struct<id: string>")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = graph.paths(seeds, steps, 2)
+        assert len(found.collect()) == 1_500
+        plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # The rows that go through each exchange of parts: fronts of both hops, and the steps.
+    dealt = [line for line in plan.splitlines() if "REPARTITION_BY_NUM" in line]
+    assert len([line for line in dealt if "Reused" not in line]) == 3 and len([line for line in dealt if "Reused" in line]) == 3, plan
+
+
 def test_soft_delete_spares_pinned_and_deleted(spark):
     m = spark.createDataFrame([memory(1, pinned=True), memory(2), memory(3, deleted=datetime(2026, 1, 1)), memory(4)], MEM)
     ids = spark.createDataFrame([("m1",), ("m2",), ("m2",), ("m3",), ("none",)], "id string")
