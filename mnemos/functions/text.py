@@ -65,7 +65,7 @@ def hit_score(keys: Column, content: Column) -> Column:
     """The share of keys that occur in the content, searched by Python's own search, which skips ahead.
 
     Keys are a column of rows below a join or shuffle: Spark may miss a Python function in whose arguments lambdas are nested
-    (as in query_keys), by the numbers that it gives to their variables, and the query fails.
+    (as in query_keys), seemingly by the numbers that it gives to their variables, and the query fails.
     """
 
     @F.arrow_udf("double")

@@ -41,7 +41,7 @@ def test_entry_imports_without_the_subpackage(tmp_path):
 
 @pytest.mark.skipif(not SF.is_dir(), reason="no test tables here")
 def test_python_functions_are_taken_out_of_every_plan(spark):
-    """Spark misses a Python function over nested lambdas by the numbers of their variables, mostly from a session's second plan on."""
+    """Spark missed a Python function over nested lambdas, seemingly by the numbers of their variables, mostly from a session's second plan on."""
     for _ in range(6):
         plan = plans.QUERIES["lexical_hit_scores"](spark, str(SF))._jdf.queryExecution().optimizedPlan().toString()
         assert "ArrowEvalPython" in plan
